@@ -15,7 +15,7 @@ from evalspark.functions import fixed
 from evalspark.functions.numbers import fixed3, or_zero, ratio
 from evalspark.functions.text import shorten
 from evalspark.operators.keys import join_on
-from evalspark.operators.ranking import running
+from evalspark.operators.ranking import place, running
 from evalspark.plans.shared import settle
 
 ENTRY = ("run_id", "iter")
@@ -372,9 +372,8 @@ def running_best(log: DataFrame) -> DataFrame:
 
 
 def run_comparison(log: DataFrame) -> DataFrame:
-    """Runs side by side, ranked by their best dev kappa (one row per run)."""
-    order = Window.orderBy(F.desc("best_kappa_dev"), "run_id")
+    """Runs side by side, placed by their best dev kappa."""
     summary = run_summary(log).select(
         "run_id", "iterations", "batches", "best_iter", "best_kappa_dev", "best_kappa_test", "best_gap"
     )
-    return summary.withColumn("place", F.row_number().over(order).cast("bigint"))
+    return place(summary, [F.desc("best_kappa_dev"), F.asc("run_id")], "place")

@@ -1,11 +1,12 @@
 """Order statistics that never sort a whole group in one task.
 
-Three tools, all exact:
+Four tools, all exact:
 
 * ``running``: running sum / max / previous value by an integer position. Rows are cut into blocks
   of positions; a window works inside a block, and a second window carries block totals forward.
 * ``rank_cutoffs``: the keys at given ranks of a group ordered by a uniform hex key. A histogram
   over key prefixes finds the one prefix holding each cut; only those rows are ranked.
+* ``place``: row numbers over a whole table, through range partitions.
 * ``average_ranks``: tie-averaged ranks of weighted distinct values. Values are range-partitioned
   over the cluster; a window works inside a range and range totals are carried forward.
 """
@@ -115,6 +116,22 @@ def rank_cutoffs(
     )
 
 
+def place(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Number all rows in a total order. Rows are range-partitioned; range sizes are carried forward."""
+    ranged = settle(
+        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "placed-ranges"
+    )
+    # One row per range, so this window is as small as the number of partitions.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return join_on(ranged.withColumn("_inside", inside), carry, ["_range"]).select(
+        *df.columns, (F.col("_before") + F.col("_inside")).alias(name)
+    )
+
+
 def average_ranks(
     values: DataFrame, by: Sequence[str], value: str, weight: str, through_ranges: bool | None = None
 ) -> DataFrame:
