@@ -501,8 +501,9 @@ def best_lineage(spark, sf):
 @query
 def history_view(spark, sf):
     log = _log(spark, sf)
-    chosen = X.parse_selection(B.selections(spark, sf), L.best_entry(log)).where(F.col("selection_id") % 10 == 1)
-    parents = L.merge_parents(chosen, log)
+    chosen = X.parse_selection(B.selections(spark, sf), L.best_entry(log))
+    latest = chosen.groupBy("run_id").agg(F.max("selection_id").alias("selection_id"))
+    parents = L.merge_parents(chosen.join(latest, ["run_id", "selection_id"], "left_semi"), log)
     return L.history_view(log, parents=parents).select("run_id", "iter", "is_best", "is_last", "is_parent", "full")
 
 
@@ -677,7 +678,7 @@ def stream_windows(spark, sf):
     schema = B.table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     windows = R.proposals_per_window(
-        rows.select("ts", F.col("event_type").alias("plan_id")), width="1 hour", lateness="10 minutes"
+        rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("plan_id")), width="1 hour", lateness="10 minutes"
     )
     R.write_appends(windows, out, state).awaitTermination()
     return spark.read.schema(windows.schema).parquet(out).withColumn(
