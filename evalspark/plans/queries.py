@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from evalspark.operators import metrics as M
 from evalspark.operators import scoring as C
 from evalspark.operators import splits as S
 from evalspark.plans import bindings as B
-from evalspark.plans.shared import new_folder
+from evalspark.plans.session import ship_package
+from evalspark.plans.shared import new_folder, settle
 from evalspark.sources import cache as K
 from evalspark.sources import jsonl as J
 from evalspark.streaming import log_stream as R
@@ -27,8 +29,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
@@ -525,8 +532,6 @@ def plan_statistics(spark, sf):
 @query
 def plan_statistics_from_tables(spark, sf):
     """The whole chain in one query: pair, score, count, evaluate, build the log, aggregate."""
-    from evalspark.plans.shared import settle
-
     log = settle(B.log_without_store(spark, sf).select("run_id", "iter", "batch", "parent", "plan_id", "kappa_dev", "f1_dev", "spearman_dev"), "log")
     return rounded(L.plan_statistics(log), 9, "mean_delta_dev")
 
