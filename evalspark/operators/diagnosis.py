@@ -74,7 +74,7 @@ def balanced_errors(
     sizes = disagreements(contingency(predictions, keys)).withColumnRenamed("n", "kind_rows")
     order = Window.partitionBy(*keys).orderBy("turn", F.desc("kind_rows"), "id")
     chosen = (
-        join_on(first, sizes, kind)
+        join_on(first, sizes, kind, null_safe=True)
         .withColumn("sample", F.row_number().over(order).cast("bigint"))
         .where(F.col("sample") <= n_samples)
     )

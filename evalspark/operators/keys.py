@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a null key matches a null key; keeps the left side's key columns."""
+def join_on(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False
+) -> DataFrame:
+    """Equi-join that keeps the left side's key columns.
+
+    With ``null_safe`` a null key matches a null key, for user columns such as strata or labels.
+    Plain keys are the default, since only they reuse a partitioning that is already there.
+    """
     if not keys:
         raise ValueError("a join needs keys")
+    if not null_safe:
+        return left.join(right, list(keys), how)
     right = right.select(
         *[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )

@@ -77,7 +77,7 @@ def _with_all_groups(metrics: DataFrame, groups: DataFrame | None, keys: Sequenc
     """Groups without any prediction have metrics of 0.0."""
     if groups is None:
         return metrics
-    joined = join_on(groups.select(*keys).distinct(), metrics, keys, "left")
+    joined = join_on(groups.select(*keys).distinct(), metrics, keys, "left", null_safe=True)
     return joined.select(*keys, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
 
 
@@ -162,7 +162,7 @@ def spearman_of_pairs(pairs: DataFrame, keys: Sequence[str], through_ranges: boo
         own = ranks.where(F.col("side") == side).select(
             *keys, F.col("value").alias(side), F.col("centred").alias(f"r{side}")
         )
-        numeric = join_on(numeric, own, [*keys, side])
+        numeric = join_on(numeric, own, [*keys, side], null_safe=True)
     weight, rx, ry = exact("n"), exact("rx"), exact("ry")
     wide = "decimal(38,0)"
     moments = numeric.groupBy(*keys).agg(
@@ -171,7 +171,7 @@ def spearman_of_pairs(pairs: DataFrame, keys: Sequence[str], through_ranges: boo
         F.sum((weight * (ry * ry)).cast(wide)).alias("yy"),
     )
     rho = ratio(F.col("xy"), F.sqrt(F.col("xx").cast("double") * F.col("yy").cast("double")))
-    return join_on(broken, moments, keys, "left").select(
+    return join_on(broken, moments, keys, "left", null_safe=True).select(
         *keys, F.when(F.col("_broken"), F.lit(0.0)).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman")
     )
 
@@ -223,7 +223,7 @@ def metrics_of_cells(
     cells = settle(cells, "contingency")
     agreement = kappa_and_f1(class_counts(cells, keys), keys).select(*keys, "kappa", "f1")
     rho = spearman_of_pairs(_numeric_cells(cells, keys, label_order), keys)
-    return _with_all_groups(join_on(agreement, rho, keys), groups, keys, ["kappa", "f1", "spearman"])
+    return _with_all_groups(join_on(agreement, rho, keys, null_safe=True), groups, keys, ["kappa", "f1", "spearman"])
 
 
 def metric_delta(old: Column | str, new: Column | str) -> Column:

@@ -100,12 +100,12 @@ def rank_cutoffs(
     steps = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(ordered), F.lit(0)))
     wanted = cuts.withColumnRenamed("rank", "_rank")
     holding = settle(
-        join_on(steps, wanted, by).where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
+        join_on(steps, wanted, by, null_safe=True).where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
         .select(*by, "_prefix", "cut", (F.col("_rank") - F.col("_before")).alias("_offset")),
         "cut-prefixes",
     )
     near = join_on(
-        df.select(*by, key, F.substring(key, 1, digits).alias("_prefix")), holding, [*by, "_prefix"]
+        df.select(*by, key, F.substring(key, 1, digits).alias("_prefix")), holding, [*by, "_prefix"], null_safe=True
     )
     place = Window.partitionBy(*by, "_prefix", "cut").orderBy(key)
     return settle(
@@ -169,7 +169,7 @@ def average_ranks(
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    joined = join_on(placed, carry, [*by, "_range"])
+    joined = join_on(placed, carry, [*by, "_range"], null_safe=True)
     return joined.select(
         *by, value, weight,
         (2 * (F.col("_below") + F.col("_inside")) + F.col(weight) - F.col("_total")).alias("centred"),

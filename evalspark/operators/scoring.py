@@ -1,27 +1,34 @@
 """Pairing artifacts with examples, scoring what is not cached, and turning scores into results.
 
 Scoring every artifact of a run on every example of that run is the work itself: the pairs are the
-rows of the prediction table. They are made by an equi-join on the run, streamed into the scorer
-and never collected. A run's artifacts are broadcast only after their size has been measured;
+rows of the prediction table. They come from an equi-join on the run and are streamed into the
+scorer, never collected. A run's artifacts are broadcast only after their size has been measured;
 otherwise both sides are spread over salts, so that a run holding most of the examples is split.
+For scoring, the join makes one row per example and *block* of artifacts, and the pairs exist only
+inside the scorer's task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import fixed
 from evalspark.functions.hashing import hash8
 from evalspark.operators.keys import join_on
-from evalspark.operators.metrics import KEYS, metrics_of_cells
+from evalspark.operators.metrics import KEYS, contingency, metrics_of_cells
 from evalspark.plans.shared import settle
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 PAIR_SALTS = 64
+BLOCK_ARTIFACTS = 64
+BLOCK_BYTES = 256 * 1024
 
 # A scorer gets one artifact, a frame of examples (``id``, ``input``, ``label``) and the
 # temperature of the attempt, and returns one prediction per example, in order.
@@ -36,14 +43,18 @@ def _bytes_of(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
+def _meet(small: DataFrame, examples: DataFrame, on: Sequence[str], size: int) -> DataFrame:
+    """Equi-join of a run's artifacts (``size`` bytes in all) with its examples."""
+    if size <= BROADCAST_BYTES:
+        return examples.join(F.broadcast(small), list(on))
+    salted = examples.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(PAIR_SALTS).cast("bigint")))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SALTS - 1).cast("bigint"))
+    return salted.join(small.withColumn("_salt", F.explode(salts)), [*on, "_salt"]).drop("_salt")
+
+
 def score_pairs(artifacts: DataFrame, examples: DataFrame, on: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Every artifact of a run with every example of the run."""
-    on = list(on)
-    if _bytes_of(artifacts) <= BROADCAST_BYTES:
-        return examples.join(F.broadcast(artifacts), on)
-    salted = examples.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(PAIR_SALTS)))
-    copies = artifacts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PAIR_SALTS - 1).cast("bigint"))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+    """Every artifact of a run with every example of the run, one row per pair."""
+    return _meet(artifacts, examples, on, _bytes_of(artifacts))
 
 
 PAIR_KEY = ("run_id", "artifact_hash", "split", "id")
@@ -74,17 +85,71 @@ def cache_hit_rate(artifacts: DataFrame, examples: DataFrame, cache: DataFrame)
     return joined.withColumn("hit_rate", F.col("hits") / F.col("pairs"))
 
 
-def with_texts(pending: DataFrame, artifacts: DataFrame, examples: DataFrame) -> DataFrame:
-    """Add artifact and example texts to pair keys.
+def _blocks(artifacts: DataFrame) -> tuple[DataFrame, int]:
+    """Artifacts of a run in blocks of about ``BLOCK_ARTIFACTS``, and the bytes of all of them.
+
+    A block also holds about ``BLOCK_BYTES`` of text at most, so a block is a small value however
+    many artifacts there are.
+    """
+    count, size = artifacts.count(), _bytes_of(artifacts)
+    number = max(1, -(-count // BLOCK_ARTIFACTS), -(-size // BLOCK_BYTES))
+    member = F.struct("artifact_hash", "artifact")
+    blocks = (
+        artifacts.select("run_id", "artifact_hash", "artifact").distinct()
+        .groupBy("run_id", F.pmod(F.xxhash64("artifact_hash"), F.lit(number).cast("bigint")).alias("block"))
+        .agg(F.collect_list(member).alias("artifacts"))
+    )
+    return blocks, size
+
+
+WORK = ("run_id", "split", "id", "input", "label", "artifacts")
+
+
+def _lines(examples: DataFrame, tasks: int | None) -> DataFrame:
+    """Examples spread evenly over the scoring tasks, whatever files they come from.
+
+    Scoring dominates everything else, so this one shuffle of the examples (not of the pairs)
+    pays for itself; the number of tasks bounds the concurrent calls of the scorer.
+    """
+    tasks = tasks or int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return examples.select("run_id", "split", "id", "input", "label").repartition(tasks, "run_id", "split", "id")
+
+
+def scoring_work(artifacts: DataFrame, examples: DataFrame, tasks: int | None = None) -> DataFrame:
+    """All pairs as work for the scorer: one row per example and block of artifacts.
 
-    Pairs and examples meet on the example, so every example text is shuffled once and repeated
-    only inside its task; the artifacts join by hash.
+    A pair costs its share of the block's and the example's text, not a copy of both.
     """
-    lines = examples.select("run_id", "split", "id", "input", "label")
-    texts = artifacts.select("run_id", "artifact_hash", "artifact")
-    if _bytes_of(texts) <= BROADCAST_BYTES:
-        texts = F.broadcast(texts)
-    return pending.join(lines, ["run_id", "split", "id"]).join(texts, ["run_id", "artifact_hash"])
+    blocks, size = _blocks(artifacts)
+    return _meet(blocks, _lines(examples, tasks), ["run_id"], size).select(*WORK)
+
+
+def pending_work(
+    artifacts: DataFrame, examples: DataFrame, cache: DataFrame, tasks: int | None = None
+) -> DataFrame:
+    """Work for the pairs that have no cached prediction.
+
+    Artifacts new to the cache are paired with all examples. For the others the pending pairs are
+    found on keys, listed per example and block, and joined to the texts: an example's text is
+    shuffled once, however many of its pairs are pending.
+    """
+    artifacts = settle(artifacts.select("run_id", "artifact_hash", "artifact").distinct(), "artifacts")
+    known = settle(cache.select("run_id", "artifact_hash").distinct(), "cached-artifacts")
+    fresh = join_on(artifacts, known, ["run_id", "artifact_hash"], "left_anti")
+    seen = join_on(artifacts, known, ["run_id", "artifact_hash"], "left_semi")
+    if seen.isEmpty():
+        return scoring_work(fresh, examples, tasks)
+    blocks, size = _blocks(seen)
+    members = blocks.select("run_id", "block", F.explode("artifacts.artifact_hash").alias("artifact_hash"))
+    # A list holds at most the artifacts of one block.
+    lists = (
+        pending_pairs(seen, examples, cache).join(members, ["run_id", "artifact_hash"])
+        .groupBy("run_id", "split", "id", "block").agg(F.collect_set("artifact_hash").alias("_open"))
+    )
+    texts = _meet(blocks, _lines(examples, tasks).join(lists, ["run_id", "split", "id"]), ["run_id", "block"], size)
+    wanted = F.filter("artifacts", lambda a: F.array_contains("_open", a["artifact_hash"]))
+    again = texts.withColumn("artifacts", wanted).select(*WORK)
+    return again if fresh.isEmpty() else again.unionByName(scoring_work(fresh, examples, tasks))
 
 
 def hash_scorer(pairs: DataFrame) -> DataFrame:
@@ -107,8 +172,12 @@ def hash_prediction(artifact_hash: Column, artifact_number: Column, id_: Column,
     return F.when(draw < accuracy, label).otherwise(F.concat(F.lit(fixed.WRONG_PREFIX), label))
 
 
-SCORED = "run_id string, artifact_hash string, split string, id bigint, prediction string, error string"
-ATTEMPTS = "run_id string, artifact_hash string, split string, id bigint, attempt int, temperature double, prediction string, error string"
+SCORED = "run_id string, artifact_hash string, split string, id bigint, label string, prediction string, error string"
+ATTEMPTS = "run_id string, artifact_hash string, split string, id bigint, label string, attempt int, temperature double, prediction string, error string"
+_PAIR = [("run_id", pa.string()), ("artifact_hash", pa.string()), ("split", pa.string()), ("id", pa.int64()), ("label", pa.string())]
+_ANSWER = [("prediction", pa.string()), ("error", pa.string())]
+SCORED_ROWS = pa.schema([*_PAIR, *_ANSWER])
+ATTEMPT_ROWS = pa.schema([*_PAIR, ("attempt", pa.int32()), ("temperature", pa.float64()), *_ANSWER])
 
 
 def _call(scorer: Scorer, artifact: str, chunk: pd.DataFrame, temperature: float) -> tuple[list, str | None]:
@@ -119,30 +188,43 @@ def _call(scorer: Scorer, artifact: str, chunk: pd.DataFrame, temperature: float
         return [None] * len(chunk), f"{type(problem).__name__}: {problem}"
     if len(found) != len(chunk):
         return [None] * len(chunk), f"scorer returned {len(found)} predictions for {len(chunk)} examples"
-    return found, None
+    return [None if p is None else str(p) for p in found], None
 
 
-def score(pairs: DataFrame, scorer: Scorer, concurrency: int | None = None) -> DataFrame:
-    """Run a user scorer over pairs with texts; one row per pair, with an error instead of a raise.
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, str, pd.DataFrame]]:
+    """Hash and text of every artifact in a batch of work, with the examples it meets there."""
+    lists = batch.column("artifacts")
+    examples = batch.drop_columns(["artifacts"]).to_pandas()
+    members = pc.list_flatten(lists)
+    rows = pc.list_parent_indices(lists).to_numpy()
+    texts = pc.struct_field(members, "artifact")
+    hashes = pc.struct_field(members, "artifact_hash").dictionary_encode()
+    codes = hashes.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        if len(part):
+            yield hashes.dictionary[int(codes[part[0]])].as_py(), texts[int(part[0])].as_py(), examples.iloc[rows[part]]
+
+
+def _rows(chunk: pd.DataFrame, schema: pa.Schema, **columns) -> pa.RecordBatch:
+    frame = chunk[["run_id", "split", "id", "label"]].assign(**columns)
+    return pa.RecordBatch.from_pandas(frame[schema.names], schema=schema, preserve_index=False)
 
-    ``concurrency`` bounds the number of tasks that call the scorer at the same time.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def score(work: DataFrame, scorer: Scorer) -> DataFrame:
+    """Run a user scorer over work; one row per pair, with an error instead of a raise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for artifact, chunk in batch.groupby("artifact", sort=False):
-                found, error = _call(scorer, artifact, chunk, fixed.RETRY_TEMPERATURES[0])
-                yield chunk[["run_id", "artifact_hash", "split", "id"]].assign(prediction=found, error=error)
+            for name, text, chunk in _chunks(batch):
+                found, error = _call(scorer, text, chunk, fixed.RETRY_TEMPERATURES[0])
+                yield _rows(chunk, SCORED_ROWS, artifact_hash=name, prediction=found, error=error)
 
-    columns = ["run_id", "artifact_hash", "split", "id", "input", "label", "artifact"]
-    pairs = pairs.select(*columns)
-    if concurrency:
-        pairs = pairs.coalesce(concurrency)
-    return pairs.mapInPandas(run, SCORED)
+    return work.select(*WORK).mapInArrow(run, SCORED)
 
 
 def score_with_retries(
-    pairs: DataFrame,
+    work: DataFrame,
     scorer: Scorer,
     temperatures: Sequence[float] = fixed.RETRY_TEMPERATURES,
     max_retries: int = fixed.MAX_RETRIES,
@@ -153,28 +235,27 @@ def score_with_retries(
     """
     schedule = list(temperatures)[:max_retries]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for artifact, chunk in batch.groupby("artifact", sort=False):
+            for name, text, chunk in _chunks(batch):
                 for attempt, temperature in enumerate(schedule, 1):
-                    found, error = _call(scorer, artifact, chunk, temperature)
-                    tried = chunk[["run_id", "artifact_hash", "split", "id"]].assign(
-                        attempt=attempt, temperature=temperature, prediction=found
+                    found, error = _call(scorer, text, chunk, temperature)
+                    failed = np.array([p is None for p in found])
+                    reasons = [(error or "no prediction") if f else None for f in failed]
+                    yield _rows(
+                        chunk, ATTEMPT_ROWS, artifact_hash=name, attempt=attempt, temperature=temperature,
+                        prediction=found, error=reasons,
                     )
-                    failed = tried["prediction"].isna()
-                    tried["error"] = failed.map({True: error or "no prediction", False: None})
-                    yield tried
-                    chunk = chunk[failed.to_numpy()]
+                    chunk = chunk[failed]
                     if chunk.empty:
                         break
 
-    columns = ["run_id", "artifact_hash", "split", "id", "input", "label", "artifact"]
-    return pairs.select(*columns).mapInPandas(run, ATTEMPTS)
+    return work.select(*WORK).mapInArrow(run, ATTEMPTS)
 
 
 def last_attempts(attempts: DataFrame) -> DataFrame:
     """One row per pair: its last attempt. Attempts per pair are few, and combine before the shuffle."""
-    last = F.max_by(F.struct("attempt", "temperature", "prediction", "error"), "attempt").alias("last")
+    last = F.max_by(F.struct("label", "attempt", "temperature", "prediction", "error"), "attempt").alias("last")
     return attempts.groupBy(*PAIR_KEY).agg(last).select(*PAIR_KEY, "last.*")
 
 
@@ -187,28 +268,28 @@ def align_predictions(examples: DataFrame, predictions: DataFrame, artifacts: Da
     return joined.select(*PAIR_KEY, "label", F.coalesce("prediction", F.lit("")).alias("prediction"))
 
 
-def aligned_contingency(examples: DataFrame, predictions: DataFrame, artifacts: DataFrame) -> DataFrame:
+def aligned_contingency(
+    examples: DataFrame, scored: DataFrame, artifacts: DataFrame, cached: DataFrame | None = None
+) -> DataFrame:
     """Contingency cells as if every pair had been aligned, without making the pairs.
 
-    Predictions meet their label by id and are counted. What the label counts of a split have more
-    than those cells is what has no prediction: it is added as cells with prediction ``''``.
+    ``scored`` rows carry their label and are counted as they are. ``cached`` predictions meet
+    their label by id first, so labels may have changed since they were cached. What the label
+    counts of a split have more than those cells is what has no prediction: it is added as cells
+    with prediction ``''``.
     """
     labels = examples.select("run_id", "split", "id", "label")
-    known = predictions.select(*PAIR_KEY, F.coalesce("prediction", F.lit("")).alias("prediction"))
-    counted = (
-        join_on(join_on(known, artifacts.select("run_id", "artifact_hash"), ["run_id", "artifact_hash"], "left_semi"),
-                labels, ["run_id", "split", "id"])
-        .groupBy(*KEYS, "label", "prediction")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    wanted = artifacts.select("run_id", "artifact_hash").distinct()
+    counted = contingency(scored.select(*KEYS, "label", F.coalesce("prediction", F.lit("")).alias("prediction")))
+    if cached is not None:
+        known = join_on(cached.select(*PAIR_KEY, "prediction"), wanted, ["run_id", "artifact_hash"], "left_semi")
+        counted = counted.unionByName(contingency(join_on(known, labels, ["run_id", "split", "id"])))
     counted = settle(counted, "aligned-cells")
     expected = join_on(
-        artifacts.select("run_id", "artifact_hash").distinct(),
-        labels.groupBy("run_id", "split", "label").agg(F.count(F.lit(1)).alias("_all")),
-        ["run_id"],
+        wanted, labels.groupBy("run_id", "split", "label").agg(F.count(F.lit(1)).alias("_all")), ["run_id"]
     )
     found = counted.groupBy(*KEYS, "label").agg(F.sum("n").alias("_found"))
-    missing = join_on(expected, found, [*KEYS, "label"], "left").select(
+    missing = join_on(expected, found, [*KEYS, "label"], "left", null_safe=True).select(
         *KEYS, "label", F.lit("").alias("prediction"),
         (F.col("_all") - F.coalesce("_found", F.lit(0))).alias("n"),
     )
@@ -217,7 +298,11 @@ def aligned_contingency(examples: DataFrame, predictions: DataFrame, artifacts:
 
 
 def scoring_results(
-    examples: DataFrame, scored: DataFrame, artifacts: DataFrame, label_order: dict[str, int] | None = None
+    examples: DataFrame,
+    scored: DataFrame,
+    artifacts: DataFrame,
+    cached: DataFrame | None = None,
+    label_order: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per run, artifact and split: metrics, success and error.
 
@@ -226,8 +311,8 @@ def scoring_results(
     """
     keys = list(KEYS)
     good_rows = scored.where(F.col("error").isNull())
-    metrics = metrics_of_cells(aligned_contingency(examples, good_rows, artifacts), keys, label_order)
-    errors = scored.groupBy(*keys).agg(F.min("error").alias("error"))
+    metrics = metrics_of_cells(aligned_contingency(examples, good_rows, artifacts, cached), keys, label_order)
+    errors = scored.where(F.col("error").isNotNull()).groupBy(*keys).agg(F.min("error").alias("error"))
     joined = join_on(metrics, errors, keys, "left")
     good = F.col("error").isNull()
     return joined.select(

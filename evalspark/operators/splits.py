@@ -126,7 +126,7 @@ def stratified_split(
         ),
         "split-borders",
     )
-    labelled = join_on(keyed, borders, groups, "left")
+    labelled = join_on(keyed, borders, groups, "left", null_safe=True)
     split = (
         F.when(F.col("_key") <= F.col("_last_test"), "test")
         .when(F.col("_key") <= F.col("_last_dev"), "dev")
@@ -180,7 +180,7 @@ def split_balance(df: DataFrame, stratum: str = "domain", by: Sequence[str] = ()
         F.explode(F.array(*[F.lit(s) for s in fixed.SPLITS])).alias("split"),
     )
     shares = stats.where(F.col("split") != "overall").select(*by, stratum, "split", "share")
-    gaps = join_on(overall, shares, [*by, stratum, "split"], "left")
+    gaps = join_on(overall, shares, [*by, stratum, "split"], "left", null_safe=True)
     return gaps.groupBy(*by, "split").agg(
         F.max(F.abs(F.coalesce(F.col("share"), F.lit(0.0)) - F.col("_overall"))).alias("largest_gap")
     )

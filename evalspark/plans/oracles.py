@@ -296,14 +296,14 @@ oracle("cache_hit_rate", """
     SELECT p.run_id, p.pairs, coalesce(c.hits, 0) AS hits, round(coalesce(c.hits, 0) / p.pairs, 9) AS hit_rate
     FROM (SELECT run_id, count(*) AS pairs FROM predictions GROUP BY 1) p
     LEFT JOIN (SELECT run_id, count(*) AS hits FROM cached GROUP BY 1) c ON p.run_id = c.run_id""")
-oracle("score", f"SELECT {KEYS}, id, prediction, CAST(NULL AS VARCHAR) AS error FROM predictions")
+oracle("score", f"SELECT {KEYS}, id, label, prediction, CAST(NULL AS VARCHAR) AS error FROM predictions")
 CTES["tries"] = f"""
     SELECT p.*, t.attempt, t.temperature, mod({h8("concat(artifact_hash, ':', id, ':', CAST(round(t.temperature * 10) AS INTEGER))")}, 3) = 0 AS failed
     FROM predictions p CROSS JOIN (VALUES (1, 0.0::DOUBLE), (2, 0.4::DOUBLE), (3, 0.7::DOUBLE), (4, 0.9::DOUBLE)) t(attempt, temperature)"""
 CTES["attempts"] = f"""
     SELECT *, coalesce(bool_and(failed) OVER (PARTITION BY {KEYS}, id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS reached
     FROM tries"""
-_attempt = f"""{KEYS}, id, CAST(attempt AS INTEGER) AS attempt, temperature, CASE WHEN NOT failed THEN prediction END AS prediction,
+_attempt = f"""{KEYS}, id, label, CAST(attempt AS INTEGER) AS attempt, temperature, CASE WHEN NOT failed THEN prediction END AS prediction,
     CASE WHEN failed THEN 'no prediction' END AS error"""
 oracle("score_retry", f"SELECT {_attempt} FROM attempts WHERE reached")
 oracle("score_retry_last", f"SELECT {_attempt} FROM attempts WHERE reached QUALIFY row_number() OVER (PARTITION BY {KEYS}, id ORDER BY attempt DESC) = 1")

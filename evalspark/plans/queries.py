@@ -254,23 +254,23 @@ def cache_hit_rate(spark, sf):
     return rounded(out, 9, "hit_rate")
 
 
-def _pairs_with_texts(spark, sf) -> DataFrame:
-    return C.score_pairs(B.distinct_artifacts(spark, sf), B.examples(spark, sf))
+def _all_work(spark, sf) -> DataFrame:
+    return C.scoring_work(B.distinct_artifacts(spark, sf), B.examples(spark, sf))
 
 
 @query
 def score(spark, sf):
-    return C.score(_pairs_with_texts(spark, sf), B.hash_scorer_function)
+    return C.score(_all_work(spark, sf), B.hash_scorer_function)
 
 
 @query
 def score_retry(spark, sf):
-    return C.score_with_retries(_pairs_with_texts(spark, sf), B.flaky_scorer_function)
+    return C.score_with_retries(_all_work(spark, sf), B.flaky_scorer_function)
 
 
 @query
 def score_retry_last(spark, sf):
-    attempts = C.score_with_retries(_pairs_with_texts(spark, sf), B.flaky_scorer_function)
+    attempts = C.score_with_retries(_all_work(spark, sf), B.flaky_scorer_function)
     return C.last_attempts(attempts)
 
 
@@ -710,5 +710,6 @@ def stream_score(spark, sf):
     arts.repartition(3).write.parquet(path)
     arriving = spark.readStream.schema(arts.schema).option("maxFilesPerTrigger", 2).parquet(path)
     RS.stream_scores(arriving, exs, B.hash_scorer_function, cache, state).awaitTermination()
-    done = RS.cached_predictions(spark, cache).withColumn("error", F.lit(None).cast("string"))
-    return rounded(C.scoring_results(exs, done, arts), 9, *METRICS).select("run_id", "artifact_hash", "split", *METRICS)
+    nothing = spark.createDataFrame([], C.SCORED)
+    results = C.scoring_results(exs, nothing, arts, RS.cached_predictions(spark, cache))
+    return rounded(results, 9, *METRICS).select("run_id", "artifact_hash", "split", *METRICS)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.scoring import PAIR_KEY, Scorer, pending_pairs, score, scoring_results, with_texts
+from evalspark.operators.scoring import PAIR_KEY, Scorer, pending_work, score, scoring_results
 from evalspark.plans.shared import settle
 from evalspark.sources.schemas import PREDICTION
 
@@ -40,19 +40,15 @@ def score_artifacts(
     scorer: Scorer,
     cache: DataFrame,
     cache_path: str | None = None,
-    concurrency: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Score what is pending, extend the cache, and return metrics per run, artifact and split.
 
     The scored rows are written before anything reads them, so each pair is sent to the scorer by
     one job only, whatever is computed from its answer.
     """
-    artifacts = settle(artifacts.select("run_id", "artifact_hash", "artifact").distinct(), "artifacts")
-    pending = pending_pairs(artifacts, examples, cache)
-    scored = settle(score(with_texts(pending, artifacts, examples), scorer, concurrency), "scored")
+    scored = settle(score(pending_work(artifacts, examples, cache, tasks), scorer), "scored")
     if cache_path:
         append_cache(scored, cache_path)
         append_artifacts(artifacts, f"{cache_path}-artifacts")
-    cached = cache.select(*PAIR_KEY, "prediction")
-    every = scored.unionByName(cached.withColumn("error", F.lit(None).cast("string")))
-    return scoring_results(examples, every, artifacts)
+    return scoring_results(examples, scored, artifacts, cache)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evalspark.operators.scoring import PAIR_KEY, Scorer, pending_pairs, score, with_texts
+from evalspark.operators.scoring import PAIR_KEY, Scorer, pending_work, score
 from evalspark.plans.shared import settle
 from evalspark.sources.cache import empty_cache
 from evalspark.sources.schemas import PREDICTION
@@ -24,10 +24,9 @@ def stream_scores(
     empty_cache(spark).write.mode("ignore").parquet(f"{cache_path}/micro_batch=-1")
 
     def score_batch(artifacts: DataFrame, batch: int) -> None:
-        artifacts = settle(artifacts.dropDuplicates(["run_id", "artifact_hash"]), "arrived")
+        artifacts = settle(artifacts, "arrived")
         cache = read_stream_cache(spark, cache_path).where(F.col("micro_batch") != batch)
-        pending = pending_pairs(artifacts, examples, cache)
-        scored = score(with_texts(pending, artifacts, examples), scorer)
+        scored = score(pending_work(artifacts, examples, cache), scorer)
         good = scored.where(F.col("error").isNull()).select("artifact_hash", "split", "id", "prediction", "run_id")
         good.write.mode("overwrite").parquet(f"{cache_path}/micro_batch={batch}")
 
