@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import fixed
@@ -19,6 +19,8 @@ from evalspark.operators.ranking import average_ranks
 from evalspark.plans.shared import settle
 
 KEYS = ("run_id", "artifact_hash", "split")
+# Up to this many contingency cells, over all groups, ranks are computed by one window per group.
+WINDOW_CELLS = 1_000_000
 
 
 def contingency(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -138,16 +140,56 @@ def _numeric_cells(cells: DataFrame, keys: Sequence[str], label_order: Mapping[s
     )
 
 
-def spearman_of_pairs(pairs: DataFrame, keys: Sequence[str], through_ranges: bool | None = None) -> DataFrame:
-    """Spearman's rho from distinct number pairs ``x, y`` with weight ``n``.
+def _spearman_of_cells(cells: DataFrame, keys: Sequence[str], label_order: Mapping[str, int] | None) -> DataFrame:
+    """Spearman's rho from written cells, by windows while the cells of all groups are few."""
+    pairs = _numeric_cells(cells, keys, label_order)
+    if cells.count() <= WINDOW_CELLS:
+        return spearman_by_windows(pairs, keys)
+    return spearman_by_ranges(settle(pairs, "number-pairs"), keys)
 
-    Ranks come from the weighted distinct values of each side; the pairs then look their two ranks
-    up by joins. A group with a value that is no number, or with constant ranks, has rho 0.0.
+
+def _usable() -> Column:
+    return F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+
+
+def _moments(ranked: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Exact sums of products of the centred ranks ``rx, ry`` with weight ``n``."""
+    weight, rx, ry = exact("n"), exact("rx"), exact("ry")
+    total = lambda product, name: F.sum((weight * product).cast("decimal(38,0)")).alias(name)
+    return ranked.groupBy(*keys).agg(*more, total(rx * ry, "xy"), total(rx * rx, "xx"), total(ry * ry, "yy"))
+
+
+def _rho() -> Column:
+    """A group with a value that is no number, or with constant ranks, has rho 0.0."""
+    rho = ratio(F.col("xy"), F.sqrt(F.col("xx").cast("double") * F.col("yy").cast("double")))
+    return F.when(F.col("broken"), F.lit(0.0)).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman")
+
+
+def spearman_by_windows(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spearman's rho from distinct number pairs ``x, y`` with weight ``n``: one shuffle, by group.
+
+    Twice the tie-averaged rank minus (N + 1) is an exact integer: 2 * (rows up to the value)
+    minus (rows of the value) minus N.
     """
-    pairs = settle(pairs, "number-pairs")
-    usable = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    broken = pairs.groupBy(*keys).agg(F.max(~usable).alias("_broken"))
-    numeric = pairs.where(usable)
+    whole = Window.partitionBy(*keys)
+
+    def centred(value: str) -> Column:
+        up_to = F.sum("n").over(whole.orderBy(value))
+        ties = F.sum("n").over(Window.partitionBy(*keys, value))
+        return 2 * up_to - ties - F.sum("n").over(whole)
+
+    ranked = pairs.select(*keys, "x", "y", "n", centred("x").alias("rx"), centred("y").alias("ry"))
+    return _moments(ranked, keys, F.max(~_usable()).alias("broken")).select(*keys, _rho())
+
+
+def spearman_by_ranges(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from a written table of any size.
+
+    Ranks come from the weighted distinct values of each side, through range partitions; the
+    pairs look their two ranks up by joins, so no group is ever in one task.
+    """
+    broken = pairs.groupBy(*keys).agg(F.max(~_usable()).alias("broken"))
+    numeric = pairs.where(_usable())
     sides = F.array(
         F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
         F.struct(F.lit("y").alias("side"), F.col("y").alias("value")),
@@ -157,23 +199,13 @@ def spearman_of_pairs(pairs: DataFrame, keys: Sequence[str], through_ranges: boo
         .groupBy(*keys, "s.side", "s.value")
         .agg(F.sum("n").alias("weight"))
     )
-    ranks = average_ranks(values, [*keys, "side"], "value", "weight", through_ranges)
+    ranks = average_ranks(values, [*keys, "side"], "value", "weight")
     for side in ("x", "y"):
         own = ranks.where(F.col("side") == side).select(
             *keys, F.col("value").alias(side), F.col("centred").alias(f"r{side}")
         )
         numeric = join_on(numeric, own, [*keys, side], null_safe=True)
-    weight, rx, ry = exact("n"), exact("rx"), exact("ry")
-    wide = "decimal(38,0)"
-    moments = numeric.groupBy(*keys).agg(
-        F.sum((weight * (rx * ry)).cast(wide)).alias("xy"),
-        F.sum((weight * (rx * rx)).cast(wide)).alias("xx"),
-        F.sum((weight * (ry * ry)).cast(wide)).alias("yy"),
-    )
-    rho = ratio(F.col("xy"), F.sqrt(F.col("xx").cast("double") * F.col("yy").cast("double")))
-    return join_on(broken, moments, keys, "left", null_safe=True).select(
-        *keys, F.when(F.col("_broken"), F.lit(0.0)).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman")
-    )
+    return join_on(broken, _moments(numeric, keys), keys, "left", null_safe=True).select(*keys, _rho())
 
 
 def spearman(
@@ -186,7 +218,7 @@ def spearman(
 
     Labels outside the map count as 0.
     """
-    found = spearman_of_pairs(_numeric_cells(contingency(predictions, keys), keys, label_order), keys)
+    found = _spearman_of_cells(settle(contingency(predictions, keys), "contingency"), keys, label_order)
     return _with_all_groups(found, groups, keys, ["spearman"])
 
 
@@ -200,7 +232,7 @@ def spearman_continuous(df: DataFrame, keys: Sequence[str], x: str, y: str) -> D
         .groupBy(*keys, "x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return spearman_of_pairs(pairs, keys, through_ranges=True)
+    return spearman_by_ranges(settle(pairs, "number-pairs"), keys)
 
 
 def all_metrics(
@@ -222,7 +254,7 @@ def metrics_of_cells(
     """All metrics from contingency cells. The cells are written once and read by each metric."""
     cells = settle(cells, "contingency")
     agreement = kappa_and_f1(class_counts(cells, keys), keys).select(*keys, "kappa", "f1")
-    rho = spearman_of_pairs(_numeric_cells(cells, keys, label_order), keys)
+    rho = _spearman_of_cells(cells, keys, label_order)
     return _with_all_groups(join_on(agreement, rho, keys, null_safe=True), groups, keys, ["kappa", "f1", "spearman"])
 
 

@@ -22,8 +22,6 @@ from evalspark.operators.keys import join_on
 from evalspark.plans.shared import settle
 
 BLOCK_POSITIONS = 65_536
-# Above this many distinct values in a group, ranks go through range partitions.
-WINDOW_VALUES = 1_000_000
 
 
 def running(
@@ -108,11 +106,10 @@ def rank_cutoffs(
         df.select(*by, key, F.substring(key, 1, digits).alias("_prefix")), holding, [*by, "_prefix"], null_safe=True
     )
     place = Window.partitionBy(*by, "_prefix", "cut").orderBy(key)
-    return settle(
+    return (
         near.withColumn("_place", F.row_number().over(place))
         .where(F.col("_place") == F.col("_offset"))
-        .select(*by, "cut", F.col(key).alias("key")),
-        "cutoffs",
+        .select(*by, "cut", F.col(key).alias("key"))
     )
 
 
@@ -132,26 +129,13 @@ def place(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
-def average_ranks(
-    values: DataFrame, by: Sequence[str], value: str, weight: str, through_ranges: bool | None = None
-) -> DataFrame:
+def average_ranks(values: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
     """Add ``centred``: twice the tie-averaged rank minus (N + 1), an exact integer with mean 0.
 
-    ``values`` has one row per group and distinct value with its weight. ``through_ranges`` picks
-    the plan; by default the largest group decides: up to ``WINDOW_VALUES`` distinct values one
-    window per group is enough, beyond that values are range-partitioned.
+    ``values`` has one row per group and distinct value with its weight, so a value that most
+    rows share is one row here.
     """
     values = values.select(*by, value, weight)
-    if through_ranges is None:
-        values = settle(values, "rank-values")
-        largest = values.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        through_ranges = largest > WINDOW_VALUES
-    if not through_ranges:
-        whole = Window.partitionBy(*by)
-        before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum(weight).over(before), F.lit(0))
-        return values.withColumn("centred", 2 * below + F.col(weight) - F.sum(weight).over(whole))
-
     ranged = settle(
         values.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()), "value-ranges"
     )

@@ -35,12 +35,13 @@ BLOCK_BYTES = 256 * 1024
 Scorer = Callable[[str, pd.DataFrame, float], Sequence[str]]
 
 
-def _bytes_of(df: DataFrame) -> int:
-    """Bytes of the rows: string lengths plus eight per other column. One number reaches the driver."""
+def _measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes (string lengths, and eight per other column) in one pass; only numbers reach the driver."""
     width = F.lit(0).cast("bigint")
     for name, kind in df.dtypes:
         width = width + (F.coalesce(F.octet_length(name), F.lit(0)) + 16 if kind == "string" else F.lit(8))
-    return df.agg(F.sum(width)).first()[0] or 0
+    count, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return count, size
 
 
 def _meet(small: DataFrame, examples: DataFrame, on: Sequence[str], size: int) -> DataFrame:
@@ -52,9 +53,17 @@ def _meet(small: DataFrame, examples: DataFrame, on: Sequence[str], size: int) -
     return salted.join(small.withColumn("_salt", F.explode(salts)), [*on, "_salt"]).drop("_salt")
 
 
-def score_pairs(artifacts: DataFrame, examples: DataFrame, on: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Every artifact of a run with every example of the run, one row per pair."""
-    return _meet(artifacts, examples, on, _bytes_of(artifacts))
+def score_pairs(
+    artifacts: DataFrame, examples: DataFrame, on: Sequence[str] = ("run_id",), tasks: int | None = None
+) -> DataFrame:
+    """Every artifact of a run with every example of the run, one row per pair.
+
+    ``tasks`` spreads the examples over that many tasks first, for work on the pairs that is heavy
+    where the examples come in few partitions.
+    """
+    if tasks:
+        examples = examples.repartition(tasks)
+    return _meet(artifacts, examples, on, _measure(artifacts)[1])
 
 
 PAIR_KEY = ("run_id", "artifact_hash", "split", "id")
@@ -91,7 +100,7 @@ def _blocks(artifacts: DataFrame) -> tuple[DataFrame, int]:
     A block also holds about ``BLOCK_BYTES`` of text at most, so a block is a small value however
     many artifacts there are.
     """
-    count, size = artifacts.count(), _bytes_of(artifacts)
+    count, size = _measure(artifacts.select("run_id", "artifact_hash", "artifact"))
     number = max(1, -(-count // BLOCK_ARTIFACTS), -(-size // BLOCK_BYTES))
     member = F.struct("artifact_hash", "artifact")
     blocks = (

@@ -74,7 +74,8 @@ def distinct_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash-scored pairs; the artifact's number is computed once per artifact, not per pair."""
     numbered = distinct_artifacts(spark, sf_dir).select("run_id", "artifact_hash", hash8("artifact").alias("number"))
-    pairs = score_pairs(numbered, examples(spark, sf_dir).select("run_id", "split", "id", "label"))
+    lines = examples(spark, sf_dir).select("run_id", "split", "id", "label")
+    pairs = score_pairs(numbered, lines, tasks=int(spark.conf.get("spark.sql.shuffle.partitions")))
     predicted = hash_prediction(F.col("artifact_hash"), F.col("number"), F.col("id"), F.col("label"))
     return pairs.select("run_id", "artifact_hash", "split", "id", "label", predicted.alias("prediction"))
 

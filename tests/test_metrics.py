@@ -77,12 +77,10 @@ def test_random_groups_against_brute_force(spark, groups):
         assert here[str(i)].kappa == there[str(i)]
 
 
-def test_ranks_through_ranges_equal_ranks_through_windows(spark, rows):
+def test_average_ranks(spark, rows):
     data = [("hot" if i % 3 else "cold", float(v), 1 + v % 4) for i, v in enumerate(itertools.chain(range(500), range(-50, 0)))]
     df = spark.createDataFrame(data, "g string, v double, w bigint").groupBy("g", "v").agg(F.sum("w").alias("w"))
-    plain = rows(average_ranks(df, ["g"], "v", "w", through_ranges=False))
-    ranged = rows(average_ranks(df, ["g"], "v", "w", through_ranges=True))
-    assert plain == ranged
+    plain = rows(average_ranks(df, ["g"], "v", "w"))
     expected = pd.DataFrame(data, columns=["g", "v", "w"])
     expected = expected.loc[expected.index.repeat(expected.w)]
     expected["r"] = expected.groupby("g").v.rank()
@@ -91,6 +89,14 @@ def test_ranks_through_ranges_equal_ranks_through_windows(spark, rows):
     assert {(g, v): c for g, v, _, c in plain} == want
 
 
+def test_both_plans_of_rho_agree(spark, rows, monkeypatch):
+    data = [("hot" if i % 3 else "cold", str(i * 7 % 11), str(i * i % 13)) for i in range(300)] + [("bad", "1", "x"), (None, "1", "2"), (None, "2", "3")]
+    df = spark.createDataFrame(data, "g string, label string, prediction string")
+    windows = rows(M.spearman(df, ["g"]))
+    monkeypatch.setattr(M, "WINDOW_CELLS", -1)
+    assert rows(M.spearman(df, ["g"])) == windows and len(windows) == 4
+
+
 def test_large_counts_do_not_overflow(spark):
     cells = spark.createDataFrame(
         [("g", "1", "1", 4 * 10**11), ("g", "1", "2", 10**11), ("g", "2", "1", 10**11), ("g", "2", "2", 4 * 10**11)],
