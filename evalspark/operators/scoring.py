@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import fixed
@@ -62,7 +62,7 @@ def score_pairs(
     where the examples come in few partitions.
     """
     if tasks:
-        examples = examples.repartition(tasks)
+        examples = examples.repartition(tasks, "id")
     return _meet(artifacts, examples, on, _measure(artifacts)[1])
 
 
@@ -165,20 +165,17 @@ def hash_scorer(pairs: DataFrame) -> DataFrame:
     """Deterministic test scorer as expressions: an artifact's accuracy follows from its hash.
 
     Right answers are the label, wrong ones ``wrong_<label>``. Each pair has its own hash, so the
-    result does not depend on the order of the examples.
+    result does not depend on the order of the examples. No text is needed: the number of an
+    artifact is the head of its content hash.
     """
-    return pairs.withColumn(
-        "prediction", hash_prediction(F.col("artifact_hash"), hash8("artifact"), F.col("id"), F.col("label"))
-    )
-
-
-def hash_prediction(artifact_hash: Column, artifact_number: Column, id_: Column, label: Column) -> Column:
+    number = F.conv(F.substring("artifact_hash", 1, 8), 16, 10).cast("bigint")
     accuracy = F.least(
         F.lit(fixed.HASH_SCORER_CEILING),
-        fixed.HASH_SCORER_BASE + fixed.HASH_SCORER_STEP * (artifact_number % fixed.HASH_SCORER_MODULUS),
+        fixed.HASH_SCORER_BASE + fixed.HASH_SCORER_STEP * (number % fixed.HASH_SCORER_MODULUS),
     )
-    draw = hash8(F.concat_ws(":", artifact_hash, id_.cast("string"))) % 1000
-    return F.when(draw < accuracy, label).otherwise(F.concat(F.lit(fixed.WRONG_PREFIX), label))
+    draw = hash8(F.concat_ws(":", "artifact_hash", F.col("id").cast("string"))) % 1000
+    wrong = F.concat(F.lit(fixed.WRONG_PREFIX), F.col("label"))
+    return pairs.withColumn("prediction", F.when(draw < accuracy, F.col("label")).otherwise(wrong))
 
 
 SCORED = "run_id string, artifact_hash string, split string, id bigint, label string, prediction string, error string"
@@ -277,6 +274,11 @@ def align_predictions(examples: DataFrame, predictions: DataFrame, artifacts: Da
     return joined.select(*PAIR_KEY, "label", F.coalesce("prediction", F.lit("")).alias("prediction"))
 
 
+def one_per_pair(cached: DataFrame) -> DataFrame:
+    """Cached predictions without the copies that retried jobs leave: the smallest text per pair."""
+    return cached.groupBy(*PAIR_KEY).agg(F.min("prediction").alias("prediction"))
+
+
 def aligned_contingency(
     examples: DataFrame, scored: DataFrame, artifacts: DataFrame, cached: DataFrame | None = None
 ) -> DataFrame:
@@ -292,7 +294,7 @@ def aligned_contingency(
     counted = contingency(scored.select(*KEYS, "label", F.coalesce("prediction", F.lit("")).alias("prediction")))
     if cached is not None:
         known = join_on(cached.select(*PAIR_KEY, "prediction"), wanted, ["run_id", "artifact_hash"], "left_semi")
-        counted = counted.unionByName(contingency(join_on(known, labels, ["run_id", "split", "id"])))
+        counted = counted.unionByName(contingency(join_on(one_per_pair(known), labels, ["run_id", "split", "id"])))
     counted = settle(counted, "aligned-cells")
     expected = join_on(
         wanted, labels.groupBy("run_id", "split", "label").agg(F.count(F.lit(1)).alias("_all")), ["run_id"]

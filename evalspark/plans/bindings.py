@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions import fixed
-from evalspark.functions.hashing import hash8, sha16
+from evalspark.functions.hashing import sha16
 from evalspark.operators.log import build_entries
 from evalspark.operators.metrics import all_metrics
-from evalspark.operators.scoring import hash_prediction, score_pairs
+from evalspark.operators.scoring import hash_scorer, score_pairs
 from evalspark.operators.splits import hash_split
 from evalspark.plans.shared import settle
 
@@ -72,12 +72,11 @@ def distinct_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-scored pairs; the artifact's number is computed once per artifact, not per pair."""
-    numbered = distinct_artifacts(spark, sf_dir).select("run_id", "artifact_hash", hash8("artifact").alias("number"))
+    """Hash-scored pairs, without any text."""
+    names = distinct_artifacts(spark, sf_dir).select("run_id", "artifact_hash")
     lines = examples(spark, sf_dir).select("run_id", "split", "id", "label")
-    pairs = score_pairs(numbered, lines, tasks=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    predicted = hash_prediction(F.col("artifact_hash"), F.col("number"), F.col("id"), F.col("label"))
-    return pairs.select("run_id", "artifact_hash", "split", "id", "label", predicted.alias("prediction"))
+    pairs = score_pairs(names, lines, tasks=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return hash_scorer(pairs).select("run_id", "artifact_hash", "split", "id", "label", "prediction")
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,7 +310,8 @@ def finished_run_is_cached(spark, sf):
 
 @query
 def hash_scorer(spark, sf):
-    pairs = C.score_pairs(B.distinct_artifacts(spark, sf), B.examples(spark, sf).drop("input"))
+    names = B.distinct_artifacts(spark, sf).select("run_id", "artifact_hash")
+    pairs = C.score_pairs(names, B.examples(spark, sf).drop("input"))
     return C.hash_scorer(pairs).select(*C.PAIR_KEY, "label", "prediction")
 
 

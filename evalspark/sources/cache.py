@@ -1,7 +1,8 @@
 """The prediction cache: an append-only table keyed by content hash, split and example.
 
-Only successful predictions are cached. A retried job may append the same key twice; ``read_cache``
-collapses such copies by a fixed rule.
+Only successful predictions are cached. A retried job may append the same key twice. Looking a key
+up does not mind; ``one_per_pair`` collapses the copies, and is applied after the rows wanted have
+been picked, so the whole cache is never shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.operators.scoring import PAIR_KEY, Scorer, pending_work, score, scoring_results
+from evalspark.operators.scoring import Scorer, pending_work, score, scoring_results
 from evalspark.plans.shared import settle
 from evalspark.sources.schemas import PREDICTION
 
@@ -24,9 +25,8 @@ def append_cache(scored: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """One prediction per key: the smallest text among copies."""
-    rows = spark.read.schema(PREDICTION).parquet(path)
-    return rows.groupBy(*PAIR_KEY).agg(F.min("prediction").alias("prediction"))
+    """The cached rows, copies included; a filter on ``run_id`` prunes folders."""
+    return spark.read.schema(PREDICTION).parquet(path)
 
 
 def append_artifacts(artifacts: DataFrame, path: str) -> None:
@@ -34,6 +34,11 @@ def append_artifacts(artifacts: DataFrame, path: str) -> None:
     artifacts.select("artifact_hash", "artifact").dropDuplicates(["artifact_hash"]).write.mode("append").parquet(path)
 
 
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """The texts of all artifacts that were ever scored, one row per hash."""
+    return spark.read.schema("artifact_hash string, artifact string").parquet(path).dropDuplicates(["artifact_hash"])
+
+
 def score_artifacts(
     artifacts: DataFrame,
     examples: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evalspark.operators.scoring import PAIR_KEY, Scorer, pending_work, score
+from evalspark.operators.scoring import Scorer, one_per_pair, pending_work, score
 from evalspark.plans.shared import settle
 from evalspark.sources.cache import empty_cache
 from evalspark.sources.schemas import PREDICTION
@@ -42,4 +42,4 @@ def read_stream_cache(spark, cache_path: str) -> DataFrame:
 
 
 def cached_predictions(spark, cache_path: str) -> DataFrame:
-    return read_stream_cache(spark, cache_path).groupBy(*PAIR_KEY).agg(F.min("prediction").alias("prediction"))
+    return one_per_pair(read_stream_cache(spark, cache_path))

@@ -107,12 +107,19 @@ def test_failed_rows_are_not_cached(spark, artifacts, examples):
     assert C.pending_pairs(artifacts, examples, K.read_cache(spark, path)).count() == 36
 
 
-def test_copies_in_the_cache_collapse(spark, artifacts, examples):
+def test_copies_in_the_cache_collapse(spark, artifacts, examples, rows):
     path = new_folder(spark, "test-cache")
     scored = C.score(C.scoring_work(artifacts, examples), by_text)
     K.append_cache(scored, path)
+    once = rows(C.aligned_contingency(examples, scored.limit(0), artifacts, K.read_cache(spark, path)))
     K.append_cache(scored, path)
-    assert K.read_cache(spark, path).count() == 36
+    cache = K.read_cache(spark, path)
+    assert cache.count() == 72 and C.one_per_pair(cache).count() == 36
+    assert rows(C.aligned_contingency(examples, scored.limit(0), artifacts, cache)) == once
+    assert C.pending_pairs(artifacts, examples, cache).isEmpty()
+    K.append_artifacts(artifacts, path + "-artifacts")
+    K.append_artifacts(artifacts, path + "-artifacts")
+    assert sorted(r.artifact for r in K.read_artifacts(spark, path + "-artifacts").collect()) == ["Prompt A", "Prompt B"]
 
 
 def test_retries_follow_the_temperatures(artifacts, examples):
