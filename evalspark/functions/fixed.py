@@ -54,6 +54,17 @@ SELECT_MERGE_PATTERN = r'"?merge=(\d+(?:\s*,\s*\d+)*)"?'
 SELECT_RATIONALE_PATTERN = r"(?i)(?:because|rationale|reason)[:\s]+(.+)"
 DEFAULT_RATIONALE = "Default selection"
 
+# Formats of texts built from rows.
+DIGEST_ENTRY = "Example %s:\n  Input: %s\n  Prediction: %s\n  Ground Truth: %s\n"
+MISSING = "N/A"
+HISTORY_FULL = (
+    "--- iter=%s batch=%s parent=%s plan=%s ---\nRationale: %s\nMetrics: train: κ=%s dev: κ=%s\n"
+    "Artifact:\n<PROMPT>\n%s\n</PROMPT>%s"
+)
+HISTORY_SUMMARY = "\nStage-A summary: %s"
+HISTORY_COMPACT = "iter=%s batch=%s parent=%s plan=%s train-κ=%s dev-κ=%s rationale=%s..."
+NO_PARENT = "None"
+
 # Notebook headings and formats.
 USER_HEADING = "## USER"
 NOTES_EMPTY = "No notebook content."

@@ -81,12 +81,9 @@ def balanced_errors(
     return _with_inputs(chosen, examples, chars)
 
 
-def _digest_entry(number: Column, row: Column) -> Column:
-    return F.concat(
-        F.lit("Example "), number.cast("string"), F.lit(":\n  Input: "), F.coalesce(row["input"], F.lit("N/A")),
-        F.lit("\n  Prediction: "), F.coalesce(row["prediction"], F.lit("N/A")),
-        F.lit("\n  Ground Truth: "), F.coalesce(row["label"], F.lit("N/A")), F.lit("\n"),
-    )
+def _digest_entry(row: Column) -> Column:
+    shown = [F.coalesce(row[c], F.lit(fixed.MISSING)) for c in ("input", "prediction", "label")]
+    return F.format_string(fixed.DIGEST_ENTRY, row["sample"], *shown)
 
 
 def error_digest(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -98,5 +95,5 @@ def error_digest(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
     few = samples.where(F.col("sample") <= fixed.ERROR_SAMPLES)
     return few.groupBy(*keys).agg(rows.alias("rows")).select(
-        *keys, F.array_join(F.transform("rows", lambda r: _digest_entry(r["sample"], r)), "").alias("digest")
+        *keys, F.array_join(F.transform("rows", _digest_entry), "").alias("digest")
     )

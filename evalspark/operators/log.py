@@ -279,23 +279,14 @@ def history_view(
 
 def history_lines(view: DataFrame) -> DataFrame:
     """The text of each entry of a history view, in full or as one line; test metrics stay out."""
-    parent = F.coalesce(F.col("parent").cast("string"), F.lit("None"))
-    number = lambda c: F.col(c).cast("string")
-    kappa = lambda split: fixed3(or_zero(f"kappa_{split}"))
-    summary = F.when(
-        F.coalesce("stage_a_summary", F.lit("")) != "", F.concat(F.lit("\nStage-A summary: "), F.col("stage_a_summary"))
-    ).otherwise("")
-    long_text = F.concat(
-        F.lit("--- iter="), number("iter"), F.lit(" batch="), number("batch"), F.lit(" parent="), parent,
-        F.lit(" plan="), F.col("plan_id"), F.lit(" ---\nRationale: "), F.col("rationale"),
-        F.lit("\nMetrics: train: κ="), kappa("train"), F.lit(" dev: κ="), kappa("dev"),
-        F.lit("\nArtifact:\n<PROMPT>\n"), F.col("artifact"), F.lit("\n</PROMPT>"), summary,
-    )
-    short_text = F.concat(
-        F.lit("iter="), number("iter"), F.lit(" batch="), number("batch"), F.lit(" parent="), parent,
-        F.lit(" plan="), F.col("plan_id"), F.lit(" train-κ="), kappa("train"), F.lit(" dev-κ="), kappa("dev"),
-        F.lit(" rationale="), F.substring("rationale", 1, fixed.COMPACT_RATIONALE_CHARS), F.lit("..."),
-    )
+    parent = F.coalesce(F.col("parent").cast("string"), F.lit(fixed.NO_PARENT))
+    head = (F.col("iter"), F.col("batch"), parent, F.col("plan_id"))
+    kappas = (fixed3(or_zero("kappa_train")), fixed3(or_zero("kappa_dev")))
+    noted = F.coalesce("stage_a_summary", F.lit("")) != ""
+    summary = F.when(noted, F.format_string(fixed.HISTORY_SUMMARY, "stage_a_summary")).otherwise("")
+    long_text = F.format_string(fixed.HISTORY_FULL, *head, F.col("rationale"), *kappas, F.col("artifact"), summary)
+    reason = F.substring("rationale", 1, fixed.COMPACT_RATIONALE_CHARS)
+    short_text = F.format_string(fixed.HISTORY_COMPACT, *head, *kappas, reason)
     return view.select(*ENTRY, "full", F.when(F.col("full"), long_text).otherwise(short_text).alias("line"))
 
 
