@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import quality_rules
+from evalspark.llm import mixing, quality_rules, sharding
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
 
@@ -32,3 +32,16 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(docs, read_table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
+
+
+@query
+def op3_mixing(spark, sf_dir):
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    times = F.transform("copies", lambda c: c["time"]).alias("times")
+    return mixed.orderBy(mixing.first_time(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", times)
+
+
+@query
+def op5_sharding(spark, sf_dir):
+    rows = sharding.shard(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), 16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
