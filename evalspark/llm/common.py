@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,12 +30,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@lru_cache(maxsize=2)
+def load_tokenizer(content: str):
+    """A tokenizers library tokenizer, kept in the worker process; special tokens in texts are ordinary text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(content)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` (strings or binaries) holds about ``limit`` bytes in each; one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin = held = 0
         for row, size in enumerate(sizes):
             if row > begin and held + size > limit:
