@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, mixing, quality_rules, sharding
+from evalspark.llm import chat, mixing, quality_rules, sentencepiece_codec, sharding
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
 
@@ -68,3 +68,13 @@ def op10_chat_formatting(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"), F.size("ids").cast("long").alias("n_tokens"),
         F.size(F.filter("loss", lambda x: x)).cast("long").alias("n_loss_tokens"),
     )
+
+
+@query
+def op1_sentencepiece(spark, sf_dir):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    encoded = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
+    return sentencepiece_codec.decode(encoded, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
