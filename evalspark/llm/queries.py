@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, mixing, quality_rules, sentencepiece_codec, sharding
+from evalspark.llm import chat, mixing, quality_rules, sentencepiece_codec, sharding, toxicity
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
 
@@ -78,3 +78,9 @@ def op1_sentencepiece(spark, sf_dir):
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
     return sentencepiece_codec.decode(encoded, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
