@@ -106,15 +106,16 @@ def fit_logistic(rows: Rows, labels: np.ndarray, epochs: int = 20, batch: int =
     return model.weights
 
 
-def platt(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn logits into probabilities, by Newton steps on Platt's smoothed targets."""
+def calibrate(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Coefficients of the columns of ``logits`` and an offset, by Newton steps on Platt's smoothed targets."""
+    width = logits.shape[1]
     positive, negative = (labels == 1).sum(), (labels == 0).sum()
     if not positive or not negative:
-        return 1.0, 0.0
+        return np.append(np.full(width, 1.0 / width), 0.0)
     goal = np.where(labels == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    scale = np.std(logits) or 1.0
-    x = np.stack([logits / scale, np.ones_like(logits)], axis=1)
-    at = np.array([1.0, 0.0])
+    scale = np.where(logits.std(axis=0) > 0, logits.std(axis=0), 1.0)
+    x = np.column_stack([logits / scale, np.ones(len(logits))])
+    at = np.append(np.full(width, 1.0 / width), 0.0)
 
     def loss(a: np.ndarray) -> float:
         z = x @ a
@@ -123,14 +124,14 @@ def platt(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     for _ in range(60):
         p = sigmoid(x @ at)
         gradient = x.T @ (p - goal) + 2e-3 * at
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(2)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(width + 1)
         move, step = np.linalg.solve(hessian, gradient), 1.0
         while loss(at - step * move) > loss(at) and step > 1e-6:
             step /= 2
         at = at - step * move
         if np.abs(step * move).max() < 1e-9:
             break
-    return float(at[0] / scale), float(at[1])
+    return np.append(at[:-1] / scale, at[-1])
 
 
 class Extractor:
@@ -172,18 +173,18 @@ class Extractor:
         return [f[0].astype(np.int32) for f in found], [(f[1] / np.sqrt(max(n, 1))).astype(np.float32) for f, n in zip(found, counts, strict=True)]
 
 
-def collect_rows(docs: DataFrame, make: Callable[[], Extractor], keep: list[str]) -> tuple[Rows, dict[str, np.ndarray]]:
+def collect_rows(docs: DataFrame, make: Callable[[], Extractor], keep: list[str], text: str = "text") -> tuple[Rows, dict[str, np.ndarray]]:
     """Hashed features of a bounded sample, extracted in tasks and brought to the driver with the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = make()
-        for batch in slices(batches, "text", SLICE):
-            ids, values = extractor.rows([t or "" for t in batch.column("text").to_pylist()])
+        for batch in slices(batches, text, SLICE):
+            ids, values = extractor.rows([t or "" for t in batch.column(text).to_pylist()])
             lists = [pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + lists, [*keep, "ids", "values"])
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    table = docs.select(*keep, "text").mapInArrow(run, f"{kinds}, ids array<int>, values array<float>").toArrow()
+    table = docs.select(*keep, text).mapInArrow(run, f"{kinds}, ids array<int>, values array<float>").toArrow()
     ids = [np.array(x, np.int32) for x in table.column("ids").to_pylist()]
     values = [np.array(x, np.float32) for x in table.column("values").to_pylist()]
     return Rows.of(ids, values), {k: table.column(k).to_numpy() for k in keep}

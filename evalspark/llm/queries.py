@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, mixing, quality_rules, sentencepiece_codec, sharding, toxicity
+from evalspark.llm import chat, cotraining, mixing, quality_rules, sentencepiece_codec, sharding, toxicity
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
 
@@ -84,3 +84,9 @@ def op1_sentencepiece(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query
+def op9_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    return cotraining.score_quality(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.linear import Adam, Extractor, Rows, collect_rows, fold, platt, sample, sigmoid, with_bias
+from evalspark.llm.linear import Adam, Extractor, Rows, calibrate, collect_rows, fold, sample, sigmoid, with_bias
 
 #: Bounds of the samples that the classifier is fitted on.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 2000, 4000, 2000
@@ -125,8 +125,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     data = data.only(telling(data.take(positive), data.take(unlabelled)))
     weights = fit_nnpu(data.take(positive), data.take(unlabelled), prior)
     check = np.flatnonzero(part >= 2)
-    slope, offset = platt(data.take(check).logits(weights[:-1]) + weights[-1], part[check] - 2)
-    return Classifier(weights, slope, offset)
+    slope, offset = calibrate((data.take(check).logits(weights[:-1]) + weights[-1])[:, None], part[check] - 2)
+    return Classifier(weights, float(slope), float(offset))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
