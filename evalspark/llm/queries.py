@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, cotraining, mixing, quality_rules, sentencepiece_codec, sharding, toxicity
+from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, toxicity
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
 
@@ -90,3 +90,8 @@ def op8_toxicity(spark, sf_dir):
 def op9_quality_classifier(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
     return cotraining.score_quality(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@query
+def op2_minhash(spark, sf_dir):
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
