@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     pool = (fold() != HELD_OUT) & (fold() != CALIBRATION)
     share = min(1.0, 2 * MAX_POOL / max(1, rows.count()))  # half of the rows are in the two folds
     drawn = pool & (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = rows.join(picks, F.col("doc_id") == F.col("_id"), "left").withColumn("part", F.coalesce("_part", F.when(drawn, 1).otherwise(0)))
+    rows = rows.join(F.broadcast(picks), F.col("doc_id") == F.col("_id"), "left").withColumn("part", F.coalesce("_part", F.when(drawn, 1).otherwise(0)))
     rows = rows.filter(F.col("part") > 0).select("part", "doc_id", "text", page_text(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars")).alias("page"))
     found = []
     for view, column in ((content_view, "text"), (page_view, "page")):

@@ -108,13 +108,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     fit = fold() != CALIBRATION
     positives = sample(marks.filter((F.col("toxic") == 1) & fit), MAX_POSITIVE, 1)
     held = sample(marks.filter(~fit), MAX_CALIBRATION, 2)
-    # One pass over the texts for all three samples; narrow id tables pick the labelled ones.
+    # One pass over the texts for all three samples; at most 4,000 ids are broadcast to pick the labelled ones.
     pool = known.filter((fold() != HELD_OUT) & fit)
     number = pool.count()
     share = min(1.0, MAX_UNLABELLED / max(1, number))
     drawn = (fold() != HELD_OUT) & fit & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
     picks = positives.select("doc_id", F.lit(1).alias("part")).unionByName(held.select("doc_id", (F.lit(2) + F.col("toxic")).cast("int").alias("part")))
-    rows = known.join(picks.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    rows = known.join(F.broadcast(picks.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left")
     rows = rows.select("text", F.coalesce("part", F.lit(0)).cast("int").alias("part"), drawn.alias("drawn")).filter((F.col("part") > 0) | F.col("drawn"))
     data, kept = collect_rows(rows, extractor, ["part", "drawn"])
     part, drawn_rows = kept["part"], kept["drawn"].astype(bool)
