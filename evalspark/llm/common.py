@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows with equal ``keys``, from a partition that is sorted by them. Keys are never null."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for begin, end in pairwise(cuts):
+            key = tuple(c[begin] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
+    """Rows of a list column whose lists all have ``width`` items."""
+    flat = column.combine_chunks().flatten() if column.num_chunks != 1 else column.chunk(0).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, width)
+
+
 @lru_cache(maxsize=2)
 def load_tokenizer(content: str):
     """A tokenizers library tokenizer, kept in the worker process; special tokens in texts are ordinary text."""

@@ -9,7 +9,9 @@ pairs within the signature distance meet. At a similarity of 0.8, a pair lies be
 Pairs are not listed within groups. Copies (equal sequences of words) are one text. Under each key all texts meet the
 first one only; links are confirmed on the full sets and joined to components. What is left are keys whose texts still
 lie in several components: there, texts outside the key's main component meet the others within the signature distance.
-So a group of n near copies costs n pairs, and no link between different components is missed.
+So a group of n near copies costs n pairs, and no link between different components is missed. Before texts are fetched,
+pairs must also pass a parity sketch: each bit tells whether an odd number of the set's shingles fall on it, so two
+sketches never differ in more bits than the sets differ in shingles, and a pair over the bound cannot be a link.
 
 Nulls: texts that are null or without words have no set and no link. A null doc_id has no links and names no component.
 Rows with one doc_id are one document. Empty tables give empty results. Only ``doc_id`` and ``text`` are read.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import slices
+from evalspark.llm.common import matrix, slices, sorted_groups
 from evalspark.llm.components import components
 from evalspark.plans.shared import settle
 
@@ -36,7 +38,13 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 _VALUE_BITS, _LANE_BITS = 14, 15
 _LANES = sum(((1 << _VALUE_BITS) - 1) << (_LANE_BITS * k) for k in range(CHUNK))
 _FLAGS = sum(1 << (_LANE_BITS * k + _VALUE_BITS) for k in range(CHUNK))
+#: Bits of the parity sketch.
+PARITY = 1024
 KEPT_WORDS = 300_000
+#: Texts on one side of a comparison within a key.
+TILE = 1024
+#: Shingles of texts that a task keeps while it confirms pairs.
+KEPT_SHINGLES = 4_000_000
 SLICE = 4_000_000
 
 
@@ -90,25 +98,32 @@ def signature(shingles: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.
     return (values << lanes).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit by bit, whether the number of shingles that fall on it is odd."""
+    counts = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, sequence, signature``; the sequence hash and signature are null without words."""
+    """``doc_id, n_shingles, sequence, signature, parity``; the last three are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         scale, shift = _numbers(2, PLACES) | np.uint64(1), _numbers(3, PLACES)
         for batch in slices(batches, "text", SLICE):
-            number, sequence, signs = [], [], []
+            number, sequence, signs, odd = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words, found = shingler.shingles(text)
                 number.append(len(found))
                 sequence.append(int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True) if words else None)
                 signs.append(signature(found, scale, shift) if words else None)
+                odd.append(parity(found) if words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(number, pa.int64()), pa.array(sequence, pa.int64()), pa.array(signs, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "sequence", "signature"],
+                [batch.column("doc_id"), pa.array(number, pa.int64()), pa.array(sequence, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "sequence", "signature", "parity"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sequence long, signature array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sequence long, signature array<long>, parity array<long>")
 
 
 def _keys() -> Column:
@@ -130,6 +145,17 @@ def distance(left: Column, right: Column) -> Column:
     return total
 
 
+def _possible(left: Column, right: Column, n_left: Column, n_right: Column, percent: int) -> Column:
+    """Whether the parity sketches allow the similarity.
+
+    Sets with similarity s and sizes x and y differ in at most (x + y) (1 - s) / (1 + s) shingles.
+    """
+    odd = F.lit(0)
+    for k in range(PARITY // 64):
+        odd = odd + F.bit_count(F.get(left, F.lit(k)).bitwiseXOR(F.get(right, F.lit(k))))
+    return odd * (100 + percent) <= (n_left + n_right) * (100 - percent)
+
+
 def _alike(n_left: Column, n_right: Column, percent: int) -> Column:
     """Sizes that allow the similarity."""
     return 100 * F.least(n_left, n_right) >= percent * F.greatest(n_left, n_right)
@@ -138,22 +164,28 @@ def _alike(n_left: Column, n_right: Column, percent: int) -> Column:
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose full sets are similar enough."""
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "wanted-texts")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_node"), "text").join(wanted, "_node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_node"), "text").join(wanted.hint("merge"), "_node", "left_semi")
     texts = settle(texts, "texts")
     full = pairs.join(texts.select(F.col("_node").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("_node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        last, found = None, np.zeros(0, np.uint64)  # rows come by b
+        kept: dict[int, np.ndarray] = {}
+        held = 0
         for batch in slices(batches, "text_a", SLICE):
             keep = []
             for a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if b != last:
-                    last, found = b, shingler.shingles(right)[1]
-                other = shingler.shingles(left)[1]
-                shared = len(np.intersect1d(found, other, assume_unique=True))
-                union = len(found) + len(other) - shared
+                for node, text in ((a, left), (b, right)):
+                    if node not in kept:
+                        found = shingler.shingles(text)[1]
+                        if held > KEPT_SHINGLES:
+                            kept = {n: kept[n] for n in (a, b) if n in kept}
+                            held = sum(map(len, kept.values()))
+                        kept[node] = found
+                        held += len(found)
+                shared = len(np.intersect1d(kept[a], kept[b], assume_unique=True))
+                union = len(kept[a]) + len(kept[b]) - shared
                 keep.append(union > 0 and 100 * shared >= percent * union and a != b)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -165,7 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = settle(sketches(docs, width), "sketches")
     usable = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     texts = settle(
-        usable.groupBy("sequence").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
+        usable.groupBy("sequence").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("parity").alias("parity")),
         "distinct-texts",
     )
     filed = texts.select("node", "n", F.explode(_keys()).alias("key"))
@@ -173,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = settle(shared.filter(F.col("members") > 1).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared-keys")
     star = filed.join(shared, "key").filter((F.col("node") != F.col("hub")) & _alike(F.col("n"), F.col("hub_n"), percent))
     star = star.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = settle(confirm(settle(_near(star, texts), "near-pairs"), docs, width, percent), "confirmed")
+    links = settle(confirm(settle(_near(star, texts, percent), "near-pairs"), docs, width, percent), "confirmed")
     found = settle(components(links), "components")
     rest = _across(filed, shared, texts, found, percent)
     if not rest.isEmpty():
@@ -189,11 +221,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs within the signature distance."""
-    signs = pairs.join(texts.select(F.col("node").alias("a"), F.col("signature").alias("sign_a")), "a")
-    signs = signs.join(texts.select(F.col("node").alias("b"), F.col("signature").alias("sign_b")), "b")
-    return signs.filter(distance(F.col("sign_a"), F.col("sign_b")) <= MAX_DISTANCE).select("a", "b")
+def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs within the signature distance whose parities allow the similarity."""
+    for end in ("a", "b"):
+        renamed = {"node": end, **{c: f"{c}_{end}" for c in ("n", "signature", "parity")}}
+        pairs = pairs.join(texts.select([F.col(c).alias(r) for c, r in renamed.items()]), end)
+    near = distance(F.col("signature_a"), F.col("signature_b")) <= MAX_DISTANCE
+    return pairs.filter(near & _possible(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def _across(filed: DataFrame, shared: DataFrame, texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -203,13 +237,37 @@ def _across(filed: DataFrame, shared: DataFrame, texts: DataFrame, found: DataFr
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mains = members.filter(F.col("node") == F.col("hub")).select("key", F.col("component").alias("main"))
     mixed = settle(mixed.filter(F.col("low") != F.col("high")).join(mains, "key").select("key", "main"), "mixed-keys")
-    rows = members.join(mixed, "key").join(texts.select("node", "signature"), "node")
-    rows = settle(rows.select("key", "hub", "main", "node", "n", "component", "signature"), "mixed-members")
-    # Texts of the main component have met its hub; they need not meet each other.
-    left = rows.filter((F.col("component") != F.col("main")) & (F.col("node") != F.col("hub")))
-    left = left.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("signature").alias("sign_a"))
-    right = rows.filter(F.col("node") != F.col("hub")).select("key", "main", F.col("node").alias("b"), "n", "component", "signature")
-    new = (F.col("c_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b")))
-    near = distance(F.col("sign_a"), F.col("signature")) <= MAX_DISTANCE
-    pairs = left.join(right, (left["key"] == right["key"]) & new & _alike(F.col("n_a"), F.col("n"), percent) & near)
-    return settle(pairs.select("a", "b").distinct(), "across-pairs")
+    rows = members.join(mixed, "key").filter(F.col("node") != F.col("hub")).drop("hub", "n").join(texts.drop("sequence"), "node")
+    rows = settle(rows.withColumn("_out", F.col("component") != F.col("main")), "mixed-members")
+    # Texts of the main component have met its hub; they need not meet each other. Those outside it (left) meet all
+    # (right), in tiles: each side of a key is dealt out by a hash, and each row goes to all tiles of the other side.
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = settle(rows.groupBy("key").agg(tiles(F.count("*")).alias("_rights"), tiles(F.count_if("_out")).alias("_lefts")), "key-sizes")
+    rows = rows.join(sizes, "key")
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "node", "n", "component", "main", "signature", "parity"]
+    left = rows.filter("_out").select(*columns, F.lit(True).alias("left"), spot("_lefts").alias("i"), every("_rights").alias("j"))
+    right = rows.filter("_lefts > 0").select(*columns, F.lit(False).alias("left"), every("_lefts").alias("i"), spot("_rights").alias("j"))
+    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["key", "i", "j"]):
+            side = group.column("left").to_numpy()
+            get = {c: group.column(c).to_numpy() for c in ("node", "n", "component", "main")}
+            get["signature"] = matrix(group.column("signature"), CHUNKS, np.int64).view(np.uint64)
+            get["parity"] = matrix(group.column("parity"), PARITY // 64, np.int64).view(np.uint64)
+            left, right = ({c: v[mask] for c, v in get.items()} for mask in (side, ~side))
+            for row in range(len(left["node"])):
+                n, m = left["n"][row], right["n"]
+                new = (right["component"] != left["component"][row]) & ((right["component"] == right["main"]) | (right["node"] > left["node"][row]))
+                new &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                some = np.flatnonzero(new)
+                lanes = (right["signature"][some] ^ left["signature"][row]) + np.uint64(_LANES)
+                some = some[np.bitwise_count(lanes & np.uint64(_FLAGS)).sum(axis=1) <= MAX_DISTANCE]
+                odd = np.bitwise_count(right["parity"][some] ^ left["parity"][row]).sum(axis=1).astype(np.int64)
+                some = some[odd * (100 + percent) <= (n + m[some]) * (100 - percent)]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), left["node"][row])), pa.array(right["node"][some])], ["a", "b"])
+
+    return settle(dealt.mapInArrow(run, "a long, b long").distinct(), "across-pairs")
