@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, toxicity
+from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, spherical, toxicity
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
 
@@ -95,3 +95,8 @@ def op9_quality_classifier(spark, sf_dir):
 @query
 def op2_minhash(spark, sf_dir):
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
+@query
+def op6_spherical_caps(spark, sf_dir):
+    return spherical.near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
