@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, spherical, toxicity
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
@@ -70,6 +71,11 @@ def op10_chat_formatting(spark, sf_dir):
     )
 
 
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query
 def op1_sentencepiece(spark, sf_dir):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
