@@ -96,7 +96,7 @@ def encode(rendered: DataFrame, tokenizer_json: str) -> DataFrame:
     held = rendered.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(held.value)
+        tokenizer = load_tokenizer(held.value, True)
         for batch in slices(batches, "formatted", SLICE):
             out: dict[str, list] = {"ids": [], "loss": [], "loss_begin": [], "loss_end": []}
             for text, heads, bodies, marked in zip(*(batch.column(c).to_pylist() for c in ("formatted", "heads", "bodies", "in_loss")), strict=True):

@@ -62,12 +62,12 @@ def matrix(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def load_tokenizer(content: str):
-    """A tokenizers library tokenizer, kept in the worker process; special tokens in texts are ordinary text."""
+def load_tokenizer(content: str, special_as_text: bool):
+    """A tokenizers library tokenizer, kept in the worker process."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(content)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     return tokenizer
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, spherical, toxicity
+from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, spherical, token_files, toxicity
 from evalspark.llm.common import read_table
 from evalspark.plans.session import ship_package
+from evalspark.plans.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,12 @@ def op2_minhash(spark, sf_dir):
 @query
 def op6_spherical_caps(spark, sf_dir):
     return spherical.near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@query
+def op7_token_files(spark, sf_dir):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    path = new_folder(spark, "token-files")
+    token_files.write(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, 1, path)
+    return token_files.ids_crc32(token_files.read(spark, path))
