@@ -34,10 +34,13 @@ def or_zero(value: Column | str) -> Column:
     return F.coalesce(F.nanvl(as_column(value), F.lit(0.0)), F.lit(0.0))
 
 
-def fixed3(value: Column, signed: bool = False) -> Column:
-    """Three decimals; the pattern form rounds the exact binary value half to even."""
-    pattern = "+0.000;-0.000" if signed else "0.000"
-    return F.call_function("format_number", value, F.lit(pattern))
+def decimals(value: Column, places: int) -> Column:
+    """A fixed number of decimals; the pattern form rounds the exact binary value half to even."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places if places else "0"))
+
+
+def fixed3(value: Column) -> Column:
+    return decimals(value, 3)
 
 
 def rounded(df, digits: int, *names: str):

@@ -86,14 +86,14 @@ def _digest_entry(row: Column) -> Column:
     return F.format_string(fixed.DIGEST_ENTRY, row["sample"], *shown)
 
 
-def error_digest(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The samples of a group (at most ten, numbered) as one text."""
+def error_digest(samples: DataFrame, keys: Sequence[str] = KEYS, limit: int = fixed.ERROR_SAMPLES) -> DataFrame:
+    """The first ``limit`` samples of a group, numbered, as one text."""
     rows = F.sort_array(
         F.collect_list(
             F.struct("sample", F.substring("input", 1, fixed.DIGEST_INPUT_CHARS).alias("input"), "prediction", "label")
         )
     )
-    few = samples.where(F.col("sample") <= fixed.ERROR_SAMPLES)
+    few = samples.where(F.col("sample") <= limit)
     return few.groupBy(*keys).agg(rows.alias("rows")).select(
         *keys, F.array_join(F.transform("rows", _digest_entry), "").alias("digest")
     )

@@ -5,6 +5,8 @@ Everything is row-local (no shuffle), except the look-ups against the log and th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from evalspark.functions import fixed
 from evalspark.functions.hashing import sha16
 from evalspark.functions.text import find, plan_of, prompt_of, rationale_of, strip, user_sections, words
 from evalspark.operators.keys import join_on
+from evalspark.plans.shared import settle
 
 
 def extract_candidates(responses: DataFrame, text: str = "text") -> DataFrame:
@@ -29,7 +32,8 @@ def extract_candidates(responses: DataFrame, text: str = "text") -> DataFrame:
 def parse_selection(selections: DataFrame, best: DataFrame, text: str = "text") -> DataFrame:
     """The action a selection text asks for: one iteration, a merge, or the run's best by default.
 
-    ``best`` has one row per run (``run_id, iter``). An iteration wins over a merge.
+    ``best`` has one row per run (``run_id, iter``). An iteration wins over a merge. Iterations too
+    large for a bigint are in no log and drop out of ``iters``.
     """
     others = [c for c in selections.columns if c != text]
     defaults = best.select("run_id", F.col("iter").alias("_best"))
@@ -49,7 +53,7 @@ def parse_selection(selections: DataFrame, best: DataFrame, text: str = "text")
         )
         .select(
             *others, F.concat_ws("=", "kind", F.array_join("_named", ",")).alias("action"),
-            F.col("_named").cast("array<bigint>").alias("iters"), "rationale",
+            F.filter(F.transform("_named", lambda i: i.try_cast("bigint")), lambda i: i.isNotNull()).alias("iters"), "rationale",
         )
     )
 
@@ -88,17 +92,21 @@ def notes_summary(notes: DataFrame, text: str = "text", strict: bool = True) ->
     return notes.select(*others, F.size(found).cast("bigint").alias("constraints"), summary.alias("summary"))
 
 
-def constraint_filter(candidates: DataFrame, terms: DataFrame, key: str = "candidate_id") -> DataFrame:
+def constraint_filter(candidates: DataFrame, terms: DataFrame, keys: Sequence[str] = ("run_id", "candidate_id")) -> DataFrame:
     """Candidates whose plan and rationale mention no banned term.
 
-    A mention is the term's words in a row, whatever their case. Candidates are cut into word
+    ``keys`` identify a candidate. Terms with a ``run_id`` hold in that run, those without (null,
+    or no such column) in all. A mention is the term's words in a row, whatever their case. Candidates are cut into word
     sequences as long as the terms are, and the sequences meet the terms in an equi-join, so
     neither side is compared with every row of the other.
     """
-    banned = terms.select(words("term").alias("_words")).where(F.size("_words") > 0)
+    keys = list(keys)
+    run = F.col("run_id").cast("string") if "run_id" in terms.columns else F.lit(None).cast("string")
+    # Written, so that Catalyst knows whether the list is small enough to broadcast.
+    banned = settle(terms.select(run.alias("_run"), words("term").alias("_words")).where(F.size("_words") > 0).distinct(), "banned-terms")
     lengths = banned.agg(F.coalesce(F.collect_set(F.size("_words")), F.array().cast("array<int>")))
     spoken = candidates.select(
-        key, words(F.concat_ws(" ", "plan_id", "rationale")).alias("_words"), lengths.scalar().alias("_lengths")
+        *keys, words(F.concat_ws(" ", "plan_id", "rationale")).alias("_words"), lengths.scalar().alias("_lengths")
     )
     starts = lambda n: F.sequence(F.lit(1), F.size("_words") - n + 1)
     runs = F.transform(
@@ -106,11 +114,12 @@ def constraint_filter(candidates: DataFrame, terms: DataFrame, key: str = "candi
         lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("_words", i, n), " ")),
     )
     mentions = (
-        spoken.select(key, F.explode(F.array_distinct(F.flatten(runs))).alias("_term"))
-        .join(banned.select(F.array_join("_words", " ").alias("_term")).distinct(), "_term")
-        .select(key)
+        spoken.select(*keys, F.explode(F.array_distinct(F.flatten(runs))).alias("_term"))
+        .join(banned.select("_run", F.array_join("_words", " ").alias("_term")), "_term")
     )
-    return candidates.join(mentions, key, "left_anti")
+    if "run_id" in keys:
+        mentions = mentions.where(F.col("_run").isNull() | (F.col("_run") == F.col("run_id").cast("string")))
+    return join_on(candidates, mentions.select(*keys), keys, "left_anti")
 
 
 def repeat_proposals(candidates: DataFrame, log: DataFrame) -> DataFrame:

@@ -124,12 +124,19 @@ def _known_parents(log: DataFrame) -> DataFrame:
     )
 
 
+def _rounds(nodes: DataFrame) -> int:
+    """Rounds of doubling that reach the root of any entry, however its run is chained."""
+    longest = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, longest - 1).bit_length() + 1
+
+
 def lineage(log: DataFrame) -> DataFrame:
-    """Depth and root of every entry, by pointer doubling.
+    """Depth and root of every entry, by pointer doubling; ``cyclic`` marks entries that have no root.
 
     Every round joins the unfinished entries with the pointers of the entries they point to, so a
     chain of n entries takes log2(n) rounds; an entry that points to its root is finished and does
-    not join again. Each round is a written table.
+    not join again. Each round is a written table. Entries still unfinished after as many rounds as
+    the longest run can need lie on a cycle of parents or lead to one: their root and depth are null.
     """
     nodes = settle(_known_parents(log), "lineage-nodes")
     is_root = nodes.select("run_id", F.col("iter").alias("to"), F.col("parent").isNull().alias("done"))
@@ -140,7 +147,10 @@ def lineage(log: DataFrame) -> DataFrame:
         .select(*ENTRY, "to", "done", "depth"),
         "lineage-state",
     )
-    while not (unfinished := state.where(~F.col("done"))).isEmpty():
+    for _ in range(_rounds(nodes)):
+        unfinished = state.where(~F.col("done"))
+        if unfinished.isEmpty():
+            break
         ahead = state.select(
             "run_id", F.col("iter").alias("to"), F.col("to").alias("_to"),
             F.col("done").alias("_done"), F.col("depth").alias("_depth"),
@@ -151,27 +161,33 @@ def lineage(log: DataFrame) -> DataFrame:
         )
         state = settle(state.where("done").unionByName(moved), "lineage-state")
     roots = nodes.where(F.col("parent").isNull()).select(
-        *ENTRY, F.col("iter").alias("root_iter"), F.lit(0).cast("bigint").alias("depth")
+        *ENTRY, F.col("iter").alias("root_iter"), F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("cyclic")
     )
-    return roots.unionByName(state.select(*ENTRY, F.col("to").alias("root_iter"), "depth"))
+    reached = [F.when(F.col("done"), F.col(c)).alias(n) for c, n in (("to", "root_iter"), ("depth", "depth"))]
+    return roots.unionByName(state.select(*ENTRY, *reached, (~F.col("done")).alias("cyclic")))
 
 
 def ancestors(log: DataFrame, targets: DataFrame) -> DataFrame:
     """All entries on the way from each target (``run_id, iter``) to its root, with their distance.
 
     After k rounds the chains reach 2**k - 1 entries back; each round extends them by the pointers
-    to the 2**k-th ancestor and doubles those pointers.
+    to the 2**k-th ancestor and doubles those pointers. On a cycle of parents every entry stands
+    once, at its least distance.
     """
+    nodes = settle(_known_parents(log), "ancestor-nodes")
     jump = settle(
-        _known_parents(log).where(F.col("parent").isNotNull()).select(*ENTRY, F.col("parent").alias("to")),
+        nodes.where(F.col("parent").isNotNull()).select(*ENTRY, F.col("parent").alias("to")),
         "ancestor-jump",
     )
     chain = settle(
         targets.select("run_id", F.col("iter").alias("target_iter"), "iter", F.lit(0).cast("bigint").alias("distance")),
         "ancestor-chain",
     )
-    length = 1
+    length, rounds = 1, _rounds(nodes)
     while not jump.isEmpty():
+        if not rounds:
+            return chain.groupBy("run_id", "target_iter", "iter").agg(F.min("distance").alias("distance"))
+        rounds -= 1
         further = chain.join(jump, list(ENTRY)).select(
             "run_id", "target_iter", F.col("to").alias("iter"), (F.col("distance") + length).alias("distance")
         )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import fixed
-from evalspark.functions.numbers import exact, fixed3, or_zero, ratio, to_number
+from evalspark.functions.numbers import decimals, exact, or_zero, ratio, to_number
 from evalspark.operators.keys import join_on
 from evalspark.operators.ranking import average_ranks
 from evalspark.plans.shared import settle
@@ -270,13 +270,13 @@ def metric_delta(old: Column | str, new: Column | str) -> Column:
     return F.transform_keys(deltas, lambda k, _: F.concat(F.lit("delta_"), k))
 
 
-def metrics_string(metrics: Column | str) -> Column:
-    """The metrics of a map in its order, such as ``κ=0.335 F1=0.412 ρ=0.287``."""
+def metrics_string(metrics: Column | str, precision: int = 3) -> Column:
+    """The metrics of a map in its order and with that many decimals, such as ``κ=0.335 F1=0.412 ρ=0.287``."""
     metrics = F.col(metrics) if isinstance(metrics, str) else metrics
     symbols = F.create_map(*[F.lit(x) for kv in fixed.METRIC_SYMBOLS.items() for x in kv])
     parts = F.transform(
         F.map_entries(metrics),
-        lambda e: F.concat(F.coalesce(F.try_element_at(symbols, e["key"]), e["key"]), F.lit("="), fixed3(e["value"])),
+        lambda e: F.concat(F.coalesce(F.try_element_at(symbols, e["key"]), e["key"]), F.lit("="), decimals(e["value"], precision)),
     )
     return F.array_join(parts, " ")
 

@@ -86,10 +86,16 @@ def pending_pairs(artifacts: DataFrame, examples: DataFrame, cache: DataFrame) -
 
 def cache_hit_rate(artifacts: DataFrame, examples: DataFrame, cache: DataFrame) -> DataFrame:
     """Pairs, cached pairs and their share, per run."""
-    pairs = score_pairs(artifacts.select("run_id", "artifact_hash"), examples.select("run_id", "split", "id"))
-    total = pairs.groupBy("run_id").agg(F.count(F.lit(1)).alias("pairs"))
-    hits = join_on(pairs.select(*PAIR_KEY), cache.select(*PAIR_KEY), list(PAIR_KEY), "left_semi")
-    cached = hits.groupBy("run_id").agg(F.count(F.lit(1)).alias("hits"))
+    wanted, lines = artifacts.select("run_id", "artifact_hash"), examples.select("run_id", "split", "id")
+    # The pairs of a run are the product of two counts; the cached ones are looked up from the cache's side.
+    sizes = [df.groupBy("run_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((wanted, "_artifacts"), (lines, "_lines"))]
+    total = join_on(*sizes, ["run_id"]).select("run_id", (F.col("_artifacts") * F.col("_lines")).alias("pairs"))
+    hits = join_on(cache.select(*PAIR_KEY), wanted, ["run_id", "artifact_hash"], "left_semi").distinct()
+    # A key that is listed several times stands for as many pairs.
+    named = wanted.groupBy("run_id", "artifact_hash").agg(F.count(F.lit(1)).alias("_a"))
+    listed = lines.groupBy("run_id", "split", "id").agg(F.count(F.lit(1)).alias("_l"))
+    hits = join_on(join_on(hits, named, ["run_id", "artifact_hash"]), listed, ["run_id", "split", "id"])
+    cached = hits.groupBy("run_id").agg(F.sum(F.col("_a") * F.col("_l")).alias("hits"))
     joined = join_on(total, cached, ["run_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return joined.withColumn("hit_rate", F.col("hits") / F.col("pairs"))
 
@@ -100,13 +106,17 @@ def _blocks(artifacts: DataFrame) -> tuple[DataFrame, int]:
     A block also holds about ``BLOCK_BYTES`` of text at most, so a block is a small value however
     many artifacts there are.
     """
-    count, size = _measure(artifacts.select("run_id", "artifact_hash", "artifact"))
-    number = max(1, -(-count // BLOCK_ARTIFACTS), -(-size // BLOCK_BYTES))
-    member = F.struct("artifact_hash", "artifact")
+    texts = artifacts.select("run_id", "artifact_hash", "artifact").distinct()
+    _, size = _measure(texts)
+    # The number of blocks follows from the run's own artifacts.
+    number = F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_ARTIFACTS), F.ceil(F.sum(F.coalesce(F.octet_length("artifact"), F.lit(0))) / BLOCK_BYTES), F.lit(1)
+    )
+    runs = texts.groupBy("run_id").agg(number.cast("bigint").alias("_blocks"))
     blocks = (
-        artifacts.select("run_id", "artifact_hash", "artifact").distinct()
-        .groupBy("run_id", F.pmod(F.xxhash64("artifact_hash"), F.lit(number).cast("bigint")).alias("block"))
-        .agg(F.collect_list(member).alias("artifacts"))
+        join_on(texts, runs, ["run_id"], null_safe=True)
+        .groupBy("run_id", F.pmod(F.xxhash64("artifact_hash"), F.col("_blocks")).alias("block"))
+        .agg(F.collect_list(F.struct("artifact_hash", "artifact")).alias("artifacts"))
     )
     return blocks, size
 

@@ -128,11 +128,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates from the responses with an integer position that is unique in a run."""
+    """Candidates from the responses, numbered by conversation, turn and position."""
     from evalspark.operators.extract import extract_candidates
 
     found = extract_candidates(responses(spark, sf_dir))
-    at = F.col("conv_id") * 1000 + F.col("turn") * 10 + F.col("position")
+    at = F.col("conv_id") * 100_000_000 + F.col("turn") * 10_000 + F.col("position")
     return found.withColumn("candidate_id", at)
 
 

@@ -81,7 +81,7 @@ CTES: dict[str, str] = {
         FROM (SELECT *, string_split(text, '--- CANDIDATE ---') AS parts FROM responses)""",
     "candidates": rf"""
         SELECT * FROM (
-            SELECT conv_id, turn, run_id, position, conv_id * 1000 + turn * 10 + position AS candidate_id,
+            SELECT conv_id, turn, run_id, position, conv_id * 100000000 + turn * 10000 + position AS candidate_id,
                    coalesce(nullif(regexp_extract(part, 'plan_id:\s*(\S+)', 1), ''), 'unknown') AS plan_id,
                    {strip(r"regexp_extract(part, '(?s)rationale:\s*(.+?)(?:<PROMPT>|$)', 1)")} AS rationale,
                    {strip(r"regexp_extract(part, '(?s)<PROMPT>(.*?)</PROMPT>', 1)")} AS artifact
@@ -217,6 +217,7 @@ def oracle(name: str, body: str, recursive: str = "") -> None:
 # Sources -------------------------------------------------------------------------------------
 
 oracle("read_examples", "SELECT id, input, label, domain FROM examples")
+oracle("bad_example_lines", "SELECT id, id % 10 = 7 AS whole FROM examples WHERE id % 10 IN (3, 7)")
 oracle("write_splits", "SELECT id, input, label, domain, split FROM examples")
 oracle("append_log", "SELECT run_id, count(*) AS entries, count(DISTINCT iter) AS iterations, max(batch) AS batches FROM log GROUP BY run_id")
 oracle("read_log", f"SELECT run_id, iter, batch, ts, artifact_hash, parent, plan_id, rationale, artifact, {rounded('kappa_train', 'kappa_dev', 'kappa_test')} FROM log")
@@ -318,7 +319,8 @@ oracle("score_artifacts", f"""
     FROM chain_metrics m LEFT JOIN failed_groups f ON m.run_id = f.run_id AND m.artifact_hash = f.artifact_hash AND m.split = f.split""")
 _wide = rounded(*[f"{m}_{s}" for m in _M for s in _S])
 oracle("score_batch", f"SELECT run_id, iter, artifact_hash, plan_id, {_wide} FROM log")
-ORACLES["finished_run_is_cached"] = "SELECT 0::BIGINT AS pending"
+oracle("finished_run_is_cached", f"""SELECT count(*) AS pending FROM pairs p WHERE NOT EXISTS (
+    SELECT 1 FROM predictions c WHERE c.run_id = p.run_id AND c.artifact_hash = p.artifact_hash AND c.split = p.split AND c.id = p.id)""")
 oracle("hash_scorer", f"SELECT {KEYS}, id, label, prediction FROM predictions")
 _health = """CAST(length(text) AS BIGINT) AS length, contains(lower(text), '<think>') AS has_think,
     contains(lower(text), '</think>') AS think_closed, contains(text, '<PROMPT>') AND contains(text, '</PROMPT>') AS has_prompt,
@@ -416,6 +418,13 @@ oracle(
     """tree AS (SELECT run_id, iter, iter AS root_iter, 0 AS depth FROM log WHERE parent IS NULL
        UNION ALL SELECT l.run_id, l.iter, t.root_iter, t.depth + 1 FROM log l JOIN tree t ON l.run_id = t.run_id AND l.parent = t.iter)""",
 )
+oracle(
+    "lineage_with_cycles",
+    "SELECT l.run_id, l.iter, t.root_iter, CAST(t.depth AS BIGINT) AS depth, t.iter IS NULL AS cyclic FROM bent l LEFT JOIN tree t ON l.run_id = t.run_id AND l.iter = t.iter",
+    """bent AS (SELECT run_id, iter, CASE iter WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 6 THEN 6 ELSE parent END AS parent FROM log),
+       tree AS (SELECT run_id, iter, iter AS root_iter, 0 AS depth FROM bent WHERE parent IS NULL
+       UNION ALL SELECT l.run_id, l.iter, t.root_iter, t.depth + 1 FROM bent l JOIN tree t ON l.run_id = t.run_id AND l.parent = t.iter)""",
+)
 oracle(
     "best_lineage", "SELECT run_id, target_iter, iter, CAST(distance AS BIGINT) AS distance FROM chain_up",
     """chain_up AS (SELECT run_id, iter AS target_iter, iter, 0 AS distance FROM best
@@ -535,8 +544,8 @@ CTES["offers"] = """
     UNION ALL SELECT run_id, parent, 'new_' || plan_id, artifact || '!', iter + 2000 FROM artifacts"""
 oracle("repeat_proposals", """
     SELECT * FROM (SELECT o.run_id, candidate_id, substr(sha256(artifact), 1, 16) AS artifact_hash,
-        (o.run_id, artifact) IN (SELECT (run_id, artifact) FROM artifacts WHERE batch = 2) AS same_text,
-        EXISTS (SELECT 1 FROM artifacts a WHERE a.batch = 2 AND a.run_id = o.run_id AND a.parent = o.parent AND a.plan_id = o.plan_id) AS same_plan
+        (o.run_id, artifact) IN (SELECT (run_id, artifact) FROM artifacts) AS same_text,
+        EXISTS (SELECT 1 FROM artifacts a WHERE a.run_id = o.run_id AND a.parent = o.parent AND a.plan_id = o.plan_id) AS same_plan
         FROM offers o) WHERE same_text OR same_plan""")
 
 # Streaming -----------------------------------------------------------------------------------
@@ -546,7 +555,13 @@ oracle("stream_log", """
     FROM (SELECT run_id, batch, count(*) AS entries, max(kappa_dev) AS best FROM log GROUP BY run_id, batch)""")
 oracle("stream_plans", "SELECT run_id, plan_id, count(*) AS proposed FROM log GROUP BY run_id, plan_id")
 ORACLES["stream_windows"] = """
-    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS plan_id, count(*) AS proposals FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL"""
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS plan_id, count(*) AS proposals,
+           count(*) FILTER (WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)) AS unstreamed
+    FROM events GROUP BY ALL"""
 oracle("stream_dedupe", "SELECT run_id, iter, plan_id FROM log")
 oracle("stream_score", f"SELECT {KEYS}, {rounded(*_M)} FROM chain_metrics")
+oracle("stream_score_failures", f"""
+    SELECT m.run_id, m.artifact_hash, m.split,
+           {', '.join(f'round(CASE WHEN r.run_id IS NULL THEN m.{x} ELSE 0.0 END, 9) AS {x}' for x in _M)},
+           r.run_id IS NULL AS success, CASE WHEN r.run_id IS NOT NULL THEN 'ValueError: vowel' END AS error
+    FROM chain_metrics m LEFT JOIN refused r ON m.run_id = r.run_id AND m.artifact_hash = r.artifact_hash""")

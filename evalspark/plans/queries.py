@@ -76,6 +76,20 @@ def read_examples(spark, sf):
     return J.read_examples(spark, path).select("id", "input", "label", "domain")
 
 
+@query
+def bad_example_lines(spark, sf):
+    """Lines of a damaged file that are no example: every tenth is cut off, every tenth has a text as id."""
+    path = new_folder(spark, "damaged-examples")
+    lines = _example_lines(spark, sf).withColumn("_id", F.get_json_object("value", "$.id").cast("bigint"))
+    cut = F.expr("substring(value, 1, length(value) - 1)")
+    odd = F.regexp_replace("value", r'^\{"id":(\d+)', r'{"id":"q-$1"')
+    damaged = F.when(F.col("_id") % 10 == 3, cut).when(F.col("_id") % 10 == 7, odd).otherwise(F.col("value"))
+    lines.select(damaged).write.text(path)
+    bad = J.bad_example_lines(spark, path)
+    number = F.regexp_extract("line", r'"id":"?(?:q-)?(\d+)', 1).cast("bigint")
+    return bad.select(number.alias("id"), F.col("line").endswith("}").alias("whole"))
+
+
 @query
 def write_splits(spark, sf):
     path = new_folder(spark, "splits")
@@ -497,7 +511,15 @@ def merge_parents(spark, sf):
 
 @query
 def lineage(spark, sf):
-    return L.lineage(_log(spark, sf))
+    return L.lineage(_log(spark, sf)).drop("cyclic")
+
+
+@query
+def lineage_with_cycles(spark, sf):
+    """A log in which entries 2 and 3 name each other and entry 6 names itself."""
+    at = F.col("iter")
+    parent = F.when(at == 2, 3).when(at == 3, 2).when(at == 6, 6).otherwise(F.col("parent")).cast("bigint")
+    return L.lineage(_log(spark, sf).withColumn("parent", parent))
 
 
 @query
@@ -649,7 +671,7 @@ def repeat_proposals(spark, sf):
     again = B.artifacts(spark, sf).select("run_id", "parent", "plan_id", "artifact", F.col("iter").alias("candidate_id"))
     new = again.withColumn("artifact", F.concat("artifact", F.lit("!"))).withColumn("candidate_id", F.col("candidate_id") + 1000)
     other = new.withColumn("plan_id", F.concat(F.lit("new_"), "plan_id")).withColumn("candidate_id", F.col("candidate_id") + 1000)
-    log = L.entries_by_batch(_log(spark, sf), 2)
+    log = _log(spark, sf)
     found = X.repeat_proposals(again.unionByName(new).unionByName(other), log)
     return found.select("run_id", "candidate_id", "artifact_hash", "same_text", "same_plan")
 
@@ -679,17 +701,16 @@ def stream_plans(spark, sf):
 
 @query
 def stream_windows(spark, sf):
-    """Events per type and hour, for the hours that the watermark has closed."""
+    """Events per type and hour: a stream for the hours that the watermark closes, then a batch pass for the rest."""
     out, state = new_folder(spark, "windows"), new_folder(spark, "windows-state")
     schema = B.table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    windows = R.proposals_per_window(
-        rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("plan_id")), width="1 hour", lateness="10 minutes"
-    )
+    columns = [F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("plan_id")]
+    windows = R.proposals_per_window(rows.select(*columns), width="1 hour", lateness="10 minutes")
     R.write_appends(windows, out, state).awaitTermination()
-    return spark.read.schema(windows.schema).parquet(out).withColumn(
-        "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
-    )
+    closed = spark.read.schema(windows.schema).parquet(out)
+    done = R.complete_windows(closed, B.table(spark, sf, "events").select(*columns), width="1 hour")
+    return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -698,19 +719,31 @@ def stream_dedupe(spark, sf):
     path, out, state = (new_folder(spark, n) for n in ("log-files", "rows", "rows-state"))
     rows = J.log_rows(_log(spark, sf))
     rows.unionByName(rows.where(F.col("batch").isin(2, 5))).repartition(4).write.partitionBy("run_id").json(path)
-    unique = R.deduplicated(R.log_stream(spark, path, files_per_batch=3)).select("run_id", "iter", "plan_id")
+    unique = R.deduplicated(R.log_stream(spark, path, files_per_batch=3), "30 days").select("run_id", "iter", "plan_id")
     R.write_appends(unique, out, state).awaitTermination()
     return spark.read.schema(unique.schema).parquet(out)
 
 
-@query
-def stream_score(spark, sf):
-    """Metrics after artifacts arrived in files and were scored as they came."""
+def _stream_scores(spark, sf, scorer) -> tuple[DataFrame, DataFrame, str]:
     path, cache, state = (new_folder(spark, n) for n in ("artifact-files", "stream-cache", "stream-state"))
     arts, exs = B.distinct_artifacts(spark, sf), B.examples(spark, sf)
     arts.repartition(3).write.parquet(path)
     arriving = spark.readStream.schema(arts.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    RS.stream_scores(arriving, exs, B.hash_scorer_function, cache, state).awaitTermination()
-    nothing = spark.createDataFrame([], C.SCORED)
-    results = C.scoring_results(exs, nothing, arts, RS.cached_predictions(spark, cache))
+    RS.stream_scores(arriving, exs, scorer, cache, state).awaitTermination()
+    return arts, exs, cache
+
+
+@query
+def stream_score(spark, sf):
+    """Metrics after artifacts arrived in files and were scored as they came."""
+    arts, exs, cache = _stream_scores(spark, sf, B.hash_scorer_function)
+    results = C.scoring_results(exs, RS.failed_predictions(spark, cache), arts, RS.cached_predictions(spark, cache))
     return rounded(results, 9, *METRICS).select("run_id", "artifact_hash", "split", *METRICS)
+
+
+@query
+def stream_score_failures(spark, sf):
+    """The same with a scorer that refuses some artifacts: their groups fail and say why."""
+    arts, exs, cache = _stream_scores(spark, sf, _failing_scorer)
+    results = C.scoring_results(exs, RS.failed_predictions(spark, cache), arts, RS.cached_predictions(spark, cache))
+    return rounded(results, 9, *METRICS)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from evalspark.operators.scoring import Scorer, pending_work, score, scoring_results
+from evalspark.operators.keys import join_on
+from evalspark.operators.scoring import SCORED, Scorer, last_attempts, pending_work, score, score_with_retries, scoring_results
 from evalspark.plans.shared import settle
 from evalspark.sources.schemas import PREDICTION
 
@@ -46,13 +48,19 @@ def score_artifacts(
     cache: DataFrame,
     cache_path: str | None = None,
     tasks: int | None = None,
+    retries: bool = False,
 ) -> DataFrame:
     """Score what is pending, extend the cache, and return metrics per run, artifact and split.
 
     The scored rows are written before anything reads them, so each pair is sent to the scorer by
-    one job only, whatever is computed from its answer.
+    one job only, whatever is computed from its answer. The cached rows in question are written too,
+    so rows appended to the cache below are never counted twice. With ``retries`` a failed pair is
+    tried again at the next temperatures.
     """
-    scored = settle(score(pending_work(artifacts, examples, cache, tasks), scorer), "scored")
+    work = pending_work(artifacts, examples, cache, tasks)
+    answers = last_attempts(score_with_retries(work, scorer)).select(*StructType.fromDDL(SCORED).names) if retries else score(work, scorer)
+    scored = settle(answers, "scored")
+    cache = settle(join_on(cache, artifacts.select("run_id", "artifact_hash").distinct(), ["run_id", "artifact_hash"], "left_semi"), "cached")
     if cache_path:
         append_cache(scored, cache_path)
         append_artifacts(artifacts, f"{cache_path}-artifacts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalspark.functions import fixed
 from evalspark.operators.keys import join_on
@@ -21,15 +22,41 @@ def _scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def read_examples(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
+def read_examples(
+    spark: SparkSession, path: str, schema: str = EXAMPLE, bad_lines: str = "fail", other_keys: str | None = None
+) -> DataFrame:
     """Labelled examples; the label is ``label``, else ``ground_truth``, else ``''``.
 
-    Other keys are kept by naming them in ``schema``.
+    A line that is no JSON object or does not fit ``schema`` fails the job that reads it; with
+    ``bad_lines="skip"`` it is left out, and ``bad_example_lines`` gives those lines. Other keys
+    are kept by naming them in ``schema``, or all together as a map column named ``other_keys``.
     """
-    rows = _scan(spark, path, schema)
-    label = F.coalesce("label", "ground_truth", F.lit(""))
-    # The corrupt column is named, so Spark parses whole lines and does not prune it away.
-    return rows.where(F.col(CORRUPT).isNull()).withColumn("label", label).drop("ground_truth", CORRUPT)
+    rows = _example_lines(spark, path, schema)
+    good = F.col(f"_row.{CORRUPT}").isNull()
+    if bad_lines == "fail":
+        message = F.concat(F.lit("bad example line: "), F.substring("value", 1, 200))
+        good = F.when(good, True).otherwise(F.raise_error(message).cast("boolean"))
+    rest = []
+    if other_keys:
+        named = [f.name for f in StructType.fromDDL(schema).fields]
+        every = F.from_json("value", "map<string,string>")
+        rest = [F.map_filter(every, lambda k, _: ~k.isin(named)).alias(other_keys)]
+    rows = rows.where(good).select("_row.*", *rest)
+    return rows.withColumn("label", F.coalesce("label", "ground_truth", F.lit(""))).drop("ground_truth", CORRUPT)
+
+
+def bad_example_lines(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
+    """``file, line`` of the lines that ``read_examples`` cannot use."""
+    bad = _example_lines(spark, path, schema).where(F.col(f"_row.{CORRUPT}").isNotNull())
+    return bad.select("file", F.col("value").alias("line"))
+
+
+def _example_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines that are not blank, as ``file, value`` and a parsed ``_row`` that names what does not fit."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", options)
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value", parsed.alias("_row"))
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -80,8 +107,10 @@ def append_log(rows: DataFrame, path: str, existing: DataFrame | None = None) ->
     """Append log rows; rows whose (run, iteration) is in ``existing`` are left out.
 
     Files are only ever added, so earlier rows are never rewritten, and appending the same rows
-    again after a crash adds nothing.
+    again after a crash adds nothing. Of several rows with one key in ``rows`` one is written.
     """
+    row = F.struct("*")
+    rows = rows.groupBy("run_id", "iter").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
     if existing is not None:
         rows = join_on(rows, existing.select("run_id", "iter"), ["run_id", "iter"], "left_anti")
     rows.write.mode("append").partitionBy("run_id").json(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evalspark.functions.numbers import or_zero
+from evalspark.operators.keys import join_on
 from evalspark.operators.ranking import running
 from evalspark.sources.jsonl import flat_log
 from evalspark.sources.schemas import LOG_ROW
@@ -73,10 +74,24 @@ def proposals_per_window(
     )
 
 
-def deduplicated(rows: DataFrame, keys: Sequence[str] = ("run_id", "iter"), horizon: str = "3650 days") -> DataFrame:
+def complete_windows(closed: DataFrame, rows: DataFrame, plan: str = "plan_id", width: str = "1 minute", ts: str = "ts") -> DataFrame:
+    """The batch pass that ends a replay: proposals of every window over all rows.
+
+    ``unstreamed`` are those the stream has not counted, in windows still open at its end or behind
+    the watermark.
+    """
+    every = rows.groupBy(F.window(ts, width).alias("w"), plan).agg(F.count(F.lit(1)).alias("proposals"))
+    every = every.select(F.col("w.start").alias("window_start"), plan, "proposals")
+    streamed = closed.groupBy("window_start", plan).agg(F.sum("proposals").alias("_streamed"))
+    joined = join_on(every, streamed, ["window_start", plan], "left", null_safe=True)
+    return joined.select("window_start", plan, "proposals", (F.col("proposals") - F.coalesce("_streamed", F.lit(0))).alias("unstreamed"))
+
+
+def deduplicated(rows: DataFrame, horizon: str, keys: Sequence[str] = ("run_id", "iter")) -> DataFrame:
     """Log rows without the copies a resumed writer appends.
 
-    The horizon is the span of event time that may be replayed; it bounds the state.
+    The horizon is the span of event time that may be replayed; it bounds the state. Rows further
+    behind the newest are dropped by the watermark, so it must cover the whole replay.
     """
     return rows.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(list(keys))
 

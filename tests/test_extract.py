@@ -71,8 +71,9 @@ def test_notes_summary(spark):
 
 
 def test_constraint_filter(spark):
-    data = [(1, "add_length", "Make it Longer, please"), (2, "tone", "kinder words"), (3, "x", "a long one"), (4, "length-limit", "")]
-    candidates = spark.createDataFrame(data, "candidate_id int, plan_id string, rationale string")
+    data = [("r", 1, "add_length", "Make it Longer, please"), ("r", 2, "tone", "kinder words"), ("r", 3, "x", "a long one"), ("r", 4, "length-limit", "")]
+    kind = "run_id string, candidate_id int, plan_id string, rationale string"
+    candidates = spark.createDataFrame(data, kind)
     kept = lambda *t: sorted(r.candidate_id for r in X.constraint_filter(candidates, spark.createDataFrame([(x,) for x in t], "term string")).collect())
     assert kept("longer please") == [2, 3, 4]
     assert kept("LONGER, please!", "length limit") == [2, 3]
@@ -80,6 +81,20 @@ def test_constraint_filter(spark):
     assert kept("...") == [1, 2, 3, 4]
 
 
+def test_constraint_filter_keeps_runs_apart(spark):
+    candidates = spark.createDataFrame([("r1", 1, "p", "be loud"), ("r2", 1, "p", "be calm")], "run_id string, candidate_id int, plan_id string, rationale string")
+    found = lambda terms: sorted(r.run_id for r in X.constraint_filter(candidates, spark.createDataFrame(terms, "run_id string, term string")).collect())
+    assert found([(None, "loud")]) == ["r2"]
+    assert found([("r1", "be")]) == ["r2"]
+    assert found([("r2", "loud")]) == ["r1", "r2"]
+
+
+def test_a_huge_iteration_drops_out(spark):
+    texts = spark.createDataFrame([("r", 1, "merge=1,99999999999999999999"), ("r", 2, "merge=1,2")], "run_id string, n int, text string")
+    best = spark.createDataFrame([("r", 5)], "run_id string, iter bigint")
+    assert {r.n: r.iters for r in X.parse_selection(texts, best).collect()} == {1: [1], 2: [1, 2]}
+
+
 def test_repeats(spark):
     from evalspark.functions.hashing import sha16
 

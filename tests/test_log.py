@@ -20,27 +20,27 @@ def make(spark, entries):
     return spark.createDataFrame(data, COLUMNS)
 
 
-SMALL = [(1, 1, None, "test_plan", 0.25, 0.20), (2, 1, 1, "worse_plan", 0.15, 0.10)]
+SMALL = [(1, 1, None, "first", 0.5, 0.375), (2, 1, 1, "shorter", 0.25, 0.125)]
 
 
 def test_small_log(spark):
     log = make(spark, SMALL)
     assert L.best_entry(log).first().iter == 1
-    assert L.entries_by_batch(log, 1).count() == 2 and L.entry_by_iter(log, 2).first().plan_id == "worse_plan"
+    assert L.entries_by_batch(log, 1).count() == 2 and L.entry_by_iter(log, 2).first().plan_id == "shorter"
     stats = {r.plan_id: r for r in L.plan_statistics(log).collect()}
-    assert (stats["test_plan"].proposed, stats["test_plan"].won, stats["test_plan"].mean_delta_dev) == (1, 1, 0.0)
-    assert (stats["worse_plan"].won, stats["worse_plan"].mean_delta_dev) == (0, pytest.approx(-0.10))
-    assert [r.gap for r in L.gap_trend(log).collect()] == [pytest.approx(0.05)] * 2
+    assert (stats["first"].proposed, stats["first"].won, stats["first"].mean_delta_dev) == (1, 1, 0.0)
+    assert (stats["shorter"].won, stats["shorter"].mean_delta_dev) == (0, pytest.approx(-0.25))
+    assert [r.gap for r in L.gap_trend(log).collect()] == [pytest.approx(0.125)] * 2
     runs = spark.createDataFrame([("r",), ("new",)], "run_id string")
     assert {tuple(r) for r in L.log_position(log, runs).collect()} == {("r", 2, 1), ("new", 0, 0)}
 
 
 def test_better_plan_wins(spark):
-    log = make(spark, [SMALL[0], (2, 1, 1, "better_plan", 0.30, 0.25)])
+    log = make(spark, [SMALL[0], (2, 1, 1, "longer", 0.75, 0.5)])
     assert L.best_callout(log).first().iter == 2
     table = L.plan_table(log).collect()
-    assert [(r.plan_id, r.won, r.win_rate) for r in table] == [("better_plan", 1, 100.0), ("test_plan", 0, 0.0)]
-    assert table[0].mean_delta_dev == pytest.approx(0.05)
+    assert [(r.plan_id, r.won, r.win_rate) for r in table] == [("longer", 1, 100.0), ("first", 0, 0.0)]
+    assert table[0].mean_delta_dev == pytest.approx(0.25)
 
 
 def test_ties_missing_kappa_and_siblings_of_one_plan(spark):
@@ -159,3 +159,18 @@ def test_places(spark):
     df = spark.range(500).withColumn("v", F.col("id") % 37)
     places = R.place(df, [F.desc("v"), F.asc("id")], "place").orderBy("place").collect()
     assert [r.id for r in places] == sorted(range(500), key=lambda i: (-(i % 37), i)) and places[-1].place == 500
+
+
+def test_cycles_of_parents_end(spark):
+    log = make(spark, [(1, 1, None, "a", 0.1, 0.1), (2, 1, 3, "a", 0.1, 0.1), (3, 1, 2, "a", 0.1, 0.1), (4, 1, 3, "a", 0.1, 0.1), (5, 1, 5, "a", 0.1, 0.1), (6, 1, 1, "a", 0.1, 0.1)])
+    found = {r.iter: (r.root_iter, r.depth, r.cyclic) for r in L.lineage(log).collect()}
+    none = (None, None, True)
+    assert found == {1: (1, 0, False), 2: none, 3: none, 4: none, 5: none, 6: (1, 1, False)}
+    targets = spark.createDataFrame([("r", 4), ("r", 6)], "run_id string, iter bigint")
+    chain = {(r.target_iter, r.iter): r.distance for r in L.ancestors(log, targets).collect()}
+    assert chain == {(4, 4): 0, (4, 3): 1, (4, 2): 2, (6, 6): 0, (6, 1): 1}
+
+
+def test_ties_leave_one_artifact(spark):
+    rows = spark.createDataFrame([("r", 1, "x", "b"), ("r", 1, "x", "a"), ("r", 2, "x", "c")], "run_id string, iter bigint, artifact_hash string, note string")
+    assert [tuple(r) for r in A.dedupe_artifacts(rows).collect()] == [("r", 1, "x", "a")]

@@ -10,11 +10,11 @@ from evalspark.operators import metrics as M
 from evalspark.operators.ranking import average_ranks
 
 CASES = {
-    "perfect": ("ABAB", "ABAB", 1.0, 1.0, 0.0),
-    "constant": ("AAAA", "ABCD", 0.0, 0.1, 0.0),
-    "mixed": ("abac", "abcc", 7 / 11, 7 / 9, 0.0),
-    "numeric": ("12345", "12345", 1.0, 1.0, 1.0),
-    "reverse": ("54321", "12345", None, None, -1.0),
+    "perfect": ("xyzzx", "xyzzx", 1.0, 1.0, 0.0),
+    "constant": ("yyy", "xyz", 0.0, 1 / 6, 0.0),
+    "half": ("xyxy", "xxyy", 0.0, 0.5, 0.0),
+    "numeric": ("248", "248", 1.0, 1.0, 1.0),
+    "reverse": ("842", "248", None, None, -1.0),
     "one class": ("AA", "AA", 0.0, 1.0, 0.0),
     "constant numeric": ("111", "123", 0.0, None, 0.0),
     "padded": (["A", ""], ["A", "B"], 1 / 3, 1 / 3, 0.0),
@@ -39,9 +39,9 @@ def test_hand_computed_cases(spark):
 
 
 def test_ordinal_labels_and_unknown_ones(spark):
-    order = {"poor": 1, "fair": 2, "good": 3, "excellent": 4}
+    order = {"low": 1, "middle": 2, "high": 3}
     scale = list(order)
-    df = frame(spark, {"same": (scale, scale), "unknown": (["poor", "fair", "odd"], ["fair", "good", "poor"])})
+    df = frame(spark, {"same": (scale, scale), "unknown": (["low", "middle", "odd"], ["middle", "high", "low"])})
     found = {r.g: r.spearman for r in M.spearman(df, ["g"], label_order=order).collect()}
     assert found["same"] == pytest.approx(1.0)
     # predictions 1, 2, 0 against labels 2, 3, 1
@@ -120,13 +120,14 @@ def test_null_group_keys_are_kept(spark):
 
 def test_delta_and_string(spark):
     maps = "map<string,double>"
-    df = spark.createDataFrame([({"kappa": 0.30, "f1": 0.40}, {"kappa": 0.35, "f1": 0.38, "new": 1.0})], f"a {maps}, b {maps}")
+    df = spark.createDataFrame([({"kappa": 0.50, "f1": 0.75}, {"kappa": 0.75, "f1": 0.25, "new": 1.0})], f"a {maps}, b {maps}")
     delta = df.select(M.metric_delta("a", "b").alias("d")).first().d
-    assert delta == {"delta_kappa": pytest.approx(0.05), "delta_f1": pytest.approx(-0.02), "delta_new": 1.0}
-    values = {"kappa": 0.335, "f1": 0.412, "spearman": 0.287, "x": -0.3125}
+    assert delta == {"delta_kappa": 0.25, "delta_f1": -0.5, "delta_new": 1.0}
+    values = {"kappa": 0.0625, "f1": 0.9375, "spearman": -0.1, "x": -0.3125}
     text = spark.range(1).select(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]).alias("m"))
     # Python's own formatting rounds the exact binary value half to even.
-    assert text.select(M.metrics_string("m")).first()[0] == f"κ={0.335:.3f} F1={0.412:.3f} ρ={0.287:.3f} x={-0.3125:.3f}"
+    assert text.select(M.metrics_string("m")).first()[0] == f"κ={0.0625:.3f} F1={0.9375:.3f} ρ={-0.1:.3f} x={-0.3125:.3f}"
+    assert text.select(M.metrics_string("m", 1)).first()[0] == f"κ={0.0625:.1f} F1={0.9375:.1f} ρ={-0.1:.1f} x={-0.3125:.1f}"
 
 
 def test_combined_and_per_class(spark):

@@ -17,11 +17,24 @@ def write(tmp_path, name, lines):
 
 def test_examples(spark, tmp_path):
     lines = ['{"id":1,"input":"a","label":"A","domain":"m"}', "", '{"id":2,"input":"b","ground_truth":"B","domain":"m"}', '{"id":3,"input":"c"}', '{"id":4,"inp']
-    found = J.read_examples(spark, write(tmp_path, "x.jsonl", lines)).orderBy("id")
+    path = write(tmp_path, "x.jsonl", lines)
+    with pytest.raises(Exception, match="bad example line"):
+        J.read_examples(spark, path).collect()
+    assert [r.line for r in J.bad_example_lines(spark, path).collect()] == ['{"id":4,"inp']
+    found = J.read_examples(spark, path, bad_lines="skip").orderBy("id")
     assert found.columns == ["id", "input", "label", "domain"]
     assert [tuple(r) for r in found.collect()] == [(1, "a", "A", "m"), (2, "b", "B", "m"), (3, "c", "", None)]
 
 
+def test_text_ids_fail_and_other_keys_are_kept(spark, tmp_path):
+    path = write(tmp_path, "k.jsonl", ['{"id":"q-1","input":"a","label":"A"}'])
+    with pytest.raises(Exception, match="q-1"):
+        J.read_examples(spark, path).collect()
+    path = write(tmp_path, "m.jsonl", ['{"id":1,"input":"a","label":"A","year":1999,"by":"me"}', '{"id":2,"input":"b"}'])
+    found = {r.id: r.rest for r in J.read_examples(spark, path, other_keys="rest").collect()}
+    assert found == {1: {"year": "1999", "by": "me"}, 2: {}}
+
+
 def test_splits_round_trip(spark, tmp_path):
     data = [(1, "t1", "A", "m", "train"), (2, "d1", "B", "m", "dev"), (3, "x1", "C", None, "test")]
     df = spark.createDataFrame(data, "id bigint, input string, label string, domain string, split string")

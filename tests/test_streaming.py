@@ -47,7 +47,7 @@ def test_replayed_rows_are_dropped(spark, tmp_path):
     log, out = tmp_path / "log", str(tmp_path / "out")
     put(log, "a.json", [(i, i, 0.1) for i in range(1, 6)], 1_000)
     put(log, "b.json", [(i, i, 0.1) for i in (2, 3, 6, 7)], 2_000)
-    rows = R.deduplicated(R.log_stream(spark, str(log), files_per_batch=1)).select("run_id", "iter")
+    rows = R.deduplicated(R.log_stream(spark, str(log), files_per_batch=1), "1 day").select("run_id", "iter")
     R.write_appends(rows, out, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.iter for r in spark.read.schema(rows.schema).parquet(out).collect()) == list(range(1, 8))
 
