@@ -67,7 +67,8 @@ class _Coder:
             self.data, self.width = np.zeros(lanes * room, np.uint8), room
 
     def _next(self, lanes: np.ndarray) -> np.ndarray:
-        out = self.data[lanes * self.width + self.place[lanes]]
+        # A damaged block may ask for more than there is.
+        out = self.data[lanes * self.width + np.minimum(self.place[lanes], self.width - 1)]
         self.place[lanes] += 1
         return out
 
