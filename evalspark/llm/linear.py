@@ -94,7 +94,7 @@ def with_bias(rows: Rows, errors: np.ndarray) -> np.ndarray:
 
 def fit_logistic(rows: Rows, labels: np.ndarray, epochs: int = 20, batch: int = 500, seed: int = 7) -> np.ndarray:
     """Logistic regression with both classes weighing the same."""
-    rng, model = np.random.default_rng(seed), Adam()
+    rng, model = np.random.default_rng(seed), Adam(decay=2e-3)
     share = np.array([max(1, (labels == c).sum()) for c in (0, 1)])
     weight = (len(labels) / (2 * share))[labels.astype(int)]
     for _ in range(epochs):

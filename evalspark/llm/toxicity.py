@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.linear import Adam, Extractor, Rows, calibrate, collect_rows, fold, sample, sigmoid, with_bias
+from evalspark.llm.linear import BITS, Adam, Extractor, Rows, calibrate, collect_rows, fold, sample, sigmoid, with_bias
 
 #: Bounds of the samples that the classifier is fitted on.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 2000, 4000, 2000
@@ -121,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     positive, unlabelled = np.flatnonzero(part == 1), np.flatnonzero(drawn_rows)
     if not len(positive) or not len(unlabelled):
         odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else (-30.0 if prior == 0 else 30.0)
-        return Classifier(np.zeros(1), 0.0, float(odds))
+        return Classifier(np.zeros((1 << BITS) + 1), 0.0, float(odds))
     data = data.only(telling(data.take(positive), data.take(unlabelled)))
     weights = fit_nnpu(data.take(positive), data.take(unlabelled), prior)
     check = np.flatnonzero(part >= 2)
