@@ -82,8 +82,8 @@ def test_views_teach_each_other():
             ids = [np.unique(np.append(rng.integers(10, 60, 2), y if rng.random() > noise else 2)).astype(np.int32) for y in truth]
             return linear.Rows.of(ids, [np.ones(len(i), np.float32) for i in ids])
 
-        labels, pool, test = (rng.integers(0, 2, n) for n in (12, 600, 400))
-        first, second = ([view(t, noise) for t in (labels, pool, test)] for noise in (0.0, 0.4))
+        labels, pool, test = np.array([0, 1, 0, 1]), rng.integers(0, 2, 600), rng.integers(0, 2, 400)
+        first, second = ([view(t, noise) for t in (labels, pool, test)] for noise in (0.0, 0.5))
         weights = cotraining.cotrain([first[0], second[0]], labels, [first[1], second[1]])
         alone = linear.fit_logistic(second[0], labels)
         right = [np.mean((second[2].logits(w[:-1]) + w[-1] > 0) == test) for w in (alone, weights[1])]
