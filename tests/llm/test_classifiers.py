@@ -73,22 +73,22 @@ def test_quality(corpus, docs_of, odd_rows, no_labels):
 
 
 def test_views_teach_each_other():
-    """With few labels the weak view gains, on average over draws, from what the strong view is sure of."""
+    """Both views can tell the classes, by 40 words each, but the labels show only a few of the words."""
     gains = []
     for seed in range(6):
         rng = np.random.default_rng(seed)
 
-        def view(truth, noise, rng=rng):
-            ids = [np.unique(np.append(rng.integers(10, 60, 2), y if rng.random() > noise else 2)).astype(np.int32) for y in truth]
+        def view(truth, rng=rng):
+            ids = [np.sort(40 * y + rng.choice(40, 2, replace=False)).astype(np.int32) for y in truth]
             return linear.Rows.of(ids, [np.ones(len(i), np.float32) for i in ids])
 
-        labels, pool, test = np.array([0, 1, 0, 1]), rng.integers(0, 2, 600), rng.integers(0, 2, 400)
-        first, second = ([view(t, noise) for t in (labels, pool, test)] for noise in (0.0, 0.5))
+        labels, pool, test = np.array([0, 1] * 4), rng.integers(0, 2, 600), rng.integers(0, 2, 400)
+        first, second = ([view(t) for t in (labels, pool, test)] for _ in range(2))
         weights = cotraining.cotrain([first[0], second[0]], labels, [first[1], second[1]])
         alone = linear.fit_logistic(second[0], labels)
         right = [np.mean((second[2].logits(w[:-1]) + w[-1] > 0) == test) for w in (alone, weights[1])]
         gains.append(right[1] - right[0])
-    assert np.mean(gains) > 0.02
+    assert np.mean(gains) > 0.1
 
 
 def test_calibration_gives_frequencies():
