@@ -6,9 +6,9 @@ from the same model, so it can be read, checked and recovered alone.
 
 For each id, the order-2 context (the two ids before) or else the order-1 context (the id before) names the id that it
 saw last as a candidate. Three predictions that the candidate is right, of order 0 to 2, each from an adaptive counter,
-are mixed in the logistic domain with weights that are learned on the way, and the mix drives a binary arithmetic coder.
-Where the candidate is wrong, the id's 16 bits follow, each coded with the adaptive order-0 probability of its place in
-a binary tree. All arithmetic is on integers. Blocks are coded side by side, one lane of numpy arrays each.
+are mixed in the logistic domain with weights that are learned on the way, and the mix drives a binary step of the coder.
+Where the candidate is wrong, the id's four base-16 digits follow, coded with adaptive order-0 tables: the second digit
+by the first, the third by the first two, the fourth by the third. All arithmetic is on integers. Blocks are coded side by side, one lane of numpy arrays each.
 
 Nulls: a null text is empty and has only the end id. A null doc_id comes first. Rows with equal doc_id stand side by
 side, ordered by their texts. An empty table writes no frames. Only ``doc_id`` and ``text`` are read.
@@ -52,10 +52,10 @@ _STRETCH, _SQUASH = _tables()
 
 
 class _Coder:
-    """Carry-less binary arithmetic coders side by side; the first ``n`` lanes take part in a step."""
+    """Carry-less range coders side by side."""
 
     def __init__(self, lanes: int, data: np.ndarray | None, room: int):
-        self.low, self.high = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.low, self.range = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
         self.place = np.zeros(lanes, np.int64)
         self.reading = data is not None
         if self.reading:
@@ -72,40 +72,73 @@ class _Coder:
         self.place[lanes] += 1
         return out
 
-    def step(self, lanes: slice | np.ndarray, chance: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        """Code one bit in each of ``lanes``; ``chance`` is the 12-bit probability of a 1."""
-        low, high = self.low[lanes], self.high[lanes]
-        middle = low + ((high - low) >> np.uint32(12)) * chance.astype(np.uint32)
-        if self.reading:
-            bits = self.code[lanes] <= middle
-        high, low = np.where(bits, middle, high), np.where(bits, low, middle + np.uint32(1))
-        same = (low ^ high) < np.uint32(1 << 24)
-        self.low[lanes], self.high[lanes] = low, high
-        if same.any():
-            todo = np.flatnonzero(same) if isinstance(lanes, slice) else lanes[same]
-            while len(todo):
-                if self.reading:
-                    self.code[todo] = (self.code[todo] << np.uint32(8)) | self._next(todo)
-                else:
-                    self.data[todo * self.width + self.place[todo]] = self.high[todo] >> np.uint32(24)
-                    self.place[todo] += 1
-                self.low[todo] <<= np.uint32(8)
-                self.high[todo] = (self.high[todo] << np.uint32(8)) | np.uint32(255)
-                todo = todo[(self.low[todo] ^ self.high[todo]) < np.uint32(1 << 24)]
-        return bits
+    def seek(self, lanes: slice | np.ndarray, bits: int) -> np.ndarray:
+        """Reading: where the number stands in a scale of ``bits`` bits."""
+        found = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> np.uint32(bits))
+        return np.minimum(found, np.uint32((1 << bits) - 1))
+
+    def step(self, lanes: slice | np.ndarray, below: np.ndarray, share: np.ndarray, bits: int) -> None:
+        """Narrow each lane to the part of its range that begins at ``below`` and is ``share`` of ``2**bits`` long."""
+        unit = self.range[lanes] >> np.uint32(bits)
+        low, wide = self.low[lanes] + below.astype(np.uint32) * unit, unit * share.astype(np.uint32)
+        self.low[lanes], self.range[lanes] = low, wide
+        out = ((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM)
+        if not out.any():
+            return
+        todo = np.flatnonzero(out) if isinstance(lanes, slice) else lanes[out]
+        while len(todo):
+            low, wide = self.low[todo], self.range[todo]
+            # A range across a border of its top byte is cut at the border.
+            wide = np.where((low ^ (low + wide)) < _TOP, wide, (~low + np.uint32(1)) & (_BOTTOM - np.uint32(1)))
+            if self.reading:
+                self.code[todo] = (self.code[todo] << np.uint32(8)) | self._next(todo)
+            else:
+                self.data[todo * self.width + self.place[todo]] = low >> np.uint32(24)
+                self.place[todo] += 1
+            low, wide = low << np.uint32(8), wide << np.uint32(8)
+            self.low[todo], self.range[todo] = low, wide
+            todo = todo[((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM)]
 
     def finish(self) -> list[bytes]:
-        """Four more bytes name a number inside each lane's interval."""
+        """Four more bytes name a number inside each lane's range."""
         rows, out = self.data.reshape(-1, self.width), []
         for lane, (place, low) in enumerate(zip(self.place.tolist(), self.low.tolist(), strict=True)):
             out.append(rows[lane, :place].tobytes() + low.to_bytes(4, "big"))
         return out
 
 
+_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
+_SCALE = 15  # bits of the cumulative shares of 16 symbols
+#: Cumulative shares that a table moves to when it has seen a symbol; every symbol keeps a share of 1.
+_GOALS = np.array([[i if i <= s else (1 << _SCALE) - 16 + i for i in range(16)] for s in range(16)], np.int16)
+#: First table of each of an id's four digits: the first alone, then by the first, by the first two, by the third.
+_DIGITS = (0, 1, 17, 273)
+_TABLES = 289
+
+
+def _digit(coder: _Coder, lanes: np.ndarray, table: np.ndarray, shares: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
+    """Code one base-16 digit per lane with its adaptive table, of cumulative shares."""
+    rows = shares.take(table, axis=0)
+    if digit is None:
+        passed = np.packbits(rows <= coder.seek(lanes, _SCALE).astype(np.int16)[:, None], axis=1).view(np.uint16)
+        digit = np.bitwise_count(passed).ravel().astype(np.int64) - 1
+    at = np.arange(0, 16 * len(lanes), 16) + digit
+    flat = rows.ravel()
+    below = flat.take(at).astype(np.int32)
+    upper = np.where(digit < 15, flat.take(at + 1, mode="clip").astype(np.int32), np.int32(1 << _SCALE))
+    coder.step(lanes, below, upper - below, _SCALE)
+    step = _GOALS.take(digit, axis=0)
+    step -= rows
+    step >>= 5
+    step += rows
+    shares[table] = step
+    return digit
+
+
 def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None) -> tuple[_Coder, np.ndarray]:
     """Code all lanes from a fresh model each; lengths descend. Reads ``data`` or writes ``ids`` (lanes x positions)."""
     lanes, longest = len(lengths), int(lengths[0])
-    coder = _Coder(lanes, data, longest * 4 + 16)
+    coder = _Coder(lanes, data, longest * 5 + 16)
     out = np.zeros((lanes, longest), np.int32) if ids is None else ids
     every = np.arange(lanes, dtype=np.int64)
     one, two = np.zeros(lanes * _ONE, np.uint16), np.zeros(lanes * _TWO, np.uint16)
@@ -113,7 +146,7 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None)
     # Chances that a candidate is right: by order 0 (one counter), and by confidence for orders 1 and 2.
     right = [np.full(lanes * size, 1024, np.int32) for size in (1, _HIT, _HIT)]
     weights = np.full((3, lanes), 1 << 14, np.int32)  # 16 fraction bits
-    tree_high, tree_low = np.full(lanes * 256, 2048, np.uint16), np.full(lanes * 1024, 2048, np.uint16)
+    shares = np.tile((np.arange(16) << (_SCALE - 4)).astype(np.int16), (lanes * _TABLES, 1))
     before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     for t in range(longest):
@@ -125,40 +158,34 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None)
         c_one, c_two = sure_one[at_one], sure_two[at_two]
         guess_one, guess_two = one[at_one], two[at_two]
         guess = np.where(c_two > 0, guess_two, guess_one).astype(np.int64)
-        agree = (c_one > 0) & (guess_one == guess)
         # Mix the three predictions; one that does not support the candidate says nothing.
         spots = [who, who * _HIT + c_one, who * _HIT + c_two]
         chances = [r[s] for r, s in zip(right, spots, strict=True)]
-        say = [np.ones(n, bool), agree, c_two > 0]
-        stretched = [np.where(s, _STRETCH[c], 0) for s, c in zip(say, chances, strict=True)]
-        total = sum(w[part] * s for w, s in zip(weights.astype(np.int64), stretched, strict=True)) >> 15
+        say = [None, (c_one > 0) & (guess_one == guess), c_two > 0]
+        stretched = [_STRETCH[c] if s is None else _STRETCH[c] * s for s, c in zip(say, chances, strict=True)]
+        total = (weights[0, part] * stretched[0] >> 15) + (weights[1, part] * stretched[1] >> 15) + (weights[2, part] * stretched[2] >> 15)
         mixed = _SQUASH[np.clip(total + 2048, 0, 4095)]
-        hit = coder.step(part, mixed, None if ids is None else guess == out[part, t])
-        error = np.where(hit, 4095, 0) - mixed
+        hit = coder.seek(part, 12) < mixed if ids is None else guess == out[part, t]
+        coder.step(part, np.where(hit, 0, mixed), np.where(hit, mixed, 4096 - mixed), 12)
+        goal = np.where(hit, 4095, 0)
+        error = goal - mixed
         for k in range(3):
             weights[k, part] += (stretched[k] * error) >> 10
-            step = ((np.where(hit, 4095, 0) - chances[k]) >> 5).astype(np.int32)
-            right[k][spots[k]] = np.where(say[k], np.clip(chances[k] + step, 32, 4063), chances[k])
-        # Ids that the candidate missed, bit by bit.
+            step = (goal - chances[k]) >> 5
+            right[k][spots[k]] = np.clip(chances[k] + (step if say[k] is None else step * say[k]), 32, 4063)
+        np.clip(weights, -(1 << 18), 1 << 18, out=weights)
+        # Ids that the candidate missed, digit by digit.
         rest = np.flatnonzero(~hit)
         symbol = guess
         if len(rest):
             value = None if ids is None else out[rest, t]
-            node = np.ones(len(rest), np.int64)
-            base, tree = rest * 256, tree_high
-            for place in range(15, -1, -1):
-                if place == 7:
-                    top = node - 256
-                    base, tree = rest * 1024 + (top & 3) * 256, tree_low
-                    node = np.ones(len(rest), np.int64)
-                spot = base + node
-                chance = tree[spot]
-                bit = coder.step(rest, chance, None if value is None else (value >> place & 1).astype(bool))
-                # Stays within 15 and 4080: the steps end before the edges.
-                tree[spot] = np.where(bit, chance + ((4095 - chance) >> 4), chance - (chance >> 4))
-                node = node * 2 + bit
+            digits: list[np.ndarray] = []
+            for place in range(4):
+                context = (lambda: 0, lambda: digits[0], lambda: digits[0] * 16 + digits[1], lambda: digits[2])[place]()
+                known = None if value is None else value >> (12 - 4 * place) & 15
+                digits.append(_digit(coder, rest, rest * _TABLES + _DIGITS[place] + context, shares, known))
             symbol = guess.copy()
-            symbol[rest] = top * 256 + node - 256
+            symbol[rest] = ((digits[0] * 16 + digits[1]) * 16 + digits[2]) * 16 + digits[3]
         if ids is None:
             out[part, t] = symbol
         one[at_one], two[at_two] = symbol, symbol
