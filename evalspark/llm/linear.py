@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import PartStore, slices
 
 BITS = 17
-KEPT_TOKENS = 200_000
+KEPT_TOKENS = 100_000
 SLICE = 2_000_000
 
 

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, spherical, token_files, toxicity
-from evalspark.llm.common import read_table
-from evalspark.plans.session import ship_package
+from evalspark.llm.common import prepare, read_table
 from evalspark.plans.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +21,7 @@ ORACLES: dict[str, str] = {}
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(function)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return function(spark, sf_dir)
 
     QUERIES[function.__name__] = run

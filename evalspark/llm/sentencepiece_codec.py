@@ -27,7 +27,7 @@ from evalspark.llm.common import PartStore, slices
 MARK = "▁"
 _MARK = MARK.encode()
 #: Parts kept per worker process.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 150_000
 #: Bytes of text encoded at a time.
 SLICE = 2_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER_DEFINED, _UNUSED, _BYTE = range(1, 7)
