@@ -1,15 +1,16 @@
 """Agreement metrics from one contingency aggregation.
 
 Predictions are counted once per (group, label, prediction); map-side aggregation collapses a hot
-group before anything is shuffled. Every metric is computed from those cells, in exact integers
-up to the final division, so the order of summation cannot change a result.
+group before anything is shuffled. Kappa and rho are computed from those cells in exact integers up
+to the final division; macro-F1 averages the exact ratios of the classes as doubles, whose last bit
+can depend on the order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import fixed
@@ -19,8 +20,6 @@ from evalspark.operators.ranking import average_ranks
 from evalspark.plans.shared import settle
 
 KEYS = ("run_id", "artifact_hash", "split")
-# Up to this many contingency cells, over all groups, ranks are computed by one window per group.
-WINDOW_CELLS = 1_000_000
 
 
 def contingency(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -141,11 +140,8 @@ def _numeric_cells(cells: DataFrame, keys: Sequence[str], label_order: Mapping[s
 
 
 def _spearman_of_cells(cells: DataFrame, keys: Sequence[str], label_order: Mapping[str, int] | None) -> DataFrame:
-    """Spearman's rho from written cells, by windows while the cells of all groups are few."""
-    pairs = _numeric_cells(cells, keys, label_order)
-    if cells.count() <= WINDOW_CELLS:
-        return spearman_by_windows(pairs, keys)
-    return spearman_by_ranges(settle(pairs, "number-pairs"), keys)
+    """Spearman's rho from written cells."""
+    return spearman_by_ranges(_numeric_cells(cells, keys, label_order), keys)
 
 
 def _usable() -> Column:
@@ -165,27 +161,10 @@ def _rho() -> Column:
     return F.when(F.col("broken"), F.lit(0.0)).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman")
 
 
-def spearman_by_windows(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spearman's rho from distinct number pairs ``x, y`` with weight ``n``: one shuffle, by group.
-
-    Twice the tie-averaged rank minus (N + 1) is an exact integer: 2 * (rows up to the value)
-    minus (rows of the value) minus N.
-    """
-    whole = Window.partitionBy(*keys)
-
-    def centred(value: str) -> Column:
-        up_to = F.sum("n").over(whole.orderBy(value))
-        ties = F.sum("n").over(Window.partitionBy(*keys, value))
-        return 2 * up_to - ties - F.sum("n").over(whole)
-
-    ranked = pairs.select(*keys, "x", "y", "n", centred("x").alias("rx"), centred("y").alias("ry"))
-    return _moments(ranked, keys, F.max(~_usable()).alias("broken")).select(*keys, _rho())
-
-
 def spearman_by_ranges(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same from a written table of any size.
+    """Spearman's rho from distinct number pairs ``x, y`` with weight ``n``, read from a written table.
 
-    Ranks come from the weighted distinct values of each side, through range partitions; the
+    Twice the tie-averaged rank minus (N + 1) is an exact integer. Ranks come from the weighted distinct values of each side, through range partitions; the
     pairs look their two ranks up by joins, so no group is ever in one task.
     """
     broken = pairs.groupBy(*keys).agg(F.max(~_usable()).alias("broken"))
@@ -199,7 +178,8 @@ def spearman_by_ranges(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys, "s.side", "s.value")
         .agg(F.sum("n").alias("weight"))
     )
-    ranks = average_ranks(values, [*keys, "side"], "value", "weight")
+    # Written, so that a side with few values is broadcast and a value that most rows hold can be split.
+    ranks = settle(average_ranks(values, [*keys, "side"], "value", "weight"), "ranks")
     for side in ("x", "y"):
         own = ranks.where(F.col("side") == side).select(
             *keys, F.col("value").alias(side), F.col("centred").alias(f"r{side}")

@@ -5,7 +5,8 @@ Four tools, all exact:
 * ``running``: running sum / max / previous value by an integer position. Rows are cut into blocks
   of positions; a window works inside a block, and a second window carries block totals forward.
 * ``rank_cutoffs``: the keys at given ranks of a group ordered by a uniform hex key. A histogram
-  over key prefixes finds the one prefix holding each cut; only those rows are ranked.
+  over key prefixes finds the one prefix holding each cut, and is repeated on longer prefixes
+  until few rows are left; only those are ranked.
 * ``place``: row numbers over a whole table, through range partitions.
 * ``average_ranks``: tie-averaged ranks of weighted distinct values. Values are range-partitioned
   over the cluster; a window works inside a range and range totals are carried forward.
@@ -22,6 +23,8 @@ from evalspark.operators.keys import join_on
 from evalspark.plans.shared import settle
 
 BLOCK_POSITIONS = 65_536
+# Rows of one prefix that are ranked together.
+CUT_ROWS = 100_000
 
 
 def running(
@@ -42,7 +45,8 @@ def running(
     """
     sums, maxima = sums or {}, maxima or {}
     maxima_before, previous = maxima_before or {}, previous or {}
-    block_of = F.floor(F.col(position) / F.lit(block))
+    # A block is named by its first position: exact for positions of any size.
+    block_of = F.col(position).cast("bigint") - F.pmod(F.col(position).cast("bigint"), F.lit(block).cast("bigint"))
     base = df.withColumn("_block", block_of)
 
     ordered = Window.partitionBy(*by, "_block").orderBy(position)
@@ -86,28 +90,41 @@ def prefix_histogram(df: DataFrame, by: Sequence[str], key: str, digits: int = 3
 
 
 def rank_cutoffs(
-    df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame, histogram: DataFrame, digits: int = 3
+    df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame, histogram: DataFrame, digits: int = 3, rows: int = CUT_ROWS
 ) -> DataFrame:
     """The key standing at each cut's rank (``by``, ``cut``, ``key``).
 
     ``cuts`` has ``by``, ``cut`` (a name) and ``rank`` (1-based, at most the group's size). Keys
-    must be unique in a group. One narrow pass over ``df`` picks the rows of the prefixes that
-    hold a cut, about one row in ``16**digits``; nothing else is shuffled.
+    must be unique in a group and of one length. While the prefix that holds a cut has more than
+    ``rows`` rows, a histogram of its next digits narrows it; each round is one narrow pass over
+    ``df`` in which only counts are shuffled. In the end the few rows left for each cut are ranked.
     """
-    ordered = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    steps = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(ordered), F.lit(0)))
-    wanted = cuts.withColumnRenamed("rank", "_rank")
-    holding = settle(
-        join_on(steps, wanted, by, null_safe=True).where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
-        .select(*by, "_prefix", "cut", (F.col("_rank") - F.col("_before")).alias("_offset")),
-        "cut-prefixes",
-    )
-    near = join_on(
-        df.select(*by, key, F.substring(key, 1, digits).alias("_prefix")), holding, [*by, "_prefix"], null_safe=True
-    )
+    wanted = cuts.withColumnRenamed("rank", "_rank").withColumn("_whole", F.lit(""))
+    steps, length = histogram.withColumn("_whole", F.lit("")), digits
+    while True:
+        inside = [*by, "_whole"]
+        ordered = Window.partitionBy(*inside).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = steps.withColumn("_before", F.coalesce(F.sum("_n").over(ordered), F.lit(0)))
+        here = (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n"))
+        holding = settle(
+            join_on(ranked, wanted, inside, null_safe=True).where(here)
+            .select(*by, "_prefix", "cut", (F.col("_rank") - F.col("_before")).alias("_offset"), "_n"),
+            "cut-prefixes",
+        )
+        near = lambda: join_on(
+            df.select(*by, key, F.substring(key, 1, length).alias("_prefix")),  # noqa: B023
+            holding.select(*by, "_prefix").distinct(), [*by, "_prefix"], null_safe=True,  # noqa: B023
+        )
+        if (holding.agg(F.max("_n")).first()[0] or 0) <= rows:
+            break
+        deeper = near().withColumn("_whole", F.col("_prefix")).withColumn("_prefix", F.substring(key, 1, length + digits))
+        steps = settle(deeper.groupBy(*by, "_whole", "_prefix").agg(F.count(F.lit(1)).alias("_n")), "prefix-histogram")
+        wanted = holding.select(*by, "cut", F.col("_prefix").alias("_whole"), F.col("_offset").alias("_rank"))
+        length += digits
+    found = join_on(near(), holding.select(*by, "_prefix", "cut", "_offset"), [*by, "_prefix"], null_safe=True)
     place = Window.partitionBy(*by, "_prefix", "cut").orderBy(key)
     return (
-        near.withColumn("_place", F.row_number().over(place))
+        found.withColumn("_place", F.row_number().over(place))
         .where(F.col("_place") == F.col("_offset"))
         .select(*by, "cut", F.col(key).alias("key"))
     )

@@ -89,12 +89,13 @@ def test_average_ranks(spark, rows):
     assert {(g, v): c for g, v, _, c in plain} == want
 
 
-def test_both_plans_of_rho_agree(spark, rows, monkeypatch):
-    data = [("hot" if i % 3 else "cold", str(i * 7 % 11), str(i * i % 13)) for i in range(300)] + [("bad", "1", "x"), (None, "1", "2"), (None, "2", "3")]
+def test_rho_of_hot_values_and_null_groups(spark):
+    data = [("hot" if i % 3 else "cold", str(5 if i % 4 else i * 7 % 11), str(i * i % 13)) for i in range(300)] + [("bad", "1", "x"), (None, "1", "2"), (None, "2", "3")]
     df = spark.createDataFrame(data, "g string, label string, prediction string")
-    windows = rows(M.spearman(df, ["g"]))
-    monkeypatch.setattr(M, "WINDOW_CELLS", -1)
-    assert rows(M.spearman(df, ["g"])) == windows and len(windows) == 4
+    found = {r.g: r.spearman for r in M.spearman(df, ["g"]).collect()}
+    for group in ("hot", "cold", None):
+        assert found[group] == pytest.approx(brute_rho([p[1:] for p in data if p[0] == group]))
+    assert found["bad"] == 0.0 and len(found) == 4
 
 
 def test_large_counts_do_not_overflow(spark):

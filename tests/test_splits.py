@@ -102,3 +102,16 @@ def test_gates_and_rare_strata(spark):
     found = {r.gate: (r.value, r.status) for r in S.dataset_gates(spark.range(250), artifacts).collect()}
     assert found == {"examples": (250, "few"), "artifact_bytes": (120_000, "too large")}
     assert [tuple(r) for r in S.rare_strata(examples(spark, SAMPLE)).collect()] == [("art", 1)]
+
+
+def test_rank_cuts_narrow_until_few_rows_are_left(spark):
+    """One digit a round and one row a cut: several rounds, and the same keys as sorting."""
+    from evalspark.operators.ranking import prefix_histogram, rank_cutoffs
+
+    data = [("g" if i % 4 else None, f"{(i * 7919) % 65536:04x}") for i in range(400)]
+    df = spark.createDataFrame(data, "g string, key string")
+    cuts = [("g", "low", 1), ("g", "middle", 150), ("g", "high", 300), (None, "low", 37), (None, "none", 0)]
+    histogram = prefix_histogram(df, ["g"], "key", digits=1)
+    found = rank_cutoffs(df, ["g"], "key", spark.createDataFrame(cuts, "g string, cut string, rank bigint"), histogram, digits=1, rows=1)
+    ordered = {g: sorted(k for h, k in data if h == g) for g in ("g", None)}
+    assert {(r.g, r.cut): r.key for r in found.collect()} == {(g, c): ordered[g][n - 1] for g, c, n in cuts if n}
