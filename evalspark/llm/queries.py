@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from evalspark.llm import chat, cotraining, minhash, mixing, quality_rules, sentencepiece_codec, sharding, spherical, token_files, toxicity
 from evalspark.llm.common import prepare, read_table
+from evalspark.llm.oracles import ORACLES  # noqa: F401
 from evalspark.plans.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -66,8 +66,7 @@ def op10_chat_formatting(spark, sf_dir):
     return done.select(
         "conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
         F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"), F.size("ids").cast("long").alias("n_tokens"),
-        F.size(F.filter("loss", lambda x: x)).cast("long").alias("n_loss_tokens"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
