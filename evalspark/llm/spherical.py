@@ -1,11 +1,13 @@
 """Embedding near-duplicates by spherical-cap filters from structured random product codes.
 
 A code turns the space by a random rotation, splits it into blocks and has random unit vectors for each block; every
-combination of one vector per block is a filter direction, 65,536 with two blocks of 256. A vector is list-decoded to
-all directions that exceed its own threshold, its eighth best inner product; the best sums of blocks are found from the
-best of each block, without listing all directions. Vectors with a common filter meet, and every meeting pair is
-verified by its cosine in double precision. With two codes, a pair at cosine 0.98 in 64 dimensions shares no filter with
-a probability of about 0.000002 (measured on random pairs: 0.0013 for one code).
+combination of one vector per block is a filter direction, 65,536 with two blocks of 256. Vectors of fewer than ten
+components have one block of 4,096. A vector is list-decoded to all directions whose inner product exceeds a threshold
+that follows from the cosine and the width: two vectors at that cosine are to have six common filters of each code on
+average. A vector with fewer than eight directions above it is listed at its best eight. Sums of blocks that cannot reach
+the threshold are not continued, so directions are not all looked at. Vectors with a common filter meet, and every
+meeting pair is verified by its cosine in double precision. Where filters would compare as many pairs as there are (few
+components or a low cosine), there is one filter for all, and no pair is missed; README has the miss rates by width.
 
 Pairs are not listed. A filter's vectors are compared in tiles, as matrix products inside a task, which give counts of
 links and a spanning forest of the tile. A pair is counted in the first filter that it has in common.
@@ -17,6 +19,7 @@ least label and embedding count). Columns other than the named ones are not read
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,9 +32,15 @@ from evalspark.llm.common import matrix, sorted_groups
 from evalspark.llm.components import components
 from evalspark.plans.shared import settle
 
-CODES, BLOCKS, DIRECTIONS = 2, 2, 256
-#: Filters of a code that a vector exceeds.
+CODES, BLOCKS, DIRECTIONS = 4, 2, 256
+#: Vectors with fewer components are not split into blocks; directions of their one block.
+NARROW, NARROW_DIRECTIONS = 10, 4096
+#: Filters of a code that two vectors at the cosine share on average.
+COMMON = 6
+#: Filters of a code that a vector has at the least.
 LISTED = 8
+#: Share of all pairs that the filters of unlike vectors may compare; beyond it there is one filter for all.
+MOST_COMPARED = 0.5
 #: Vectors on one side of a comparison within a filter.
 TILE = 1024
 
@@ -41,11 +50,11 @@ def code(width: int, number: int) -> tuple[np.ndarray, list[tuple[int, int, np.n
     """A rotation, and (begin, end, unit vectors) of each block."""
     rng = np.random.default_rng([width, number])
     turn = np.linalg.qr(rng.normal(size=(width, width)))[0]
-    blocks = min(BLOCKS, width)
+    blocks, number_of = (BLOCKS, DIRECTIONS) if width >= NARROW else (1, NARROW_DIRECTIONS)
     edges = [width * k // blocks for k in range(blocks + 1)]
     out = []
     for begin, end in zip(edges, edges[1:], strict=False):
-        vectors = rng.normal(size=(DIRECTIONS, end - begin))
+        vectors = rng.normal(size=(number_of, end - begin))
         out.append((begin, end, vectors / np.linalg.norm(vectors, axis=1, keepdims=True)))
     return turn, out
 
@@ -56,24 +65,57 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def decode(vectors: np.ndarray, listed: int = LISTED) -> np.ndarray:
-    """Filters of each unit vector, ``listed`` of every code."""
+def share_above(height: float, width: int, cosine: float) -> float:
+    """Share of all directions whose inner products with both of two unit vectors at ``cosine`` exceed ``height`` >= 0."""
+    half = np.arccos(min(1.0, cosine)) / 2
+    steps = 20_000
+    turn = (np.arange(steps) + 0.5) / steps * (np.pi / 2 - half)
+    # A direction's part in the plane of the two has the length r with P(r > s) = (1 - s^2)^((width - 2) / 2).
+    left = 1 - (height / np.cos(turn + half)) ** 2
+    return float(np.where(left > 0, np.maximum(left, 1e-300) ** ((width - 2) / 2), 0).mean() * (np.pi / 2 - half) / np.pi)
+
+
+@lru_cache(maxsize=64)
+def threshold(width: int, cosine: float) -> float | None:
+    """Inner product with a unit direction beyond which a vector has its filter; None: one filter for all."""
+    number = DIRECTIONS**BLOCKS if width >= NARROW else NARROW_DIRECTIONS
+    if width < 2 or cosine <= 0 or number * share_above(0.0, width, cosine) < COMMON:
+        return None
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if number * share_above(middle, width, cosine) >= COMMON else (low, middle)
+    return low if CODES * number * share_above(low, width, 1.0) ** 2 < MOST_COMPARED else None
+
+
+def decode(vectors: np.ndarray, cosine: float = 0.98) -> np.ndarray:
+    """Filters of each unit vector, the best of every code first; -1 fills the rows."""
+    height = threshold(vectors.shape[1], cosine)
+    if height is None:
+        return np.zeros((len(vectors), 1), np.int64)
     out = []
     for number in range(CODES):
         turn, blocks = code(vectors.shape[1], number)
         turned = vectors @ turn
-        sums = np.zeros((len(vectors), 1))
-        names = np.zeros((len(vectors), 1), np.int64)
-        for begin, end, directions in blocks:
-            # The best sums need only the best partial sums and the best directions of the next block.
-            inner = turned[:, begin:end] @ directions.T
-            best = np.argsort(-inner, axis=1, kind="stable")[:, :listed]
-            wide = sums[:, :, None] + np.take_along_axis(inner, best, axis=1)[:, None, :]
-            joint = names[:, :, None] * DIRECTIONS + best[:, None, :]
-            wide, joint = wide.reshape(len(vectors), -1), joint.reshape(len(vectors), -1)
-            keep = np.argsort(-wide, axis=1, kind="stable")[:, :listed]
-            sums, names = np.take_along_axis(wide, keep, axis=1), np.take_along_axis(joint, keep, axis=1)
-        out.append(names + number * DIRECTIONS**BLOCKS)
+        inner = [turned[:, begin:end] @ directions.T for begin, end, directions in blocks]
+        # The best sums need only the best partial sums and the best directions of the next block.
+        best = np.zeros((len(vectors), 1))
+        for part in inner:
+            wide = best[:, :, None] + np.sort(part, axis=1)[:, None, ::-1][:, :, :LISTED]
+            best = np.sort(wide.reshape(len(vectors), -1), axis=1)[:, ::-1][:, :LISTED]
+        floor = np.minimum(height * np.sqrt(len(blocks)), best[:, -1]) - 1e-9
+        rows, names, sums = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+        for k, part in enumerate(inner):
+            rest = sum((later.max(axis=1) for later in inner[k + 1 :]), np.zeros(len(vectors)))
+            wide = sums[:, None] + part[rows]
+            at, pick = np.nonzero(wide >= (floor - rest)[rows][:, None])
+            rows, names, sums = rows[at], names[at] * part.shape[1] + pick, wide[at, pick]
+        order = np.lexsort((-sums, rows))
+        rows, names = rows[order], names[order]
+        sizes = np.bincount(rows, minlength=len(vectors))
+        filled = np.full((len(vectors), sizes.max(initial=0)), -1)
+        filled[rows, np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]] = names + number * math.prod(p.shape[1] for p in inner)
+        out.append(filled)
     return np.concatenate(out, axis=1)
 
 
@@ -83,7 +125,7 @@ def usable(embedding: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def filtered(vectors: DataFrame) -> DataFrame:
+def filtered(vectors: DataFrame, cosine: float) -> DataFrame:
     """Usable vectors with their width and filters."""
     kind = vectors.schema["embedding"].dataType
     rows = vectors.filter(F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id"))
@@ -95,24 +137,36 @@ def filtered(vectors: DataFrame) -> DataFrame:
             widths = batch.column("width").to_numpy()
             for width in np.unique(widths):
                 part = batch.filter(pa.array(widths == width))
-                for begin in range(0, part.num_rows, 2000):
-                    piece = part.slice(begin, 2000)
+                for begin in range(0, part.num_rows, 500):
+                    piece = part.slice(begin, 500)
                     flat = piece.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, int(width))
-                    filters = decode(unit(flat))
-                    lists = pa.array(list(filters.astype(np.int32)), pa.list_(pa.int32()))
+                    filters = decode(unit(flat), cosine).astype(np.int32)
+                    lists = pa.array([row[row >= 0] for row in filters], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([*piece.columns, lists], [*piece.schema.names, "filters"])
 
     label = vectors.schema["label"].dataType.simpleString()
     return rows.mapInArrow(run, f"vec_id long, label {label}, embedding {kind.simpleString()}, width int, filters array<int>")
 
 
-def _first_common(left: np.ndarray, right: np.ndarray, name: int) -> np.ndarray:
-    """Whether ``name`` is the least filter that both lists have, row by row."""
-    out = np.empty(len(left), bool)
-    for begin in range(0, len(left), 8192):
-        a, b = left[begin : begin + 8192], right[begin : begin + 8192]
-        less = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(a.dtype).max)
-        out[begin : begin + 8192] = less.min(axis=1) == name
+def _met_before(lists: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, name: int) -> np.ndarray:
+    """Whether the rows ``left`` of ``lists`` share a filter below ``name`` with the rows ``right``, as a matrix."""
+    lists = lists.combine_chunks()
+    owners, filters = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    sides = []
+    for rows in (left, right):
+        place = np.full(len(lists), -1)
+        place[rows] = np.arange(len(rows))
+        keep = (filters < name) & (place[owners] >= 0)
+        sides.append((place[owners[keep]], filters[keep]))
+    shared = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(left), len(right)), bool)
+    for begin in range(0, len(shared), 4096):
+        some, marks = shared[begin : begin + 4096], []
+        for rows, (place, filters) in zip((left, right), sides, strict=True):
+            keep = np.isin(filters, some)
+            marks.append(np.zeros((len(rows), len(some)), np.float32))
+            marks[-1][place[keep], np.searchsorted(some, filters[keep])] = 1
+        out |= marks[0] @ marks[1].T > 0
     return out
 
 
@@ -132,7 +186,6 @@ def compare(group: pa.Table, cosine: float) -> pa.RecordBatch | None:
     ids, tile = group.column("vec_id").to_numpy(), group.column("tile").to_numpy()
     width, name = group.column("width")[0].as_py(), group.column("filter")[0].as_py()
     vectors = unit(matrix(group.column("embedding"), width, np.float64))
-    lists = matrix(group.column("filters"), CODES * LISTED if width > 1 else len(group.column("filters")[0]), np.int32)
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
     near = vectors[left] @ vectors[right].T >= cosine
@@ -142,7 +195,9 @@ def compare(group: pa.Table, cosine: float) -> pa.RecordBatch | None:
     if not len(a):
         return None
     a, b = left[a], right[b]
-    mine = _first_common(lists[a], lists[b], name)
+    # A pair is counted in the first of its common filters.
+    (rows, at), (columns, under) = (np.unique(ends, return_inverse=True) for ends in (a, b))
+    mine = ~_met_before(group.column("filters"), rows, columns, name)[at, under]
     counts = np.bincount(a[mine], minlength=len(ids)) + np.bincount(b[mine], minlength=len(ids))
     linked = np.zeros((len(ids), len(ids)), bool)
     linked[a, b] = linked[b, a] = True
@@ -153,7 +208,7 @@ def compare(group: pa.Table, cosine: float) -> pa.RecordBatch | None:
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per row of ``vectors``."""
-    rows = settle(filtered(vectors.select("vec_id", "embedding", "label")), "filtered-vectors")
+    rows = settle(filtered(vectors.select("vec_id", "embedding", "label"), cosine), "filtered-vectors")
     key = ["label", "width", "filter"]
     listed = rows.select("vec_id", "label", "width", F.explode("filters").alias("filter"))
     sizes = listed.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
