@@ -30,8 +30,6 @@ ROUNDS = 4
 #: Share of the pool that a view hands over in a round.
 HANDED_OVER = 0.1
 THRESHOLD = 0.5
-#: Standard errors by which a feature's shares in the two classes must differ.
-MIN_Z = 5.0
 _EDGE = ".,;:!?\"'()[]{}<>|#*$%&…«»"
 
 
@@ -104,15 +102,6 @@ class Classifier:
         return scored(text, page)
 
 
-def telling(rows: Rows, labels: np.ndarray, limit: float = MIN_Z) -> np.ndarray:
-    """Marks features whose shares in the two classes differ by more than chance."""
-    counts = [np.bincount(rows.take(np.flatnonzero(labels == c)).ids, minlength=1 << BITS) for c in (0, 1)]
-    numbers = [max(1, int((labels == c).sum())) for c in (0, 1)]
-    pooled = (counts[0] + counts[1] + 1) / (sum(numbers) + 2)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / numbers[0] + 1 / numbers[1]))
-    return np.abs(counts[0] / numbers[0] - counts[1] / numbers[1]) > limit * error
-
-
 def cotrain(views: list[Rows], labels: np.ndarray, pool: list[Rows], rounds: int = ROUNDS) -> list[np.ndarray]:
     """Weights of each view. ``labels`` belong to the rows of ``views``; the rows of ``pool`` have none."""
 
@@ -174,13 +163,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
         odds = np.log((share + 1e-9) / (1 - share + 1e-9)) if len(good) else 0.0
         empty = np.zeros((1 << BITS) + 1)
         return Classifier(empty, empty, np.array([0.0, 0.0, odds]))
-    views = [rows.only(telling(rows.take(labelled), good)) for rows in found]
-    weights = cotrain([v.take(labelled) for v in views], good, [v.take(np.flatnonzero(part == 1)) for v in views])
+    # All features take part, also those that only the pool has; the decay in fit_logistic holds chance ones down.
+    weights = cotrain([v.take(labelled) for v in found], good, [v.take(np.flatnonzero(part == 1)) for v in found])
     if not len(calibration):
         calibration = labelled
     truth = part[calibration] % 2
     # Each view gets its own probability scale first; then their log-odds are combined.
-    at = [v.take(calibration).logits(w[:-1]) + w[-1] for v, w in zip(views, weights, strict=True)]
+    at = [v.take(calibration).logits(w[:-1]) + w[-1] for v, w in zip(found, weights, strict=True)]
     own = [calibrate(z[:, None], truth) for z in at]
     final = calibrate(np.column_stack([c[0] * z + c[1] for c, z in zip(own, at, strict=True)]), truth)
     mix = np.array([final[0] * own[0][0], final[1] * own[1][0], final[2] + final[0] * own[0][1] + final[1] * own[1][1]])

@@ -125,3 +125,32 @@ def test_pipeline_stages_work_on_what_is_left(spark, corpus, tmp_path):
     assert after_mix <= after_dedup and last == after_mix and left.filter("NOT round_trip").count() == 0
     run = corpus_pipeline.run(spark, folder)
     assert sorted(map(repr, run.select("doc_id", "n_tokens").collect())) == sorted(map(repr, left.select("doc_id", "n_tokens").collect()))
+
+
+def test_words_that_only_the_pool_holds_are_learned(spark, docs_of):
+    """The source tells the classes of all documents to learn from; the labelled ones have other words than the pool."""
+    rng, rows, labels, ask = random.Random(5), [], [], {}
+    for k in range(1200):
+        bad, labelled = k % 3 == 0, k % 4 == 1
+        signs = ("grumble", "snarlish") if labelled and bad else ("brook", "meadow") if labelled else BAD[2:] if bad else ("harbour",)
+        words = [rng.choice(PROSE.split()) for _ in range(30)]
+        for _ in range(4):
+            words.insert(rng.randrange(len(words)), rng.choice(signs))
+        asked = k >= 1000
+        rows.append((k, " ".join(words), f"new{k}" if asked else "dump" if bad else "library"))
+        if asked and not labelled:
+            ask[k] = bad
+        elif not asked and labelled:
+            labels.append((k, int(not bad)))
+    docs = docs_of(rows)
+    model = cotraining.learn(docs.filter("doc_id < 1000"), spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    found = docs.select("doc_id", cotraining.score_column(docs, model).alias("score")).collect()
+    bad, good = ([r.score for r in found if ask.get(r.doc_id) is kind] for kind in (True, False))
+    # Without the pool's words the two are told apart no better than by chance (0.5).
+    assert np.mean([b < g for b in bad for g in good]) > 0.8
+
+
+def test_few_labels_give_no_constant(corpus, spark):
+    docs, labels, _, junk = corpus
+    found = cotraining.score_quality(docs, labels.filter("doc_id < 60 AND quality IS NOT NULL")).collect()
+    assert np.mean([r.kept != junk[r.doc_id] for r in found]) > 0.9 and len({r.score for r in found}) > 100
