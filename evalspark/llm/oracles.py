@@ -38,4 +38,38 @@ ORACLES = {
            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
            CAST(sum(size) AS BIGINT) AS formatted_chars
     FROM parts GROUP BY conv_id""",
+    "op13_merkle_manifest": r"""
+    WITH RECURSIVE rows AS (SELECT doc_id, lang, n_chars,
+            coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+            coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail FROM documents),
+    crc AS (SELECT i AS byte, i AS c FROM range(256) t(i)),
+    steps AS (SELECT byte, c, 0 AS k FROM crc UNION ALL
+        SELECT byte, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+    crc_table AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+    sums AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS d, 0 AS place, CAST(4294967295 AS BIGINT) AS c FROM documents WHERE doc_id IS NOT NULL UNION ALL
+        SELECT doc_id, d, place + 1, xor(c >> 8, t[CAST(xor(c, CAST(ascii(substr(d, place + 1, 1)) AS BIGINT)) & 255 AS BIGINT) + 1]) FROM sums, crc_table WHERE place < length(d)),
+    sevenths AS (SELECT doc_id FROM sums WHERE place = length(d) AND xor(c, 4294967295) % 7 = 0),
+    leaves AS (SELECT r.doc_id, lang, sha256(head || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') || tail) AS leaf,
+            sha256(head || coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') || tail) AS other, s.doc_id IS NOT NULL AS hit
+        FROM rows r LEFT JOIN sevenths s ON r.doc_id = s.doc_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+            dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM leaves),
+    tree AS (SELECT 0 AS level, g, i, n, leaf AS h FROM placed UNION ALL
+        SELECT a.level + 1, a.g, a.i // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, '')) FROM tree a LEFT JOIN tree b ON a.g = b.g AND b.i = a.i + 1
+        WHERE a.i % 2 = 0 AND a.n > 1),
+    tops AS (SELECT g, h, count(*) OVER () AS n FROM tree WHERE n = 1),
+    crown AS (SELECT 0 AS level, g AS i, n, h FROM tops UNION ALL
+        SELECT a.level + 1, a.i // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, '')) FROM crown a LEFT JOIN crown b ON b.i = a.i + 1 WHERE a.i % 2 = 0 AND a.n > 1),
+    climb AS (SELECT g, i AS own, i, 0 AS level, n, CASE WHEN hit THEN other ELSE leaf END AS h, '' AS proof FROM placed UNION ALL
+        SELECT c.g, c.own, c.i // 2, c.level + 1, (c.n + 1) // 2,
+            sha256(CASE WHEN c.i % 2 = 1 THEN t.h || c.h ELSE c.h || coalesce(t.h, '') END), c.proof || coalesce(t.h, '')
+        FROM climb c LEFT JOIN tree t ON t.level = c.level AND t.g = c.g AND t.i = xor(c.i, 1) WHERE c.n > 1),
+    over AS (SELECT c.g, c.own, c.g AS i, 0 AS level, t.n, c.h, c.proof FROM climb c JOIN tops t ON c.g = t.g WHERE c.n = 1 UNION ALL
+        SELECT c.g, c.own, c.i // 2, c.level + 1, (c.n + 1) // 2,
+            sha256(CASE WHEN c.i % 2 = 1 THEN t.h || c.h ELSE c.h || coalesce(t.h, '') END), c.proof || coalesce(t.h, '')
+        FROM over c LEFT JOIN crown t ON t.level = c.level AND t.i = xor(c.i, 1) WHERE c.n > 1),
+    root AS (SELECT h FROM crown WHERE n = 1)
+    SELECT p.doc_id, p.leaf, t.h AS subroot, root.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = root.h AS verified
+    FROM placed p JOIN tops t ON p.g = t.g JOIN over o ON o.g = p.g AND o.own = p.i AND o.n = 1 CROSS JOIN root""",
 }
