@@ -4,6 +4,8 @@ from __future__ import annotations
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 _REACH = """reach AS (SELECT DISTINCT a AS start, a AS node FROM links UNION SELECT r.start, l.b FROM reach r JOIN links l ON r.node = l.a),
     names AS (SELECT start AS id, min(node) AS name FROM reach GROUP BY start)"""
 
@@ -72,4 +74,16 @@ ORACLES = {
     root AS (SELECT h FROM crown WHERE n = 1)
     SELECT p.doc_id, p.leaf, t.h AS subroot, root.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = root.h AS verified
     FROM placed p JOIN tops t ON p.g = t.g JOIN over o ON o.g = p.g AND o.own = p.i AND o.n = 1 CROSS JOIN root""",
+    "op12_ranked_search": rf"""
+    WITH words AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents WHERE text IS NOT NULL),
+    sized AS (SELECT row, doc_id, len(w) AS n FROM words WHERE len(w) > 0),
+    totals AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS length FROM sized),
+    items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+    counts AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+    weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(documents) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM counts, totals GROUP BY term),
+    scores AS (SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // length)))) AS BIGINT) AS score
+        FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN sized USING (row), totals GROUP BY item_id, row)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }

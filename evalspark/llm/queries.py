@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalspark.llm import chat, cotraining, merkle, minhash, mixing, quality_rules, sentencepiece_codec, sharding, spherical, token_files, toxicity
+from evalspark.llm import chat, cotraining, merkle, minhash, mixing, quality_rules, ranked_search, sentencepiece_codec, sharding, spherical, token_files, toxicity
 from evalspark.llm.common import prepare, read_table
 from evalspark.llm.oracles import ORACLES  # noqa: F401
 from evalspark.plans.shared import new_folder
@@ -122,3 +122,9 @@ def op13_merkle_manifest(spark, sf_dir):
     sevenths = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     tampered = F.when(sevenths, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))
     return merkle.manifest(docs, altered={"n_chars": tampered})
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
