@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evalspark.llm import chat, cotraining, merkle, minhash, mixing, quality_rules, ranked_search, sentencepiece_codec, sharding, spherical, token_files, toxicity
+from evalspark.llm import chat, cotraining, language_id, merkle, minhash, mixing, quality_rules, ranked_search, sentencepiece_codec, sharding, spherical, token_files, toxicity
 from evalspark.llm.common import prepare, read_table
 from evalspark.llm.oracles import ORACLES  # noqa: F401
 from evalspark.plans.shared import new_folder
@@ -128,3 +128,11 @@ def op13_merkle_manifest(spark, sf_dir):
 def op12_ranked_search(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return ranked_search.search(docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+@query
+def op11_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language_id.learn(spark, docs.filter(language_id.third() != 1).select("text", "lang"))
+    rows = docs.select("doc_id", "text", (language_id.third() == 1).alias("held_out"))
+    return filters.predict(rows, ["doc_id", "held_out"])

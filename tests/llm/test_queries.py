@@ -13,7 +13,7 @@ TABLES = "documents embeddings benchmark labels conversations".split()
 COLUMNS = {
     "op1": "doc_id n_tokens ids_sha256 decoded_sha256", "op3": "doc_id size source_size target taken", "op9": "doc_id score kept",
     "op4": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op7": "doc_id start n_tokens ids_crc32",
-    "op5": "doc_id size text_crc32 law shard slot grown_shard", "op8": "doc_id held_out score predicted", "pipeline": "doc_id n_tokens",
+    "op5": "doc_id size text_crc32 law shard slot grown_shard", "op8": "doc_id held_out score predicted", "pipeline": "doc_id n_tokens", "op11": "doc_id held_out lang_pred score",
 }
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the test tables are not here")
@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the test tables a
 
 def test_all_operators_are_registered():
     names = [n.split("_")[0] for n in QUERIES]
-    assert sorted(names) == sorted(["pipeline", *(f"op{n}" for n in (*range(1, 11), 12, 13))])
+    assert sorted(names) == sorted(["pipeline", *(f"op{n}" for n in range(1, 14))])
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
