@@ -425,6 +425,35 @@ oracle(
        tree AS (SELECT run_id, iter, iter AS root_iter, 0 AS depth FROM bent WHERE parent IS NULL
        UNION ALL SELECT l.run_id, l.iter, t.root_iter, t.depth + 1 FROM bent l JOIN tree t ON l.run_id = t.run_id AND l.parent = t.iter)""",
 )
+CTES["chosen_merges"] = """
+    SELECT run_id, selection_id % 8 + 2 AS batch, max(selection_id) AS selection_id FROM parsed WHERE action LIKE 'merge=%' GROUP BY 1, 2"""
+CTES["all_edges"] = """
+    SELECT c.run_id, c.iter, p.iter AS parent FROM log c JOIN log p ON c.run_id = p.run_id AND c.parent = p.iter
+    UNION SELECT c.run_id, c.iter, p.iter FROM log c JOIN chosen_merges m ON c.run_id = m.run_id AND c.batch = m.batch
+    JOIN named n ON n.run_id = m.run_id AND n.selection_id = m.selection_id JOIN log p ON p.run_id = n.run_id AND p.iter = n.iter"""
+CTES["forward_edges"] = "SELECT * FROM all_edges WHERE parent < iter"
+
+
+def dag_sql(edges: str) -> str:
+    """All (entry, root, depth) by paths no longer than the run, and all pairs of an entry and one above it."""
+    return f"""paths AS (SELECT run_id, iter, iter AS root_iter, 0 AS depth FROM log l WHERE NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.run_id = l.run_id AND e.iter = l.iter)
+       UNION SELECT e.run_id, e.iter, t.root_iter, t.depth + 1 FROM paths t JOIN {edges} e ON e.run_id = t.run_id AND e.parent = t.iter
+       WHERE t.depth < (SELECT max(iter) FROM log)),
+       above AS (SELECT run_id, iter, parent AS ancestor FROM {edges}
+       UNION SELECT a.run_id, a.iter, e.parent FROM above a JOIN {edges} e ON e.run_id = a.run_id AND e.iter = a.ancestor)"""
+
+
+for _name, _edges in (("lineage_dag", "forward_edges"), ("lineage_dag_with_cycles", "all_edges")):
+    oracle(
+        _name, """SELECT l.run_id, l.iter, coalesce(d.roots, 0) AS roots, d.least AS least_depth, CASE WHEN NOT c.cyclic THEN d.greatest END AS greatest_depth, c.cyclic
+        FROM log l LEFT JOIN (SELECT run_id, iter, count(DISTINCT root_iter) AS roots, CAST(min(depth) AS BIGINT) AS least, CAST(max(depth) AS BIGINT) AS greatest
+            FROM paths GROUP BY run_id, iter) d ON d.run_id = l.run_id AND d.iter = l.iter
+        JOIN (SELECT run_id, iter, iter IN (SELECT a.iter FROM above a WHERE a.run_id = log.run_id AND (a.ancestor = a.iter OR EXISTS (
+            SELECT 1 FROM above b WHERE b.run_id = a.run_id AND b.iter = a.ancestor AND b.ancestor = b.iter))) AS cyclic FROM log) c
+        ON c.run_id = l.run_id AND c.iter = l.iter""",
+        dag_sql(_edges),
+    )
+oracle("lineage_roots", "SELECT run_id, iter, root_iter, CAST(min(depth) AS BIGINT) AS depth FROM paths GROUP BY run_id, iter, root_iter", dag_sql("forward_edges"))
 oracle(
     "best_lineage", "SELECT run_id, target_iter, iter, CAST(distance AS BIGINT) AS distance FROM chain_up",
     """chain_up AS (SELECT run_id, iter AS target_iter, iter, 0 AS distance FROM best

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.numbers import rounded
 from evalspark.operators import artifacts as A
+from evalspark.operators import dag as G
 from evalspark.operators import diagnosis as D
 from evalspark.operators import extract as X
 from evalspark.operators import log as L
@@ -522,6 +523,34 @@ def lineage_with_cycles(spark, sf):
     return L.lineage(_log(spark, sf).withColumn("parent", parent))
 
 
+def _merge_edges(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The log, and its edges where every batch from the second on was made from a merge that a selection asked for."""
+    log = _log(spark, sf)
+    chosen = X.parse_selection(B.selections(spark, sf), L.best_entry(log)).where(F.col("action").startswith("merge="))
+    batch = (F.col("selection_id") % 8 + 2).cast("bigint")
+    merges = chosen.groupBy("run_id", batch.alias("batch")).agg(F.max_by("iters", "selection_id").alias("iters"))
+    return log, settle(G.lineage_edges(log, merges), "lineage-edges")
+
+
+@query
+def lineage_dag(spark, sf):
+    """Depths and number of roots where merges named earlier entries only."""
+    log, edges = _merge_edges(spark, sf)
+    return G.lineage_dag(log, edges.where("parent < iter"))
+
+
+@query
+def lineage_dag_with_cycles(spark, sf):
+    """The same with merges that name entries of later batches, or an entry itself."""
+    return G.lineage_dag(*_merge_edges(spark, sf))
+
+
+@query
+def lineage_roots(spark, sf):
+    log, edges = _merge_edges(spark, sf)
+    return G.lineage_roots(log, edges.where("parent < iter"))
+
+
 @query
 def best_lineage(spark, sf):
     log = _log(spark, sf)
