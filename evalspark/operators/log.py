@@ -65,7 +65,7 @@ def log_position(log: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 def number_candidates(candidates: DataFrame, log: DataFrame, order: str) -> DataFrame:
     """Give new candidates the iterations after the run's last one, all in the next batch.
 
-    ``order`` is an integer position, unique in a run.
+    ``order`` is a position that sorts, unique in a run; it may be sparse.
     """
     numbered = running(candidates, ["run_id"], order, sums={"_number": F.lit(1)})
     last = log_position(log)
@@ -358,15 +358,10 @@ def gap_bands(log: DataFrame) -> DataFrame:
 def gap_growth(log: DataFrame, alarm_after: int = 3) -> DataFrame:
     """For how many iterations in a row the dev-test gap has grown, and whether that is an alarm."""
     gaps = log.select(*ENTRY, _gap().alias("gap"))
-    steps = running(gaps, ["run_id"], "iter", previous={"previous_gap": F.col("gap")}, sums={"_row": F.lit(1)})
-    grew = F.coalesce(F.col("gap") > F.col("previous_gap"), F.lit(False))
-    steps = running(
-        steps.withColumn("growing", grew), ["run_id"], "iter",
-        maxima={"_still": F.when(~F.col("growing"), F.col("_row"))},
-    )
-    streak = F.col("_row") - F.col("_still")
+    rises = (F.col("gap"), lambda before, now: now > before)
+    steps = running(gaps, ["run_id"], "iter", previous={"previous_gap": F.col("gap")}, streaks={"streak": rises})
     return steps.select(
-        *ENTRY, "gap", "previous_gap", "growing", streak.alias("streak"), (streak >= alarm_after).alias("alarm")
+        *ENTRY, "gap", "previous_gap", (F.col("streak") > 0).alias("growing"), "streak", (F.col("streak") >= alarm_after).alias("alarm")
     )
 
 

@@ -2,8 +2,9 @@
 
 Four tools, all exact:
 
-* ``running``: running sum / max / previous value by an integer position. Rows are cut into blocks
-  of positions; a window works inside a block, and a second window carries block totals forward.
+* ``running``: running sums, maxima, previous values and streaks in one scan. Rows are cut into
+  ranges of equal numbers; a window works inside a range, and one row per group and range carries
+  what came before.
 * ``rank_cutoffs``: the keys at given ranks of a group ordered by a uniform hex key. A histogram
   over key prefixes finds the one prefix holding each cut, and is repeated on longer prefixes
   until few rows are left; only those are ranked.
@@ -14,7 +15,7 @@ Four tools, all exact:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from evalspark.operators.keys import join_on
 from evalspark.plans.shared import settle
 
-BLOCK_POSITIONS = 65_536
 # Rows of one prefix that are ranked together.
 CUT_ROWS = 100_000
 
@@ -36,53 +36,89 @@ def running(
     maxima: dict[str, Column] | None = None,
     maxima_before: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
-    block: int = BLOCK_POSITIONS,
+    streaks: dict[str, tuple[Column, Callable[[Column, Column], Column]]] | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Add running columns over the rows of each group in the order of an integer position.
+    """Add running columns over the rows of each group in the order of a position, in one scan.
 
     ``sums`` and ``maxima`` include the current row, ``maxima_before`` stops at the row before it,
-    ``previous`` is the value of the row before. Positions must be unique in a group.
+    ``previous`` is the value of the row before. ``streaks`` names a value and a condition on (the
+    value before, the value): the number of rows in a row, up to the current one, that meet it; the
+    first row of a group never does. Positions must be unique in a group, and can be of any type
+    that sorts.
+
+    The rows are cut into ranges of about equal numbers. A window works inside each range; each group
+    has one carry row per range it touches, so there are no more carry rows than ranges and groups
+    together, however sparse the positions are.
     """
-    sums, maxima = sums or {}, maxima or {}
+    sums, maxima, streaks = sums or {}, maxima or {}, streaks or {}
     maxima_before, previous = maxima_before or {}, previous or {}
-    # A block is named by its first position: exact for positions of any size.
-    block_of = F.col(position).cast("bigint") - F.pmod(F.col(position).cast("bigint"), F.lit(block).cast("bigint"))
-    base = df.withColumn("_block", block_of)
-
-    ordered = Window.partitionBy(*by, "_block").orderBy(position)
+    order = [F.col(c) for c in (*by, position)]
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    # Written, so that both uses of it see the same ranges.
+    base = settle(dealt.withColumn("_range", F.spark_partition_id()), "scan-ranges")
+    ordered = Window.partitionBy(*by, "_range").orderBy(position)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    earlier_blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-
-    totals, carries = [], []
-    for name, value in sums.items():
-        totals.append(F.sum(value).alias(f"_t_{name}"))
-        carries.append(F.sum(f"_t_{name}").over(earlier_blocks).alias(f"_c_{name}"))
-    for name, value in {**maxima, **maxima_before}.items():
-        totals.append(F.max(value).alias(f"_t_{name}"))
-        carries.append(F.max(f"_t_{name}").over(earlier_blocks).alias(f"_c_{name}"))
-    for name, value in previous.items():
-        # Kept in a struct so that a null value differs from "there is no row before".
-        totals.append(F.max_by(F.struct(value.alias("v")), F.col(position)).alias(f"_t_{name}"))
-        carries.append(F.last(f"_t_{name}").over(earlier_blocks).alias(f"_c_{name}"))
-    carry = base.groupBy(*by, "_block").agg(*totals).select(*by, "_block", *carries)
 
+    # A null value differs from "there is no row before", so values are kept in structs.
+    lagged = {n: F.lag(F.struct(v.alias("v"))).over(ordered) for n, v in {**previous, **{n: v for n, (v, _) in streaks.items()}}.items()}
+    number = F.row_number().over(ordered)
     inner = base.select(
         "*",
+        number.alias("_row"),
         *[F.sum(v).over(so_far).alias(f"_i_{n}") for n, v in sums.items()],
         *[F.max(v).over(so_far).alias(f"_i_{n}") for n, v in maxima.items()],
         *[F.max(v).over(before).alias(f"_i_{n}") for n, v in maxima_before.items()],
-        *[F.lag(F.struct(v.alias("v"))).over(ordered).alias(f"_i_{n}") for n, v in previous.items()],
+        *[lag.alias(f"_l_{n}") for n, lag in lagged.items()],
     )
-    joined = join_on(inner, carry, [*by, "_block"], "left")
+    met = lambda n, past: F.coalesce(streaks[n][1](past, streaks[n][0]), F.lit(False))
+    for name in streaks:
+        # The last row of the range that ends a streak; whether its first row does depends on the range before.
+        broken = (F.col("_row") > 1) & ~met(name, F.col(f"_l_{name}")["v"])
+        inner = inner.withColumn(f"_b_{name}", F.max(F.when(broken, F.col("_row"))).over(so_far))
+    joined = join_on(inner, _carries(inner, by, position, sums, {**maxima, **maxima_before}, previous, streaks, met), [*by, "_range"], "left")
     both = {
         **{n: F.col(f"_i_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums},
         **{n: F.greatest(f"_i_{n}", f"_c_{n}") for n in {**maxima, **maxima_before}},
-        **{n: F.coalesce(F.col(f"_i_{n}"), F.col(f"_c_{n}"))["v"] for n in previous},
+        **{n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))["v"] for n in previous},
+        **{n: F.col("_row") + F.col("_before") - F.coalesce(F.col("_before") + F.col(f"_b_{n}"), F.col(f"_c_{n}")) for n in streaks},
     }
     return joined.select(*df.columns, *[c.alias(n) for n, c in both.items()])
 
 
+def _carries(inner, by, position, sums, maxima, previous, streaks, met) -> DataFrame:
+    """What every range of a group gets from the ranges before it; for streaks, the row at which the last one ended,
+    counted through the group."""
+    last, first = (lambda v, f=f: f(F.struct(v.alias("v")), F.col(position)) for f in (F.max_by, F.min_by))
+    totals = inner.groupBy(*by, "_range").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()],
+        *[F.max(v).alias(f"_t_{n}") for n, v in maxima.items()],
+        *[last(v).alias(f"_t_{n}") for n, v in previous.items()],
+        *[last(v).alias(f"_t_{n}") for n, (v, _) in streaks.items()],
+        *[first(v).alias(f"_f_{n}") for n, (v, _) in streaks.items()],
+        *[F.max(f"_b_{n}").alias(f"_b_{n}") for n in streaks],
+    )
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    out = totals.select(
+        "*", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
+        *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in maxima],
+        *[F.last(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in previous],
+        *[F.last(f"_t_{n}").over(earlier).alias(f"_p_{n}") for n in streaks],
+    )
+    for n, (value, condition) in streaks.items():
+        goes_on = F.col(f"_p_{n}").isNotNull() & F.coalesce(condition(F.col(f"_p_{n}")["v"], F.col(f"_f_{n}")["v"]), F.lit(False))
+        start = F.when(~goes_on, F.col("_before") + 1)
+        out = out.withColumn(f"_e_{n}", F.greatest(F.col("_before") + F.col(f"_b_{n}"), start)).withColumn(f"_s_{n}", start)
+    return out.select(
+        *by, "_range", "_before", *[f"_c_{n}" for n in (*sums, *maxima, *previous)],
+        *[F.greatest(F.max(f"_e_{n}").over(earlier), F.col(f"_s_{n}")).alias(f"_c_{n}") for n in streaks],
+    )
+
+
 def prefix_histogram(df: DataFrame, by: Sequence[str], key: str, digits: int = 3) -> DataFrame:
     """Rows per group and key prefix, ``16**digits`` prefixes per group, as a written table."""
     counts = df.groupBy(*by, F.substring(key, 1, digits).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))

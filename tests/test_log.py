@@ -104,21 +104,52 @@ def test_lineage(spark, parents):
     assert chains == want
 
 
-def test_running_values_across_blocks(spark):
+def test_running_values_across_ranges(spark):
     rng = random.Random(3)
     data = [(g, i, rng.choice([None, rng.random()])) for g in "ab" for i in rng.sample(range(1, 200), 80)]
     df = spark.createDataFrame(data, "g string, i bigint, v double").repartition(5)
     found = R.running(
-        df, ["g"], "i", block=7, sums={"n": F.lit(1)}, maxima={"top": F.col("v")}, maxima_before={"was": F.col("v")}, previous={"prev": F.col("v")},
+        df, ["g"], "i", ranges=9, sums={"n": F.lit(1)}, maxima={"top": F.col("v")}, maxima_before={"was": F.col("v")}, previous={"prev": F.col("v")},
+        streaks={"up": (F.col("v"), lambda before, now: now > before)},
     ).toPandas().sort_values(["g", "i"])
     want = pd.DataFrame(data, columns=["g", "i", "v"]).sort_values(["g", "i"])
     want["n"] = want.groupby("g").cumcount() + 1
     want["top"] = want.groupby("g").v.transform(lambda s: s.cummax().ffill())
     want["was"] = want.groupby("g").top.shift()
     want["prev"] = want.groupby("g").v.shift()
+    rises = want.v > want.prev
+    want["up"] = rises.groupby([want.g, (~rises).cumsum()]).cumsum().astype(int)
     pd.testing.assert_frame_equal(found.reset_index(drop=True), want.reset_index(drop=True), check_dtype=False)
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 5, 40])
+def test_streaks_over_ranges_that_end_nowhere_or_everywhere(spark, ranges):
+    """Streaks that fill ranges, end at their borders, and belong to groups of one row."""
+    rng = random.Random(ranges)
+    values = {"up": list(range(60)), "down": list(range(60, 0, -1)), "flat": [1] * 20, "one": [5], "saw": [k % 7 for k in range(50)], "any": [rng.random() for _ in range(80)]}
+    rows = [(g, 1000 * k, float(v)) for g, vs in values.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, i bigint, v double")
+    found = R.running(df, ["g"], "i", ranges=ranges, streaks={"up": (F.col("v"), lambda before, now: now > before)}, sums={"n": F.lit(1)})
+    want = {}
+    for g, vs in values.items():
+        streak = 0
+        for k, v in enumerate(vs):
+            streak = streak + 1 if k and v > vs[k - 1] else 0
+            want[g, 1000 * k] = (streak, k + 1)
+    assert {(r.g, r.i): (r.up, r.n) for r in found.collect()} == want
+
+
+def test_sparse_positions_make_no_more_carry_rows_than_ranges(spark, monkeypatch):
+    """Positions that step by 10 million: blocks of positions would have held one row each."""
+    seen = []
+    carries = R._carries
+    monkeypatch.setattr(R, "_carries", lambda *a: seen.append(carries(*a)) or seen[-1])
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 10_000_000).alias("i"))
+    found = R.running(df, ["g"], "i", ranges=8, sums={"n": F.lit(1)})
+    assert found.agg(F.max("n")).first()[0] == 1667 and found.where("n <> i div 30000000 + 1").count() == 0
+    assert seen[0].count() <= 8 + 3
+
+
 def test_gap_growth_and_running_best(spark):
     gaps = [0.01, 0.02, 0.05, 0.08, 0.02, 0.03]
     log = make(spark, [(i, 1, i - 1 or None, "p", 0.2 + g, 0.2) for i, g in enumerate(gaps, 1)])
