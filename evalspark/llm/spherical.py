@@ -2,7 +2,9 @@
 
 A code turns the space by a random rotation, splits it into blocks and has random unit vectors for each block; every
 combination of one vector per block is a filter direction, 65,536 with two blocks of 256. Vectors of fewer than ten
-components have one block of 4,096. A vector is list-decoded to all directions whose inner product exceeds a threshold
+components have one block of 4,096. The number of directions follows the number of vectors that are compared with each
+other (``grade_of``), with more vectors per block and then more blocks, so that a filter holds about as many unlike vectors
+whatever the size of the table; the threshold follows the number of directions. A vector is list-decoded to all directions whose inner product exceeds a threshold
 that follows from the cosine and the width: two vectors at that cosine are to have six common filters of each code on
 average. A vector with fewer than eight directions above it is listed at its best eight. Sums of blocks that cannot reach
 the threshold are not continued, so directions are not all looked at. Vectors with a common filter meet, and every
@@ -10,7 +12,8 @@ meeting pair is verified by its cosine in double precision. Where filters would
 components or a low cosine), there is one filter for all, and no pair is missed; README has the miss rates by width.
 
 Pairs are not listed. A filter's vectors are compared in tiles, as matrix products inside a task, which give counts of
-links and a spanning forest of the tile. A pair is counted in the first filter that it has in common.
+links and a spanning forest of the tile; filters of a few vectors are compared many at a time. A pair is counted in the
+first filter that it has in common.
 
 Nulls: a vector that is null, zero, or holds null or non-finite components links with nothing; so does one without a
 label or without an id. Only vectors of one label and one length are compared. Rows with one vec_id are one vector (the
@@ -22,19 +25,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import matrix, sorted_groups
+from evalspark.llm.common import matrix
 from evalspark.llm.components import components
 from evalspark.plans.shared import settle
 
-CODES, BLOCKS, DIRECTIONS = 4, 2, 256
-#: Vectors with fewer components are not split into blocks; directions of their one block.
-NARROW, NARROW_DIRECTIONS = 10, 4096
+CODES = 4
+#: Blocks have up to 2 ** BLOCK_BITS directions each, and there are two at least.
+BLOCK_BITS = 10
+#: Vectors with fewer components are not split into blocks.
+NARROW = 10
+#: Directions of a code for each vector of a label, at least.
+DIRECTIONS_PER_ROW = 64
 #: Filters of a code that two vectors at the cosine share on average.
 COMMON = 6
 #: Filters of a code that a vector has at the least.
@@ -43,14 +51,35 @@ LISTED = 8
 MOST_COMPARED = 0.5
 #: Vectors on one side of a comparison within a filter.
 TILE = 1024
+#: Filters of up to so many vectors are compared together, in chunks of about so many rows.
+FEW, CHUNK = 64, 20_000
+
+
+def bits_of(width: int, grade: int = 0) -> int:
+    """Logarithm of the number of directions.
+
+    It ends where blocks would have too few components to be told apart by random directions: at 16 bits for one block,
+    at 18 for two blocks of five to seven components, and with as many blocks of eight components as the width has.
+    """
+    if width < NARROW:
+        return min(12 + 2 * grade, 16)
+    return min(16 + 2 * grade, 18 if width < 16 else BLOCK_BITS * max(2, width // 8))
+
+
+def grade_of(rows: Column) -> Column:
+    """How many times the directions of a code are made four times as many for ``rows`` vectors of a label and width."""
+    wanted = F.log2(F.lit(float(DIRECTIONS_PER_ROW)) * rows) - 16
+    return F.greatest(F.ceil(wanted / 2), F.lit(0)).cast("int")
 
 
 @lru_cache(maxsize=64)
-def code(width: int, number: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+def code(width: int, number: int, grade: int = 0) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
     """A rotation, and (begin, end, unit vectors) of each block."""
-    rng = np.random.default_rng([width, number])
+    rng = np.random.default_rng([width, number, grade] if grade else [width, number])
     turn = np.linalg.qr(rng.normal(size=(width, width)))[0]
-    blocks, number_of = (BLOCKS, DIRECTIONS) if width >= NARROW else (1, NARROW_DIRECTIONS)
+    bits = bits_of(width, grade)
+    blocks = -(-bits // BLOCK_BITS) if width >= NARROW else 1
+    number_of = math.ceil(2 ** (bits / blocks))
     edges = [width * k // blocks for k in range(blocks + 1)]
     out = []
     for begin, end in zip(edges, edges[1:], strict=False):
@@ -76,9 +105,9 @@ def share_above(height: float, width: int, cosine: float) -> float:
 
 
 @lru_cache(maxsize=64)
-def threshold(width: int, cosine: float) -> float | None:
+def threshold(width: int, cosine: float, grade: int = 0) -> float | None:
     """Inner product with a unit direction beyond which a vector has its filter; None: one filter for all."""
-    number = DIRECTIONS**BLOCKS if width >= NARROW else NARROW_DIRECTIONS
+    number = 1 << bits_of(width, grade)
     if width < 2 or cosine <= 0 or number * share_above(0.0, width, cosine) < COMMON:
         return None
     low, high = 0.0, 1.0
@@ -88,20 +117,21 @@ def threshold(width: int, cosine: float) -> float | None:
     return low if CODES * number * share_above(low, width, 1.0) ** 2 < MOST_COMPARED else None
 
 
-def decode(vectors: np.ndarray, cosine: float = 0.98) -> np.ndarray:
+def decode(vectors: np.ndarray, cosine: float = 0.98, grade: int = 0) -> np.ndarray:
     """Filters of each unit vector, the best of every code first; -1 fills the rows."""
-    height = threshold(vectors.shape[1], cosine)
+    height = threshold(vectors.shape[1], cosine, grade)
     if height is None:
         return np.zeros((len(vectors), 1), np.int64)
     out = []
     for number in range(CODES):
-        turn, blocks = code(vectors.shape[1], number)
+        turn, blocks = code(vectors.shape[1], number, grade)
         turned = vectors @ turn
         inner = [turned[:, begin:end] @ directions.T for begin, end, directions in blocks]
         # The best sums need only the best partial sums and the best directions of the next block.
         best = np.zeros((len(vectors), 1))
         for part in inner:
-            wide = best[:, :, None] + np.sort(part, axis=1)[:, None, ::-1][:, :, :LISTED]
+            top = -np.sort(np.partition(-part, LISTED - 1, axis=1)[:, :LISTED], axis=1)
+            wide = best[:, :, None] + top[:, None, :]
             best = np.sort(wide.reshape(len(vectors), -1), axis=1)[:, ::-1][:, :LISTED]
         floor = np.minimum(height * np.sqrt(len(blocks)), best[:, -1]) - 1e-9
         rows, names, sums = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
@@ -130,22 +160,27 @@ def filtered(vectors: DataFrame, cosine: float) -> DataFrame:
     kind = vectors.schema["embedding"].dataType
     rows = vectors.filter(F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id"))
     rows = rows.agg(F.min(F.struct("label", "embedding")).alias("_v")).select("vec_id", "_v.label", "_v.embedding")
-    rows = rows.filter(usable(F.col("embedding"), F.col("label"))).withColumn("width", F.size("embedding"))
+    rows = settle(rows.filter(usable(F.col("embedding"), F.col("label"))).withColumn("width", F.size("embedding")), "usable-vectors")
+    # One row per label and width.
+    grades = rows.groupBy(F.col("label").alias("_label"), F.col("width").alias("_width")).agg(grade_of(F.count("*")).alias("grade"))
+    grades = settle(grades, "vector-grades")
+    rows = rows.join(grades, (F.col("label") == F.col("_label")) & (F.col("width") == F.col("_width"))).select(*rows.columns, "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            widths = batch.column("width").to_numpy()
-            for width in np.unique(widths):
-                part = batch.filter(pa.array(widths == width))
+            kinds = batch.column("width").to_numpy() * 64 + batch.column("grade").to_numpy()
+            for kind in np.unique(kinds):
+                part = batch.filter(pa.array(kinds == kind)).drop_columns(["grade"])
+                width, grade = divmod(int(kind), 64)
                 for begin in range(0, part.num_rows, 500):
                     piece = part.slice(begin, 500)
-                    flat = piece.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, int(width))
-                    filters = decode(unit(flat), cosine).astype(np.int32)
-                    lists = pa.array([row[row >= 0] for row in filters], pa.list_(pa.int32()))
+                    flat = piece.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    filters = decode(unit(flat), cosine, grade)
+                    lists = pa.array([np.sort(row[row >= 0]) for row in filters], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([*piece.columns, lists], [*piece.schema.names, "filters"])
 
     label = vectors.schema["label"].dataType.simpleString()
-    return rows.mapInArrow(run, f"vec_id long, label {label}, embedding {kind.simpleString()}, width int, filters array<int>")
+    return rows.mapInArrow(run, f"vec_id long, label {label}, embedding {kind.simpleString()}, width int, filters array<long>")
 
 
 def _met_before(lists: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, name: int) -> np.ndarray:
@@ -206,6 +241,78 @@ def compare(group: pa.Table, cosine: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some].astype(np.int64)), pa.array(roots)], ["vec_id", "links", "other"])
 
 
+def _first_met(filters: pa.ListArray, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether ``names`` are the first filters that the rows ``left`` and ``right`` share, pair by pair."""
+    edges, flat = filters.offsets.to_numpy(), filters.values.to_numpy()
+    flat, edges = flat[edges[0] : edges[-1]], edges - edges[0]
+    base = int(flat.max()) + 1
+    keys = np.repeat(np.arange(len(filters)), np.diff(edges)) * base + flat  # ascending, as lists are
+    out = np.ones(len(left), bool)
+    for begin in range(0, len(left), 50_000):
+        a, b, name = (x[begin : begin + 50_000] for x in (left, right, names))
+        sizes = (edges[1:] - edges[:-1])[a]
+        pair = np.repeat(np.arange(len(a)), sizes)
+        spots = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + edges[:-1][a][pair]
+        keep = flat[spots] < name[pair]
+        pair, wanted = pair[keep], (b[pair] * base + flat[spots])[keep]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        out[begin + pair[keys[at] == wanted]] = False
+    return out
+
+
+def compare_few(table: pa.Table, begins: np.ndarray, size: int, cosine: float) -> pa.RecordBatch | None:
+    """``compare`` for many filters of ``size`` vectors and one width each; ``begins`` are their first rows in the table."""
+    rows = begins[:, None] + np.arange(size)
+    ids, width = table.column("vec_id").to_numpy(), table.column("width")[int(begins[0])].as_py()
+    part = table.take(pa.array(rows.ravel()))
+    x = unit(matrix(part.column("embedding"), width, np.float64)).reshape(len(begins), size, width)
+    near = x @ x.transpose(0, 2, 1) >= cosine
+    near[:, np.arange(size), np.arange(size)] = False
+    some = np.flatnonzero(near.any(axis=(1, 2)))
+    if not len(some):
+        return None
+    near, rows = near[some], rows[some]
+    group, a, b = np.nonzero(np.triu(near))
+    names = table.column("filter").to_numpy()[rows[group, a]]
+    mine = _first_met(table.column("filters").combine_chunks(), rows[group, a], rows[group, b], names)
+    at = np.concatenate((group * size + a, group * size + b))
+    counts = np.bincount(at, np.concatenate((mine, mine)), minlength=len(some) * size).astype(np.int64).reshape(len(some), size)
+    roots = ids[rows]
+    while True:
+        best = np.minimum(roots, np.where(near, roots[:, None, :], np.iinfo(np.int64).max).min(axis=2))
+        if (best == roots).all():
+            break
+        roots = best
+    linked = near.any(axis=2)
+    return pa.RecordBatch.from_arrays([pa.array(ids[rows][linked]), pa.array(counts[linked]), pa.array(roots[linked])], ["vec_id", "links", "other"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows from a partition sorted by ``keys``, which cut no group, and where groups begin."""
+    held: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows < rows:
+                continue
+        if held is None or not held.num_rows:
+            return
+        change = np.zeros(held.num_rows, bool)
+        for key in keys:
+            column = held.column(key).to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        change[0] = True
+        begins = np.flatnonzero(change)
+        if batch is None:
+            yield held.combine_chunks(), np.append(begins, held.num_rows)
+            return
+        if len(begins) > 1:
+            yield held.slice(0, begins[-1]).combine_chunks(), begins
+            held = held.slice(begins[-1]).combine_chunks()
+        rows = max(rows, 2 * held.num_rows)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per row of ``vectors``."""
     rows = settle(filtered(vectors.select("vec_id", "embedding", "label"), cosine), "filtered-vectors")
@@ -217,14 +324,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     tile = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")
     members = members.withColumn("tile", tile).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     members = members.select(
-        "vec_id", *key, "embedding", "filters", "tile", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j")
+        "vec_id", *key, "embedding", "filters", "tiles", "tile", F.least("tile", "_other").alias("i"), F.greatest("tile", "_other").alias("j")
     )
     dealt = members.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, [*key, "i", "j"]):
-            if group.num_rows > 1 and (found := compare(group, cosine)) is not None:
-                yield found
+        for table, begins in whole_groups(batches, [*key, "i", "j"], CHUNK):
+            sizes, widths = np.diff(begins), table.column("width").to_numpy()
+            alone = table.column("tiles").to_numpy()[begins[:-1]] == 1
+            for group in np.flatnonzero((sizes > 1) & ~(alone & (sizes <= FEW))):
+                if (found := compare(table.slice(begins[group], sizes[group]), cosine)) is not None:
+                    yield found
+            kinds = np.where(alone & (sizes > 1) & (sizes <= FEW), widths[begins[:-1]] * (FEW + 1) + sizes, -1)
+            for kind in np.unique(kinds[kinds >= 0]):
+                width, size = divmod(int(kind), FEW + 1)
+                step = max(1, 2_000_000 // (size * max(width, size)))
+                same = begins[:-1][kinds == kind]
+                for begin in range(0, len(same), step):
+                    if (found := compare_few(table, same[begin : begin + step], size, cosine)) is not None:
+                        yield found
 
     links = settle(dealt.mapInArrow(run, "vec_id long, links long, other long"), "vector-links")
     found = settle(components(links.select(F.col("vec_id").alias("a"), F.col("other").alias("b"))), "components")
