@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalspark.plans.session import ship_package
+from evalspark.plans.shared import settle
 
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]"
@@ -98,6 +101,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield batch.slice(begin)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a task, after which the worker process gives back the memory that is free again.
+
+    Workers outlive their tasks and wait for others; what they hold counts against the executor.
+    """
+
+    def tasks(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tasks
+
+
 class PartStore:
     """Ids of parts of texts that were encoded before, one flat array with a place for each part.
 
@@ -132,6 +154,48 @@ class PartStore:
         return self.flat[np.repeat(self.begins[places] - ends + sizes, sizes) + np.arange(total)], sizes
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], number: str, count: str | None = None) -> DataFrame:
+    """Adds the place of a row in its group, from 0, and the size of the group; a written table.
+
+    Rows of equal ``order`` are spread by their place in the source, so a repeated row does not fill one partition.
+    """
+    rows = rows.withColumn("_spread", F.monotonically_increasing_id())
+    by = [*(F.col(c).asc_nulls_first() for c in (*group, *order)), F.col("_spread")]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_spread")
+    ranged = settle(ranged.withColumn("_at", F.monotonically_increasing_id()), "ordered-rows")
+    # One row per group and range that it touches.
+    part = F.shiftright("_at", 33).alias("_part")
+    spans = ranged.groupBy(*group, part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"), "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_whole"),
+    )
+    spans = settle(spans, "order-spans")
+    same = F.shiftright("_at", 33) == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    joined = ranged.join(spans, same)
+    added = [(F.col("_at") - F.col("_first") + F.col("_before")).alias(number)]
+    if count:
+        added.append(F.col("_whole").alias(count))
+    return settle(joined.select(*[c for c in ranged.columns if c != "_at"], *added), "numbered-rows")
+
+
+def identified(docs: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``row``, a number that no two rows share, and ``d``, the row's columns.
+
+    Where ``name`` is never null and never repeats it is the number; else rows are numbered in its order, null last.
+    """
+    packed = docs.select(F.col(name).cast("long").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    shared = packed.groupBy("row").count().filter((F.col("count") > 1) | F.col("row").isNull())
+    if shared.isEmpty():
+        return packed
+    placed = numbered(packed.withColumn("none", F.col("row").isNull()), [], ["none", "row"], "number")
+    return placed.select(F.col("number").alias("row"), "d")
+
+
 def running_sum(
     df: DataFrame, groups: list[str], order: list[str], value: str, out: str, block: Column, name: str = "_block"
 ) -> DataFrame:

@@ -18,8 +18,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from evalspark.llm.common import numbered
 from evalspark.plans.shared import settle
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -40,35 +40,6 @@ def _hex(binary: Column) -> Column:
     return F.lower(F.hex(binary))
 
 
-def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], number: str, count: str | None = None) -> DataFrame:
-    """Adds the place of a row in its group, from 0, and the size of the group; a written table.
-
-    Rows of equal ``order`` are spread by their place in the source, so a repeated row does not fill one partition.
-    """
-    rows = rows.withColumn("_spread", F.monotonically_increasing_id())
-    by = [*(F.col(c).asc_nulls_first() for c in (*group, *order)), F.col("_spread")]
-    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_spread")
-    ranged = settle(ranged.withColumn("_at", F.monotonically_increasing_id()), "merkle-rows")
-    # One row per group and range that it touches.
-    part = F.shiftright("_at", 33).alias("_part")
-    spans = ranged.groupBy(*group, part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"), "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_whole"),
-    )
-    spans = settle(spans, "merkle-spans")
-    same = F.shiftright("_at", 33) == F.col("_p")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    joined = ranged.join(spans, same)
-    added = [(F.col("_at") - F.col("_first") + F.col("_before")).alias(number)]
-    if count:
-        added.append(F.col("_whole").alias(count))
-    return settle(joined.select(*[c for c in ranged.columns if c != "_at"], *added), "merkle-numbers")
-
-
 def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     """Adds ``others``, the hashes of a node's siblings from left to right (binary, 32 bytes each)."""
     if arity == 2:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import matrix, slices, sorted_groups
+from evalspark.llm.common import identified, matrix, slices, sorted_groups, tidy
 from evalspark.llm.components import components
 from evalspark.plans.shared import settle
 
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "n_shingles", "sequence", "signature", "parity"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sequence long, signature array<long>, parity array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, sequence long, signature array<long>, parity array<long>")
 
 
 def _keys() -> Column:
@@ -189,7 +189,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 keep.append(union > 0 and 100 * shared >= percent * union and a != b)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -221,6 +221,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with exactly one of each group: the least doc_id (null last), also of rows that share one."""
+    rows = identified(docs)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "d.text"), width, percent)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("of"))
+    kept = rows.join(gone.hint("merge"), F.col("row") == F.col("of"), "left_anti")
+    return kept.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+
+
 def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs within the signature distance whose parities allow the similarity."""
     for end in ("a", "b"):

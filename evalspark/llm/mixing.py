@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalspark.llm.common import running_sum, word_count
+from evalspark.llm.common import identified, running_sum, word_count
 from evalspark.plans.shared import settle
 
 WEIGHTS = (5, 2, 1)
@@ -102,12 +102,13 @@ def first_time() -> Column:
     return F.get("copies", F.lit(0))["time"]
 
 
-def curriculum(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of ``docs`` once per trained copy, in order of training time; columns as in ``docs``.
 
-    Rows of one ``doc_id`` share their copies (those of the first of its plans).
+    Each row has its own plan, also if its doc_id is null or repeats.
     """
-    plan = mixed.filter(F.size("copies") > 0).groupBy(F.col("doc_id").alias("_doc")).agg(F.min(F.struct("size", "copies")).alias("_plan"))
-    plan = plan.select("_doc", F.filter("_plan.copies", lambda c: 2 * c["words"] >= F.col("_plan.size")).alias("_copies"))
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn("_copy", F.explode("_copies"))
-    return rows.orderBy("_copy.time", "doc_id").select(*[docs[c] for c in docs.columns])
+    rows = identified(docs)
+    mixed = mix(rows.select(F.col("row").alias("doc_id"), "d.source", "d.text"), weights, schedules, repeats)
+    plan = mixed.select(F.col("doc_id").alias("of"), F.filter("copies", lambda c: 2 * c["words"] >= F.col("size")).alias("copies"))
+    taken = rows.join(plan.filter(F.size("copies") > 0), F.col("row") == F.col("of")).select("row", "d", F.explode("copies.time").alias("time"))
+    return taken.orderBy("time", "row").select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,7 +83,7 @@ def test_times_invert_the_integral(spark):
 def test_curriculum_orders_copies_by_time(docs_of):
     docs = docs_of(corpus()[:-2])
     mixed = mixing.mix(docs)
-    rows = mixing.curriculum(docs, mixed)
+    rows = mixing.curriculum(docs)
     assert rows.columns == docs.columns
     copies = {r.doc_id: [c.time for c in r.copies if 2 * c.words >= r.size] for r in mixed.collect()}
     order = [r.doc_id for r in rows.collect()]
@@ -95,6 +96,19 @@ def test_curriculum_orders_copies_by_time(docs_of):
     assert times == sorted(times)
 
 
+def test_curriculum_plans_each_row_of_a_shared_id(spark):
+    """Null and repeated ids: every source still gets about its target."""
+    rng = random.Random(1)
+    rows = [(None if k % 3 else 7, " ".join(["w"] * rng.randrange(1, 40)), ("a", "b", "c")[k % 2 + (k % 7 == 0)], "keep", k) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, d string, row int").selectExpr("*", "1 AS time", "2 AS of", "3 AS copies", "4 AS none", "5 AS number")
+    found = mixing.curriculum(docs)
+    assert found.columns == docs.columns and found.filter("d <> 'keep' OR time <> 1").count() == 0
+    words = {r.source: r.n for r in found.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    want = water_fill({s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in "abc"})
+    assert all(abs(words[s] - want[s]) <= 40 for s in "abc")
+    assert max(r["count"] for r in found.groupBy("row").count().collect()) <= 3
+
+
 def test_sharding(docs_of, odd_rows):
     rng = random.Random(3)
     rows = [(k, PROSE[: rng.randrange(1, 100)] + str(k // 2), f"s{k % 5}") for k in range(4000)] + [(5000 + k, "copy", None) for k in range(50)]
@@ -224,14 +238,65 @@ def at_cosine(rng, number, width, cosine):
     return x, cosine * x + math.sqrt(1 - cosine**2) * z
 
 
-@pytest.mark.parametrize("width", [*range(2, 17), 64])
-def test_pairs_at_the_cosine_share_a_filter(width):
+@pytest.mark.parametrize("width, grade", [*((w, 0) for w in range(2, 17)), (64, 0), (7, 3), (10, 5), (16, 9), (24, 4), (32, 5), (64, 1), (64, 2), (64, 5)])
+def test_pairs_at_the_cosine_share_a_filter(width, grade):
     """2,000 pairs at exactly 0.98; lists of a fixed length lost 92% of them at width 3."""
-    found = [spherical.decode(v) for v in at_cosine(np.random.default_rng(width), 2000, width, 0.98)]
+    found = [[row for k in range(0, 2000, 500) for row in spherical.decode(v[k : k + 500], 0.98, grade)] for v in at_cosine(np.random.default_rng(width), 2000, width, 0.98)]
     lists = [[set(row[row >= 0].tolist()) for row in f] for f in found]
     assert all(a & b for a, b in zip(*lists, strict=True))
 
 
+def test_directions_follow_the_rows(spark):
+    """Unlike vectors meet about as often whatever the number of rows: directions grow with it, and lists hardly do."""
+    grades = spark.createDataFrame([(1,), (1024,), (1025,), (4097,), (300_000_000,)], "n long").select(spherical.grade_of(F.col("n")).alias("g"))
+    assert [r.g for r in grades.collect()] == [0, 0, 1, 2, 10]
+    assert [spherical.bits_of(64, g) for g in (0, 2, 3, 10)] == [16, 20, 22, 36] and spherical.bits_of(12, 4) == 18 and spherical.bits_of(5, 9) == 16
+    x = spherical.unit(np.random.default_rng(2).normal(size=(200, 64)))
+    sizes = [np.mean([(row >= 0).sum() for row in spherical.decode(x, 0.98, g)]) for g in (0, 2, 4)]
+    assert sizes[2] < 1.4 * sizes[0]
+
+
+def test_few_and_many_vectors_of_a_filter_are_compared_alike():
+    """Filters of a few vectors are compared in one go; the result is that of single comparisons."""
+    rng = np.random.default_rng(6)
+    x, y = at_cosine(rng, 60, 16, 0.985)
+    vectors = np.concatenate((x, y, spherical.unit(rng.normal(size=(30, 16)))))
+    lists = [np.sort(row[row >= 0]) for row in spherical.decode(vectors)]
+    holders = {}
+    for row, names in enumerate(lists):
+        for name in names.tolist():
+            holders.setdefault(name, []).append(row)
+    groups = [(name, rows) for name, rows in sorted(holders.items()) if len(rows) > 1]
+    flat = [(row, name) for name, rows in groups for row in rows]
+    table = pa.table({
+        "vec_id": pa.array([r for r, _ in flat], pa.int64()), "width": pa.array([16] * len(flat), pa.int32()), "filter": pa.array([n for _, n in flat], pa.int64()),
+        "embedding": pa.array([vectors[r].tolist() for r, _ in flat], pa.list_(pa.float64())), "filters": pa.array([lists[r] for r, _ in flat], pa.list_(pa.int64())),
+        "tile": pa.array([0] * len(flat), pa.int32()), "i": pa.array([0] * len(flat), pa.int32()), "j": pa.array([0] * len(flat), pa.int32()),
+    })
+    begins = np.cumsum([0, *(len(rows) for _, rows in groups)])
+    want, have = [], []
+    for at, (_, rows) in zip(begins.tolist(), groups, strict=False):
+        found = spherical.compare(table.slice(at, len(rows)), 0.98)
+        want += found.to_pylist() if found else []
+    for size in {len(rows) for _, rows in groups}:
+        found = spherical.compare_few(table, np.array([b for b, (_, rows) in zip(begins.tolist(), groups, strict=False) if len(rows) == size]), size, 0.98)
+        have += found.to_pylist() if found else []
+    key = lambda r: tuple(r.values())
+    assert want and sorted(want, key=key) == sorted(have, key=key)
+
+
+def test_tables_of_whole_groups_cut_no_group():
+    rng = np.random.default_rng(1)
+    keys = np.repeat(np.arange(60), rng.integers(1, 30, size=60))
+    rows = pa.RecordBatch.from_arrays([pa.array(keys // 7), pa.array(keys)], ["a", "b"])
+    batches = [rows.slice(k, 13) for k in range(0, rows.num_rows, 13)]
+    found = list(spherical.whole_groups(iter(batches), ["a", "b"], 50))
+    assert np.array_equal(np.concatenate([t.column("b").to_numpy() for t, _ in found]), keys) and len(found) > 5
+    for table, begins in found:
+        assert all(len(set(table.column("b").to_pylist()[i:j])) == 1 for i, j in zip(begins[:-1], begins[1:], strict=True))
+    assert sum(len(b) - 1 for _, b in found) == 60 and list(spherical.whole_groups(iter([]), ["a"], 5)) == []
+
+
 def test_decoding_lists_every_direction_above_the_threshold():
     for width in (5, 16):
         x, height = spherical.unit(np.random.default_rng(1).normal(size=(30, width))), spherical.threshold(width, 0.98)

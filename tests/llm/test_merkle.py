@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.llm import merkle
+from evalspark.llm import common, merkle
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -90,7 +90,7 @@ def test_few_rows(spark, rows, number):
 def test_one_group_of_repeated_rows_is_dealt_out(spark):
     """Rows that are equal in everything do not fill one partition."""
     docs = spark.createDataFrame([(1, "same", "en", "s", 4)], DOCS).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(4000)))).repartition(4)
-    numbers = merkle.numbered(docs.select("lang", "doc_id"), ["lang"], ["doc_id"], "i", "n")
+    numbers = common.numbered(docs.select("lang", "doc_id"), ["lang"], ["doc_id"], "i", "n")
     assert sorted(r.i for r in numbers.select("i").collect()) == list(range(4000))
     ranged = docs.select("lang", "doc_id").withColumn("_spread", F.monotonically_increasing_id()).repartitionByRange(8, "lang", "doc_id", "_spread")
     sizes = ranged.groupBy(F.spark_partition_id()).count().collect()

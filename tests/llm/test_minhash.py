@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 from evalspark.llm import minhash
 from evalspark.llm.components import components
 
+from .conftest import PROSE
+
 
 def brute(rows, width, percent=80):
     sets = {}
@@ -103,3 +105,15 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, **{k: 10 for k in range(10, 40)}, **{k: 100 for k in range(100, 161)}}
     assert found == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_exactly_one_row_of_each_group(spark):
+    """Rows that share an id, null ids and columns with the names in use."""
+    other = " ".join(f"z{k}" for k in range(30))
+    rows = [(1, PROSE), (1, PROSE), (None, PROSE), (2, PROSE + " again"), (9, other), (None, other), (None, None), (None, None), (5, ""), (1, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS row", "'x' AS d", "2 AS of", "3 AS number", "4 AS none", "5 AS _gone")
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == sorted([(1, PROSE), (9, other), (None, None), (None, None), (5, ""), (1, "short one")], key=repr)
+    plain = docs.filter("doc_id in (2, 9) or text = 'short one'")
+    assert minhash.one_of_each(plain).count() == 3 and minhash.one_of_each(docs.limit(0)).count() == 0
