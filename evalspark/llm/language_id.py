@@ -13,23 +13,21 @@ Of n n-grams, a filter with the false-positive rate f (the share of the language
 number of hashes) holds about h = t + (n - t) f where t truly belong, so t = (h - n f) / (1 - f). The language with the
 most wins; the score is its share of the n-grams. Equal ones go to the language with more text, then to the first name.
 
-Texts are split at white space; tokens longer than ``TOKEN`` characters are cut there. Words are runs of letters (Unicode
-category L) in small letters. Nulls: a text that is null or has no letter is ``und`` with score 0; so is every text if no
+Words are runs of letters (Unicode category L), in small letters; n-grams are hashed from the code points of whole texts
+at once, in parts of ``CHARACTERS`` that overlap, so texts can be of any length. Nulls: a text that is null or has no letter is ``und`` with score 0; so is every text if no
 labelled text has a letter. Rows with a null language teach nothing. Repeated rows count and are predicted one by one.
 Columns other than the named ones are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,42 +38,59 @@ UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
 MIN_RATE = 2e-5
 CONTRAST = 0.1
-HASHES = 4
+HASHES = 3
 #: Cells per n-gram in the filter, at least.
 CELLS = 16
-TOKEN = 256
-#: Tokens kept per worker process, and bytes of their counts.
-KEPT_TOKENS, KEPT_BYTES = 150_000, 32_000_000
 #: Tokens that are counted before they are handed on.
 COUNTED = 200_000
-SLICE = 2_000_000
-#: Seed of Spark's xxhash64.
-_SEED = 42
-_ALNUM = re.compile(r"[^\W\d_]+")
+#: Characters that are hashed at a time, and bytes of text read for it.
+CHARACTERS = SLICE = 500_000
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[str]:
-    found = (text or "").lower().split()
-    if found and max(map(len, found)) > TOKEN:
-        found = [t[k : k + TOKEN] for t in found for k in range(0, len(t), TOKEN)]
-    return found
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For every code point, whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def words(token: str) -> list[str]:
     """Runs of letters in a token."""
-    out = []
-    for run in _ALNUM.findall(token):
-        if not run.isalpha():  # numerals such as a raised two
-            out += "".join(c if c.isalpha() else " " for c in run).split()
-        else:
-            out.append(run)
-    return out
+    return [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
 
 
-def n_grams(token: str) -> list[str]:
-    """All n-grams of the words of a token."""
-    padded = [f" {w} " for w in words(token)]
-    return [p[k : k + n] for p in padded for n in ORDERS for k in range(len(p) - n + 1)]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def n_grams(lines: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where n-grams begin in a small-lettered text, and their hashes, part by part.
+
+    An n-gram is n characters of a word with what is before and after it, which counts as a space, whatever it is. So the
+    text has to begin and end with a character that is no letter.
+    """
+    longest = max(ORDERS)
+    for begin in range(0, len(lines), CHARACTERS):
+        codes = np.frombuffer(lines[begin : begin + CHARACTERS + longest - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[codes]
+        codes = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
+        hashes = codes
+        for n in range(2, longest + 1):
+            hashes = hashes[:-1] * _TURN + codes[n - 1 :]
+            if n in ORDERS and len(hashes):
+                # Letters but for the ends; of two characters, at least one.
+                inner = [letter[k : len(letter) - n + 1 + k] for k in range(1, n - 1)]
+                valid = np.logical_and.reduce(inner) if inner else letter[:-1] | letter[1:]
+                places = np.flatnonzero(valid[:CHARACTERS])
+                yield begin + places, _mixed(hashes[places] + np.uint64(n))
+
+
+def joined(texts: list[str]) -> tuple[str, np.ndarray]:
+    """Small-lettered texts as lines, and where each (with the line end before it) begins; one entry more than texts."""
+    low = [t.lower() for t in texts]
+    return "\n" + "".join(t + "\n" for t in low), np.cumsum([0, *(len(t) + 1 for t in low)])
 
 
 def third() -> Column:
@@ -100,7 +115,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "text", SLICE):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(tokens(text))
+                held.setdefault(lang, Counter()).update((text or "").lower().split())
             if sum(map(len, held.values())) > COUNTED:
                 yield from counted()
         yield from counted()
@@ -111,22 +126,40 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def gram_counts(counts: DataFrame) -> DataFrame:
     """``lang, gram, n``: the n-grams of counted words, as 64-bit hashes."""
-    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
 
-    def of(order: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(padded) - order + 1)
-        found = F.transform(starts, lambda k: F.xxhash64(F.substring(padded, k, F.lit(order))))
-        return F.when(F.length(padded) >= order, found).otherwise(F.array().cast("array<long>"))
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        languages = table.column("lang").to_numpy(zero_copy_only=False)
+        for lang in sorted(set(languages)):
+            own = table.filter(pa.array(languages == lang))
+            lines, begins = joined(own.column("word").to_pylist())
+            times = own.column("n").to_numpy()
+            for places, hashes in n_grams(lines):
+                weights = times[np.searchsorted(begins, places, side="right") - 1]
+                grams, at = np.unique(hashes, return_inverse=True)
+                sums = np.bincount(at, weights, minlength=len(grams)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(sums)], ["lang", "gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches, "word", SLICE):
+            held.append(batch)
+            size += batch.column("word").nbytes
+            if size >= SLICE:
+                yield from counted(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from counted(pa.Table.from_batches(held))
+
+    return counts.select("lang", "word", "n").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
 
-    return counts.select("lang", "n", F.explode(F.concat(*map(of, ORDERS))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def _halves(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64), (hashes >> np.uint64(32) | np.uint64(1)).astype(np.int64)
 
 
-def cells_of(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The cells (columns) of n-grams in a filter of ``size`` cells, a power of two."""
-    hashes = hashes.astype(np.uint64)
-    first, step = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
-    turns = np.arange(HASHES, dtype=np.uint64)
-    return ((first[:, None] + step[:, None] * turns) & np.uint64(size - 1)).astype(np.int64)
+def _cell(first: np.ndarray, step: np.ndarray, turn: int, size: int) -> np.ndarray:
+    """The cells that the turn-th hash of n-grams gives in a filter of ``size`` cells, a power of two."""
+    return (first + step * turn) & (size - 1)
 
 
 def _cells(gram: Column, size: int) -> Column:
@@ -148,18 +181,23 @@ class Filters:
         bits = [(self.cells[k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean() for k in range(len(self.languages))]
         return np.array(bits) ** HASHES
 
-    def hits(self, token_list: list[str]) -> np.ndarray:
-        """For each token: how many of its n-grams each language contains, and, last, how many it has."""
-        grams = [n_grams(t) for t in token_list]
-        flat = np.array([xxhash.xxh64_intdigest(g.encode(), _SEED) for g in chain.from_iterable(grams)], np.uint64)
-        spots, edges = cells_of(flat, self.cells.shape[1]), np.cumsum([0, *map(len, grams)])
-        out = np.zeros((len(grams), len(self.languages) + 1), np.int32)
-        out[:, -1] = np.diff(edges)
-        for k in range(0, len(self.languages), 64):
-            masks = np.bitwise_and.reduce(self.cells[k // 64][spots], axis=1)
-            for bit in range(min(64, len(self.languages) - k)):
-                sums = np.concatenate(([0], np.cumsum(masks >> np.uint64(bit) & np.uint64(1), dtype=np.int64)))
-                out[:, k + bit] = sums[edges[1:]] - sums[edges[:-1]]
+    def hits(self, texts: list[str]) -> np.ndarray:
+        """For each text: how many of its n-grams each language contains, and, last, how many it has."""
+        lines, begins = joined(texts)
+        out = np.zeros((len(texts), len(self.languages) + 1), np.int64)
+        small = np.min_scalar_type((1 << min(64, len(self.languages))) - 1)
+        rows = [row.astype(small) if len(self.cells) == 1 else row for row in self.cells]
+        for places, hashes in n_grams(lines):
+            edges = np.searchsorted(places, begins)
+            out[:, -1] += np.diff(edges)
+            first, step = _halves(hashes)
+            masks = [row[_cell(first, step, 0, len(row))] for row in rows]
+            for turn in range(1, HASHES):
+                at = _cell(first, step, turn, len(rows[0]))
+                masks = [mask & row[at] for mask, row in zip(masks, rows, strict=True)]
+            for k in range(len(self.languages)):
+                bits = masks[k // 64] >> masks[0].dtype.type(k % 64) & masks[0].dtype.type(1)
+                out[:, k] += np.diff(np.concatenate(([0], np.cumsum(bits, dtype=np.int32)))[edges])
         return out
 
     def decide(self, hits: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,22 +217,8 @@ class Filters:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = held.value
             chance, names = model.chance(), [*model.languages, UNDETERMINED]
-            limit = max(1000, min(KEPT_TOKENS, KEPT_BYTES // (4 * (len(model.languages) + 1))))
-            places: dict[str, int] = {}
-            rows = np.zeros((0, len(model.languages) + 1), np.int32)
             for batch in slices(batches, "_text", SLICE):
-                found = [tokens(t) for t in batch.column("_text").to_pylist()]
-                flat = list(chain.from_iterable(found))
-                new = list(set(flat).difference(places))
-                if len(places) + len(new) > limit:
-                    places, rows, new = {}, rows[:0], list(set(flat))
-                some = [model.hits(new[k : k + 20_000]) for k in range(0, len(new), 20_000)]
-                places.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-                rows = np.concatenate([rows, *some])
-                at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
-                sums = np.concatenate((np.zeros((1, rows.shape[1]), np.int64), np.cumsum(rows[at], axis=0, dtype=np.int64)))
-                edges = np.cumsum([0, *map(len, found)])
-                best, score = model.decide(sums[edges[1:]] - sums[edges[:-1]], chance)
+                best, score = model.decide(model.hits([t or "" for t in batch.column("_text").to_pylist()]), chance)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array([names[k] for k in best], pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
         kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)

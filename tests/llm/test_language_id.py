@@ -1,12 +1,12 @@
 """Language filters against plain counting, and accuracy on texts that were not learned from."""
 
+import itertools
 import random
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from evalspark.llm import language_id as L
@@ -34,25 +34,46 @@ def labelled():
     return [*rows, *rows[:5], (text_of(rng, "xx", 50), None), (None, "en"), ("", "de"), ("12 34 _ ² Ⅷ", "en"), ("ǅ m² don't A1B " + "x" * 700, "en")]
 
 
+def grams_of(text):
+    """N-grams as texts, from the definition."""
+    padded = [" " + "".join(run) + " " for ok, run in itertools.groupby((text or "").lower(), str.isalpha) if ok]
+    return [p[k : k + n] for p in padded for n in L.ORDERS for k in range(len(p) - n + 1)]
+
+
+def hashed(gram):
+    """The hash of an n-gram, as it stands in a text of its own."""
+    places, hashes = list(L.n_grams(f".{gram.strip()}."))[len(gram) - 2]
+    return int(hashes[places.tolist().index(0 if gram[0] == " " else 1)])
+
+
 def plain_grams(rows):
     counts = Counter()
     for text, lang in rows:
         if lang is not None:
-            for token in L.tokens(text):
-                counts.update((lang, g) for g in L.n_grams(token))
+            counts.update((lang, g) for g in grams_of(text))
     return counts
 
 
-def test_words_are_runs_of_letters():
-    assert L.words("m²x-y_z1é") == ["m", "x", "y", "z", "é"] and L.words("12 ²Ⅷ_") == []
-    assert L.n_grams("ab-c") == [" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "]
-    assert [len(t) for t in L.tokens("y" * 600 + " z")] == [256, 256, 88, 1] and L.tokens(None) == []
+def test_n_grams_are_those_of_padded_words(monkeypatch):
+    assert L.words("m²x-y_z1é") == ["m", "x", "y", "z", "é"] and L.words("12²Ⅷ_") == []
+    texts = ["ab-c", "", "x", "Ä日本 ½ ² don't", " \n\t", "ǅ" * 9, "long" * 50, "é1é"]
+    lines, begins = L.joined(texts)
+    assert lines == "\n" + "".join(t.lower() + "\n" for t in texts)
+    first = None
+    for size in (500_000, 7, 64):
+        monkeypatch.setattr(L, "CHARACTERS", size)
+        found = sorted((int(p), int(h)) for places, hashes in L.n_grams(lines) for p, h in zip(places, hashes, strict=True))
+        first = first or found
+        assert found == first  # however the text is cut
+    owner = Counter(int(np.searchsorted(begins, p, side="right")) - 1 for p, _ in found)
+    assert [owner[k] for k in range(len(texts))] == [len(grams_of(t)) for t in texts]
+    assert len({hashed(g) for t in texts for g in grams_of(t)}) == len({g for t in texts for g in grams_of(t)})
 
 
 def test_counts_equal_plain_ones(spark, labelled):
     found = L.gram_counts(L.word_counts(rows_of(spark, labelled))).collect()
-    want = {(lang, np.uint64(xxhash.xxh64_intdigest(g.encode(), 42)).astype(np.int64)): n for (lang, g), n in plain_grams(labelled).items()}
-    assert {(r["lang"], r["gram"]): r["n"] for r in found} == want
+    want = {(lang, hashed(g)): n for (lang, g), n in plain_grams(labelled).items()}
+    assert {(r["lang"], r["gram"] % 2**64): r["n"] for r in found} == want
 
 
 def plain_members(rows):
@@ -66,13 +87,18 @@ def plain_members(rows):
     return {key for key, rate in rates.items() if rate >= L.MIN_RATE and rate >= L.CONTRAST * top[key[1]]}
 
 
+def held(filters, hashes):
+    """Bitmasks of the languages that contain n-grams."""
+    row = filters.cells[0]
+    return np.bitwise_and.reduce([row[L._cell(*L._halves(hashes), turn, len(row))] for turn in range(L.HASHES)])
+
+
 def test_filters_hold_every_member_and_few_others(spark, labelled):
     members = plain_members(labelled)
     filters = L.learn(spark, rows_of(spark, labelled))
     assert filters.languages == ["de", "en", "xx", "日"] and filters.preferred[0] == 1
     grams = sorted({g for _, g in members})
-    spots = L.cells_of(np.array([xxhash.xxh64_intdigest(g.encode(), 42) for g in grams], np.uint64), filters.cells.shape[1])
-    masks = np.bitwise_and.reduce(filters.cells[0][spots], axis=1)
+    masks = held(filters, np.array([hashed(g) for g in grams], np.uint64))
     extra = 0
     for g, mask in zip(grams, masks.tolist(), strict=True):
         own = {k for k, lang in enumerate(filters.languages) if (lang, g) in members}
@@ -81,8 +107,7 @@ def test_filters_hold_every_member_and_few_others(spark, labelled):
         extra += len(have - own)
     assert extra <= 0.02 * len(grams)
     # The rate of false positives is what n-grams that nobody has show.
-    strange = L.cells_of(np.array([xxhash.xxh64_intdigest(f"{k}?".encode(), 42) for k in range(200_000)], np.uint64), filters.cells.shape[1])
-    shown = np.bitwise_and.reduce(filters.cells[0][strange], axis=1)
+    shown = held(filters, np.random.default_rng(1).integers(0, 2**64, 200_000, np.uint64))
     for k, chance in enumerate(filters.chance()):
         assert abs((shown >> np.uint64(k) & np.uint64(1)).mean() - chance) < 0.2 * chance + 1e-4
 
