@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from evalspark.functions import fixed
 from evalspark.functions.hashing import hash8
 from evalspark.operators.keys import join_on
+from evalspark.operators.ledger import hit_rate, ledger_of, unset_pairs
 from evalspark.operators.metrics import KEYS, contingency, metrics_of_cells
 from evalspark.plans.shared import settle
 
@@ -69,35 +70,19 @@ def score_pairs(
 PAIR_KEY = ("run_id", "artifact_hash", "split", "id")
 
 
-def pending_pairs(artifacts: DataFrame, examples: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pairs (``PAIR_KEY``) that have no cached prediction.
+def pending_pairs(artifacts: DataFrame, examples: DataFrame, cache: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
+    """Pairs (``PAIR_KEY``) that have no cached prediction: the missing bits of the cache's ledger.
 
-    Artifacts the cache has never seen need no look-up at all; only the pairs of the others are
-    compared with the cache, on narrow keys, without any text.
+    Finished artifacts make no pair rows. Without a ``ledger``, that of ``cache`` is built.
     """
-    known = settle(cache.groupBy("run_id", "artifact_hash").agg(F.count(F.lit(1)).alias("_n")), "cached-artifacts")
-    wanted = artifacts.select("run_id", "artifact_hash")
-    keys = examples.select("run_id", "split", "id")
-    fresh = score_pairs(join_on(wanted, known, ["run_id", "artifact_hash"], "left_anti"), keys)
-    seen = score_pairs(join_on(wanted, known, ["run_id", "artifact_hash"], "left_semi"), keys)
-    open_pairs = join_on(seen, cache.select(*PAIR_KEY), list(PAIR_KEY), "left_anti")
-    return fresh.select(*PAIR_KEY).unionByName(open_pairs.select(*PAIR_KEY))
-
-
-def cache_hit_rate(artifacts: DataFrame, examples: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pairs, cached pairs and their share, per run."""
-    wanted, lines = artifacts.select("run_id", "artifact_hash"), examples.select("run_id", "split", "id")
-    # The pairs of a run are the product of two counts; the cached ones are looked up from the cache's side.
-    sizes = [df.groupBy("run_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((wanted, "_artifacts"), (lines, "_lines"))]
-    total = join_on(*sizes, ["run_id"]).select("run_id", (F.col("_artifacts") * F.col("_lines")).alias("pairs"))
-    hits = join_on(cache.select(*PAIR_KEY), wanted, ["run_id", "artifact_hash"], "left_semi").distinct()
-    # A key that is listed several times stands for as many pairs.
-    named = wanted.groupBy("run_id", "artifact_hash").agg(F.count(F.lit(1)).alias("_a"))
-    listed = lines.groupBy("run_id", "split", "id").agg(F.count(F.lit(1)).alias("_l"))
-    hits = join_on(join_on(hits, named, ["run_id", "artifact_hash"]), listed, ["run_id", "split", "id"])
-    cached = hits.groupBy("run_id").agg(F.sum(F.col("_a") * F.col("_l")).alias("hits"))
-    joined = join_on(total, cached, ["run_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    return joined.withColumn("hit_rate", F.col("hits") / F.col("pairs"))
+    if ledger is None:
+        ledger = ledger_of(cache)
+    return unset_pairs(artifacts, examples, ledger).select(*PAIR_KEY)
+
+
+def cache_hit_rate(artifacts: DataFrame, examples: DataFrame, cache: DataFrame | None = None, ledger: DataFrame | None = None) -> DataFrame:
+    """Pairs, cached pairs and their share, per run, by counting bits."""
+    return hit_rate(artifacts, examples, ledger_of(cache) if ledger is None else ledger)
 
 
 def _blocks(artifacts: DataFrame) -> tuple[DataFrame, int]:
@@ -144,16 +129,16 @@ def scoring_work(artifacts: DataFrame, examples: DataFrame, tasks: int | None =
 
 
 def pending_work(
-    artifacts: DataFrame, examples: DataFrame, cache: DataFrame, tasks: int | None = None
+    artifacts: DataFrame, examples: DataFrame, cache: DataFrame, tasks: int | None = None, ledger: DataFrame | None = None
 ) -> DataFrame:
     """Work for the pairs that have no cached prediction.
 
     Artifacts new to the cache are paired with all examples. For the others the pending pairs are
-    found on keys, listed per example and block, and joined to the texts: an example's text is
-    shuffled once, however many of its pairs are pending.
+    found in the ledger, listed per example and block, and joined to the texts: an example's text is
+    shuffled once, however many of its pairs are pending. Without a ``ledger``, that of ``cache`` is built.
     """
     artifacts = settle(artifacts.select("run_id", "artifact_hash", "artifact").distinct(), "artifacts")
-    known = settle(cache.select("run_id", "artifact_hash").distinct(), "cached-artifacts")
+    known = settle((cache if ledger is None else ledger).select("run_id", "artifact_hash").distinct(), "cached-artifacts")
     fresh = join_on(artifacts, known, ["run_id", "artifact_hash"], "left_anti")
     seen = join_on(artifacts, known, ["run_id", "artifact_hash"], "left_semi")
     if seen.isEmpty():
@@ -162,7 +147,7 @@ def pending_work(
     members = blocks.select("run_id", "block", F.explode("artifacts.artifact_hash").alias("artifact_hash"))
     # A list holds at most the artifacts of one block.
     lists = (
-        pending_pairs(seen, examples, cache).join(members, ["run_id", "artifact_hash"])
+        pending_pairs(seen, examples, cache, ledger).join(members, ["run_id", "artifact_hash"])
         .groupBy("run_id", "split", "id", "block").agg(F.collect_set("artifact_hash").alias("_open"))
     )
     texts = _meet(blocks, _lines(examples, tasks).join(lists, ["run_id", "split", "id"]), ["run_id", "block"], size)

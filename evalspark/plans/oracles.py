@@ -293,6 +293,8 @@ CTES["cached"] = f"""
     SELECT {KEYS}, id, prediction FROM predictions WHERE split <> 'dev'
     AND (run_id, artifact_hash) IN (SELECT (run_id, artifact_hash) FROM artifacts WHERE batch <= 3)"""
 oracle("pending_pairs", f"SELECT {KEYS}, id FROM pairs EXCEPT SELECT {KEYS}, id FROM cached")
+oracle("cache_ledger", f"""SELECT {KEYS}, CAST(CASE WHEN id > 0 THEN 1 + (id - 1) // 32768 ELSE 0 END AS BIGINT) AS bucket, count(DISTINCT id) AS cached
+    FROM cached GROUP BY ALL""")
 oracle("cache_hit_rate", """
     SELECT p.run_id, p.pairs, coalesce(c.hits, 0) AS hits, round(coalesce(c.hits, 0) / p.pairs, 9) AS hit_rate
     FROM (SELECT run_id, count(*) AS pairs FROM predictions GROUP BY 1) p
@@ -352,6 +354,7 @@ CTES["prices"] = "SELECT l_linestatus, CAST(l_quantity AS VARCHAR) AS label, CAS
 CTES.update(metric_ctes("prices", "prices", "l_linestatus"))
 oracle("spearman_continuous", f"SELECT l_linestatus, {rounded('spearman')} FROM prices_rho")
 oracle("all_metrics", f"SELECT {KEYS}, {rounded(*_M)} FROM big_metrics")
+oracle("maintained_metrics", f"SELECT {KEYS}, {rounded(*_M)} FROM chain_metrics")
 oracle("all_metrics_of_empty_groups", f"""SELECT {KEYS},
     {', '.join(f"round(CASE WHEN split = 'train' OR run_id = 'en' THEN {m} ELSE 0.0 END, 9) AS {m}" for m in _M)} FROM chain_metrics""")
 oracle("metric_delta", """

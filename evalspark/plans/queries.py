@@ -13,6 +13,7 @@ from evalspark.operators import artifacts as A
 from evalspark.operators import dag as G
 from evalspark.operators import diagnosis as D
 from evalspark.operators import extract as X
+from evalspark.operators import ledger as H
 from evalspark.operators import log as L
 from evalspark.operators import metrics as M
 from evalspark.operators import scoring as C
@@ -21,6 +22,7 @@ from evalspark.plans import bindings as B
 from evalspark.plans.session import ship_package
 from evalspark.plans.shared import new_folder, settle
 from evalspark.sources import cache as K
+from evalspark.sources import cells as N
 from evalspark.sources import jsonl as J
 from evalspark.streaming import log_stream as R
 from evalspark.streaming import score_stream as RS
@@ -258,15 +260,30 @@ def align_predictions(spark, sf):
     )
 
 
+def _appended_cache(spark, sf) -> str:
+    """A cache written by three appends, of which the last repeats a part of the first."""
+    path, rows = new_folder(spark, "cache"), _cached(spark, sf).withColumn("error", F.lit(None).cast("string"))
+    for part in (F.col("split") == "train", F.col("split") != "train", (F.col("split") == "train") & (F.col("id") % 3 == 0)):
+        K.append_cache(rows.where(part), path)
+    return path
+
+
+@query
+def cache_ledger(spark, sf):
+    ledger = H.united(K.read_ledger(spark, _appended_cache(spark, sf)))
+    return ledger.select(*H.LEDGER_KEY, F.bitmap_count("bits").alias("cached"))
+
+
 @query
 def pending_pairs(spark, sf):
-    return C.pending_pairs(B.distinct_artifacts(spark, sf), B.examples(spark, sf), _cached(spark, sf))
+    ledger = K.read_ledger(spark, _appended_cache(spark, sf))
+    return C.pending_pairs(B.distinct_artifacts(spark, sf), B.examples(spark, sf), ledger=ledger)
 
 
 @query
 def cache_hit_rate(spark, sf):
-    out = C.cache_hit_rate(B.distinct_artifacts(spark, sf), B.examples(spark, sf), _cached(spark, sf))
-    return rounded(out, 9, "hit_rate")
+    ledger = K.read_ledger(spark, _appended_cache(spark, sf))
+    return rounded(C.cache_hit_rate(B.distinct_artifacts(spark, sf), B.examples(spark, sf), ledger=ledger), 9, "hit_rate")
 
 
 def _all_work(spark, sf) -> DataFrame:
@@ -301,7 +318,7 @@ def score_artifacts(spark, sf):
     path = new_folder(spark, "cache")
     K.append_cache(_cached(spark, sf).withColumn("error", F.lit(None).cast("string")), path)
     out = K.score_artifacts(
-        B.distinct_artifacts(spark, sf), B.examples(spark, sf), _failing_scorer, K.read_cache(spark, path), path
+        B.distinct_artifacts(spark, sf), B.examples(spark, sf), _failing_scorer, K.read_cache(spark, path), path, ledger=K.read_ledger(spark, path)
     )
     return rounded(out, 9, *METRICS)
 
@@ -320,7 +337,7 @@ def finished_run_is_cached(spark, sf):
     arts, exs = B.distinct_artifacts(spark, sf), B.examples(spark, sf)
     path = new_folder(spark, "cache")
     K.score_artifacts(arts, exs, B.hash_scorer_function, K.empty_cache(spark), path)
-    return C.pending_pairs(arts, exs, K.read_cache(spark, path)).agg(F.count(F.lit(1)).alias("pending"))
+    return C.pending_pairs(arts, exs, ledger=K.read_ledger(spark, path)).agg(F.count(F.lit(1)).alias("pending"))
 
 
 @query
@@ -391,6 +408,20 @@ def all_metrics(spark, sf):
     return rounded(M.all_metrics(B.big_predictions(spark, sf), label_order=B.LABEL_ORDER), 9, *METRICS)
 
 
+@query
+def maintained_metrics(spark, sf):
+    """Metrics from cells that three appends kept up to date: a first guess, then what replaces it, in two parts."""
+    path, rows = new_folder(spark, "cells"), _predictions(spark, sf)
+    N.new_store(spark, path)
+    late = F.col("id") % 3 == 0
+    guess = F.when(late, F.lit("guess")).otherwise(F.col("prediction"))
+    N.append_predictions(rows.withColumn("prediction", guess), path, 1)
+    N.append_predictions(rows.where(late & (F.col("split") != "test")), path, 2)
+    N.compact(spark, path)
+    N.append_predictions(rows.where(late & (F.col("split") == "test")), path, 3)
+    return rounded(M.metrics_of_cells(N.current_cells(spark, path)), 9, *METRICS)
+
+
 @query
 def all_metrics_of_empty_groups(spark, sf):
     have = _predictions(spark, sf).where((F.col("split") == "train") | (F.col("run_id") == "en"))

@@ -13,3 +13,5 @@ LOG_ROW = (
 )
 
 PREDICTION = "artifact_hash string, split string, id bigint, prediction string, run_id string"
+
+LEDGER = "artifact_hash string, split string, bucket bigint, bits binary, run_id string"
