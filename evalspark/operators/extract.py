@@ -92,34 +92,64 @@ def notes_summary(notes: DataFrame, text: str = "text", strict: bool = True) ->
     return notes.select(*others, F.size(found).cast("bigint").alias("constraints"), summary.alias("summary"))
 
 
+def term_tree(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefix tree of the terms' words, as written tables: ``node, word, next`` and ``node, _run, _size`` for its ends.
+
+    ``terms`` has ``_run`` and ``_words``. A node is named by a digest of the words that lead to it; the root's name is
+    empty. Terms that begin alike share their edges.
+    """
+    step = lambda seen, word: F.concat(seen, F.array(F.sha2(F.concat(F.element_at(seen, -1), F.lit(" "), word), 256)))
+    walked = settle(terms.where(F.size("_words") > 0).distinct().withColumn("_nodes", F.aggregate("_words", F.array(F.lit("")), step)), "terms")
+    steps = F.arrays_zip(F.slice("_nodes", 1, F.size("_words")).alias("node"), F.col("_words").alias("word"), F.slice("_nodes", 2, F.size("_words")).alias("next"))
+    edges = walked.select(F.explode(steps).alias("e")).select("e.node", "e.word", "e.next").distinct()
+    ends = walked.select(F.element_at("_nodes", -1).alias("node"), "_run", F.size("_words").alias("_size"))
+    return settle(edges, "term-edges"), settle(ends, "term-ends")
+
+
+def mentions(spoken: DataFrame, terms: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, _run`` of all terms that ``_words`` of ``spoken`` hold in a row; both sides have ``_words``.
+
+    The words walk the prefix tree side by side: each word that begins a term is a living prefix, and every round joins
+    the living ones with the tree on (node, next word), so only those that a term goes on with remain. Rounds are written
+    tables; there are as many as the longest living prefix has words.
+    """
+    edges, ends = term_tree(terms)
+    longest = ends.agg(F.max("_size")).first()[0] or 0
+    starts = spoken.select(*keys, F.posexplode("_words").alias("_at", "word"))
+    living = starts.join(edges.where(F.col("node") == "").select("word", "next"), "word").select(*keys, "_at", F.col("next").alias("node"))
+    if longest > 1:
+        # The words that can follow are fetched for the living ones only.
+        follow = F.slice("_words", F.col("_at") + 2, longest - 1).alias("_follow")
+        living = join_on(living, spoken, keys).select(*keys, "node", follow)
+    else:
+        living = living.select(*keys, "node", F.array().cast("array<string>").alias("_follow"))
+    found = None
+    for turn in range(longest):
+        if turn:
+            going = living.where(F.size("_follow") >= turn).withColumn("word", F.element_at("_follow", turn))
+            living = going.join(edges, ["node", "word"]).select(*keys, F.col("next").alias("node"), "_follow")
+        living = settle(living, "living-prefixes")
+        ended = living.join(ends, "node").select(*keys, "_run")
+        found = ended if found is None else found.unionByName(ended)
+        if living.isEmpty():
+            break
+    return spoken.select(*keys, F.lit(None).cast("string").alias("_run")).limit(0) if found is None else found.distinct()
+
+
 def constraint_filter(candidates: DataFrame, terms: DataFrame, keys: Sequence[str] = ("run_id", "candidate_id")) -> DataFrame:
     """Candidates whose plan and rationale mention no banned term.
 
     ``keys`` identify a candidate. Terms with a ``run_id`` hold in that run, those without (null,
-    or no such column) in all. A mention is the term's words in a row, whatever their case. Candidates are cut into word
-    sequences as long as the terms are, and the sequences meet the terms in an equi-join, so
-    neither side is compared with every row of the other.
+    or no such column) in all. A mention is the term's words in a row, whatever their case; terms can
+    be of any length.
     """
     keys = list(keys)
     run = F.col("run_id").cast("string") if "run_id" in terms.columns else F.lit(None).cast("string")
-    # Written, so that Catalyst knows whether the list is small enough to broadcast.
-    banned = settle(terms.select(run.alias("_run"), words("term").alias("_words")).where(F.size("_words") > 0).distinct(), "banned-terms")
-    lengths = banned.agg(F.coalesce(F.collect_set(F.size("_words")), F.array().cast("array<int>")))
-    spoken = candidates.select(
-        *keys, words(F.concat_ws(" ", "plan_id", "rationale")).alias("_words"), lengths.scalar().alias("_lengths")
-    )
-    starts = lambda n: F.sequence(F.lit(1), F.size("_words") - n + 1)
-    runs = F.transform(
-        F.filter("_lengths", lambda n: n <= F.size("_words")),
-        lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("_words", i, n), " ")),
-    )
-    mentions = (
-        spoken.select(*keys, F.explode(F.array_distinct(F.flatten(runs))).alias("_term"))
-        .join(banned.select("_run", F.array_join("_words", " ").alias("_term")), "_term")
-    )
+    spoken = candidates.select(*keys, words(F.concat_ws(" ", "plan_id", "rationale")).alias("_words"))
+    found = mentions(spoken, terms.select(run.alias("_run"), words("term").alias("_words")), keys)
     if "run_id" in keys:
-        mentions = mentions.where(F.col("_run").isNull() | (F.col("_run") == F.col("run_id").cast("string")))
-    return join_on(candidates, mentions.select(*keys), keys, "left_anti")
+        found = found.where(F.col("_run").isNull() | (F.col("_run") == F.col("run_id").cast("string")))
+    return join_on(candidates, found.select(*keys).distinct(), keys, "left_anti")
 
 
 def repeat_proposals(candidates: DataFrame, log: DataFrame) -> DataFrame:

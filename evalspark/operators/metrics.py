@@ -93,10 +93,14 @@ def macro_f1(predictions: DataFrame, keys: Sequence[str] = KEYS, groups: DataFra
 
 
 def confusion_matrix(predictions: DataFrame, classes: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Wide contingency: one row per group and label, one column per class predicted."""
-    return (
-        predictions.groupBy(*keys, "label").pivot("prediction", list(classes)).agg(F.count(F.lit(1)))
-        .select(*keys, "label", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("bigint").alias(f"predicted_{c}") for c in classes])
+    """Wide contingency: one row per group and label, one column per class predicted.
+
+    ``predicted_other`` counts predictions that are null or of no listed class, so a row adds up to its label's rows.
+    """
+    given = [F.col("prediction") == F.lit(c) for c in classes]
+    listed = F.coalesce(F.col("prediction").isin(list(classes)), F.lit(False))
+    return predictions.groupBy(*keys, "label").agg(
+        *[F.count_if(hit).alias(f"predicted_{c}") for c, hit in zip(classes, given, strict=True)], F.count_if(~listed).alias("predicted_other")
     )
 
 
@@ -178,8 +182,8 @@ def spearman_by_ranges(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys, "s.side", "s.value")
         .agg(F.sum("n").alias("weight"))
     )
-    # Written, so that a side with few values is broadcast and a value that most rows hold can be split.
-    ranks = settle(average_ranks(values, [*keys, "side"], "value", "weight"), "ranks")
+    # Each side below reads its own ranges only: the side is part of the ranks' groups.
+    ranks = average_ranks(values, [*keys, "side"], "value", "weight")
     for side in ("x", "y"):
         own = ranks.where(F.col("side") == side).select(
             *keys, F.col("value").alias(side), F.col("centred").alias(f"r{side}")

@@ -194,8 +194,8 @@ def average_ranks(values: DataFrame, by: Sequence[str], value: str, weight: str)
     )
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per group and range it touches; written, so that it is broadcast if it is small.
-    carry = settle(
+    # One row per group and range it touches.
+    carry = (
         ranged.groupBy(*by, "_range")
         .agg(F.sum(weight).alias("_w"))
         .select(
@@ -203,8 +203,7 @@ def average_ranks(values: DataFrame, by: Sequence[str], value: str, weight: str)
             "_range",
             F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_below"),
             F.sum("_w").over(whole).alias("_total"),
-        ),
-        "range-totals",
+        )
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))

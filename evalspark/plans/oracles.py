@@ -338,7 +338,8 @@ oracle("response_rates", f"""SELECT role, count(*) AS responses, max(length) AS
 
 oracle("contingency", "SELECT * FROM big_cells")
 oracle("confusion_matrix", f"""SELECT {KEYS}, label, count(*) FILTER (prediction = 'A') AS "predicted_A",
-    count(*) FILTER (prediction = 'N') AS "predicted_N", count(*) FILTER (prediction = 'R') AS "predicted_R" FROM big GROUP BY {KEYS}, label""")
+    count(*) FILTER (prediction = 'N') AS "predicted_N", count(*) FILTER (prediction = 'R') AS "predicted_R",
+    count(*) FILTER (coalesce(prediction NOT IN ('A', 'N', 'R'), true)) AS predicted_other FROM big GROUP BY {KEYS}, label""")
 oracle("cohen_kappa", f"SELECT {KEYS}, {rounded('kappa')} FROM chain_agree")
 oracle("macro_f1", f"SELECT {KEYS}, {rounded('f1')} FROM chain_agree")
 CTES["line_numbers"] = """

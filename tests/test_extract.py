@@ -1,3 +1,5 @@
+import random
+
 from evalspark.operators import extract as X
 
 RESPONSE = """Some thoughts.
@@ -106,3 +108,35 @@ def test_repeats(spark):
     )
     found = {(r.parent, r.same_text, r.same_plan) for r in X.repeat_proposals(new, log).collect()}
     assert found == {(9, True, False), (2, False, True)}
+
+
+def plain_mentions(texts, terms):
+    spoken = {k: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()] for k, t in texts.items()}
+    wanted = [[w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()] for t in terms]
+    return {k for k, ws in spoken.items() if any(t and ws[i : i + len(t)] == t for t in wanted for i in range(len(ws)))}
+
+
+def test_terms_of_any_length_walk_the_prefix_tree(spark):
+    """Terms that begin alike, hold each other, repeat, or are longer than the text; against a plain search."""
+    rng = random.Random(2)
+    texts = {k: " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 30))) for k in range(120)}
+    texts[500] = " ".join(f"w{i}" for i in range(400))
+    terms = [" ".join(rng.choice("abc") for _ in range(n)) for n in (4, 5, 5, 6, 7, 8)]
+    terms += ["A B-C a b c a", "a b c a b", "...", "", " ".join(f"w{i}" for i in range(5, 300)), " ".join(f"w{i}" for i in range(5, 299)) + " x"]
+    candidates = spark.createDataFrame([("r", k, "", t) for k, t in texts.items()], "run_id string, candidate_id int, plan_id string, rationale string")
+    for some in (terms, terms[:1], terms[8:9], []):
+        kept = X.constraint_filter(candidates, spark.createDataFrame([(t,) for t in some], "term string"))
+        assert {r.candidate_id for r in kept.collect()} == set(texts) - plain_mentions(texts, some)
+
+
+def test_only_living_prefixes_go_on(spark, monkeypatch):
+    """Two terms of six words and texts of 200 words that rarely begin one: few rows, where every word sequence would be 200 each."""
+    rng = random.Random(5)
+    rows = [("r", k, "", " ".join(rng.choice(["one", "two", "x", "y", "z"]) for _ in range(200))) for k in range(40)]
+    candidates = spark.createDataFrame(rows, "run_id string, candidate_id int, plan_id string, rationale string")
+    living = []
+    settle = X.settle
+    monkeypatch.setattr(X, "settle", lambda df, name: (lambda out: living.append(out.count()) or out if name == "living-prefixes" else out)(settle(df, name)))
+    X.constraint_filter(candidates, spark.createDataFrame([("one two one two one two",), ("one two one two x x",)], "term string")).count()
+    assert len(living) == 6 and living == sorted(living, reverse=True)
+    assert sum(living) < 40 * 200 / 3 and living[-1] < 20

@@ -139,3 +139,9 @@ def test_combined_and_per_class(spark):
     report = {(r.split, r["class"]): r for r in M.per_class_report(df, ["split"]).collect()}
     assert (report["d", "A"].precision, report["d", "A"].recall, report["d", "A"].support) == (0.5, 1.0, 1)
     assert (report["d", "B"].precision, report["d", "B"].recall) == (0.0, 0.0)
+
+
+def test_confusion_matrix_loses_no_row(spark):
+    rows = [("g", "a", "a"), ("g", "a", "b"), ("g", "a", None), ("g", "b", "zz"), ("g", None, "a"), ("g", None, "predicted_other")]
+    found = M.confusion_matrix(spark.createDataFrame(rows, "g string, label string, prediction string"), ["a", "b"], ["g"])
+    assert {tuple(r) for r in found.collect()} == {("g", "a", 1, 1, 1), ("g", "b", 0, 0, 1), ("g", None, 1, 0, 1)}
