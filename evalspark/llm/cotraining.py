@@ -90,13 +90,11 @@ class Classifier:
         @F.pandas_udf("double")
         def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             content, page, mix = held.value
-            views = ((content_view(), content), (page_view(), page))
+            views = [(view, weights[:-1], weights[-1]) for view, weights in ((content_view(), content), (page_view(), page))]
             for columns in batches:
                 out = np.full(len(columns[0]), mix[-1])
-                for column, (view, weights), factor in zip(columns, views, mix, strict=False):
-                    for begin in range(0, len(column), 500):
-                        texts = [t or "" for t in column.iloc[begin : begin + 500]]
-                        out[begin : begin + 500] += factor * (view.scores(texts, weights[:-1]) + weights[-1])
+                for column, (view, weights, bias), factor in zip(columns, views, mix, strict=False):
+                    out += factor * (view.scores([t or "" for t in column], weights) + bias)
                 yield pd.Series(sigmoid(out))
 
         return scored(text, page)

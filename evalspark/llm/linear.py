@@ -5,14 +5,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
+from math import fsum
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import PartStore, slices
+from evalspark.llm.common import PartStore, slices, tidy
+from evalspark.plans.shared import settle
 
 BITS = 17
 KEPT_TOKENS = 100_000
@@ -134,6 +137,31 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.append(at[:-1] / scale, at[-1])
 
 
+class Kept(dict):
+    """What ``make`` gives for a token, worked out once; emptied when it is full, which changes no result."""
+
+    def __init__(self, make: Callable, limit: int = KEPT_TOKENS):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, token: str):
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[token] = self.make(token)
+        return found
+
+
+class TokenWeights:
+    """Sums of the weights of a token's features."""
+
+    def __init__(self, of_token: Callable[[str], list[str]], weights: np.ndarray):
+        self.weights = weights
+        self.kept = Kept(lambda token: float(sum(weights[bucket(f)] for f in of_token(token))))
+
+    def total(self, tokens: list[str]) -> float:
+        return fsum(map(self.kept.__getitem__, tokens))
+
+
 class Extractor:
     """Tokens to hashed features. ``of_token`` gives the features of one token, as strings."""
 
@@ -142,6 +170,7 @@ class Extractor:
         #: Name of a feature that counts tokens equal to the one before, if that is wanted.
         self.repeats = None if repeats is None else bucket(repeats)
         self.store = PartStore(lambda tokens: [list(map(bucket, of_token(t))) for t in tokens], KEPT_TOKENS)
+        self.weighed: TokenWeights | None = None
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Features of all texts in a row, where each text begins, and the number of tokens of each."""
@@ -162,10 +191,20 @@ class Extractor:
         return ids, edges, counts
 
     def scores(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
-        """Logits without the bias; a feature counts its occurrences over the root of the number of tokens."""
-        ids, edges, counts = self.flat(texts)
-        sums = np.concatenate(([0.0], np.cumsum(weights[ids], dtype=np.float64)))
-        return (sums[edges[1:]] - sums[edges[:-1]]) / np.sqrt(np.maximum(counts, 1))
+        """Logits without the bias; a feature counts its occurrences over the root of the number of tokens.
+
+        Sums of weights are kept per token for the array ``weights`` that was given last.
+        """
+        if self.weighed is None or self.weighed.weights is not weights:
+            self.weighed = TokenWeights(self.of_token, weights)
+        out = np.empty(len(texts))
+        for row, text in enumerate(texts):
+            tokens = self.split(text)
+            total = self.weighed.total(tokens)
+            if self.repeats is not None and weights[self.repeats]:
+                total += weights[self.repeats] * sum(map(eq, tokens, islice(tokens, 1, None)))
+            out[row] = total / np.sqrt(max(len(tokens), 1))
+        return out
 
     def rows(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         ids, edges, counts = self.flat(texts)
@@ -184,10 +223,57 @@ def collect_rows(docs: DataFrame, make: Callable[[], Extractor], keep: list[str]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + lists, [*keep, "ids", "values"])
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    table = docs.select(*keep, text).mapInArrow(run, f"{kinds}, ids array<int>, values array<float>").toArrow()
-    ids = [np.array(x, np.int32) for x in table.column("ids").to_pylist()]
-    values = [np.array(x, np.float32) for x in table.column("values").to_pylist()]
-    return Rows.of(ids, values), {k: table.column(k).to_numpy() for k in keep}
+    table = docs.select(*keep, text).mapInArrow(tidy(run), f"{kinds}, ids array<int>, values array<float>").toArrow().combine_chunks()
+    return rows_of(table), {k: table.column(k).to_numpy() for k in keep}
+
+
+def rows_of(table: pa.Table | pa.RecordBatch) -> Rows:
+    """Rows from the columns ``ids`` and ``values``."""
+    ids, values = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("ids"), table.column("values")))
+    if not len(ids):
+        return Rows.of([], [])
+    edges = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).astype(np.int64)
+    return Rows(ids.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64), edges)
+
+
+def frequencies(docs: DataFrame, make: Callable[[], Extractor], text: str = "text") -> np.ndarray:
+    """In how many rows of ``docs`` each hashed feature occurs: one aggregation over all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor, counts = make(), np.zeros(1 << BITS, np.int64)
+        kept = Kept(lambda token: tuple(map(bucket, extractor.of_token(token))))
+        for batch in slices(batches, text, SLICE):
+            found = [set(chain.from_iterable(map(kept.__getitem__, set(extractor.split(t or ""))))) for t in batch.column(text).to_pylist()]
+            flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+            counts += np.bincount(flat, minlength=1 << BITS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
+
+    summed = docs.select(text).mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # 2 ** BITS rows at most
+    out = np.zeros(1 << BITS, np.int64)
+    out[summed.column("id").to_numpy()] = summed.column("n").to_numpy()
+    return out
+
+
+def reduced_rows(docs: DataFrame, make: Callable[[], Extractor], wanted: np.ndarray, text: str = "text") -> DataFrame:
+    """``ids, values`` of the rows that have a feature marked in ``wanted``, with these features only; a written table."""
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor, marked = make(), np.unpackbits(held.value).astype(bool)
+        kept = Kept(lambda token: tuple(i for i in map(bucket, extractor.of_token(token)) if marked[i]))
+        for batch in slices(batches, text, SLICE):
+            ids, values = [], []
+            for t in batch.column(text).to_pylist():
+                tokens = extractor.split(t or "")
+                found = list(chain.from_iterable(map(kept.__getitem__, tokens)))
+                if found:
+                    own, times = np.unique(np.array(found, np.int32), return_counts=True)
+                    ids.append(own)
+                    values.append((times / np.sqrt(len(tokens))).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["ids", "values"])
+
+    return settle(docs.select(text).mapInArrow(tidy(run), "ids array<int>, values array<float>"), "reduced-rows")
 
 
 def fold() -> Column:

@@ -1,10 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The positives are confirmed toxic documents; the unlabelled set is drawn from all documents, toxic ones among them. With
-the class prior p, the risk of a classifier g is p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]): the second term estimates
-the risk on the negatives and cannot fall below 0; where a batch makes it negative, the step is taken back instead.
-A linear numpy classifier on hashed words and word beginnings minimises it; its logits are calibrated on labelled
-documents that were not among the positives. Labels, ids, languages and sources are never inputs of a score.
+The positives are confirmed toxic documents (at most ``MAX_POSITIVE``); the unlabelled set is all documents that take part
+in learning, toxic ones among them. With the class prior p, the risk of a classifier g is p E+[l(g)] + max(0, Eu[l(-g)] -
+p E+[l(-g)]): the second term estimates the risk on the negatives and cannot fall below 0; where it is negative, the step
+is taken back instead. A linear numpy classifier on hashed words and word beginnings minimises it; its logits are
+calibrated on labelled documents that were not among the positives. Labels, ids, languages and sources are never inputs
+of a score.
+
+All unlabelled documents count twice. One aggregation gives the share of them that has each feature, by which features
+that say nothing are left out. Then each document is cut down to the other ones, a small written table, and the unlabelled
+part of the risk and of its gradient is summed over that table in every step; documents without any of them share one
+logit, so their number is enough.
 
 Nulls: a null text is an empty one, and has a score. Null labels are not used; of several labels of a document the
 largest counts. Without positives every score is the prior. Repeated rows are scored one by one.
@@ -12,22 +18,24 @@ largest counts. Without positives every score is the prior. Repeated rows are sc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.linear import BITS, Adam, Extractor, Rows, calibrate, collect_rows, fold, sample, sigmoid, with_bias
+from evalspark.llm.linear import BITS, Adam, Extractor, Rows, calibrate, collect_rows, fold, frequencies, reduced_rows, rows_of, sample, sigmoid, with_bias
 
 #: Bounds of the samples that the classifier is fitted on.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 2000, 4000, 2000
+MAX_POSITIVE, MAX_CALIBRATION = 2000, 2000
 #: Documents with this remainder take no part in learning.
 HELD_OUT, CALIBRATION = 2, 3
 THRESHOLD = 0.3
-EPOCHS, BATCH = 60, 400
+#: Steps over all rows, and how far a step moves a weight at first.
+STEPS, RATE = 60, 0.3
 #: Standard errors by which a feature's share among positives must exceed its share among all.
 MIN_Z = 5.0
 _EDGE = ".,;:!?\"'()[]{}<>|#*$%&…«»"
@@ -60,46 +68,86 @@ class Classifier:
         @F.pandas_udf("double")
         def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             weights, slope, offset = held.value
-            found = extractor()
+            found, own = extractor(), weights[:-1]
             for batch in batches:
-                out = np.empty(len(batch))
-                for begin in range(0, len(batch), 500):
-                    texts = [t or "" for t in batch.iloc[begin : begin + 500]]
-                    out[begin : begin + 500] = found.scores(texts, weights[:-1]) + weights[-1]
+                out = found.scores([t or "" for t in batch], own) + weights[-1]
                 yield pd.Series(sigmoid(slope * out + offset))
 
         return scored(text)
 
 
-def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = EPOCHS, batch: int = BATCH, seed: int = 11) -> np.ndarray:
-    """Weights (the last is the bias) that minimise the non-negative risk with logistic loss."""
-    rng, model = np.random.default_rng(seed), Adam()
-    steps = max(1, -(-len(unlabelled) // batch))
-    size = -(-len(positive) // steps)
-    for _ in range(epochs):
-        of_p, of_u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-        for step in range(steps):
-            u = unlabelled.take(of_u[step * batch : (step + 1) * batch])
-            p = positive.take(np.take(of_p, np.arange(step * size, (step + 1) * size), mode="wrap"))
-            at_p, at_u = model.logits(p), model.logits(u)
-            negative_risk = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
-            inner = with_bias(u, sigmoid(at_u) / len(u)) - with_bias(p, prior * sigmoid(at_p) / len(p))
-            if negative_risk < 0:
-                model.move(-inner)
-            else:
-                model.move(with_bias(p, prior * (sigmoid(at_p) - 1) / len(p)) + inner)
+@dataclass
+class Sums:
+    """Of the unlabelled rows: their number, the sum of the loss l(-g), and the sums of its gradient (bias last)."""
+
+    rows: int
+    loss: float
+    gradient: np.ndarray
+
+
+def sums_of(rows: Rows, weights: np.ndarray, more: int = 0) -> Sums:
+    """Sums over rows, and over ``more`` rows without features."""
+    at, bias = rows.logits(weights[:-1]) + weights[-1], weights[-1]
+    gradient = with_bias(rows, sigmoid(at))
+    gradient[-1] += more * sigmoid(bias)
+    return Sums(len(rows) + more, float(np.logaddexp(0, at).sum() + more * np.logaddexp(0, bias)), gradient)
+
+
+def distributed(rows: DataFrame, number: int) -> Callable[[np.ndarray], Sums]:
+    """``sums_of`` over a written table of ``ids, values`` and the rows without features that make up ``number``.
+
+    Every task sums its rows, Spark adds the tasks' sums up by feature; the driver gets one row per feature in use.
+    """
+    spark, held = rows.sparkSession, rows.count()
+
+    def sums(weights: np.ndarray) -> Sums:
+        some = np.flatnonzero(weights[:-1])
+        known = spark.sparkContext.broadcast((some, weights[some], weights[-1]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places, values, bias = known.value
+            own, gradient, loss = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), 0.0
+            own[places], own[-1] = values, bias
+            for batch in batches:
+                found = sums_of(rows_of(batch), own)
+                gradient += found.gradient
+                loss += found.loss
+            used = np.flatnonzero(gradient)
+            yield pa.RecordBatch.from_arrays([pa.array([*used.tolist(), -1], pa.int64()), pa.array([*gradient[used].tolist(), loss])], ["id", "value"])
+
+        total = rows.mapInArrow(run, "id long, value double").groupBy("id").agg(F.sum("value").alias("value")).toArrow()
+        ids, values = total.column("id").to_numpy(), total.column("value").to_numpy()
+        out = sums_of(Rows.of([], []), weights, number - held)
+        out.gradient[ids[ids >= 0]] += values[ids >= 0]
+        return Sums(number, out.loss + float(values[ids < 0].sum()), out.gradient)
+
+    return sums
+
+
+def fit_nnpu(positive: Rows, unlabelled: Callable[[np.ndarray], Sums], prior: float, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
+    """Weights (the last is the bias) that minimise the non-negative risk with logistic loss, step by step over all rows."""
+    model = Adam(rate)
+    for step in range(steps):
+        model.rate = rate * (1 - step / steps)
+        at_p, u = model.logits(positive), unlabelled(model.weights)
+        negative_risk = u.loss / u.rows - prior * np.logaddexp(0, at_p).mean()
+        inner = u.gradient / u.rows - with_bias(positive, prior * sigmoid(at_p) / len(positive))
+        if negative_risk < 0:
+            model.move(-inner)
+        else:
+            model.move(with_bias(positive, prior * (sigmoid(at_p) - 1) / len(positive)) + inner)
     return model.weights
 
 
-def telling(positive: Rows, unlabelled: Rows, limit: float = MIN_Z) -> np.ndarray:
-    """Marks features that more of the positives have than chance allows, given their share of the unlabelled."""
-    share = (unlabelled.frequency() + 1) / (len(unlabelled) + 2)
+def telling(positive: Rows, frequency: np.ndarray, rows: int, limit: float = MIN_Z) -> np.ndarray:
+    """Marks features that more of the positives have than chance allows, given how many of all ``rows`` have them."""
+    share = (frequency + 1) / (rows + 2)
     z = (positive.frequency() / len(positive) - share) / np.sqrt(share * (1 - share) / len(positive))
     return (z > limit) & (positive.frequency() > 2)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """Fit on bounded samples of the documents that are not held out."""
+    """Fit on bounded samples of the labelled documents and on all others that are not held out."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.filter(fold() != HELD_OUT)
     counts = marks.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
@@ -108,22 +156,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     fit = fold() != CALIBRATION
     positives = sample(marks.filter((F.col("toxic") == 1) & fit), MAX_POSITIVE, 1)
     held = sample(marks.filter(~fit), MAX_CALIBRATION, 2)
-    # One pass over the texts for all three samples; at most 4,000 ids are broadcast to pick the labelled ones.
-    pool = known.filter((fold() != HELD_OUT) & fit)
-    number = pool.count()
-    share = min(1.0, MAX_UNLABELLED / max(1, number))
-    drawn = (fold() != HELD_OUT) & fit & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    picks = positives.select("doc_id", F.lit(1).alias("part")).unionByName(held.select("doc_id", (F.lit(2) + F.col("toxic")).cast("int").alias("part")))
-    rows = known.join(F.broadcast(picks.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left")
-    rows = rows.select("text", F.coalesce("part", F.lit(0)).cast("int").alias("part"), drawn.alias("drawn")).filter((F.col("part") > 0) | F.col("drawn"))
-    data, kept = collect_rows(rows, extractor, ["part", "drawn"])
-    part, drawn_rows = kept["part"], kept["drawn"].astype(bool)
-    positive, unlabelled = np.flatnonzero(part == 1), np.flatnonzero(drawn_rows)
-    if not len(positive) or not len(unlabelled):
+    # The labelled samples; at most 4,000 ids are broadcast to pick them.
+    picks = positives.select(F.col("doc_id").alias("_id"), F.lit(1).alias("part")).unionByName(held.select(F.col("doc_id").alias("_id"), (F.lit(2) + F.col("toxic")).cast("int").alias("part")))
+    rows = known.join(F.broadcast(picks), F.col("doc_id") == F.col("_id")).select("text", F.col("part").cast("int").alias("part"))
+    data, kept = collect_rows(rows, extractor, ["part"])
+    part = kept["part"]
+    pool = known.filter((fold() != HELD_OUT) & fit).select("text")
+    number, positive = pool.count(), np.flatnonzero(part == 1)
+    if not len(positive) or not number:
         odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else (-30.0 if prior == 0 else 30.0)
         return Classifier(np.zeros((1 << BITS) + 1), 0.0, float(odds))
-    data = data.only(telling(data.take(positive), data.take(unlabelled)))
-    weights = fit_nnpu(data.take(positive), data.take(unlabelled), prior)
+    wanted = telling(data.take(positive), frequencies(pool, extractor), number)
+    data = data.only(wanted)
+    weights = fit_nnpu(data.take(positive), distributed(reduced_rows(pool, extractor, wanted), number), prior)
     check = np.flatnonzero(part >= 2)
     slope, offset = calibrate((data.take(check).logits(weights[:-1]) + weights[-1])[:, None], part[check] - 2)
     return Classifier(weights, float(slope), float(offset))

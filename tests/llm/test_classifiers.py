@@ -56,12 +56,67 @@ def test_the_negative_risk_is_bounded():
     rng = np.random.default_rng(0)
     rows = lambda n: linear.Rows.of([np.sort(rng.choice(300, 20, replace=False)).astype(np.int32) for _ in range(n)], [np.full(20, 0.2, np.float32)] * n)
     positive, unlabelled = rows(40), rows(200)
-    weights = toxicity.fit_nnpu(positive, unlabelled, 0.3, epochs=40)
+    weights = toxicity.fit_nnpu(positive, lambda w: toxicity.sums_of(unlabelled, w), 0.3, steps=400, rate=0.05)
     at = [r.logits(weights[:-1]) + weights[-1] for r in (positive, unlabelled)]
     negative = np.logaddexp(0, at[1]).mean() - 0.3 * np.logaddexp(0, at[0]).mean()
     assert negative > -0.05
 
 
+def test_sums_over_a_table_equal_plain_ones(spark):
+    """Loss and gradient of the unlabelled rows, added up by tasks, against one loop per row."""
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.choice(50, rng.integers(1, 6), replace=False)).astype(np.int32) for _ in range(300)]
+    values = [rng.random(len(x)).astype(np.float32) for x in lists]
+    table = spark.createDataFrame([(x.tolist(), v.tolist()) for x, v in zip(lists, values, strict=True)], "ids array<int>, values array<float>").repartition(7)
+    weights = np.zeros((1 << linear.BITS) + 1)
+    weights[:50], weights[-1] = rng.normal(size=50), -0.4
+    loss, gradient = 0.0, np.zeros_like(weights)
+    for x, v in [*zip(lists, values, strict=True), *[(np.zeros(0, int), np.zeros(0))] * 45]:
+        z = float(weights[x] @ v) + weights[-1]
+        loss += np.log1p(np.exp(z))
+        gradient[x] += v / (1 + np.exp(-z))
+        gradient[-1] += 1 / (1 + np.exp(-z))
+    found = toxicity.distributed(table, 345)(weights)
+    assert found.rows == 345 and found.loss == pytest.approx(loss) and np.allclose(found.gradient, gradient)
+
+
+def test_features_are_counted_over_all_rows(spark, docs_of, odd_rows):
+    rows = [*odd_rows, (50, "brook brook brooks"), (51, "Brook!")]
+    found = linear.frequencies(docs_of(rows), toxicity.extractor)
+    want = np.zeros_like(found)
+    for _, text in rows:
+        own = {linear.bucket(f) for t in toxicity.tokens(text or "") for f in toxicity.token_features(t)}
+        want[list(own)] += 1
+    assert (found == want).all() and found[linear.bucket("w:brook")] == 2
+    wanted = np.zeros(1 << linear.BITS, bool)
+    wanted[[linear.bucket("w:brook"), linear.bucket("5:brook")]] = True
+    kept = [(r.ids, r.values) for r in linear.reduced_rows(docs_of(rows), toxicity.extractor, wanted).collect()]
+    both = sorted([linear.bucket("w:brook"), linear.bucket("5:brook")])
+    assert sorted(len(i) for i, _ in kept) == [1, 2]
+    assert next(v for i, v in kept if i == both) == pytest.approx([x / 3**0.5 for x in ((2, 1) if both[0] == linear.bucket("w:brook") else (1, 2))])
+
+
+def test_a_rare_word_that_only_the_whole_corpus_proves_is_used(spark, docs_of):
+    """One in 400 documents has the toxic word. Few positives have it, too, but hardly any other text; and a word that is as
+    common in the whole corpus as among the positives is left out."""
+    rng = random.Random(3)
+    rows, marks = [], []
+    for k in range(6000):
+        words = [rng.choice(PROSE.split()) for _ in range(12)]
+        toxic = k % 60 == 1
+        if toxic:
+            words.append("vexword" if k % 600 < 90 else "grumble")
+        if k % 3 == 0 or toxic:
+            words.append("common")
+        rows.append((k, " ".join(words)))
+        if toxic or k % 40 == 0:
+            marks.append((k, int(toxic)))
+    docs, labels = docs_of(rows), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    found = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, labels).collect()}
+    toxic = {k for k in found if k % 60 == 1}
+    assert np.mean([found[k] for k in toxic]) > 0.9 and np.mean([found[k] for k in found if k not in toxic]) < 0.02
+
+
 def test_quality(corpus, docs_of, odd_rows, no_labels):
     docs, labels, _, junk = corpus
     found = cotraining.score_quality(docs, labels).collect()
