@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over document metadata, with shards of nearly equal bytes.
 
 Equal texts form one group and stay together; a group is a point in metadata space (size, source, language, smallest
-doc_id) that weighs its bytes. A node of the tree is split at a weighted median along the dimension in which it is
+doc_id; strings by their rank among the distinct ones) that weighs its bytes. A node of the tree is split at a weighted median along the dimension in which it is
 widest, until each leaf has its target bytes. Medians are found without sorting: bytes are summed in up to 1,024 bins of
 each node, and the bin that holds the median is binned again, until its weight is below the tolerance or it holds one
 key. Each such pass is one aggregation; nodes x bins rows reach the driver.
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import running_sum
+from evalspark.llm.common import numbered, running_sum
 from evalspark.plans.shared import settle
 
 BINS = 1024
@@ -71,10 +71,11 @@ def points(rows: DataFrame) -> DataFrame:
         "text-groups",
     )
 
-    def code(name: str) -> Column:
-        """The first seven bytes as a number, which keeps the order of the strings."""
-        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double"), F.lit(-1.0))
-
+    for name in ("source", "lang"):
+        # Strings stand at their rank among the distinct ones, null first; the ranks come from a range partitioning.
+        ranks = numbered(groups.select(F.col(name).alias("_value")).distinct(), [], ["_value"], f"{name}_rank")
+        groups = groups.join(ranks, F.col(name).eqNullSafe(F.col("_value"))).drop("_value")
+    code = lambda name: F.col(f"{name}_rank").cast("double")
     values = {"by_size": F.log2("size"), "by_source": code("source"), "by_lang": code("lang"), "by_id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0))}
     range_ = groups.agg(*[f(v).alias(f"{n}_{k}") for n, v in values.items() for k, f in (("low", F.min), ("high", F.max))]).first()
     low32 = F.col("_text").bitwiseAND(0xFFFFFFFF)

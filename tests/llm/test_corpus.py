@@ -238,6 +238,44 @@ def at_cosine(rng, number, width, cosine):
     return x, cosine * x + math.sqrt(1 - cosine**2) * z
 
 
+def test_sources_that_begin_alike_are_told_apart(spark):
+    """Ranks of whole strings, not of their first bytes; null first, and in the order of their bytes."""
+    sources = [None, "", "https://site0.org", "https://site0.orga", "https://site1.org", "https://é.org"]
+    rows = [(k, f"text {k}", sources[k % 6], "en" if k % 2 else None) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    placed = sharding.points(sharding.sized(docs)).join(sharding.sized(docs), "_text").select("source", "lang", F.shiftright("by_source", 32).alias("s"), F.shiftright("by_lang", 32).alias("l"))
+    found = {(r.source, r.s) for r in placed.collect()}
+    assert [x for x, _ in sorted(found, key=lambda r: r[1])] == sources and len({s for _, s in found}) == 6
+    assert len({(r.lang, r.l) for r in placed.collect()}) == 2
+
+
+def plain_tree(points, first, leaves):
+    """Leaves of a k-d tree: split at the weighted median along the widest dimension, one list at a time."""
+    if leaves == 1 or not points:
+        return {p["_text"]: first for p in points}
+    span = {d: max(p[d] for p in points) - min(p[d] for p in points) for d in sharding.DIMENSIONS}
+    widest = max(sharding.DIMENSIONS, key=span.get)
+    half, goal, held = leaves // 2, sum(p["bytes"] for p in points) * (leaves // 2) / leaves, 0
+    keys = sorted({p[widest] for p in points})
+    for key in keys:
+        own = sum(p["bytes"] for p in points if p[widest] == key)
+        if held + own >= goal or key == keys[-1]:
+            cut = key if held + own - goal <= goal - held else key - 1
+            break
+        held += own
+    return plain_tree([p for p in points if p[widest] <= cut], first, half) | plain_tree([p for p in points if p[widest] > cut], first + half, leaves - half)
+
+
+def test_shards_equal_a_plain_tree(spark):
+    rng = random.Random(9)
+    rows = [(k, "x" * int(rng.lognormvariate(3, 1.5)) + str(k), f"https://site{rng.randrange(7)}.org", rng.choice(["en", "de", None])) for k in range(250)]
+    points = sharding.points(sharding.sized(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")))
+    for shards in (2, 7, 16):
+        tree = sharding.build(points, shards, tolerance=0)
+        found = {r["_text"]: r["shard"] for r in points.select("_text", tree.leaf().alias("shard")).collect()}
+        assert found == plain_tree([r.asDict() for r in points.collect()], 0, shards)
+
+
 @pytest.mark.parametrize("width, grade", [*((w, 0) for w in range(2, 17)), (64, 0), (7, 3), (10, 5), (16, 9), (24, 4), (32, 5), (64, 1), (64, 2), (64, 5)])
 def test_pairs_at_the_cosine_share_a_filter(width, grade):
     """2,000 pairs at exactly 0.98; lists of a fixed length lost 92% of them at width 3."""
