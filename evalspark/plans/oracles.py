@@ -591,6 +591,13 @@ ORACLES["stream_windows"] = """
     SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS plan_id, count(*) AS proposals,
            count(*) FILTER (WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)) AS unstreamed
     FROM events GROUP BY ALL"""
+ORACLES["stream_late_rows"] = """
+    WITH arrived AS (SELECT ts, event_type, CASE WHEN event_id % 10 = 0 THEN 3 ELSE (day(ts) - 1) // 8 END AS file FROM events),
+    marks AS (SELECT f AS file, (SELECT max(ts) FROM arrived WHERE file < f) - INTERVAL 10 MINUTE AS mark FROM range(5) t(f))
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS plan_id, count(*) AS proposals,
+           count(*) FILTER (WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark) AS unstreamed,
+           date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT mark FROM marks WHERE file = 4) AS closed
+    FROM arrived JOIN marks USING (file) GROUP BY date_trunc('hour', ts), event_type"""
 oracle("stream_dedupe", "SELECT run_id, iter, plan_id FROM log")
 oracle("stream_score", f"SELECT {KEYS}, {rounded(*_M)} FROM chain_metrics")
 oracle("stream_score_failures", f"""

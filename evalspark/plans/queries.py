@@ -745,7 +745,7 @@ def stream_log(spark, sf):
     path, out, state = (new_folder(spark, n) for n in ("log-files", "progress", "progress-state"))
     J.log_rows(_log(spark, sf)).repartition(8).write.partitionBy("run_id").json(path)
     stream = R.batch_progress(R.log_stream(spark, path, files_per_batch=5))
-    R.write_upserts(stream, out, state).awaitTermination()
+    R.write_upserts(stream, out, state, ["run_id", "batch"], compact_every=3).awaitTermination()
     progress = R.read_upserts(spark, out, ["run_id", "batch"])
     return rounded(R.best_so_far(progress), 9, "best_kappa_dev", "best_so_far")
 
@@ -755,7 +755,8 @@ def stream_plans(spark, sf):
     """Plan counts kept up to date by a stream over the log's files."""
     path, out, state = (new_folder(spark, n) for n in ("log-files", "plans", "plans-state"))
     J.log_rows(_log(spark, sf)).repartition(8).write.partitionBy("run_id").json(path)
-    R.write_upserts(R.plan_counts(R.log_stream(spark, path, files_per_batch=5)), out, state).awaitTermination()
+    counts = R.plan_counts(R.log_stream(spark, path, files_per_batch=5))
+    R.write_upserts(counts, out, state, ["run_id", "plan_id"], compact_every=2).awaitTermination()
     return R.read_upserts(spark, out, ["run_id", "plan_id"])
 
 
@@ -773,6 +774,20 @@ def stream_windows(spark, sf):
     return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query
+def stream_late_rows(spark, sf):
+    """Events per type and hour, where every tenth event comes with the last of four files, however old it is."""
+    path, out, state = (new_folder(spark, n) for n in ("event-files", "windows", "windows-state"))
+    events = B.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("plan_id"), "event_id")
+    quarter = F.when(F.col("event_id") % 10 == 0, 3).otherwise(F.floor((F.dayofmonth("ts") - 1) / 8))
+    for number in range(4):  # files are taken in the order in which they were written
+        events.where(quarter == number).coalesce(1).write.mode("append").parquet(path)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    R.write_windows(rows, out, state, width="1 hour").awaitTermination()
+    done = R.counted_windows(spark, out, width="1 hour")
+    return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query
 def stream_dedupe(spark, sf):
     """Log rows of a log in which two batches were appended twice."""

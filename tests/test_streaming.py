@@ -33,6 +33,69 @@ def test_progress_survives_restarts(spark, tmp_path):
     assert [r.best_so_far for r in best] == [0.5, 0.7, 0.7]
 
 
+def folders(path):
+    return {name: sorted(int(x.split("=")[1]) for x in os.listdir(f"{path}/{name}") if "=" in x) if os.path.exists(f"{path}/{name}") else [] for name in ("changes", "generations", "pointer")}
+
+
+def test_upserts_are_compacted_into_generations(spark, tmp_path, monkeypatch):
+    """The newest rows stay the same whatever happens on the way, and old folders go."""
+    path, keys, want = str(tmp_path / "out"), ["k"], {}
+    read = lambda: {r.k: (r.v, r.w) for r in R.read_upserts(spark, path, keys).collect()}
+    change = lambda b: [(b % 3, b, None if b % 2 else "x"), (100 + b, b, "y")]
+
+    def step(batch):
+        R.upsert(spark.createDataFrame(change(batch), "k int, v int, w string").coalesce(1), batch, path, keys, compact_every=4)
+        want.update({k: (v, w) for k, v, w in change(batch)})
+
+    for batch in range(9):
+        step(batch)
+        assert read() == want
+    assert folders(path) == {"changes": [8], "generations": [7], "pointer": [7]}
+    step(8)  # a repeated micro-batch
+    # A job that ends while it writes the next generation: the pointer still names the one before.
+    for batch in (9, 10):
+        step(batch)
+    monkeypatch.setattr(R, "_delete", lambda *a: 1 / 0)
+    spark.createDataFrame([(0, 0, "half")], "k int, v int, w string").write.parquet(f"{path}/generations/upto=11")
+    assert read() == want
+    try:
+        step(11)
+    except ZeroDivisionError:
+        pass
+    want.update({k: (v, w) for k, v, w in change(11)})
+    assert read() == want  # switched, though nothing old is deleted yet
+    monkeypatch.undo()
+    R.compact_upserts(spark, path, keys, 11)  # nothing to do
+    for batch in range(12, 17):
+        step(batch)
+    assert read() == want and folders(path) == {"changes": [16], "generations": [15], "pointer": [15]}
+
+
+def test_late_rows_correct_closed_windows(spark, tmp_path):
+    """Three files, of which two bring rows out of order; a restart in between."""
+    log, out, state = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "state")
+    run = lambda: R.write_windows(R.log_stream(spark, str(log), files_per_batch=1), out, state).awaitTermination()
+    read = lambda: {(r.m, r.plan_id): (r.proposals, r.unstreamed, r.closed) for r in R.counted_windows(spark, out).withColumn("m", F.minute("window_start")).collect()}
+    put(log, "a.json", [(1, 0, 0.1), (4, 5, 0.1), (7, 20, 0.1)], 1_000)
+    run()
+    assert read() == {(0, "p1"): (1, 0, True), (5, "p1"): (1, 0, True), (20, "p1"): (1, 0, False)}
+    # The watermark stands at 10: minutes 5 and 9 are late, 10 and 12 are not.
+    put(log, "b.json", [(10, 5, 0.1), (11, 9, 0.1), (13, 10, 0.1), (16, 12, 0.1), (19, 40, 0.1)], 2_000)
+    put(log, "c.json", [(22, 20, 0.1), (25, 29, 0.1), (28, 30, 0.1)], 3_000)
+    run()
+    want = {
+        (0, "p1"): (1, 0, True), (5, "p1"): (2, 1, True), (9, "p2"): (1, 1, True), (10, "p1"): (1, 0, True), (12, "p1"): (1, 0, True),
+        (20, "p1"): (2, 1, True), (29, "p1"): (1, 1, True), (30, "p1"): (1, 0, False), (40, "p1"): (1, 0, False),
+    }
+    assert read() == want
+    assert sorted((r.iter, r.micro_batch) for r in R.late_rows(spark, out).collect()) == [(10, 1), (11, 1), (22, 2), (25, 2)]
+    run()  # nothing new
+    assert read() == want
+    # What is counted is what all rows give, without reading them again.
+    every = R.proposals_per_window(spark.read.schema(R.LOG_ROW).json(str(log)).withColumn("ts", F.col("ts").cast("timestamp")))
+    assert sorted(r.proposals for r in every.collect()) == sorted(n for n, _, _ in want.values())
+
+
 def test_windows_close_with_the_watermark(spark, tmp_path):
     log, out = tmp_path / "log", str(tmp_path / "out")
     put(log, "a.json", [(i, m, 0.1) for i, m in enumerate([0, 0, 5, 20], 1)], 1_000)
