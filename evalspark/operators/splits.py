@@ -109,6 +109,11 @@ def stratified_split(
     histogram = prefix_histogram(keyed, groups, "_key")
     counts = histogram.groupBy(*groups).agg(F.sum("_n").alias("n"))
     quotas = split_quotas(counts, ["_all", *by], stratum, train, dev, test)
+    return _labelled(keyed, groups, quotas, histogram).select(*df.columns, "split")
+
+
+def _labelled(keyed: DataFrame, groups: Sequence[str], quotas: DataFrame, histogram: DataFrame) -> DataFrame:
+    """Add ``split`` by the order of ``_key``: in each group ``test`` rows, then ``dev`` rows, then the rest."""
     cuts = quotas.select(
         *groups,
         F.explode(
@@ -126,13 +131,72 @@ def stratified_split(
         ),
         "split-borders",
     )
-    labelled = join_on(keyed, borders, groups, "left", null_safe=True)
     split = (
         F.when(F.col("_key") <= F.col("_last_test"), "test")
         .when(F.col("_key") <= F.col("_last_dev"), "dev")
         .otherwise("train")
     )
-    return labelled.select(*df.columns, split.alias("split"))
+    return join_on(keyed, borders, groups, "left", null_safe=True).withColumn("split", split)
+
+
+def _targets(counts: DataFrame, by: Sequence[str], stratum: str, train: int, dev: int, test: int) -> DataFrame:
+    """``by``, stratum, ``split``, ``target``: the quotas of sizes ``n``, one row per split."""
+    quotas = split_quotas(counts, by, stratum, train, dev, test)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("target")) for s in fixed.SPLITS]))
+    return quotas.select(*by, stratum, each.alias("q")).select(*by, stratum, "q.*")
+
+
+def grow_split(
+    published: DataFrame,
+    fresh: DataFrame,
+    stratum: str = "domain",
+    by: Sequence[str] = (),
+    identity: Sequence[str] = ("id",),
+    seed: int = fixed.SEED,
+    train: int = fixed.TRAIN_PERMILLE,
+    dev: int = fixed.DEV_PERMILLE,
+    test: int = fixed.TEST_PERMILLE,
+) -> DataFrame:
+    """Add ``split`` to ``fresh`` rows that join a ``published`` split, of which no row moves.
+
+    The quotas of old and new rows together say how many rows every split of a stratum lacks. Where
+    the new rows are as many, each split gets what it lacks, and the sizes are those of a split made
+    anew; where a split has more than its quota already, the new rows are shared among the others in
+    proportion to what they lack, by largest remainder (``split_drift`` reports what is left). New
+    rows are dealt out in the order of their keys, so neither their order nor their partitions matter.
+    """
+    groups = ["_all", *by, stratum]
+    keyed = fresh.withColumn("_key", order_key(*identity, seed=seed)).withColumn("_all", F.lit(0))
+    histogram = prefix_histogram(keyed, groups, "_key")
+    new = histogram.groupBy(*groups).agg(F.sum("_n").alias("_new"))
+    old = published.withColumn("_all", F.lit(0)).groupBy(*groups, "split").agg(F.count(F.lit(1)).alias("_old"))
+    old = settle(old, "published-sizes")
+    both = new.select(*groups, F.col("_new").alias("n")).unionByName(old.select(*groups, F.col("_old").alias("n")))
+    targets = _targets(both.groupBy(*groups).agg(F.sum("n").alias("n")), ["_all", *by], stratum, train, dev, test)
+    lacking = join_on(join_on(targets, old, [*groups, "split"], "left", null_safe=True), new, groups, null_safe=True).withColumn(
+        "_lack", F.greatest(F.col("target") - F.coalesce("_old", F.lit(0)), F.lit(0).cast("bigint"))
+    )
+    shared = _allocate(lacking, groups, "split", "_lack", "_new", "_given")
+    given = lambda split: F.sum(F.when(F.col("split") == split, F.col("_given")).otherwise(0)).alias(split)
+    quotas = settle(shared.groupBy(*groups).agg(given("test"), given("dev")), "grown-quotas")
+    return _labelled(keyed, groups, quotas, histogram).select(*fresh.columns, "split")
+
+
+def split_drift(
+    df: DataFrame,
+    stratum: str = "domain",
+    by: Sequence[str] = (),
+    train: int = fixed.TRAIN_PERMILLE,
+    dev: int = fixed.DEV_PERMILLE,
+    test: int = fixed.TEST_PERMILLE,
+) -> DataFrame:
+    """``n``, ``target`` and ``drift`` of every split of a stratum: what it has, and what a split made anew would have."""
+    groups = ["_all", *by, stratum]
+    sizes = df.withColumn("_all", F.lit(0)).groupBy(*groups, "split").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy(*groups).agg(F.sum("n").alias("n"))
+    have = join_on(_targets(whole, ["_all", *by], stratum, train, dev, test), sizes, [*groups, "split"], "left", null_safe=True)
+    n = F.coalesce("n", F.lit(0))
+    return have.select(*by, stratum, "split", n.alias("n"), "target", (n - F.col("target")).alias("drift"))
 
 
 def hash_split(

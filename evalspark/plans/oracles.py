@@ -235,11 +235,11 @@ _line = ", ".join(LINE_KEY)
 oracle("subsample_lines", f"SELECT {_line} FROM lineitem ORDER BY {order_by_key(*LINE_KEY)} LIMIT 20000")
 
 
-def stratified_sql(source: str, by: str, stratum: str, out: str, identity: list[str]) -> str:
+def quota_ctes(source: str, by: str, stratum: str) -> str:
+    """CTEs that end in ``quotas``: rows ``n`` of a stratum, ``k`` kept for train and dev, ``t`` for train."""
     part = f"PARTITION BY {by}" if by else ""
     keys = f"{by}, {stratum}" if by else stratum
-    return f"""
-        WITH sizes AS (SELECT {keys}, count(*) AS n FROM ({source}) GROUP BY ALL),
+    return f"""sizes AS (SELECT {keys}, count(*) AS n FROM ({source}) GROUP BY ALL),
         totals AS (SELECT *, sum(n) OVER ({part}) AS rows_all FROM sizes),
         first_step AS (SELECT *, rows_all - (rows_all * 400 + 999) // 1000 AS kept_all FROM totals),
         kept_base AS (SELECT *, (n * kept_all) // rows_all AS base, (n * kept_all) % rows_all AS rest FROM first_step),
@@ -248,12 +248,43 @@ def stratified_sql(source: str, by: str, stratum: str, out: str, identity: list[
         second_step AS (SELECT * EXCLUDE (base, rest), kept_all - (kept_all * 200 + 599) // 600 AS train_all FROM kept),
         train_base AS (SELECT *, coalesce((k * train_all) // nullif(kept_all, 0), 0) AS base, coalesce((k * train_all) % nullif(kept_all, 0), 0) AS rest FROM second_step),
         quotas AS (SELECT *, base + CASE WHEN row_number() OVER ({part} ORDER BY rest DESC, k DESC, {stratum})
-                 <= train_all - sum(base) OVER ({part}) THEN 1 ELSE 0 END AS t FROM train_base),
+                 <= train_all - sum(base) OVER ({part}) THEN 1 ELSE 0 END AS t FROM train_base)"""
+
+
+def stratified_sql(source: str, by: str, stratum: str, out: str, identity: list[str]) -> str:
+    keys = f"{by}, {stratum}" if by else stratum
+    return f"""
+        WITH {quota_ctes(source, by, stratum)},
         ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order_by_key(*identity)}) AS rn FROM ({source}))
         SELECT {out}, CASE WHEN rn <= n - k THEN 'test' WHEN rn <= n - t THEN 'dev' ELSE 'train' END AS split
         FROM ranked JOIN quotas USING ({keys})"""
 
 
+def grown_sql(body: str) -> str:
+    """Rows with ids up to 6 (last digit) are split; the others fill up what the quotas of all rows leave open."""
+    source = "SELECT d.lang AS run_id, d.doc_id AS id, d.source AS domain FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    published = stratified_sql(f"SELECT * FROM ({source}) WHERE id % 10 < 7", "run_id", "domain", "run_id, id, domain", ["id"])
+    return f"""
+        WITH published AS ({published}),
+        {quota_ctes(source, "run_id", "domain")},
+        goals AS (SELECT run_id, domain, unnest(['train', 'dev', 'test']) AS split, unnest([t, k - t, n - k]) AS target FROM quotas),
+        lacks AS (SELECT g.*, greatest(g.target - (SELECT count(*) FROM published p WHERE (p.run_id, p.domain, p.split) = (g.run_id, g.domain, g.split)), 0) AS lack,
+            (SELECT count(*) FROM ({source}) s WHERE (s.run_id, s.domain) = (g.run_id, g.domain) AND id % 10 >= 7) AS fresh FROM goals g),
+        bases AS (SELECT *, coalesce(lack * fresh // nullif(sum(lack) OVER w, 0), 0) AS base, coalesce(lack * fresh % nullif(sum(lack) OVER w, 0), 0) AS rest
+            FROM lacks WINDOW w AS (PARTITION BY run_id, domain)),
+        given AS (SELECT *, base + CASE WHEN row_number() OVER (PARTITION BY run_id, domain ORDER BY rest DESC, lack DESC, split)
+            <= fresh - sum(base) OVER (PARTITION BY run_id, domain) THEN 1 ELSE 0 END AS share FROM bases),
+        wide AS (SELECT run_id, domain, sum(share) FILTER (split = 'test') AS a, sum(share) FILTER (split = 'dev') AS b FROM given GROUP BY run_id, domain),
+        dealt AS (SELECT run_id, id, domain, CASE WHEN rn <= a THEN 'test' WHEN rn <= a + b THEN 'dev' ELSE 'train' END AS split
+            FROM (SELECT *, row_number() OVER (PARTITION BY run_id, domain ORDER BY {order_by_key('id')}) AS rn FROM ({source}) WHERE id % 10 >= 7) JOIN wide USING (run_id, domain)),
+        grown AS (SELECT * FROM published UNION ALL SELECT * FROM dealt)
+        {body}"""
+
+
+ORACLES["grown_split"] = grown_sql("SELECT run_id, id, domain, split FROM grown")
+ORACLES["split_drift"] = grown_sql("""
+        SELECT run_id, domain, split, n, CAST(target AS BIGINT) AS target, CAST(n - target AS BIGINT) AS drift FROM (
+            SELECT g.*, (SELECT count(*) FROM grown x WHERE (x.run_id, x.domain, x.split) = (g.run_id, g.domain, g.split)) AS n FROM goals g)""")
 ORACLES["stratified_split"] = stratified_sql(
     "SELECT d.lang AS run_id, d.doc_id AS id, d.source AS domain FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "run_id", "domain", "run_id, id, domain", ["id"],

@@ -187,6 +187,24 @@ def stratified_split_scalable(spark, sf):
     return S.stratified_split(lines, "l_returnflag", identity=B.LINE_KEY)
 
 
+def _grown(spark, sf) -> DataFrame:
+    """Seven tenths of the examples are split and published, then the rest joins them."""
+    rows = B.examples(spark, sf).select("run_id", "id", "domain")
+    first = F.col("id") % 10 < 7
+    published = settle(S.stratified_split(rows.where(first), by=["run_id"]), "published-split")
+    return published.unionByName(S.grow_split(published, rows.where(~first), by=["run_id"]))
+
+
+@query
+def grown_split(spark, sf):
+    return _grown(spark, sf)
+
+
+@query
+def split_drift(spark, sf):
+    return S.split_drift(_grown(spark, sf), by=["run_id"])
+
+
 @query
 def hash_split(spark, sf):
     return B.examples(spark, sf).select("run_id", "id", "split")

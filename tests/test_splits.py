@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -115,3 +117,39 @@ def test_rank_cuts_narrow_until_few_rows_are_left(spark):
     found = rank_cutoffs(df, ["g"], "key", spark.createDataFrame(cuts, "g string, cut string, rank bigint"), histogram, digits=1, rows=1)
     ordered = {g: sorted(k for h, k in data if h == g) for g in ("g", None)}
     assert {(r.g, r.cut): r.key for r in found.collect()} == {(g, c): ordered[g][n - 1] for g, c, n in cuts if n}
+
+
+def test_a_published_split_grows_without_moving_a_row(spark):
+    """Three additions; sizes are those of a new split wherever the new rows suffice, and hardly off where they do not."""
+    rng = random.Random(11)
+    domain = lambda k: rng.choice(["a"] * 8 + ["b"] * 3 + ["c", None])
+    rows = [(k, domain(k)) for k in range(900)]
+    frame = lambda rs: spark.createDataFrame(rs, "id bigint, domain string")
+    published = {r.id: r.split for r in S.stratified_split(frame(rows[:300])).collect()}
+    # The second addition is of one stratum only, the third brings a new stratum.
+    parts = [rows[300:600], [(k, "b") for k, _ in rows[600:650]], [*rows[650:], (5000, "new"), (5001, "new"), (5002, "new")]]
+    have = list(rows[:300])
+    for part in parts:
+        split = frame([(k, d) for k, d in have]).join(spark.createDataFrame(list(published.items()), "id bigint, split string"), "id")
+        found = S.grow_split(split, frame(part).repartition(5))
+        grown = {r.id: r.split for r in found.collect()}
+        assert set(grown) == {k for k, _ in part}
+        assert {r.id: r.split for r in S.grow_split(split, frame(part[::-1])).collect()} == grown
+        have, published = have + part, {**published, **grown}
+        whole = frame(have).join(spark.createDataFrame(list(published.items()), "id bigint, split string"), "id")
+        drift = {(r.domain, r.split): (r.n, r.drift) for r in S.split_drift(whole).collect()}
+        assert sum(n for n, _ in drift.values()) == len(have) and sum(d for _, d in drift.values()) == 0
+        added = Counter(d for _, d in part)
+        for d in {d for _, d in have}:
+            if added[d] >= 3:  # quotas of a stratum shift by single rows when others grow
+                assert all(drift[d, s][1] == 0 for s in ("train", "dev", "test"))
+            assert all(abs(drift[d, s][1]) <= 2 for s in ("train", "dev", "test"))
+
+
+def test_a_split_that_has_too_many_gets_none(spark):
+    """All old rows are test rows: the new ones go to the others in proportion to what they lack."""
+    old = spark.createDataFrame([(k, "a", "test") for k in range(50)], "id bigint, domain string, split string")
+    new = spark.createDataFrame([(100 + k, "a") for k in range(30)], "id bigint, domain string")
+    found = Counter(r.split for r in S.grow_split(old, new).collect())
+    assert found == {"train": 20, "dev": 10}
+    assert S.grow_split(old, new.limit(0)).count() == 0 and S.grow_split(old.limit(0), new).count() == 30
