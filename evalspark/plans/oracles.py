@@ -224,6 +224,8 @@ oracle("read_log", f"SELECT run_id, iter, batch, ts, artifact_hash, parent, plan
 oracle("log_integrity", "SELECT CAST(sum(CASE WHEN iter % 10 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS valid, CAST(sum(CASE WHEN iter % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS corrupt FROM log")
 oracle("duplicate_entries", "SELECT run_id, iter, 2::BIGINT AS copies FROM log WHERE batch = 2")
 oracle("log_rewrites", "SELECT run_id, iter FROM (SELECT run_id, iter, rationale FROM log EXCEPT ALL SELECT run_id, iter, CASE WHEN iter % 10 = 0 THEN 'changed' ELSE rationale END FROM log)")
+ORACLES["snapshot_rewrites"] = ORACLES["log_rewrites"]
+oracle("changed_log_blocks", "SELECT DISTINCT run_id, iter // 4 AS block FROM log WHERE iter % 10 = 0")
 oracle("parse_scorer_output", """
     SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN '' WHEN 3 THEN replace(text, E'\\n', ' ')
         WHEN 4 THEN CAST(conv_id AS VARCHAR) ELSE '{"prediction": "cut' END AS prediction FROM conversations""")

@@ -24,6 +24,7 @@ from evalspark.plans.shared import new_folder, settle
 from evalspark.sources import cache as K
 from evalspark.sources import cells as N
 from evalspark.sources import jsonl as J
+from evalspark.sources import snapshots as SN
 from evalspark.streaming import log_stream as R
 from evalspark.streaming import score_stream as RS
 
@@ -148,6 +149,27 @@ def log_rewrites(spark, sf):
     return J.log_rewrites(old, new)
 
 
+def _snapshots(spark, sf) -> tuple[str, str, DataFrame]:
+    """Two stored snapshots of the log: in the newer one every tenth rationale has changed and a batch was added."""
+    old = _log(spark, sf)
+    new = old.withColumn("rationale", F.when(F.col("iter") % 10 == 0, F.lit("changed")).otherwise(F.col("rationale")))
+    paths = new_folder(spark, "snapshot"), new_folder(spark, "snapshot")
+    SN.write_snapshot(old, paths[0], 4)
+    SN.write_snapshot(new.unionByName(old.where("batch = 1").withColumn("iter", F.col("iter") + 1000)), paths[1], 4)
+    return *paths, old
+
+
+@query
+def snapshot_rewrites(spark, sf):
+    return SN.snapshot_rewrites(spark, *_snapshots(spark, sf))
+
+
+@query
+def changed_log_blocks(spark, sf):
+    old, new, _ = _snapshots(spark, sf)
+    return SN.changed_blocks(SN.read_digests(spark, old), SN.read_digests(spark, new))
+
+
 @query
 def parse_scorer_output(spark, sf):
     rows = B.table(spark, sf, "conversations")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evalspark.plans.shared import new_folder, shared_folder
 from evalspark.sources import jsonl as J
+from evalspark.sources import snapshots as S
 
 ENTRY = '{"run_id":"r","iter":%d,"batch":1,"ts":"2024-01-01T00:00:0%d","artifact_hash":"h","parent":null,"plan_id":"p","rationale":"w","artifact":"a","metrics_train":{"kappa":0.3},"metrics_dev":{"kappa":0.2},"metrics_test":{"kappa":0.1},"extra":1}'
 
@@ -79,6 +80,26 @@ def test_rewrites_and_duplicates(spark, tmp_path):
     assert [(r.iter, r.copies) for r in J.duplicate_entries(rows.union(rows.where("iter = 1"))).collect()] == [(1, 2)]
 
 
+def test_snapshots_are_compared_where_they_differ(spark):
+    """Changed, lost, doubled and added rows in two of three runs; rows of other blocks are not read."""
+    rows = [(r, i, f"t{i}", None if i % 3 else float(i)) for r in "abc" for i in range(60)]
+    old = spark.createDataFrame(rows, "run_id string, iter bigint, text string, kappa double")
+    new = [(r, i, "other" if (r, i) == ("a", 17) else t, 0.0 if (r, i) == ("a", 18) else k) for r, i, t, k in rows if (r, i) != ("b", 40)]
+    new = spark.createDataFrame([*new, ("b", 41, "t41", None), ("b", 99, "more", None), ("d", 1, "new run", None)][::-1], old.schema)
+    paths = new_folder(spark, "snapshot"), new_folder(spark, "snapshot")
+    for df, path in zip((old, new), paths, strict=True):
+        S.write_snapshot(df.repartition(3), path, 10)
+    digests = [S.read_digests(spark, p) for p in paths]
+    blocks = S.changed_blocks(*digests)
+    assert {tuple(r) for r in blocks.collect()} == {("a", 1), ("b", 4)}
+    want = {tuple(r) for r in J.log_rewrites(old, new).collect()}
+    assert {tuple(r) for r in S.snapshot_rewrites(spark, *paths, old).collect()} == want == {("a", 17), ("a", 18), ("b", 40)}
+    assert S.rows_to_compare(spark, paths[0], old, blocks).count() == 20  # of 180
+    # Digests of two appends add up to those of the whole, in any order.
+    parts = S.block_digests(old.where("iter < 25"), 10).unionByName(S.block_digests(old.where("iter >= 25"), 10))
+    assert S.changed_blocks(S.added(parts), digests[0]).isEmpty() and S.changed_blocks(digests[0], S.added(parts)).isEmpty()
+
+
 def test_log_rows_round_trip(spark, tmp_path):
     rows = J.read_log(spark, write(tmp_path, "log.jsonl", [ENTRY % (1, 1)]))
     back = J.flat_log(J.log_rows(J.flat_log(rows))).first()
