@@ -11,12 +11,13 @@ inside the scorer's task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import fixed
@@ -30,6 +31,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 PAIR_SALTS = 64
 BLOCK_ARTIFACTS = 64
 BLOCK_BYTES = 256 * 1024
+SLOTS_PER_TASK = 32
+# What an example costs besides its text, in bytes.
+EXAMPLE_BYTES = 64
 
 # A scorer gets one artifact, a frame of examples (``id``, ``input``, ``label``) and the
 # temperature of the attempt, and returns one prediction per example, in order.
@@ -109,14 +113,43 @@ def _blocks(artifacts: DataFrame) -> tuple[DataFrame, int]:
 WORK = ("run_id", "split", "id", "input", "label", "artifacts")
 
 
+def _deal(costs: Sequence[float], tasks: int) -> list[int]:
+    """A task for each item: the costliest first, each to the task that has least so far."""
+    loads = [(0.0, task) for task in range(tasks)]
+    out = [0] * len(costs)
+    for item in sorted(range(len(costs)), key=lambda k: (-costs[k], k)):
+        load, task = heappop(loads)
+        out[item] = task
+        heappush(loads, (load + costs[item], task))
+    return out
+
+
+def balanced(rows: DataFrame, tasks: int, cost: Column, identity: Sequence[str]) -> DataFrame:
+    """The rows over ``tasks`` partitions of about equal cost.
+
+    Rows of more than a fifth of a task's share are items of their own, of which there are five per
+    task at most; the others are summed in ``SLOTS_PER_TASK`` slots per task, by a hash. One aggregation
+    gives the items' costs, and they are dealt out on the driver, the costliest first.
+    """
+    keyed = rows.withColumn("_cost", cost.cast("double")).withColumn("_item", F.xxhash64(*identity))
+    total = keyed.agg(F.coalesce(F.sum("_cost"), F.lit(0.0))).first()[0]
+    large = F.col("_cost") > total / tasks / 5
+    keyed = keyed.withColumn("_large", large).withColumn("_item", F.when(large, F.col("_item")).otherwise(F.pmod("_item", F.lit(SLOTS_PER_TASK * tasks))))
+    items = keyed.groupBy("_large", "_item").agg(F.sum("_cost").alias("_cost")).orderBy("_large", "_item").collect()
+    dealt = zip(items, _deal([r["_cost"] for r in items], tasks), strict=True)
+    table = rows.sparkSession.createDataFrame([(r["_large"], r["_item"], task) for r, task in dealt], "_large boolean, _item bigint, _task int")
+    return keyed.join(table, ["_large", "_item"]).repartitionById(tasks, F.col("_task")).drop("_large", "_item", "_cost", "_task")
+
+
 def _lines(examples: DataFrame, tasks: int | None) -> DataFrame:
-    """Examples spread evenly over the scoring tasks, whatever files they come from.
+    """Examples spread over the scoring tasks by the bytes of their texts, whatever files they come from.
 
     Scoring dominates everything else, so this one shuffle of the examples (not of the pairs)
     pays for itself; the number of tasks bounds the concurrent calls of the scorer.
     """
     tasks = tasks or int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return examples.select("run_id", "split", "id", "input", "label").repartition(tasks, "run_id", "split", "id")
+    cost = F.coalesce(F.octet_length("input"), F.lit(0)) + EXAMPLE_BYTES
+    return balanced(examples.select("run_id", "split", "id", "input", "label"), tasks, cost, ["run_id", "split", "id"])
 
 
 def scoring_work(artifacts: DataFrame, examples: DataFrame, tasks: int | None = None) -> DataFrame:
