@@ -7,8 +7,9 @@ from the same model, so it can be read, checked and recovered alone.
 For each id, the order-2 context (the two ids before) or else the order-1 context (the id before) names the id that it
 saw last as a candidate. Three predictions that the candidate is right, of order 0 to 2, each from an adaptive counter,
 are mixed in the logistic domain with weights that are learned on the way, and the mix drives a binary step of the coder.
-Where the candidate is wrong, the id's four base-16 digits follow, coded with adaptive order-0 tables: the second digit
-by the first, the third by the first two, the fourth by the third. All arithmetic is on integers. Blocks are coded side by side, one lane of numpy arrays each.
+Where the candidate is wrong, the id's base-16 digits follow, coded with adaptive order-0 tables: four, the second by the
+first, the third by the first two, the fourth by the third, and before them as many more as the block's largest id needs,
+each by the one before (a block's first byte is their number). All arithmetic is on integers. Blocks are coded side by side, one lane of numpy arrays each.
 
 Nulls: a null text is empty and has only the end id. A null doc_id comes first. Rows with equal doc_id stand side by
 side, ordered by their texts. An empty table writes no frames. Only ``doc_id`` and ``text`` are read.
@@ -16,7 +17,9 @@ side, ordered by their texts. An empty table writes no frames. Only ``doc_id`` a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalspark.llm.common import PartStore, load_tokenizer, slices
+from evalspark.llm.common import PartStore, load_tokenizer, slices, tidy
+from evalspark.plans.shared import settle
 
 BLOCK = 2048
 #: Ids after which a frame is closed, at the end of a document.
@@ -135,18 +139,23 @@ def _digit(coder: _Coder, lanes: np.ndarray, table: np.ndarray, shares: np.ndarr
     return digit
 
 
-def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None) -> tuple[_Coder, np.ndarray]:
-    """Code all lanes from a fresh model each; lengths descend. Reads ``data`` or writes ``ids`` (lanes x positions)."""
+def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None, high: int) -> tuple[_Coder, np.ndarray]:
+    """Code all lanes from a fresh model each; lengths descend. Reads ``data`` or writes ``ids`` (lanes x positions).
+
+    ``high`` is the number of digits before the last four.
+    """
     lanes, longest = len(lengths), int(lengths[0])
-    coder = _Coder(lanes, data, longest * 5 + 16)
+    tables = _TABLES + 16 * high
+    coder = _Coder(lanes, data, longest * (5 + high) + 16)
     out = np.zeros((lanes, longest), np.int32) if ids is None else ids
     every = np.arange(lanes, dtype=np.int64)
-    one, two = np.zeros(lanes * _ONE, np.uint16), np.zeros(lanes * _TWO, np.uint16)
+    kind = np.uint32 if high else np.uint16
+    one, two = np.zeros(lanes * _ONE, kind), np.zeros(lanes * _TWO, kind)
     sure_one, sure_two = np.zeros(lanes * _ONE, np.uint8), np.zeros(lanes * _TWO, np.uint8)
     # Chances that a candidate is right: by order 0 (one counter), and by confidence for orders 1 and 2.
     right = [np.full(lanes * size, 1024, np.int32) for size in (1, _HIT, _HIT)]
     weights = np.full((3, lanes), 1 << 14, np.int32)  # 16 fraction bits
-    shares = np.tile((np.arange(16) << (_SCALE - 4)).astype(np.int16), (lanes * _TABLES, 1))
+    shares = np.tile((np.arange(16) << (_SCALE - 4)).astype(np.int16), (lanes * tables, 1))
     before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     for t in range(longest):
@@ -180,12 +189,17 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None)
         if len(rest):
             value = None if ids is None else out[rest, t]
             digits: list[np.ndarray] = []
+            above, digit = 0, 0
+            for place in range(high):
+                known = None if value is None else value >> (16 + 4 * (high - 1 - place)) & 15
+                digit = _digit(coder, rest, rest * tables + _TABLES + 16 * place + digit, shares, known)
+                above = above * 16 + digit
             for place in range(4):
                 context = (lambda: 0, lambda: digits[0], lambda: digits[0] * 16 + digits[1], lambda: digits[2])[place]()
                 known = None if value is None else value >> (12 - 4 * place) & 15
-                digits.append(_digit(coder, rest, rest * _TABLES + _DIGITS[place] + context, shares, known))
+                digits.append(_digit(coder, rest, rest * tables + _DIGITS[place] + context, shares, known))
             symbol = guess.copy()
-            symbol[rest] = ((digits[0] * 16 + digits[1]) * 16 + digits[2]) * 16 + digits[3]
+            symbol[rest] = (((above * 16 + digits[0]) * 16 + digits[1]) * 16 + digits[2]) * 16 + digits[3]
         if ids is None:
             out[part, t] = symbol
         one[at_one], two[at_two] = symbol, symbol
@@ -200,41 +214,69 @@ def pack(ids: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
     """Lengths, checksums and bytes of the blocks of a row of ids."""
     if not len(ids):
         return [], [], []
-    if ids.min() < 0 or ids.max() > 0xFFFF:
-        raise ValueError("ids must be below 65,536")
+    if ids.min() < 0 or ids.max() >= 1 << 31:
+        raise ValueError("ids must be below 2 ** 31")
+    high = -(-max(0, int(ids.max()).bit_length() - 16) // 4)
     count = -(-len(ids) // BLOCK)
     lengths = np.full(count, BLOCK, np.int64)
     lengths[-1] = len(ids) - BLOCK * (count - 1)
     rows = np.zeros(count * BLOCK, np.int32)
     rows[: len(ids)] = ids
     rows = rows.reshape(count, BLOCK)[:, : int(lengths[0])]
-    coder, _ = _code(lengths, rows, None)
+    coder, _ = _code(lengths, rows, None, high)
     little = ids.astype("<u4")
-    return lengths.tolist(), [zlib.crc32(little[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(count)], coder.finish()
+    return lengths.tolist(), [zlib.crc32(little[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(count)], [bytes([high]) + block for block in coder.finish()]
 
 
 def unpack(lengths: list[int], crcs: list[int], blocks: list[bytes]) -> np.ndarray:
     """The ids of any blocks in a row; raises if a checksum differs."""
-    if not blocks:
-        return np.zeros(0, np.int32)
-    sizes = np.array(lengths, np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    data = np.zeros((len(blocks), max(map(len, blocks)) + 8), np.uint8)
-    for row, k in enumerate(order):
-        data[row, : len(blocks[k])] = np.frombuffer(blocks[k], np.uint8)
-    _, rows = _code(sizes[order], None, data)
     found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(blocks)
-    for row, k in enumerate(order):
-        found[k] = rows[row, : sizes[k]]
-        if zlib.crc32(found[k].astype("<u4").tobytes()) != crcs[k]:
-            raise ValueError(f"block {k} is damaged")
-    return np.concatenate(found)
-
-
-def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str) -> None:
+    for high in {block[0] for block in blocks}:
+        some = [k for k, block in enumerate(blocks) if block[0] == high]
+        if high > 4:
+            raise ValueError(f"block {some[0]} is damaged")
+        sizes = np.array([lengths[k] for k in some], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        data = np.zeros((len(some), max(len(blocks[k]) for k in some) + 8), np.uint8)
+        for row, k in enumerate(order):
+            block = blocks[some[k]][1:]
+            data[row, : len(block)] = np.frombuffer(block, np.uint8)
+        _, rows = _code(sizes[order], None, data, high)
+        for row, k in enumerate(order):
+            ids = rows[row, : sizes[k]]
+            if zlib.crc32(ids.astype("<u4").tobytes()) != crcs[some[k]]:
+                raise ValueError(f"block {some[k]} is damaged")
+            found[some[k]] = ids
+    return np.concatenate([np.zeros(0, np.int32), *found])
+
+
+_PROBES = ("a", "The", "naïve", "日本", "12", "x9", "don't", "'s", "...", "(", "ﬁ", "<|", "é", "\u0301", "İ")
+
+
+def cuts_at_white_space(tokenizer) -> bool:
+    """Whether texts can be encoded word by word: no piece spans white space, and words do not depend on what is beside it.
+
+    Pieces of several characters must hold no white space or mark of it, and probe words must give the same ids alone and
+    side by side, whatever stands between them.
+    """
+    marks = re.compile(r"[\s\u0120\u010a\u0109\u010d\u2581]")  # as it is, as byte-level pieces write it, as a low line
+    ending = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+    pieces = (p.removesuffix(ending) for p in tokenizer.get_vocab())
+    if tokenizer.truncation or tokenizer.padding or any(len(p) > 1 and marks.search(p) for p in pieces):
+        return False
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    alone = {p: ids(p) for p in _PROBES}
+    return all(
+        ids(gap.join(pair)) == alone[pair[0]] + alone[pair[1]]
+        for gap in (" ", "  ", "\n", "\t", " \r\n", "\x0b", "\x0c") for pair in zip(_PROBES, (*_PROBES[1:], _PROBES[0]), strict=True)
+    ) and not ids(" \n\t")
+
+
+def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_ids: int = FRAME) -> None:
     """Tokenise whole texts, append ``end_id`` to each, and write frames in ascending doc_id order.
 
-    Texts are cut at white space, which the tokenizer drops and no token spans; parts seen before are not encoded again.
+    Texts are cut at white space if the tokenizer drops it and no token spans it (``cuts_at_white_space``), and parts seen
+    before are not encoded again; else whole texts are encoded.
     """
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
@@ -250,16 +292,22 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str) -> None:
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
+        in_words = cuts_at_white_space(tokenizer)
         for batch in slices(batches, "text", SLICE):
-            words = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
-            ids, sizes = store.ids([w.decode() for w in chain.from_iterable(words)])
-            edges = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, words)])]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            if in_words:
+                words = [t.encode().split() for t in texts]
+                ids, sizes = store.ids([w.decode() for w in chain.from_iterable(words)])
+                edges = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, words)])]
+            else:
+                found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+                ids, edges = np.concatenate(found), np.cumsum([0, *map(len, found)])
             for name, begin, end in zip(batch.column("doc_id").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 names.append(name)
                 counts.append(end - begin + 1)
                 flat.extend((ids[begin:end], np.array([end_id], np.int32)))
                 total += counts[-1]
-                if total >= FRAME:
+                if total >= frame_ids:
                     yield frame()
                     number, names, counts, flat, total = number + 1, [], [], [], 0
         if names:
@@ -279,25 +327,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_part_start"))
     inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", "number", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("_start")).join(parts, "part")
-    starts = starts.select("part", "number", (F.col("_start") + F.col("_part_start")).alias("start"))
+    starts = settle(starts.select("part", "number", (F.col("_start") + F.col("_part_start")).alias("start")), "frame-starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
                 ids, counts, names = unpack(get("lengths"), get("crcs"), get("blocks")), np.array(get("counts"), np.int64), get("doc_ids")
-                edges = np.concatenate(([0], np.cumsum(counts)))
+                edges, start = np.concatenate(([0], np.cumsum(counts))), get("start")
                 for begin in range(0, len(names), 500):
                     end = min(begin + 500, len(names))
                     own = edges[begin : end + 1]
                     lists = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(ids[own[0] : own[-1]], pa.int32()))
-                    spots = [pa.array([get(c)] * (end - begin), pa.int32()) for c in ("part", "number")]
-                    yield pa.RecordBatch.from_arrays(
-                        [*spots, pa.array(names[begin:end], pa.int64()), pa.array(own[:-1], pa.int64()), lists], ["part", "number", "doc_id", "_offset", "ids"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(names[begin:end], pa.int64()), pa.array(start + own[:-1], pa.int64()), lists], ["doc_id", "start", "ids"])
 
-    found = frames.mapInArrow(run, "part int, number int, doc_id long, _offset long, ids array<int>")
-    return found.join(starts, ["part", "number"]).select("doc_id", (F.col("start") + F.col("_offset")).alias("start"), "ids")
+    # Frames get their start before they are unpacked: decoded ids are not shuffled.
+    return frames.join(starts, ["part", "number"]).mapInArrow(tidy(run), "doc_id long, start long, ids array<int>")
 
 
 def ids_crc32(rows: DataFrame) -> DataFrame:
