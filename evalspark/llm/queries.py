@@ -79,10 +79,9 @@ def pipeline(spark, sf_dir):
 def op1_sentencepiece(spark, sf_dir):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
         model = file.read()
-    encoded = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    encoded = sentencepiece_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
-    return sentencepiece_codec.decode(encoded, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

@@ -6,7 +6,7 @@ no piece of the vocabulary can reach across, each part is encoded once per worke
 turned off) and kept, and the pieces are projected to spans of source bytes through the alignment.
 
 Nulls and empty texts have no pieces and decode to an empty text. Repeated rows are encoded one by one. Other columns
-are passed on; a clash with ``ids``, ``begins`` or ``ends`` is an error of the caller, who names the text column.
+are passed on, but for those that have the name of a result: the result takes their place.
 """
 
 from __future__ import annotations
@@ -20,16 +20,18 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.common import PartStore, slices
+from evalspark.llm.common import PartStore, slices, tidy
 
 MARK = "▁"
 _MARK = MARK.encode()
 #: Parts kept per worker process.
 KEPT_PARTS = 150_000
-#: Bytes of text encoded at a time.
-SLICE = 2_000_000
+#: Bytes of text encoded at a time, and texts decoded at a time.
+SLICE = 500_000
+DECODED = 200
 _NORMAL, _UNKNOWN, _CONTROL, _USER_DEFINED, _UNUSED, _BYTE = range(1, 7)
 
 
@@ -236,35 +238,67 @@ def load(proto: bytes) -> Model:
     return Model(proto)
 
 
-def _adds(df: DataFrame, *names: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, kind) for n in names)])
+SPANS = ("ids", "begins", "ends")
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """Adds ``ids``, ``begins`` and ``ends``: piece ids and their spans in bytes of the source text."""
+def _with_results(df: DataFrame, source: str, run, results: list[tuple[str, T.DataType]]) -> DataFrame:
+    """The columns of ``df`` and those that ``run`` makes of ``source``; results replace columns of their name.
+
+    ``run`` turns a batch into (batch without ``source``, arrays of the results).
+    """
+    names = [n for n, _ in results]
+    kept = [c for c in df.columns if c not in names]
+    given = "_source"
+    while given in kept:
+        given += "_"
+    kinds = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, k) for n, k in results)])
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, arrays in run(batches, given):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], [*kept, *names])
+
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(given)).mapInArrow(tidy(tasks), kinds)
+
+
+def _decoded(decoder, ids: list[list[int]]) -> Iterator[str]:
+    return (decoder.decode(i) if i else "" for i in ids)
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", decoded: str | None = None, round_trip: str | None = None) -> DataFrame:
+    """Adds ``ids``, ``begins`` and ``ends``: piece ids and their spans in bytes of the source text.
+
+    ``decoded`` names a column for the text of the ids, decoded in the same pass; ``round_trip`` one that tells whether
+    it equals the source (null: empty).
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], given: str) -> Iterator[tuple]:
         encoder = load(held.value)
-        for batch in slices(batches, text, SLICE):
-            *flat, counts = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
-            ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(f, pa.int32())) for f in flat]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "ids", "begins", "ends"])
-
-    return docs.mapInArrow(run, _adds(docs, "ids", "begins", "ends", kind=T.ArrayType(T.IntegerType())))
+        for batch in slices(batches, given, SLICE):
+            texts = [t or "" for t in batch.column(given).to_pylist()]
+            *flat, counts = encoder.encode(texts)
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            arrays = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(f, pa.int32())) for f in flat]
+            if decoded or round_trip:
+                back = list(_decoded(encoder.whole, [flat[0][a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]))
+                arrays += [pa.array(back, pa.string())] * bool(decoded)
+                arrays += [pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())] * bool(round_trip)
+            yield batch, arrays
+
+    results = [(n, T.ArrayType(T.IntegerType())) for n in SPANS]
+    results += [(decoded, T.StringType())] * bool(decoded) + [(round_trip, T.BooleanType())] * bool(round_trip)
+    return _with_results(docs, text, run, results)
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of ``ids``; null ids decode to an empty text."""
     held = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], given: str) -> Iterator[tuple]:
         decoder = load(held.value).whole
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
-                texts = [decoder.decode(i) if i else "" for i in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
+            for begin in range(0, batch.num_rows, DECODED):
+                part = batch.slice(begin, DECODED)
+                yield part, [pa.array(list(_decoded(decoder, part.column(given).to_pylist())), pa.string())]
 
-    return rows.mapInArrow(run, _adds(rows, out, kind=T.StringType()))
+    return _with_results(rows, ids, run, [(out, T.StringType())])

@@ -62,6 +62,17 @@ def test_encode_and_decode_in_spark(docs_of, odd_rows):
     assert codec.encode(docs_of([]).select("doc_id", "text"), PROTO).count() == 0
 
 
+def test_results_replace_columns_of_their_name(docs_of, odd_rows):
+    docs = docs_of(odd_rows).selectExpr("*", "7 AS begins", "'gone' AS _source", "text AS ends").drop("text").withColumnRenamed("ends", "text")
+    found = codec.encode(docs, PROTO, decoded="score", round_trip="kept")
+    assert len(set(found.columns)) == len(found.columns) and found.schema["ids"].dataType.simpleString() == "array<int>"
+    for r in found.collect():
+        assert r.ids == LIBRARY.encode(r.text or "") and r.score == LIBRARY.decode(r.ids) and r.kept == (r.score == (r.text or "")) and r._source == "gone"
+    named = docs.select(F.col("text").alias("ids"))  # the source itself gives way
+    assert sorted(tuple(r.ids) for r in codec.encode(named, PROTO, "ids").collect()) == sorted(tuple(LIBRARY.encode(t or "")) for _, t in odd_rows)
+    assert codec.decode(found.select("ids", "score"), PROTO, out="score").columns == ["ids", "score"]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=80), st.integers(1, 4))
 def test_blocks_round_trip(ids, times):
@@ -80,6 +91,40 @@ def test_blocks_are_independent_checked_and_small():
         token_files.unpack(lengths[:1], crcs[:1], [spoilt])
 
 
+def test_larger_ids_and_blocks_of_several_widths():
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, top, 3000) for top in (10, 1 << 16, (1 << 16) + 1, 1 << 20, 1 << 31)]
+    parts[2][5] = 1 << 16
+    packed = [token_files.pack(p) for p in parts]
+    for part, found in zip(parts, packed, strict=True):
+        assert token_files.unpack(*found).tolist() == part.tolist()
+    together = [sum((list(p[k]) for p in packed[::-1]), []) for k in range(3)]
+    assert token_files.unpack(*together).tolist() == np.concatenate(parts[::-1]).tolist()
+    assert [p[2][0][0] for p in packed] == [0, 0, 1, 1, 4]
+    with pytest.raises(ValueError, match="below"):
+        token_files.pack(np.array([1 << 31]))
+
+
+def test_words_are_cut_only_where_the_tokenizer_allows_it():
+    assert token_files.cuts_at_white_space(Tokenizer.from_str(WORDS))
+    assert not token_files.cuts_at_white_space(Tokenizer.from_str(BYTES))  # its pieces begin with a space
+
+
+def test_whole_texts_and_many_frames(spark, docs_of, odd_rows):
+    """A tokenizer that joins words to the space before them; a frame for every 50 ids, so a document can be longer."""
+    library, path = Tokenizer.from_str(BYTES), new_folder(spark, "token-files")
+    rows = [*odd_rows, *[(100 + k, "a b  c\n" * (k % 40)) for k in range(60)]]
+    token_files.write(docs_of(rows), BYTES, 70_000, path, frame_ids=50)
+    frames = spark.read.parquet(path)
+    assert frames.count() > 20 and frames.agg(F.max(F.size("doc_ids"))).first()[0] > 1
+    found = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    at = 0
+    for r, (name, text) in zip(found, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 70_000]
+        assert (r.doc_id, r.start, r.ids) == (name, at, ids)
+        at += len(ids)
+
+
 def test_token_files_equal_the_library(spark, docs_of, odd_rows):
     library = Tokenizer.from_str(WORDS)
     rows = [*odd_rows, (8, "ΣΑΣ Don't  stop <|endoftext|>x y")]
