@@ -19,6 +19,8 @@ from evalspark.plans.shared import settle
 
 BITS = 17
 KEPT_TOKENS = 100_000
+#: Tokens of which only a number or a few are kept.
+KEPT_SUMS = 300_000
 SLICE = 2_000_000
 
 
@@ -140,7 +142,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
 class Kept(dict):
     """What ``make`` gives for a token, worked out once; emptied when it is full, which changes no result."""
 
-    def __init__(self, make: Callable, limit: int = KEPT_TOKENS):
+    def __init__(self, make: Callable, limit: int = KEPT_SUMS):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -154,22 +156,27 @@ class Kept(dict):
 class TokenWeights:
     """Sums of the weights of a token's features."""
 
-    def __init__(self, of_token: Callable[[str], list[str]], weights: np.ndarray):
-        self.weights = weights
-        self.kept = Kept(lambda token: float(sum(weights[bucket(f)] for f in of_token(token))))
+    def __init__(self, buckets: Callable[[str], tuple[int, ...]], weights: np.ndarray):
+        self.weights, plain = weights, weights.tolist()
+        self.kept = Kept(lambda token: sum([plain[i] for i in buckets(token)]))
 
     def total(self, tokens: list[str]) -> float:
         return fsum(map(self.kept.__getitem__, tokens))
 
 
 class Extractor:
-    """Tokens to hashed features. ``of_token`` gives the features of one token, as strings."""
-
-    def __init__(self, of_token: Callable[[str], list[str]], split: Callable[[str], list[str]], repeats: str | None = None):
-        self.of_token, self.split = of_token, split
+    """Tokens to hashed features. ``of_token`` gives the features of one token, as strings; ``buckets``, if given, is a
+    faster way to their hashes."""
+
+    def __init__(
+        self, of_token: Callable[[str], list[str]], split: Callable[[str], list[str]], repeats: str | None = None,
+        buckets: Callable[[str], tuple[int, ...]] | None = None,
+    ):
+        self.split = split
+        self.buckets = buckets or (lambda token: tuple(map(bucket, of_token(token))))
         #: Name of a feature that counts tokens equal to the one before, if that is wanted.
         self.repeats = None if repeats is None else bucket(repeats)
-        self.store = PartStore(lambda tokens: [list(map(bucket, of_token(t))) for t in tokens], KEPT_TOKENS)
+        self.store = PartStore(lambda tokens: [list(self.buckets(t)) for t in tokens], KEPT_TOKENS)
         self.weighed: TokenWeights | None = None
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +203,7 @@ class Extractor:
         Sums of weights are kept per token for the array ``weights`` that was given last.
         """
         if self.weighed is None or self.weighed.weights is not weights:
-            self.weighed = TokenWeights(self.of_token, weights)
+            self.weighed = TokenWeights(self.buckets, weights)
         out = np.empty(len(texts))
         for row, text in enumerate(texts):
             tokens = self.split(text)
@@ -236,16 +243,19 @@ def rows_of(table: pa.Table | pa.RecordBatch) -> Rows:
     return Rows(ids.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64), edges)
 
 
-def frequencies(docs: DataFrame, make: Callable[[], Extractor], text: str = "text") -> np.ndarray:
-    """In how many rows of ``docs`` each hashed feature occurs: one aggregation over all of them."""
+def frequencies(docs: DataFrame, make: Callable, text: str = "text") -> np.ndarray:
+    """In how many rows of ``docs`` each hashed feature occurs: one aggregation over all of them.
+
+    ``make`` gives an extractor with ``features``: texts to (row, feature) pairs and the number of tokens of each text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor, counts = make(), np.zeros(1 << BITS, np.int64)
-        kept = Kept(lambda token: tuple(map(bucket, extractor.of_token(token))))
         for batch in slices(batches, text, SLICE):
-            found = [set(chain.from_iterable(map(kept.__getitem__, set(extractor.split(t or ""))))) for t in batch.column(text).to_pylist()]
-            flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
-            counts += np.bincount(flat, minlength=1 << BITS)
+            rows, ids, _ = extractor.features([t or "" for t in batch.column(text).to_pylist()])
+            # Pairs of a few thousand rows fit 31 bits, which sort faster.
+            pairs = (rows << BITS | ids).astype(np.int32 if batch.num_rows < 1 << 13 else np.int64)
+            counts += np.bincount(np.unique(pairs) & ((1 << BITS) - 1), minlength=1 << BITS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
 
@@ -255,23 +265,21 @@ def frequencies(docs: DataFrame, make: Callable[[], Extractor], text: str = "tex
     return out
 
 
-def reduced_rows(docs: DataFrame, make: Callable[[], Extractor], wanted: np.ndarray, text: str = "text") -> DataFrame:
+def reduced_rows(docs: DataFrame, make: Callable, wanted: np.ndarray, text: str = "text") -> DataFrame:
     """``ids, values`` of the rows that have a feature marked in ``wanted``, with these features only; a written table."""
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor, marked = make(), np.unpackbits(held.value).astype(bool)
-        kept = Kept(lambda token: tuple(i for i in map(bucket, extractor.of_token(token)) if marked[i]))
         for batch in slices(batches, text, SLICE):
-            ids, values = [], []
-            for t in batch.column(text).to_pylist():
-                tokens = extractor.split(t or "")
-                found = list(chain.from_iterable(map(kept.__getitem__, tokens)))
-                if found:
-                    own, times = np.unique(np.array(found, np.int32), return_counts=True)
-                    ids.append(own)
-                    values.append((times / np.sqrt(len(tokens))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["ids", "values"])
+            rows, ids, sizes = extractor.features([t or "" for t in batch.column(text).to_pylist()])
+            keep = marked[ids]
+            pairs, times = np.unique(rows[keep] << BITS | ids[keep], return_counts=True)
+            rows, ids = pairs >> BITS, pairs & ((1 << BITS) - 1)
+            edges = np.concatenate((np.flatnonzero(np.diff(rows, prepend=-1)), [len(rows)]))
+            values = (times / np.sqrt(sizes[rows])).astype(np.float32)
+            lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v)) for v in (ids.astype(np.int32), values)]
+            yield pa.RecordBatch.from_arrays(lists, ["ids", "values"])
 
     return settle(docs.select(text).mapInArrow(tidy(run), "ids array<int>, values array<float>"), "reduced-rows")
 

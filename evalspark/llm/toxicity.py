@@ -18,8 +18,10 @@ largest counts. Without positives every score is the prior. Repeated rows are sc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.linear import BITS, Adam, Extractor, Rows, calibrate, collect_rows, fold, frequencies, reduced_rows, rows_of, sample, sigmoid, with_bias
+from evalspark.llm.linear import BITS, Adam, Rows, calibrate, collect_rows, fold, frequencies, reduced_rows, rows_of, sample, sigmoid, with_bias
 
 #: Bounds of the samples that the classifier is fitted on.
 MAX_POSITIVE, MAX_CALIBRATION = 2000, 2000
@@ -35,24 +37,103 @@ MAX_POSITIVE, MAX_CALIBRATION = 2000, 2000
 HELD_OUT, CALIBRATION = 2, 3
 THRESHOLD = 0.3
 #: Steps over all rows, and how far a step moves a weight at first.
-STEPS, RATE = 60, 0.3
+STEPS, RATE = 30, 0.4
 #: Standard errors by which a feature's share among positives must exceed its share among all.
 MIN_Z = 5.0
 _EDGE = ".,;:!?\"'()[]{}<>|#*$%&…«»"
 
 
-def tokens(text: str) -> list[str]:
-    return text.lower().split()
+#: Characters that are hashed at a time; longer tokens are cut there.
+CHARACTERS = 500_000
+#: An odd number whose powers weigh a word's characters, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_HEADS = (3, 4, 5)
+_SPACE = re.compile(r"\s")
 
 
-def token_features(token: str) -> list[str]:
-    """The word without marks at its edges, and its beginnings, which carry stems."""
-    word = token.strip(_EDGE)
-    return [f"w:{word}", *(f"{k}:{word[:k]}" for k in (3, 4, 5) if len(word) > k)] if word else []
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: whether it is white space, and whether it is a mark that words are stripped of."""
+    edge = np.zeros(0x110000, bool)
+    edge[[ord(c) for c in _EDGE]] = True
+    return np.array([chr(c).isspace() for c in range(0x110000)]), edge
 
 
-def extractor() -> Extractor:
-    return Extractor(token_features, tokens)
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    return tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, x, np.uint64)))) for x in (_BASE, _INVERSE))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def _parts(lines: str) -> Iterator[tuple[int, str]]:
+    """A text in parts that end at white space, or after ``CHARACTERS`` if there is none for as many more."""
+    begin = 0
+    while begin < len(lines):
+        end = begin + CHARACTERS
+        if end < len(lines):
+            found = _SPACE.search(lines, end, end + CHARACTERS)
+            end = found.start() if found else end + CHARACTERS
+        yield begin, lines[begin:end]
+        begin = end
+
+
+class Words:
+    """Hashed features of the words of whole texts, computed on their code points at once.
+
+    A token (between white space, in small letters) gives its word without marks at its edges, and the word's first 3, 4
+    and 5 letters, which carry stems. A word's hash is a polynomial of its code points, so the hash of any beginning is a
+    difference of running sums.
+    """
+
+    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and features of all texts, and the number of tokens of each."""
+        low = [t.lower() for t in texts]
+        lines, begins = "\n".join(low), np.cumsum([0, *(len(t) + 1 for t in low)])
+        sizes, rows, ids = np.zeros(len(texts), np.int64), [], []
+        blank, edge = _kinds()
+        power, inverse = _powers(2 * CHARACTERS + 1)
+        for begin, part in _parts(lines):
+            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            space = np.concatenate(([True], blank[codes], [True]))
+            starts, ends = np.flatnonzero(space[:-1] & ~space[1:])[: len(codes)], np.flatnonzero(~space[:-1] & space[1:])
+            if not len(starts):
+                continue
+            owner = np.searchsorted(begins, begin + starts, side="right") - 1
+            sizes += np.bincount(owner, minlength=len(texts))
+            core = ~(edge[codes] | space[1:-1])
+            place = np.arange(len(codes))
+            first = np.minimum.accumulate(np.where(core, place, len(codes))[::-1])[::-1][starts]
+            last = np.maximum.accumulate(np.where(core, place, -1))[ends - 1] + 1
+            real = first < ends
+            owner, first, last = owner[real], first[real], last[real]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * power[: len(codes)], dtype=np.uint64)))
+            for head in (0, *_HEADS):
+                some = slice(None) if not head else np.flatnonzero(last - first > head)
+                a, b = first[some], first[some] + head if head else last
+                hashed = _mixed((sums[b] - sums[a]) * inverse[a] + np.uint64(head))
+                ids.append((hashed & np.uint64((1 << BITS) - 1)).astype(np.int64))
+                rows.append(owner[some])
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, ids)]
+        return flat[0], flat[1], sizes
+
+    def rows(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Features of each text, and how often it has them over the root of its number of tokens."""
+        rows, ids, sizes = self.features(texts)
+        pairs, times = np.unique(rows << BITS | ids, return_counts=True)
+        cuts = np.searchsorted(pairs >> BITS, np.arange(1, len(texts)))
+        values = times / np.sqrt(np.maximum(sizes, 1))[pairs >> BITS]
+        return np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), cuts), np.split(values.astype(np.float32), cuts)
+
+    def scores(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
+        """Logits without the bias."""
+        rows, ids, sizes = self.features(texts)
+        return np.bincount(rows, weights[ids], minlength=len(texts)) / np.sqrt(np.maximum(sizes, 1))
 
 
 @dataclass
@@ -68,9 +149,10 @@ class Classifier:
         @F.pandas_udf("double")
         def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             weights, slope, offset = held.value
-            found, own = extractor(), weights[:-1]
             for batch in batches:
-                out = found.scores([t or "" for t in batch], own) + weights[-1]
+                out = np.empty(len(batch))
+                for begin in range(0, len(batch), 100):
+                    out[begin : begin + 100] = Words().scores([t or "" for t in batch.iloc[begin : begin + 100]], weights[:-1]) + weights[-1]
                 yield pd.Series(sigmoid(slope * out + offset))
 
         return scored(text)
@@ -159,16 +241,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     # The labelled samples; at most 4,000 ids are broadcast to pick them.
     picks = positives.select(F.col("doc_id").alias("_id"), F.lit(1).alias("part")).unionByName(held.select(F.col("doc_id").alias("_id"), (F.lit(2) + F.col("toxic")).cast("int").alias("part")))
     rows = known.join(F.broadcast(picks), F.col("doc_id") == F.col("_id")).select("text", F.col("part").cast("int").alias("part"))
-    data, kept = collect_rows(rows, extractor, ["part"])
+    data, kept = collect_rows(rows, Words, ["part"])
     part = kept["part"]
     pool = known.filter((fold() != HELD_OUT) & fit).select("text")
     number, positive = pool.count(), np.flatnonzero(part == 1)
     if not len(positive) or not number:
         odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else (-30.0 if prior == 0 else 30.0)
         return Classifier(np.zeros((1 << BITS) + 1), 0.0, float(odds))
-    wanted = telling(data.take(positive), frequencies(pool, extractor), number)
+    wanted = telling(data.take(positive), frequencies(pool, Words), number)
     data = data.only(wanted)
-    weights = fit_nnpu(data.take(positive), distributed(reduced_rows(pool, extractor, wanted), number), prior)
+    weights = fit_nnpu(data.take(positive), distributed(reduced_rows(pool, Words, wanted), number), prior)
     check = np.flatnonzero(part >= 2)
     slope, offset = calibrate((data.take(check).logits(weights[:-1]) + weights[-1])[:, None], part[check] - 2)
     return Classifier(weights, float(slope), float(offset))

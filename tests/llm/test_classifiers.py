@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -80,20 +81,60 @@ def test_sums_over_a_table_equal_plain_ones(spark):
     assert found.rows == 345 and found.loss == pytest.approx(loss) and np.allclose(found.gradient, gradient)
 
 
+def plain_words(text):
+    """Features as texts: the word and its beginnings."""
+    words = [t.strip(toxicity._EDGE) for t in text.lower().split()]
+    return [(k, w[:k] if k else w) for w in words if w for k in (0, 3, 4, 5) if k == 0 or len(w) > k]
+
+
+def test_words_of_whole_texts_are_hashed_alike(monkeypatch):
+    texts = ["", " \n", "Brook, brooks! (BROOK) ... a-b", "日本語の文字です «naïveté» ﬁx", "x" * 300 + " don't \x1f y\u2003z", "abcde abcdef abcd", "brook"]
+    names = {}
+    for size in (500_000, 20, 7):
+        monkeypatch.setattr(toxicity, "CHARACTERS", size)
+        some = texts if size > 20 else [t for t in texts if len(t) < 300]
+        rows, ids, sizes = toxicity.Words().features(some)
+        assert sizes.tolist() == [len(t.split()) for t in some]
+        for k, text in enumerate(some):
+            own = Counter(plain_words(text))
+            have = Counter(ids[rows == k].tolist())
+            assert sorted(have.values()) == sorted(own.values())
+            names.setdefault(text, have)
+            assert names[text] == have  # however the texts are cut
+    monkeypatch.undo()
+    assert names["brook"].keys() <= names[texts[2]].keys()
+    lists, values = toxicity.Words().rows(texts)
+    assert [len(x) for x in lists] == [len(set(plain_words(t))) for t in texts]
+    weights = np.random.default_rng(1).normal(size=1 << linear.BITS)
+    want = [float(weights[i] @ v) if len(i) else 0.0 for i, v in zip(lists, values, strict=True)]
+    assert np.allclose(toxicity.Words().scores(texts, weights), want, atol=1e-5)
+
+
+def test_scores_sum_the_weights_of_all_features():
+    words = ["", "...", "a", "abc", "Abcd.", "«naïveté»", "日本語の文字", "ﬁx", "x" * 300, "don't", "(abcde)"]
+    view, weights = cotraining.content_view(), np.random.default_rng(1).normal(size=1 << linear.BITS)
+    texts = ["a a b", "", "One two, two %% %% x", " \n", " ".join(words)]
+    want = []
+    for text in texts:
+        tokens = text.split()
+        total = sum(weights[linear.bucket(f)] for t in tokens for f in cotraining.content_features(t))
+        total += weights[linear.bucket("=previous")] * sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
+        want.append(total / np.sqrt(max(1, len(tokens))))
+    assert np.allclose(view.scores(texts, weights), want)
+
+
 def test_features_are_counted_over_all_rows(spark, docs_of, odd_rows):
     rows = [*odd_rows, (50, "brook brook brooks"), (51, "Brook!")]
-    found = linear.frequencies(docs_of(rows), toxicity.extractor)
+    found = linear.frequencies(docs_of(rows), toxicity.Words)
     want = np.zeros_like(found)
     for _, text in rows:
-        own = {linear.bucket(f) for t in toxicity.tokens(text or "") for f in toxicity.token_features(t)}
-        want[list(own)] += 1
-    assert (found == want).all() and found[linear.bucket("w:brook")] == 2
+        want[toxicity.Words().rows([text or ""])[0][0]] += 1
+    brook, brooks = (toxicity.Words().features([t])[1] for t in ("brook", "brooks"))
+    assert (found == want).all() and found[brook[0]] == 2
     wanted = np.zeros(1 << linear.BITS, bool)
-    wanted[[linear.bucket("w:brook"), linear.bucket("5:brook")]] = True
-    kept = [(r.ids, r.values) for r in linear.reduced_rows(docs_of(rows), toxicity.extractor, wanted).collect()]
-    both = sorted([linear.bucket("w:brook"), linear.bucket("5:brook")])
-    assert sorted(len(i) for i, _ in kept) == [1, 2]
-    assert next(v for i, v in kept if i == both) == pytest.approx([x / 3**0.5 for x in ((2, 1) if both[0] == linear.bucket("w:brook") else (1, 2))])
+    wanted[[brook[0], brooks[3]]] = True  # the word, and the first five letters of longer ones
+    kept = {len(r.ids): dict(zip(r.ids, r.values, strict=True)) for r in linear.reduced_rows(docs_of(rows), toxicity.Words, wanted).collect()}
+    assert kept == {1: {brook[0]: 1.0}, 2: {brook[0]: pytest.approx(2 / 3**0.5), brooks[3]: pytest.approx(1 / 3**0.5)}}
 
 
 def test_a_rare_word_that_only_the_whole_corpus_proves_is_used(spark, docs_of):
