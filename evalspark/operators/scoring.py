@@ -294,11 +294,14 @@ def last_attempts(attempts: DataFrame) -> DataFrame:
 
 
 def align_predictions(examples: DataFrame, predictions: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Label and prediction of every pair, by id: a missing prediction is ``''``, a surplus one is dropped."""
+    """Label and prediction of every pair, by id: a missing prediction is ``''``, a surplus one is dropped.
+
+    Predictions take far less room in a file than in memory, so its size must not make them a broadcast: the join sorts.
+    """
     pairs = score_pairs(
         artifacts.select("run_id", "artifact_hash"), examples.select("run_id", "split", "id", "label")
     )
-    joined = join_on(pairs, predictions.select(*PAIR_KEY, "prediction"), list(PAIR_KEY), "left")
+    joined = join_on(pairs, predictions.select(*PAIR_KEY, "prediction").hint("merge"), list(PAIR_KEY), "left")
     return joined.select(*PAIR_KEY, "label", F.coalesce("prediction", F.lit("")).alias("prediction"))
 
 

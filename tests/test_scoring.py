@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.hashing import sha16
 from evalspark.operators import diagnosis as D
 from evalspark.operators import scoring as C
-from evalspark.plans.shared import new_folder
+from evalspark.plans.shared import new_folder, settle
 from evalspark.sources import cache as K
 
 
@@ -79,6 +79,20 @@ def test_missing_predictions_are_empty(artifacts, examples, rows):
     assert sum(r[-1] for r in direct) == 36 and any(r[4] == "" for r in direct)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_aligned_predictions_are_not_broadcast(spark, artifacts, examples, rows):
+    scored = settle(C.score(C.scoring_work(artifacts, examples), by_text).where("id > 5"), "test-predictions")
+    aligned = C.align_predictions(examples, scored, artifacts)
+    # The only broadcast is that of the artifacts, whose size was measured.
+    assert _plan(aligned).count("BroadcastExchange") == 1 and "SortMergeJoin" in _plan(aligned)
+    found = rows(aligned.where("id > 5"), *C.PAIR_KEY, "label", "prediction")
+    assert aligned.count() == 36 and found == rows(scored, *C.PAIR_KEY, "label", "prediction")
+    assert aligned.where("id <= 5 and prediction <> ''").isEmpty()
+
+
 def test_cache_skips_what_is_scored(spark, artifacts, examples, rows):
     path = new_folder(spark, "test-cache")
     first = artifacts.where("artifact = 'Prompt A'")
