@@ -77,3 +77,24 @@ def test_an_append_reads_only_the_slots_it_touches(spark):
     assert old.count() == 30
     plan = old._jdf.queryExecution().executedPlan().toString()
     assert re.search(rf"PartitionFilters: \[[^\]]*slot#\d+ = {slot}\)", plan)
+
+
+def test_tasks_do_not_grow_with_an_append(spark, monkeypatch):
+    path = new_folder(spark, "cells")
+    S.new_store(spark, path)
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 100)
+    rows = spark.range(1000).selectExpr("'r' AS run_id", "'a' AS artifact_hash", "'dev' AS split", "id", "'x' AS label", "'y' AS prediction")
+    S.append_predictions(rows, path, 0)
+    # One artifact is one slot, whose rows are in ten parts over ten tasks.
+    assert len(spark.read.parquet(f"{path}/rows/append=0").inputFiles()) > 4
+    missing = spark.createDataFrame([(None, "a", "dev", 1, "x", "y")], S.ROW)
+    later = rows.where("id % 2 = 0").unionByName(missing)
+    change = S.append_predictions(later.withColumn("prediction", F.lit("x")), path, 1)
+    assert {(r.run_id, r.prediction, r.n) for r in change.collect()} == {("r", "x", 500), ("r", "y", -500), (None, "x", 1)}
+    again = S.append_predictions(missing, path, 2)
+    assert [r.n for r in again.collect()] == [1]
+    slot = rows.select(S._slot()).first()[0]
+    old = S.replaced_rows(rows, path, 1, [slot])
+    assert old.count() == 1000 and "Broadcast" not in old._jdf.queryExecution().executedPlan().toString()
+    S.compact(spark, path)
+    assert {(r.prediction, r.n) for r in S.current_cells(spark, path).where("run_id = 'r'").collect()} == {("x", 500), ("y", 500)}
