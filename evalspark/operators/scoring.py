@@ -325,7 +325,9 @@ def aligned_contingency(
     counted = contingency(scored.select(*KEYS, "label", F.coalesce("prediction", F.lit("")).alias("prediction")))
     if cached is not None:
         known = join_on(cached.select(*PAIR_KEY, "prediction"), wanted, ["run_id", "artifact_hash"], "left_semi")
-        counted = counted.unionByName(contingency(join_on(one_per_pair(known), labels, ["run_id", "split", "id"])))
+        # One shuffle serves the copies and the labels; the cached rows are small as files only, so they are never broadcast.
+        known = one_per_pair(known.repartition("run_id", "split", "id")).hint("merge")
+        counted = counted.unionByName(contingency(join_on(known, labels, ["run_id", "split", "id"])))
     counted = settle(counted, "aligned-cells")
     expected = join_on(
         wanted, labels.groupBy("run_id", "split", "label").agg(F.count(F.lit(1)).alias("_all")), ["run_id"]

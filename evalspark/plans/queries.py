@@ -852,7 +852,8 @@ def _stream_scores(spark, sf, scorer) -> tuple[DataFrame, DataFrame, str]:
 def stream_score(spark, sf):
     """Metrics after artifacts arrived in files and were scored as they came."""
     arts, exs, cache = _stream_scores(spark, sf, B.hash_scorer_function)
-    results = C.scoring_results(exs, RS.failed_predictions(spark, cache), arts, RS.cached_predictions(spark, cache))
+    failed = settle(RS.failed_predictions(spark, cache), "failed")
+    results = C.scoring_results(exs, failed, arts, RS.read_stream_cache(spark, cache))
     return rounded(results, 9, *METRICS).select("run_id", "artifact_hash", "split", *METRICS)
 
 
@@ -860,5 +861,6 @@ def stream_score(spark, sf):
 def stream_score_failures(spark, sf):
     """The same with a scorer that refuses some artifacts: their groups fail and say why."""
     arts, exs, cache = _stream_scores(spark, sf, _failing_scorer)
-    results = C.scoring_results(exs, RS.failed_predictions(spark, cache), arts, RS.cached_predictions(spark, cache))
+    failed = settle(RS.failed_predictions(spark, cache), "failed")
+    results = C.scoring_results(exs, failed, arts, RS.read_stream_cache(spark, cache))
     return rounded(results, 9, *METRICS)

@@ -53,9 +53,10 @@ def _errors(cache_path: str) -> str:
 
 def failed_predictions(spark, cache_path: str) -> DataFrame:
     """The newest error of every pair that has no prediction yet, as scored rows."""
-    rows = spark.read.schema(f"{FAILED}, micro_batch bigint").parquet(_errors(cache_path))
+    rows = spark.read.schema(f"{FAILED}, micro_batch bigint").parquet(_errors(cache_path)).repartition(*PAIR_KEY)
     newest = rows.groupBy(*PAIR_KEY).agg(F.max_by(F.struct("label", "error"), "micro_batch").alias("v"))
-    rest = join_on(newest, read_stream_cache(spark, cache_path).select(*PAIR_KEY), list(PAIR_KEY), "left_anti")
+    # The cache is small as files only, so it is never broadcast.
+    rest = join_on(newest, read_stream_cache(spark, cache_path).select(*PAIR_KEY).hint("merge"), list(PAIR_KEY), "left_anti")
     return rest.select(*PAIR_KEY, "v.label", F.lit(None).cast("string").alias("prediction"), "v.error")
 
 

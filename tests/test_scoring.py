@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 from evalspark.functions.hashing import sha16
 from evalspark.operators import diagnosis as D
 from evalspark.operators import scoring as C
+from evalspark.operators.keys import join_on
 from evalspark.plans.shared import new_folder, settle
 from evalspark.sources import cache as K
+from evalspark.streaming import score_stream as RS
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +95,27 @@ def test_aligned_predictions_are_not_broadcast(spark, artifacts, examples, rows)
     assert aligned.where("id <= 5 and prediction <> ''").isEmpty()
 
 
+def test_cached_predictions_are_not_broadcast(spark, artifacts, examples, rows):
+    scored = settle(C.score(C.scoring_work(artifacts, examples), by_text), "test-predictions")
+    path = new_folder(spark, "test-stream-cache")
+    lines = settle(examples, "test-examples")
+    seen = []
+    settled = C.settle
+    try:
+        C.settle = lambda df, name: (seen.append(_plan(df)), settled(df, name))[1]
+        cells = rows(C.aligned_contingency(lines, scored.limit(0), settle(artifacts, "test-artifacts"), scored))
+    finally:
+        C.settle = settled
+    assert sum(r[-1] for r in cells) == 36 and "SortMergeJoin" in seen[0]
+    RS.empty_cache(spark).write.parquet(f"{path}/micro_batch=-1")
+    scored.where("id > 5").select("artifact_hash", "split", "id", "prediction", "run_id").write.parquet(f"{path}/micro_batch=1")
+    errors = join_on(scored, artifacts.select("run_id", "artifact_hash", "artifact"), ["run_id", "artifact_hash"]).withColumn("error", F.lit("late"))
+    errors.select("run_id", "artifact_hash", "artifact", "split", "id", "label", "error").write.parquet(f"{path}-errors/micro_batch=0")
+    failed = RS.failed_predictions(spark, path)
+    assert "Broadcast" not in _plan(failed)
+    assert rows(failed, *C.PAIR_KEY) == rows(scored.where("id <= 5"), *C.PAIR_KEY)
+
+
 def test_cache_skips_what_is_scored(spark, artifacts, examples, rows):
     path = new_folder(spark, "test-cache")
     first = artifacts.where("artifact = 'Prompt A'")
