@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalspark.plans.session import ship_package
-from evalspark.plans.shared import settle
+from evalspark.plans.shared import settle, tidy  # noqa: F401
 
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]"
@@ -101,25 +99,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield batch.slice(begin)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for a task, after which the worker process gives back the memory that is free again.
-
-    Workers outlive their tasks and wait for others; what they hold counts against the executor.
-    """
-
-    def tasks(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
-
-    return tasks
-
-
 class PartStore:
     """Ids of parts of texts that were encoded before, one flat array with a place for each part.
 

@@ -25,7 +25,7 @@ from evalspark.functions.hashing import hash8
 from evalspark.operators.keys import join_on
 from evalspark.operators.ledger import hit_rate, ledger_of, unset_pairs
 from evalspark.operators.metrics import KEYS, contingency, metrics_of_cells
-from evalspark.plans.shared import settle
+from evalspark.plans.shared import settle, tidy
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 PAIR_SALTS = 64
@@ -34,6 +34,8 @@ BLOCK_BYTES = 256 * 1024
 SLOTS_PER_TASK = 32
 # What an example costs besides its text, in bytes.
 EXAMPLE_BYTES = 64
+# Text that a chunk of examples holds at most (one example at least): as Python strings it takes up to four times as much.
+CHUNK_BYTES = 8 * 1024 * 1024
 
 # A scorer gets one artifact, a frame of examples (``id``, ``input``, ``label``) and the
 # temperature of the attempt, and returns one prediction per example, in order.
@@ -225,8 +227,24 @@ def _call(scorer: Scorer, artifact: str, chunk: pd.DataFrame, temperature: float
     return [None if p is None else str(p) for p in found], None
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts with about ``CHUNK_BYTES`` of examples' text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("input")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, str, pd.DataFrame]]:
-    """Hash and text of every artifact in a batch of work, with the examples it meets there."""
+    """Hash and text of every artifact in a batch of work, with the examples it meets there, as strings for a part at a time."""
+    for part in _parts(batch):
+        yield from _part_chunks(part)
+
+
+def _part_chunks(batch: pa.RecordBatch) -> Iterator[tuple[str, str, pd.DataFrame]]:
     lists = batch.column("artifacts")
     examples = batch.drop_columns(["artifacts"]).to_pandas()
     members = pc.list_flatten(lists)
@@ -254,7 +272,7 @@ def score(work: DataFrame, scorer: Scorer) -> DataFrame:
                 found, error = _call(scorer, text, chunk, fixed.RETRY_TEMPERATURES[0])
                 yield _rows(chunk, SCORED_ROWS, artifact_hash=name, prediction=found, error=error)
 
-    return work.select(*WORK).mapInArrow(run, SCORED)
+    return work.select(*WORK).mapInArrow(tidy(run), SCORED)
 
 
 def score_with_retries(
@@ -284,7 +302,7 @@ def score_with_retries(
                     if chunk.empty:
                         break
 
-    return work.select(*WORK).mapInArrow(run, ATTEMPTS)
+    return work.select(*WORK).mapInArrow(tidy(run), ATTEMPTS)
 
 
 def last_attempts(attempts: DataFrame) -> DataFrame:

@@ -237,3 +237,22 @@ def test_the_costliest_items_are_dealt_first():
     tasks = C._deal(costs, 2)
     assert sorted(sum(c for c, t in zip(costs, tasks, strict=True) if t == k) for k in (0, 1)) == [14, 14]
     assert C._deal([], 4) == []
+
+
+def test_chunks_hold_little_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "CHUNK_BYTES", 1000, raising=False)
+    texts = ["x" * 400] * 5 + [None, "é" * 2000, ""] + ["y"] * 4
+    blocks = [[{"artifact_hash": h, "artifact": f"text {h}"} for h in "ab"[: 1 + k % 2]] for k in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({
+        "run_id": ["r"] * len(texts), "split": ["dev"] * len(texts), "id": list(range(len(texts))), "input": texts,
+        "label": ["A"] * len(texts), "artifacts": blocks,
+    })
+    found = list(C._chunks(batch))
+    for name, text, chunk in found:
+        assert text == f"text {name}" and (len(chunk) == 1 or sum(len((t or "").encode()) for t in chunk["input"]) <= 1000)
+    pairs = sorted((i, name) for name, _, chunk in found for i in chunk["id"])
+    assert pairs == [(k, m["artifact_hash"]) for k, block in enumerate(blocks) for m in block]
+    assert [t for _, _, chunk in found for t in chunk["input"][chunk["id"] == 5]] == [None, None]
+    assert list(C._chunks(batch.slice(0, 0))) == []
