@@ -56,65 +56,68 @@ _STRETCH, _SQUASH = _tables()
 
 
 class _Coder:
-    """Carry-less range coders side by side."""
+    """Carry-less range coders side by side, of 64 bits, that give out 16 bits at a time."""
 
     def __init__(self, lanes: int, data: np.ndarray | None, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
         self.place = np.zeros(lanes, np.int64)
         self.reading = data is not None
         if self.reading:
             self.data, self.width = data.reshape(-1), data.shape[1]
-            self.code = np.zeros(lanes, np.uint32)
+            self.code = np.zeros(lanes, np.uint64)
             for _ in range(4):
-                self.code = (self.code << np.uint32(8)) | self._next(np.arange(lanes)).astype(np.uint32)
+                self.code = (self.code << _UNIT) | self._next(np.arange(lanes))
         else:
-            self.data, self.width = np.zeros(lanes * room, np.uint8), room
+            self.data, self.width = np.zeros(lanes * room, np.uint16), room
 
     def _next(self, lanes: np.ndarray) -> np.ndarray:
         # A damaged block may ask for more than there is.
-        out = self.data[lanes * self.width + np.minimum(self.place[lanes], self.width - 1)]
-        self.place[lanes] += 1
-        return out
+        place = self.place[lanes]
+        self.place[lanes] = place + 1
+        return self.data[lanes * self.width + np.minimum(place, self.width - 1)].astype(np.uint64)
 
     def seek(self, lanes: slice | np.ndarray, bits: int) -> np.ndarray:
         """Reading: where the number stands in a scale of ``bits`` bits."""
-        found = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> np.uint32(bits))
-        return np.minimum(found, np.uint32((1 << bits) - 1))
+        found = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> np.uint64(bits))
+        return np.minimum(found, np.uint64((1 << bits) - 1)).astype(np.int32)
 
     def step(self, lanes: slice | np.ndarray, below: np.ndarray, share: np.ndarray, bits: int) -> None:
         """Narrow each lane to the part of its range that begins at ``below`` and is ``share`` of ``2**bits`` long."""
-        unit = self.range[lanes] >> np.uint32(bits)
-        low, wide = self.low[lanes] + below.astype(np.uint32) * unit, unit * share.astype(np.uint32)
+        unit = self.range[lanes] >> np.uint64(bits)
+        low, wide = self.low[lanes] + below.astype(np.uint64) * unit, unit * share.astype(np.uint64)
         self.low[lanes], self.range[lanes] = low, wide
-        out = ((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM)
-        if not out.any():
+        out = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
+        if not len(out):
             return
-        todo = np.flatnonzero(out) if isinstance(lanes, slice) else lanes[out]
+        todo = out if isinstance(lanes, slice) else lanes[out]
+        low, wide = low[out], wide[out]
         while len(todo):
-            low, wide = self.low[todo], self.range[todo]
-            # A range across a border of its top byte is cut at the border.
-            wide = np.where((low ^ (low + wide)) < _TOP, wide, (~low + np.uint32(1)) & (_BOTTOM - np.uint32(1)))
+            # A range across a border of its top bits is cut at the border.
+            wide = np.where((low ^ (low + wide)) < _TOP, wide, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
             if self.reading:
-                self.code[todo] = (self.code[todo] << np.uint32(8)) | self._next(todo)
+                self.code[todo] = (self.code[todo] << _UNIT) | self._next(todo)
             else:
-                self.data[todo * self.width + self.place[todo]] = low >> np.uint32(24)
-                self.place[todo] += 1
-            low, wide = low << np.uint32(8), wide << np.uint32(8)
+                place = self.place[todo]
+                self.data[todo * self.width + place] = low >> np.uint64(48)
+                self.place[todo] = place + 1
+            low, wide = low << _UNIT, wide << _UNIT
             self.low[todo], self.range[todo] = low, wide
-            todo = todo[((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM)]
+            again = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
+            todo, low, wide = todo[again], low[again], wide[again]
 
     def finish(self) -> list[bytes]:
-        """Four more bytes name a number inside each lane's range."""
+        """Eight more bytes name a number inside each lane's range."""
         rows, out = self.data.reshape(-1, self.width), []
         for lane, (place, low) in enumerate(zip(self.place.tolist(), self.low.tolist(), strict=True)):
-            out.append(rows[lane, :place].tobytes() + low.to_bytes(4, "big"))
+            out.append(rows[lane, :place].astype(">u2").tobytes() + low.to_bytes(8, "big"))
         return out
 
 
-_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
+_UNIT, _TOP, _BOTTOM = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 32)
 _SCALE = 15  # bits of the cumulative shares of 16 symbols
 #: Cumulative shares that a table moves to when it has seen a symbol; every symbol keeps a share of 1.
 _GOALS = np.array([[i if i <= s else (1 << _SCALE) - 16 + i for i in range(16)] for s in range(16)], np.int16)
+_ROW = np.dtype("V32")  # a table's shares, read and written as one value
 #: First table of each of an id's four digits: the first alone, then by the first, by the first two, by the third.
 _DIGITS = (0, 1, 17, 273)
 _TABLES = 289
@@ -122,20 +125,20 @@ _TABLES = 289
 
 def _digit(coder: _Coder, lanes: np.ndarray, table: np.ndarray, shares: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
     """Code one base-16 digit per lane with its adaptive table, of cumulative shares."""
-    rows = shares.take(table, axis=0)
+    rows = shares.take(table).view(np.int16).reshape(-1, 16)
     if digit is None:
-        passed = np.packbits(rows <= coder.seek(lanes, _SCALE).astype(np.int16)[:, None], axis=1).view(np.uint16)
-        digit = np.bitwise_count(passed).ravel().astype(np.int64) - 1
+        passed = np.packbits(rows <= coder.seek(lanes, _SCALE).astype(np.int16)[:, None]).view(np.uint16)
+        digit = np.bitwise_count(passed).astype(np.int64) - 1
     at = np.arange(0, 16 * len(lanes), 16) + digit
     flat = rows.ravel()
-    below = flat.take(at).astype(np.int32)
-    upper = np.where(digit < 15, flat.take(at + 1, mode="clip").astype(np.int32), np.int32(1 << _SCALE))
-    coder.step(lanes, below, upper - below, _SCALE)
+    below = flat.take(at)
+    # Every row begins with 0, so behind its last symbol stands 0: the whole scale, where numbers are taken modulo it.
+    coder.step(lanes, below, (flat.take(at + 1, mode="wrap") - below) & np.int16((1 << _SCALE) - 1), _SCALE)
     step = _GOALS.take(digit, axis=0)
     step -= rows
     step >>= 5
     step += rows
-    shares[table] = step
+    shares.put(table, step.view(_ROW).ravel())
     return digit
 
 
@@ -146,46 +149,53 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None,
     """
     lanes, longest = len(lengths), int(lengths[0])
     tables = _TABLES + 16 * high
-    coder = _Coder(lanes, data, longest * (5 + high) + 16)
+    coder = _Coder(lanes, data, longest * (5 + high) // 2 + 16)
     out = np.zeros((lanes, longest), np.int32) if ids is None else ids
-    every = np.arange(lanes, dtype=np.int64)
     kind = np.uint32 if high else np.uint16
-    one, two = np.zeros(lanes * _ONE, kind), np.zeros(lanes * _TWO, kind)
-    sure_one, sure_two = np.zeros(lanes * _ONE, np.uint8), np.zeros(lanes * _TWO, np.uint8)
+    # Rows 0 and 1 belong to orders 1 and 2: ids seen last by context, with how sure they are.
+    every = np.arange(lanes, dtype=np.int64)
+    first = np.stack((every * _ONE, lanes * _ONE + every * _TWO))
+    seen, sure = np.zeros(lanes * (_ONE + _TWO), kind), np.zeros(lanes * (_ONE + _TWO), np.uint8)
     # Chances that a candidate is right: by order 0 (one counter), and by confidence for orders 1 and 2.
-    right = [np.full(lanes * size, 1024, np.int32) for size in (1, _HIT, _HIT)]
+    alone, right = np.full(lanes, 1024, np.int32), np.full(2 * lanes * _HIT, 1024, np.int32)
+    counters = np.stack((every * _HIT, (lanes + every) * _HIT))
     weights = np.full((3, lanes), 1 << 14, np.int32)  # 16 fraction bits
-    shares = np.tile((np.arange(16) << (_SCALE - 4)).astype(np.int16), (lanes * tables, 1))
+    shares = np.tile((np.arange(16) << (_SCALE - 4)).astype(np.int16), (lanes * tables, 1)).view(_ROW).ravel()
     before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     for t in range(longest):
         n = int(active[t])
-        who, part = every[:n], slice(0, n)
+        part = slice(0, n)
         last, earlier = before[0][part], before[1][part]
-        at_one = who * _ONE + (last * 40503 >> 4 & _ONE - 1)
-        at_two = who * _TWO + ((earlier * 40503 + last * 48271) >> 3 & _TWO - 1)
-        c_one, c_two = sure_one[at_one], sure_two[at_two]
-        guess_one, guess_two = one[at_one], two[at_two]
-        guess = np.where(c_two > 0, guess_two, guess_one).astype(np.int64)
+        at = first[:, part].copy()
+        at[0] += last * 40503 >> 4 & _ONE - 1
+        at[1] += (earlier * 40503 + last * 48271) >> 3 & _TWO - 1
+        found, level = seen.take(at), sure.take(at)
+        guess = np.where(level[1] > 0, found[1], found[0])
         # Mix the three predictions; one that does not support the candidate says nothing.
-        spots = [who, who * _HIT + c_one, who * _HIT + c_two]
-        chances = [r[s] for r, s in zip(right, spots, strict=True)]
-        say = [None, (c_one > 0) & (guess_one == guess), c_two > 0]
-        stretched = [_STRETCH[c] if s is None else _STRETCH[c] * s for s, c in zip(say, chances, strict=True)]
-        total = (weights[0, part] * stretched[0] >> 15) + (weights[1, part] * stretched[1] >> 15) + (weights[2, part] * stretched[2] >> 15)
-        mixed = _SQUASH[np.clip(total + 2048, 0, 4095)]
+        spots = counters[:, part] + level
+        own, chances = alone[part], right.take(spots)
+        say = level > 0
+        say[0] &= found[0] == guess
+        stretched = np.empty((3, n), np.int32)
+        stretched[0] = _STRETCH.take(own)
+        np.multiply(_STRETCH.take(chances), say, out=stretched[1:])
+        weight = weights[:, part]
+        parts = weight * stretched >> 15
+        mixed = _SQUASH.take(parts[0] + parts[1] + parts[2] + 2048, mode="clip")
         hit = coder.seek(part, 12) < mixed if ids is None else guess == out[part, t]
         coder.step(part, np.where(hit, 0, mixed), np.where(hit, mixed, 4096 - mixed), 12)
-        goal = np.where(hit, 4095, 0)
-        error = goal - mixed
-        for k in range(3):
-            weights[k, part] += (stretched[k] * error) >> 10
-            step = (goal - chances[k]) >> 5
-            right[k][spots[k]] = np.clip(chances[k] + (step if say[k] is None else step * say[k]), 32, 4063)
-        np.clip(weights, -(1 << 18), 1 << 18, out=weights)
+        goal = hit * np.int32(4095)
+        weight += stretched * (goal - mixed) >> 10
+        np.minimum(np.maximum(weight, -(1 << 18), out=weight), 1 << 18, out=weight)
+        own += (goal - own) >> 5
+        chances += ((goal - chances) >> 5) * say
+        for value in (own, chances):
+            np.minimum(np.maximum(value, 32, out=value), 4063, out=value)
+        right.put(spots, chances)
         # Ids that the candidate missed, digit by digit.
         rest = np.flatnonzero(~hit)
-        symbol = guess
+        symbol = guess.astype(np.int64)
         if len(rest):
             value = None if ids is None else out[rest, t]
             digits: list[np.ndarray] = []
@@ -198,13 +208,11 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None,
                 context = (lambda: 0, lambda: digits[0], lambda: digits[0] * 16 + digits[1], lambda: digits[2])[place]()
                 known = None if value is None else value >> (12 - 4 * place) & 15
                 digits.append(_digit(coder, rest, rest * tables + _DIGITS[place] + context, shares, known))
-            symbol = guess.copy()
             symbol[rest] = (((above * 16 + digits[0]) * 16 + digits[1]) * 16 + digits[2]) * 16 + digits[3]
         if ids is None:
             out[part, t] = symbol
-        one[at_one], two[at_two] = symbol, symbol
-        sure_one[at_one] = np.where(guess_one == symbol, np.minimum(c_one + 1, _HIT - 1), 1)
-        sure_two[at_two] = np.where(guess_two == symbol, np.minimum(c_two + 1, _HIT - 1), 1)
+        seen.put(at, symbol.astype(kind))  # both rows
+        sure.put(at, np.where(found == symbol, np.minimum(level + np.uint8(1), np.uint8(_HIT - 1)), np.uint8(1)))
         before[1][part] = last
         before[0][part] = symbol
     return coder, out
@@ -237,10 +245,12 @@ def unpack(lengths: list[int], crcs: list[int], blocks: list[bytes]) -> np.ndarr
             raise ValueError(f"block {some[0]} is damaged")
         sizes = np.array([lengths[k] for k in some], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        data = np.zeros((len(some), max(len(blocks[k]) for k in some) + 8), np.uint8)
+        data = np.zeros((len(some), max(len(blocks[k]) for k in some) // 2 + 4), np.uint16)
         for row, k in enumerate(order):
             block = blocks[some[k]][1:]
-            data[row, : len(block)] = np.frombuffer(block, np.uint8)
+            if len(block) % 2:
+                raise ValueError(f"block {some[k]} is damaged")
+            data[row, : len(block) // 2] = np.frombuffer(block, ">u2")
         _, rows = _code(sizes[order], None, data, high)
         for row, k in enumerate(order):
             ids = rows[row, : sizes[k]]
@@ -283,7 +293,7 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = load_tokenizer(held.value, False)
-        store = PartStore(lambda parts: [e.ids for e in tokenizer.encode_batch(parts, add_special_tokens=False)], KEPT_PARTS)
+        store = PartStore(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], KEPT_PARTS)
         part, number, names, counts, flat, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def frame() -> pa.RecordBatch:
@@ -300,7 +310,7 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_id
                 ids, sizes = store.ids([w.decode() for w in chain.from_iterable(words)])
                 edges = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, words)])]
             else:
-                found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+                found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 ids, edges = np.concatenate(found), np.cumsum([0, *map(len, found)])
             for name, begin, end in zip(batch.column("doc_id").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 names.append(name)

@@ -105,6 +105,26 @@ def test_larger_ids_and_blocks_of_several_widths():
         token_files.pack(np.array([1 << 31]))
 
 
+def test_coders_give_out_bits_about_once_a_step(monkeypatch):
+    """All lanes go on together, so each round in which some lane gives out bits costs a pass of its own."""
+    monkeypatch.setattr(token_files, "BLOCK", 64)
+    ids = np.random.default_rng(6).integers(0, 1 << 16, 64 * 300)
+    calls = {"step": 0, "_next": 0}
+    for name in calls:
+        def counted(self, *given, name=name, whole=getattr(token_files._Coder, name)):
+            calls[name] += 1
+            return whole(self, *given)
+
+        monkeypatch.setattr(token_files._Coder, name, counted)
+    packed = token_files.pack(ids)
+    calls["step"] = 0
+    assert token_files.unpack(*packed).tolist() == ids.tolist()
+    assert calls["_next"] <= 1.5 * calls["step"]
+    short = [packed[2][0][:-1]]
+    with pytest.raises(ValueError, match="damaged"):
+        token_files.unpack(packed[0][:1], packed[1][:1], short)
+
+
 def test_words_are_cut_only_where_the_tokenizer_allows_it():
     assert token_files.cuts_at_white_space(Tokenizer.from_str(WORDS))
     assert not token_files.cuts_at_white_space(Tokenizer.from_str(BYTES))  # its pieces begin with a space
