@@ -36,7 +36,7 @@ from evalspark.plans.shared import settle
 
 BLOCK = 2048
 #: Ids after which a frame is closed, at the end of a document.
-FRAME = 2 << 20
+FRAME = 3 << 20
 KEPT_PARTS = 250_000
 SLICE = 2_000_000
 _ONE, _TWO, _HIT = 1024, 4096, 16  # entries of the order-1 and order-2 tables; levels of confidence
@@ -282,18 +282,73 @@ def cuts_at_white_space(tokenizer) -> bool:
     ) and not ids(" \n\t")
 
 
+#: Normalizers and pre-tokenizers whose pieces of a plain text are known: the matches of one expression in lower case, as bytes.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Plain texts have no characters but these, which no normalizer composes: ASCII from 0x21, white space, Latin letters up to U+00FF.
+_PLAIN = re.compile("[\x20\x09-\x0d!-~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\x20\x09-\x0da-zß-öø-ÿ0-9]+")
+#: The letter by which byte-level pieces write each byte that is not visible in Latin-1.
+_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+class Parts:
+    """Parts of texts that the tokenizer encodes one by one, and their ids; for tokenizers that pass ``cuts_at_white_space``.
+
+    With the pre-tokenizer above, plain texts are cut into its pieces, and each piece goes to the library's model: the library's
+    own way to the model takes longer than the model itself. All else is cut into words, which go the library's way.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        made = json.loads(tokenizer.to_str())
+        steps = [(made[k] or {}).get(name) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.known = steps == [_NORMALIZERS, _SPLITS] and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+        # Added tokens are found in texts before anything else.
+        self.added = [t["content"].lower() for t in made["added_tokens"]]
+
+    def _plain(self, text: str) -> str | None:
+        """A plain text in lower case."""
+        if not (self.known and _PLAIN.fullmatch(text)):
+            return None
+        low = text.lower()
+        return None if any(a in low for a in self.added) else low
+
+    def cut(self, text: str) -> list[str]:
+        low = self._plain(text)
+        if low is not None:
+            return _PIECES.findall(low)
+        out: list[str] = []
+        for word in text.encode().split():
+            low = self._plain(word := word.decode())
+            out.extend([word] if low is None else _PIECES.findall(low))
+        return out
+
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        plain = [self._plain(p) is not None for p in parts]
+        others = [p for p, known in zip(parts, plain, strict=True) if not known]
+        found = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
+        tokenize = self.model.tokenize
+        letters = lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS)
+        return [[t.id for t in tokenize(letters(p))] if known else next(found).ids for p, known in zip(parts, plain, strict=True)]
+
+
 def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_ids: int = FRAME) -> None:
     """Tokenise whole texts, append ``end_id`` to each, and write frames in ascending doc_id order.
 
     Texts are cut at white space if the tokenizer drops it and no token spans it (``cuts_at_white_space``), and parts seen
-    before are not encoded again; else whole texts are encoded.
+    before (``Parts``) are not encoded again; else whole texts are encoded.
     """
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = load_tokenizer(held.value, False)
-        store = PartStore(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], KEPT_PARTS)
+        parts = Parts(tokenizer)
+        store = PartStore(parts.encode, KEPT_PARTS)
         part, number, names, counts, flat, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def frame() -> pa.RecordBatch:
@@ -306,9 +361,9 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_id
         for batch in slices(batches, "text", SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if in_words:
-                words = [t.encode().split() for t in texts]
-                ids, sizes = store.ids([w.decode() for w in chain.from_iterable(words)])
-                edges = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, words)])]
+                cuts = [parts.cut(t) for t in texts]
+                ids, sizes = store.ids(list(chain.from_iterable(cuts)))
+                edges = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, cuts)])]
             else:
                 found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 ids, edges = np.concatenate(found), np.cumsum([0, *map(len, found)])
@@ -324,7 +379,7 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_id
             yield frame()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", "text")
-    ordered.mapInArrow(run, FRAMES).write.parquet(path)
+    ordered.mapInArrow(tidy(run), FRAMES).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -212,3 +212,42 @@ def test_intersection_equals_brute_force(tokens, spans, share):
 def test_digest_of_ids(docs_of):
     row = codec.encode(docs_of([(1, "a b")]).select("doc_id", "text"), PROTO).select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("d")).first()
     assert row.d == hashlib.sha256(",".join(map(str, LIBRARY.encode("a b"))).encode()).hexdigest()
+
+
+WORD_LIBRARY = Tokenizer.from_str(WORDS)
+PARTS = token_files.Parts(WORD_LIBRARY)
+ODD_WORDS = st.lists(
+    st.text(alphabet="aZé'sSÉßÿÞªµº×÷ſK\u212bİ²½٣9_.,&日\u0301\u0327\x00\x01\x1f\x7f<|> \n\t", min_size=1, max_size=9)
+    | st.sampled_from(["<|endoftext|>", "a<|startoftext|>b.", "<|EndOfText|>", "don't", "IT'S", "we'LL''d", "e\u0301té,", "\u00c9t\u00e9."]),
+    max_size=30,
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD_WORDS, st.sampled_from([" ", "", "\r\n", "\u00a0", "\u2028"]))
+def test_parts_of_texts_equal_the_library(words, gap):
+    text = gap.join(words)
+    ids = [i for part in PARTS.encode(PARTS.cut(text)) for i in part]
+    assert ids == WORD_LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_words_with_equal_pieces_are_encoded_once():
+    cuts = [PARTS.cut(t) for t in ("Grün, grün. GRÜN...\tgrün,12.", "日本 Grün, <|endoftext|> grün.")]
+    assert cuts[0] == ["grün", ",", "grün", ".", "grün", "...", "grün", ",", "1", "2", "."]
+    assert cuts[1] == ["日本", "grün", ",", "<|endoftext|>", "grün", "."]
+
+
+def test_plain_pieces_go_to_the_model_alone():
+    class Model:
+        model = WORD_LIBRARY.model
+        to_str = WORD_LIBRARY.to_str
+
+    pieces = ["grün", "...", "1", "'s", "ß"]
+    assert token_files.Parts(Model()).encode(pieces) == [WORD_LIBRARY.encode(p, add_special_tokens=False).ids for p in pieces]
+
+
+def test_other_tokenizers_cut_words_only():
+    library = Tokenizer.from_str(BYTES)
+    parts = token_files.Parts(library)
+    assert not parts.known and parts.cut("Grün, don't\n") == ["Grün,", "don't"]
+    assert parts.encode(["Grün,", "don't"]) == [library.encode(w, add_special_tokens=False).ids for w in ("Grün,", "don't")]
