@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -99,34 +99,43 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield batch.slice(begin)
 
 
+class Places(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = place = len(self)
+        return place
+
+
 class PartStore:
     """Ids of parts of texts that were encoded before, one flat array with a place for each part.
 
     A store belongs to one worker process. It is emptied when it is full, which changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int):
+    def __init__(self, encode: Callable[[list], list[list[int]]], limit: int):
         self.encode, self.limit = encode, limit
         self._empty()
 
     def _empty(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places: dict = Places()
         self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts in a row, and the number of ids of each part."""
-        new = list(set(parts).difference(self.places))
-        if new:
-            if len(self.places) + len(new) > self.limit:
-                self._empty()
-                new = list(set(parts))
+    def ids(self, parts: list, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and the number of ids of each part; with ``order``, of the parts that it names in its order."""
+        kept = len(self.places)
+        places = np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
+        if kept and len(self.places) > max(kept, self.limit):
+            self._empty()
+            return self.ids(parts, order)
+        if new := list(islice(self.places, kept, None)):
             found = self.encode(new)
             sizes = np.array([len(f) for f in found], np.int64)
             self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(sizes) - sizes))
             self.sizes = np.concatenate((self.sizes, sizes))
             self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))))
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-        places = np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
+        if order is not None:
+            places = places.take(order)
         sizes = self.sizes[places]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

@@ -1,15 +1,17 @@
 """Token files: ids packed by an adaptive context-mixing range coder in independent, checksummed blocks.
 
 A file is a table of frames in ascending doc_id order. A frame holds whole documents: their ids, how many tokens each
-has, and blocks of up to 2,048 token ids, each with its length, the crc32 of its ids and its bytes. Every block starts
-from the same model, so it can be read, checked and recovered alone.
-
-For each id, the order-2 context (the two ids before) or else the order-1 context (the id before) names the id that it
-saw last as a candidate. Three predictions that the candidate is right, of order 0 to 2, each from an adaptive counter,
-are mixed in the logistic domain with weights that are learned on the way, and the mix drives a binary step of the coder.
-Where the candidate is wrong, the id's base-16 digits follow, coded with adaptive order-0 tables: four, the second by the
-first, the third by the first two, the fourth by the third, and before them as many more as the block's largest id needs,
-each by the one before (a block's first byte is their number). All arithmetic is on integers. Blocks are coded side by side, one lane of numpy arrays each.
+has, its distinct token ids by falling frequency (``words``), and blocks of up to 2,048 token ids, each with its length, the
+crc32 of its ids and its bytes. Blocks code the ranks of ids in ``words``. Every block starts from the same model, so with
+``words`` it can be read, checked and recovered alone.
+
+Three predictions of an id are mixed into one distribution. Order 2 (the two ids before) and order 1 (the id before) each
+name the id that they saw last and how sure they are of it. Order 0 gives a chance to every id: shares of 16 classes of
+ranks (0 and 1, 2 and 3, 4 to 7, and so on; 32 classes if ranks need more than 16 bits), even within a class, as ranks
+follow frequency. The weights of the three orders, for each sureness of orders 1 and 2, and the shares of the classes are learned on
+the way, and one step of the range coder codes an id (a second one the last 16 bits of larger ranks). A block's first byte
+tells how many hex digits its ranks need beyond four. All arithmetic is on integers. Blocks are coded side by side, one lane
+of numpy arrays each.
 
 Nulls: a null text is empty and has only the end id. A null doc_id comes first. Rows with equal doc_id stand side by
 side, ordered by their texts. An empty table writes no frames. Only ``doc_id`` and ``text`` are read.
@@ -22,7 +24,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,213 +34,289 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalspark.llm.common import PartStore, load_tokenizer, slices, tidy
+from evalspark.llm.common import PartStore, Places, load_tokenizer, slices, tidy
 from evalspark.plans.shared import settle
 
 BLOCK = 2048
 #: Ids after which a frame is closed, at the end of a document.
-FRAME = 3 << 20
-KEPT_PARTS = 250_000
-SLICE = 2_000_000
-_ONE, _TWO, _HIT = 1024, 4096, 16  # entries of the order-1 and order-2 tables; levels of confidence
-
-FRAMES = "part int, number int, doc_ids array<long>, counts array<int>, lengths array<int>, crcs array<long>, blocks array<binary>"
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Stretch of a 12-bit probability and squash back, both as integers (8 fraction bits)."""
-    p = (np.arange(4096) + 0.5) / 4096
-    stretch = np.rint(np.log(p / (1 - p)) * 256).astype(np.int32)
-    squash = np.clip(np.rint(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 1, 4095).astype(np.int32)
-    return stretch, squash
+FRAME = 8 << 20
+KEPT_PARTS = 800_000
+SLICE = 4_000_000
+_ONE, _TWO = 512, 2048  # entries of the order-1 and order-2 tables
 
-
-_STRETCH, _SQUASH = _tables()
+FRAMES = "part int, number int, doc_ids array<long>, counts array<int>, words array<int>, lengths array<int>, crcs array<long>, blocks array<binary>"
 
 
 class _Coder:
-    """Carry-less range coders side by side, of 64 bits, that give out 16 bits at a time."""
+    """Range coders side by side, of 64 bits, that give out up to three units of 16 bits after a step.
+
+    Writing keeps what each step adds to a lane's number and at which unit; the numbers are summed, with carries, at the end.
+    """
 
-    def __init__(self, lanes: int, data: np.ndarray | None, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    def __init__(self, lanes: int, data: np.ndarray | None, longest: int):
+        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
         self.place = np.zeros(lanes, np.int64)
         self.reading = data is not None
         if self.reading:
-            self.data, self.width = data.reshape(-1), data.shape[1]
-            self.code = np.zeros(lanes, np.uint64)
-            for _ in range(4):
-                self.code = (self.code << _UNIT) | self._next(np.arange(lanes))
+            # Four units from each place on, as one value; behind the end of a block there are zeros.
+            units = np.pad(data, ((0, 0), (0, 7))).astype(np.uint64)
+            self.width = units.shape[1] - 3
+            sight = units[:, : self.width].copy()
+            for k in range(1, 4):
+                sight <<= _UNIT
+                sight |= units[:, k : k + self.width]
+            self.data = sight.ravel()
+            self.place += np.arange(lanes) * self.width
+            self.code = self._next(lanes)
+            self.place += 4
         else:
-            self.data, self.width = np.zeros(lanes * room, np.uint16), room
+            self.count = 0
+            self.added = np.zeros((2 * longest, lanes), np.uint64)
+            self.places = np.zeros((2 * longest, lanes), np.uint16)
 
-    def _next(self, lanes: np.ndarray) -> np.ndarray:
+    def _next(self, lanes: int) -> np.ndarray:
         # A damaged block may ask for more than there is.
-        place = self.place[lanes]
-        self.place[lanes] = place + 1
-        return self.data[lanes * self.width + np.minimum(place, self.width - 1)].astype(np.uint64)
-
-    def seek(self, lanes: slice | np.ndarray, bits: int) -> np.ndarray:
-        """Reading: where the number stands in a scale of ``bits`` bits."""
-        found = (self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> np.uint64(bits))
-        return np.minimum(found, np.uint64((1 << bits) - 1)).astype(np.int32)
-
-    def step(self, lanes: slice | np.ndarray, below: np.ndarray, share: np.ndarray, bits: int) -> None:
-        """Narrow each lane to the part of its range that begins at ``below`` and is ``share`` of ``2**bits`` long."""
-        unit = self.range[lanes] >> np.uint64(bits)
-        low, wide = self.low[lanes] + below.astype(np.uint64) * unit, unit * share.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, wide
-        out = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
-        if not len(out):
-            return
-        todo = out if isinstance(lanes, slice) else lanes[out]
-        low, wide = low[out], wide[out]
-        while len(todo):
-            # A range across a border of its top bits is cut at the border.
-            wide = np.where((low ^ (low + wide)) < _TOP, wide, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)))
-            if self.reading:
-                self.code[todo] = (self.code[todo] << _UNIT) | self._next(todo)
-            else:
-                place = self.place[todo]
-                self.data[todo * self.width + place] = low >> np.uint64(48)
-                self.place[todo] = place + 1
-            low, wide = low << _UNIT, wide << _UNIT
-            self.low[todo], self.range[todo] = low, wide
-            again = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
-            todo, low, wide = todo[again], low[again], wide[again]
+        return self.data.take(self.place[:lanes], mode="clip")
+
+    def step(self, below: np.ndarray, share: np.ndarray) -> None:
+        """Narrow the first lanes to the part of their ranges that begins at ``below`` and is ``share`` long."""
+        lanes = len(below)
+        place = self.place[:lanes]
+        units = (share < _RANGES[0]).view(np.uint8)
+        if share.min() < _RANGES[1]:
+            units = units + (share < _RANGES[1]).view(np.uint8) + (share < _RANGES[2]).view(np.uint8)
+        bits = (units << np.uint8(4)).astype(np.uint64)
+        if self.reading:
+            code = self.code[:lanes] - below << bits
+            code |= self._next(lanes) >> np.uint64(64) - bits
+            self.code[:lanes] = code
+        else:
+            self.added[self.count, :lanes], self.places[self.count, :lanes] = below, place
+            self.count += 1
+        np.left_shift(share, bits, out=self.range[:lanes])
+        place += units
 
     def finish(self) -> list[bytes]:
-        """Eight more bytes name a number inside each lane's range."""
-        rows, out = self.data.reshape(-1, self.width), []
-        for lane, (place, low) in enumerate(zip(self.place.tolist(), self.low.tolist(), strict=True)):
-            out.append(rows[lane, :place].astype(">u2").tobytes() + low.to_bytes(8, "big"))
+        """The bytes of each lane's number, rounded up to the unit after the last one given out."""
+        out: list[bytes] = []
+        for begin in range(0, len(self.place), _LANES):
+            part = slice(begin, begin + _LANES)
+            ends = self.place[part]
+            room = int(ends.max()) + 4
+            begins = np.arange(len(ends)) * room
+            at = (self.places[: self.count, part] + begins).ravel()
+            values = self.added[: self.count, part].ravel()
+            # 32 bits at a time; what exceeds 16 is carried to the unit before.
+            sums = np.bincount(at + 1, values >> _HALF, len(ends) * room).astype(np.int64)
+            sums += np.bincount(at + 3, values & _LOWER, len(ends) * room).astype(np.int64)
+            # The last step of a lane has a range of a unit at least, so the next whole unit lies in it.
+            for k in range(1, 4):
+                sums[begins + ends + k] += 0xFFFF
+            rows = sums.reshape(len(ends), room)
+            while (carry := rows >> 16).any():
+                rows &= 0xFFFF
+                rows[:, :-1] += carry[:, 1:]
+            units = rows.astype(">u2")
+            out.extend(units[k, : place + 1].tobytes() for k, place in enumerate(ends.tolist()))
         return out
 
 
-_UNIT, _TOP, _BOTTOM = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 32)
-_SCALE = 15  # bits of the cumulative shares of 16 symbols
-#: Cumulative shares that a table moves to when it has seen a symbol; every symbol keeps a share of 1.
-_GOALS = np.array([[i if i <= s else (1 << _SCALE) - 16 + i for i in range(16)] for s in range(16)], np.int16)
-_ROW = np.dtype("V32")  # a table's shares, read and written as one value
-#: First table of each of an id's four digits: the first alone, then by the first, by the first two, by the third.
-_DIGITS = (0, 1, 17, 273)
-_TABLES = 289
-
-
-def _digit(coder: _Coder, lanes: np.ndarray, table: np.ndarray, shares: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
-    """Code one base-16 digit per lane with its adaptive table, of cumulative shares."""
-    rows = shares.take(table).view(np.int16).reshape(-1, 16)
-    if digit is None:
-        passed = np.packbits(rows <= coder.seek(lanes, _SCALE).astype(np.int16)[:, None]).view(np.uint16)
-        digit = np.bitwise_count(passed).astype(np.int64) - 1
-    at = np.arange(0, 16 * len(lanes), 16) + digit
-    flat = rows.ravel()
-    below = flat.take(at)
-    # Every row begins with 0, so behind its last symbol stands 0: the whole scale, where numbers are taken modulo it.
-    coder.step(lanes, below, (flat.take(at + 1, mode="wrap") - below) & np.int16((1 << _SCALE) - 1), _SCALE)
-    step = _GOALS.take(digit, axis=0)
-    step -= rows
-    step >>= 5
-    step += rows
-    shares.put(table, step.view(_ROW).ravel())
-    return digit
+_UNIT, _RANGES = np.uint64(16), (np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(1 << 16))
+_HALF, _LOWER = np.uint64(32), np.uint64((1 << 32) - 1)
+_LANES = 256  # whose numbers are summed at a time
+_SCALE = 15  # bits of cumulative shares
+#: Bits of a rank within its class (ranks 0 and 1, 2 and 3, 4 to 7, ...), coded after it, and the first rank of each class.
+_BITS = np.maximum(np.arange(32), 1).astype(np.uint64)
+_FLOOR = np.where(np.arange(32) > 0, 1 << np.arange(32), 0)
+#: Cumulative shares of 16 or 32 classes that a table moves to when it has seen a class; every class keeps a share of 1.
+_GOALS = {n: np.array([[i if i <= s else (1 << _SCALE) - n + i for i in range(n)] for s in range(n)], np.int16) for n in (16, 32)}
+#: Two shares are read and written as one number. Where those of order 2, and of orders 2 and 1, move to when order 0, 1 or 2 was right.
+_MIX = np.array([[64, 128], [64, 32704], [32640, 32704]], np.int16).view(np.uint32).ravel()
+#: Both at first, by how sure order 2 and order 1 are, and whether their candidates are unlike or equal.
+_FIRST = np.array([
+    [32 + 6144 * s2, 96 + 6144 * s2 + (0 if same else 3072 * s1)] for s2 in range(4) for s1 in range(4) for same in (0, 1)
+], np.int16).view(np.uint32).ravel()
+
+
+def _classes(ranks: np.ndarray) -> np.ndarray:
+    """Class of each rank: the number of its highest bit, 0 for rank 0."""
+    return ((ranks | 1).astype(np.float64).view(np.int64) >> 52) - 1023
+
+
+_SMALL = _classes(np.arange(1 << 16))
 
 
 def _code(lengths: np.ndarray, ids: np.ndarray | None, data: np.ndarray | None, high: int) -> tuple[_Coder, np.ndarray]:
-    """Code all lanes from a fresh model each; lengths descend. Reads ``data`` or writes ``ids`` (lanes x positions).
+    """Code all lanes from a fresh model each; lengths descend. Reads ``data`` or writes ``ids`` (positions x lanes).
 
-    ``high`` is the number of digits before the last four.
+    ``high`` is above 0 if ids need more than 16 bits.
     """
     lanes, longest = len(lengths), int(lengths[0])
-    tables = _TABLES + 16 * high
-    coder = _Coder(lanes, data, longest * (5 + high) // 2 + 16)
-    out = np.zeros((lanes, longest), np.int32) if ids is None else ids
-    kind = np.uint32 if high else np.uint16
-    # Rows 0 and 1 belong to orders 1 and 2: ids seen last by context, with how sure they are.
+    coder = _Coder(lanes, data, longest)
+    out = np.zeros((longest, lanes), np.int32) if ids is None else ids
+    kind, classes = (np.int64, 32) if high else (np.int32, 16)
+    # Ids seen last by context, with how sure they are (0, 2, 4 or 6): row 0 of what follows is order 1, row 1 order 2.
     every = np.arange(lanes, dtype=np.int64)
     first = np.stack((every * _ONE, lanes * _ONE + every * _TWO))
-    seen, sure = np.zeros(lanes * (_ONE + _TWO), kind), np.zeros(lanes * (_ONE + _TWO), np.uint8)
-    # Chances that a candidate is right: by order 0 (one counter), and by confidence for orders 1 and 2.
-    alone, right = np.full(lanes, 1024, np.int32), np.full(2 * lanes * _HIT, 1024, np.int32)
-    counters = np.stack((every * _HIT, (lanes + every) * _HIT))
-    weights = np.full((3, lanes), 1 << 14, np.int32)  # 16 fraction bits
-    shares = np.tile((np.arange(16) << (_SCALE - 4)).astype(np.int16), (lanes * tables, 1)).view(_ROW).ravel()
-    before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
+    seen = np.zeros(lanes * (_ONE + _TWO), kind)
+    # The weights of the orders, by how sure orders 1 and 2 are; the classes of order 0, and a 0 behind them.
+    weights = np.tile(_FIRST, lanes)
+    begins, corners = (every * 32).astype(kind), every * classes
+    flat = np.zeros(lanes * classes + 1, np.int16)
+    tables = flat[:-1].reshape(lanes, classes)
+    tables += (np.arange(classes) * ((1 << _SCALE) // classes)).astype(np.int16)
+    goals, scale, top = _GOALS[classes], np.uint64(_SCALE), np.uint64((1 << _SCALE) - 1)
+    older, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     for t in range(longest):
         n = int(active[t])
-        part = slice(0, n)
-        last, earlier = before[0][part], before[1][part]
-        at = first[:, part].copy()
-        at[0] += last * 40503 >> 4 & _ONE - 1
-        at[1] += (earlier * 40503 + last * 48271) >> 3 & _TWO - 1
-        found, level = seen.take(at), sure.take(at)
-        guess = np.where(level[1] > 0, found[1], found[0])
-        # Mix the three predictions; one that does not support the candidate says nothing.
-        spots = counters[:, part] + level
-        own, chances = alone[part], right.take(spots)
-        say = level > 0
-        say[0] &= found[0] == guess
-        stretched = np.empty((3, n), np.int32)
-        stretched[0] = _STRETCH.take(own)
-        np.multiply(_STRETCH.take(chances), say, out=stretched[1:])
-        weight = weights[:, part]
-        parts = weight * stretched >> 15
-        mixed = _SQUASH.take(parts[0] + parts[1] + parts[2] + 2048, mode="clip")
-        hit = coder.seek(part, 12) < mixed if ids is None else guess == out[part, t]
-        coder.step(part, np.where(hit, 0, mixed), np.where(hit, mixed, 4096 - mixed), 12)
-        goal = hit * np.int32(4095)
-        weight += stretched * (goal - mixed) >> 10
-        np.minimum(np.maximum(weight, -(1 << 18), out=weight), 1 << 18, out=weight)
-        own += (goal - own) >> 5
-        chances += ((goal - chances) >> 5) * say
-        for value in (own, chances):
-            np.minimum(np.maximum(value, 32, out=value), 4063, out=value)
-        right.put(spots, chances)
-        # Ids that the candidate missed, digit by digit.
-        rest = np.flatnonzero(~hit)
-        symbol = guess.astype(np.int64)
-        if len(rest):
-            value = None if ids is None else out[rest, t]
-            digits: list[np.ndarray] = []
-            above, digit = 0, 0
-            for place in range(high):
-                known = None if value is None else value >> (16 + 4 * (high - 1 - place)) & 15
-                digit = _digit(coder, rest, rest * tables + _TABLES + 16 * place + digit, shares, known)
-                above = above * 16 + digit
-            for place in range(4):
-                context = (lambda: 0, lambda: digits[0], lambda: digits[0] * 16 + digits[1], lambda: digits[2])[place]()
-                known = None if value is None else value >> (12 - 4 * place) & 15
-                digits.append(_digit(coder, rest, rest * tables + _DIGITS[place] + context, shares, known))
-            symbol[rest] = (((above * 16 + digits[0]) * 16 + digits[1]) * 16 + digits[2]) * 16 + digits[3]
+        at = np.empty((2, n), np.int64)
+        np.bitwise_and(last[:n], _ONE - 1, out=at[0])
+        np.bitwise_xor(last[:n], older[:n], out=at[1])
+        at[1] &= _TWO - 1
+        at += first[:, :n]
+        np.multiply(last[:n], 203, out=older[:n])
+        held = seen.take(at)
+        guess, sure = held >> 3, held & 6
+        spots = sure[1] << 2
+        spots += sure[0]
+        spots += begins[:n]
+        spots += guess[0] == guess[1]
+        spots = spots.astype(np.int64)
+        pairs = weights.take(spots)
+        both = pairs.astype(np.uint64)
+        whole = coder.range[:n]
+        unit = whole >> scale
+        # Ends of the parts of order 2 and of order 1.
+        second, third = both & np.uint64(0xFFFF), both >> _UNIT
+        second *= unit
+        third *= unit
+        unit = whole - third
+        unit >>= scale
+        rows = tables[:n]
+        if ids is None:
+            code = coder.code[:n]
+            right, missed = code < second, code >= third
+            code = code - third
+            found = code // unit
+            found &= top
+            # Beside each share, four times in a number.
+            found *= np.uint64(0x0001000100010001)
+            beside = np.empty((n, classes // 4), np.uint64)
+            for k in range(classes // 4):
+                beside[:, k] = found
+            passed = np.bitwise_count((rows <= beside.view(np.int16)).view(np.uint64))
+            kinds = passed[:, 0] + passed[:, 1] if classes == 16 else passed.sum(axis=1)
+            kinds = kinds.astype(np.int64)
+            kinds -= 1
+        else:
+            symbol = out[t, :n].astype(np.int64)
+            right = guess[1] == symbol
+            missed = ~(right | (guess[0] == symbol))
+            kinds = _classes(symbol) if high else _SMALL.take(symbol)
+        spot = corners[:n] + kinds
+        below = flat.take(spot)
+        spot += 1
+        # Every row begins with 0, so behind its last class stands 0: the whole scale, where numbers are taken modulo it.
+        share = flat.take(spot) - below
+        share &= np.int16((1 << _SCALE) - 1)
+        below = below.astype(np.uint64)
+        below *= unit
+        unit *= share.astype(np.uint64)
+        bits = _BITS.take(kinds)
+        # Ranks of more than 16 bits have their last 16 in a step of their own.
+        more = bits > _UNIT if high else None
+        if high:
+            bits = np.where(more, bits - _UNIT, bits)
+        unit >>= bits
         if ids is None:
-            out[part, t] = symbol
-        seen.put(at, symbol.astype(kind))  # both rows
-        sure.put(at, np.where(found == symbol, np.minimum(level + np.uint8(1), np.uint8(_HIT - 1)), np.uint8(1)))
-        before[1][part] = last
-        before[0][part] = symbol
+            code -= below
+            place = code // unit
+            place &= np.uint64(0xFFFF)  # more in damaged blocks only
+        else:
+            place = symbol - _FLOOR.take(kinds)
+            if high:
+                place = np.where(more, place >> 16, place)
+            place = place.view(np.uint64)
+        below += place * unit
+        below += third
+        third -= second
+        share = np.where(right, second, third)
+        second[right] = 0
+        coder.step(np.where(missed, below, second), np.where(missed, unit, share))
+        if high and (more := more & missed).any():
+            unit = np.where(more, coder.range[:n] >> _UNIT, coder.range[:n])
+            if ids is None:
+                low = np.where(more, np.minimum(coder.code[:n] // unit, np.uint64(0xFFFF)), np.uint64(0))
+                place = np.where(more, place << _UNIT | low, place) & np.uint64((1 << 31) - 1)
+            else:
+                low = np.where(more, symbol & 0xFFFF, 0).astype(np.uint64)
+            coder.step(low * unit, unit)
+        if ids is None:
+            symbol = place.view(np.int64) + _FLOOR.take(kinds)
+            np.copyto(symbol, guess[0], where=~missed)
+            np.copyto(symbol, guess[1], where=right)
+            out[t, :n] = symbol
+            kinds = _classes(symbol) if high else _SMALL.take(symbol)
+        # All that was used learns.
+        step = goals.take(kinds, axis=0)
+        step -= rows
+        step >>= 5
+        rows += step
+        order = right.view(np.int8) - missed.view(np.int8)
+        order += 1
+        step, pairs = _MIX.take(order).view(np.int16), pairs.view(np.int16)
+        step -= pairs
+        step >>= 5
+        step += pairs
+        weights[spots] = step.view(np.uint32)
+        small = symbol.astype(kind)
+        np.minimum(sure, 4, out=sure)
+        sure *= guess == small
+        small <<= 3
+        small += 2
+        sure += small
+        seen[at] = sure
+        last[:n] = symbol
     return coder, out
 
 
-def pack(ids: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
-    """Lengths, checksums and bytes of the blocks of a row of ids."""
+def by_frequency(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids, the most frequent first."""
+    distinct, counts = np.unique(ids, return_counts=True)
+    return distinct[np.argsort(-counts, kind="stable")]
+
+
+def pack(ids: np.ndarray, words: np.ndarray | None = None) -> tuple[list[int], list[int], list[bytes]]:
+    """Lengths, checksums and bytes of the blocks of a row of ids; ``words`` are its distinct ids by rank, else an id is its rank."""
     if not len(ids):
         return [], [], []
     if ids.min() < 0 or ids.max() >= 1 << 31:
         raise ValueError("ids must be below 2 ** 31")
-    high = -(-max(0, int(ids.max()).bit_length() - 16) // 4)
+    ranks = ids
+    if words is not None:
+        if (size := int(words.max()) + 1) <= 1 << 22:
+            places = np.zeros(size, np.int32)
+            places[words] = np.arange(len(words))
+            ranks = places[ids]
+        else:
+            order = np.argsort(words)
+            ranks = order[np.searchsorted(words, ids, sorter=order)].astype(np.int32)
+    high = -(-max(0, int(ranks.max()).bit_length() - 16) // 4)
     count = -(-len(ids) // BLOCK)
     lengths = np.full(count, BLOCK, np.int64)
     lengths[-1] = len(ids) - BLOCK * (count - 1)
     rows = np.zeros(count * BLOCK, np.int32)
-    rows[: len(ids)] = ids
-    rows = rows.reshape(count, BLOCK)[:, : int(lengths[0])]
+    rows[: len(ids)] = ranks
+    del ranks
+    rows = np.ascontiguousarray(rows.reshape(count, BLOCK)[:, : int(lengths[0])].T)
     coder, _ = _code(lengths, rows, None, high)
     little = ids.astype("<u4")
     return lengths.tolist(), [zlib.crc32(little[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(count)], [bytes([high]) + block for block in coder.finish()]
 
 
-def unpack(lengths: list[int], crcs: list[int], blocks: list[bytes]) -> np.ndarray:
-    """The ids of any blocks in a row; raises if a checksum differs."""
+def unpack(lengths: list[int], crcs: list[int], blocks: list[bytes], words: np.ndarray | None = None) -> np.ndarray:
+    """The ids of any blocks in a row, packed with the same ``words``; raises if a checksum differs."""
     found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(blocks)
     for high in {block[0] for block in blocks}:
         some = [k for k, block in enumerate(blocks) if block[0] == high]
@@ -245,18 +324,22 @@ def unpack(lengths: list[int], crcs: list[int], blocks: list[bytes]) -> np.ndarr
             raise ValueError(f"block {some[0]} is damaged")
         sizes = np.array([lengths[k] for k in some], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        data = np.zeros((len(some), max(len(blocks[k]) for k in some) // 2 + 4), np.uint16)
+        data = np.zeros((len(some), max(len(blocks[k]) for k in some) // 2), np.uint16)
         for row, k in enumerate(order):
             block = blocks[some[k]][1:]
             if len(block) % 2:
                 raise ValueError(f"block {some[k]} is damaged")
             data[row, : len(block) // 2] = np.frombuffer(block, ">u2")
-        _, rows = _code(sizes[order], None, data, high)
+        _, ranks = _code(sizes[order], None, data, high)
+        ranks = np.ascontiguousarray(ranks.T)
         for row, k in enumerate(order):
-            ids = rows[row, : sizes[k]]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != crcs[some[k]]:
+            ids = ranks[row, : sizes[k]]
+            if words is not None:
+                ids = words.take(ids, mode="clip")
+            ids = ids.astype("<u4")
+            if zlib.crc32(ids.tobytes()) != crcs[some[k]]:
                 raise ValueError(f"block {some[k]} is damaged")
-            found[some[k]] = ids
+            found[some[k]] = ids.astype(np.int32)
     return np.concatenate([np.zeros(0, np.int32), *found])
 
 
@@ -293,22 +376,69 @@ _PLAIN = re.compile("[\x20\x09-\x0d!-~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\x20\x09-\x0da-zß-öø-ÿ0-9]+")
 #: The letter by which byte-level pieces write each byte that is not visible in Latin-1.
 _LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: The same for all bytes; spaces, between pieces, stay.
+_WRITTEN = np.array([b if b == 32 else _LETTERS.get(b, b) for b in range(256)], "<u2")
+#: Of each character up to U+00FF its kind (white space, letter, digit, any other one in plain texts, none of them) and lower case.
+_SPACE, _LETTER, _DIGIT, _OTHER, _NONE = range(5)
+
+
+def _kind(c: str) -> int:
+    if not _PLAIN.fullmatch(c):
+        return _NONE
+    return _SPACE if c.isspace() else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _OTHER
+
+
+_KINDS = bytes(_kind(chr(b)) for b in range(256))
+_LOWER_CASE = bytes(32 if kind == _SPACE else ord(chr(b).lower()) if kind == _LETTER else b for b, kind in enumerate(_KINDS))
+_JOINED = 5000  # pieces that the library encodes in a row
+
+
+def _starts(text: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the pieces (``_PIECES``) of plain characters in lower case begin."""
+    starts = kinds == _DIGIT
+    starts[:1] = True
+    starts[1:] |= kinds[1:] != kinds[:-1]
+    # An apostrophe that begins a piece may begin one with the letters behind it.
+    at = np.flatnonzero((text == ord("'")) & starts)
+    if len(at):
+        after = np.pad(text, (0, 3))
+        one, two = after[at + 1], after[at + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        for some, size in ((at[short], 2), (at[long], 3)):
+            starts[some + 1] = False
+            some = some[some + size < len(text)] + size
+            starts[some] = True
+    starts &= kinds != _SPACE
+    return np.flatnonzero(starts)
 
 
 class Parts:
     """Parts of texts that the tokenizer encodes one by one, and their ids; for tokenizers that pass ``cuts_at_white_space``.
 
-    With the pre-tokenizer above, plain texts are cut into its pieces, and each piece goes to the library's model: the library's
-    own way to the model takes longer than the model itself. All else is cut into words, which go the library's way.
+    With the pre-tokenizer above, plain texts are cut into its pieces, and each piece goes to the library's model, many in a
+    row: the library's own way to the model takes longer than the model itself. All else is cut into words, which go the
+    library's way. Pieces of plain texts are Latin-1 bytes in what ``cut_all`` returns and ``encode`` takes.
     """
 
     def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer, self.model = tokenizer, tokenizer.model
         made = json.loads(tokenizer.to_str())
         steps = [(made[k] or {}).get(name) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
         self.known = steps == [_NORMALIZERS, _SPLITS] and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
         # Added tokens are found in texts before anything else.
         self.added = [t["content"].lower() for t in made["added_tokens"]]
+        self.row = Tokenizer(self.model)
+        self.row.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # The last token of a piece has a mark of its own.
+        ending = made["model"].get("end_of_word_suffix")
+        self.last = None
+        if self.known and ending:
+            words = made["model"]["vocab"]
+            self.last = np.zeros(max(words.values()) + 1, bool)
+            self.last[[k for w, k in words.items() if w.endswith(ending)]] = True
 
     def _plain(self, text: str) -> str | None:
         """A plain text in lower case."""
@@ -327,13 +457,69 @@ class Parts:
             out.extend([word] if low is None else _PIECES.findall(low))
         return out
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        plain = [self._plain(p) is not None for p in parts]
+    def cut_all(self, texts: list[str]) -> tuple[list[bytes | str], np.ndarray, np.ndarray]:
+        """Parts of some texts, which of them follow each other in all texts in a row, and how many there are in each text."""
+        plain = []
+        for text in texts:
+            try:
+                plain.append(text.encode("latin-1") if self.known else None)
+            except UnicodeEncodeError:
+                plain.append(None)
+        found, counts = self._cut_plain(plain)
+        if None not in plain:
+            found = found.dictionary_encode()
+            return [p.rstrip() for p in found.dictionary.to_numpy(zero_copy_only=False)], found.indices.to_numpy(), counts
+        found, cuts, at = [p.rstrip() for p in found.to_numpy(zero_copy_only=False)], [], 0
+        for text, own, count in zip(texts, plain, counts.tolist(), strict=True):
+            cuts.append(self.cut(text) if own is None else found[at : at + count])
+            at += count
+        places = Places()
+        order = np.fromiter(map(places.__getitem__, chain.from_iterable(cuts)), np.int64)
+        return list(places), order, np.array(list(map(len, cuts)), np.int64)
+
+    def _cut_plain(self, texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of the plain texts, with the white space behind them, and their numbers; texts that turn out not to be plain become None."""
+        low = b"\n".join(t or b"" for t in texts).translate(_LOWER_CASE)
+        kinds = low.translate(_KINDS)
+        if _NONE in kinds or any(a.encode() in low for a in self.added):
+            for k, text in enumerate(texts):
+                if text is not None and self._plain(text.decode("latin-1")) is None:
+                    texts[k] = None
+            low = b"\n".join(t or b"" for t in texts).translate(_LOWER_CASE)
+            kinds = low.translate(_KINDS)
+        starts = _starts(np.frombuffer(low, np.uint8), np.frombuffer(kinds, np.uint8))
+        edges = np.append(starts, len(low)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(low)])
+        ends = np.cumsum([len(t or b"") + 1 for t in texts])
+        return pieces, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+    def encode(self, parts: list[bytes | str]) -> list[list[int]]:
+        plain = [isinstance(p, bytes) or self._plain(p) is not None for p in parts]
+        found = self._encode_plain([p if isinstance(p, bytes) else p.encode("latin-1") for p, known in zip(parts, plain, strict=True) if known])
+        if all(plain):
+            return list(found)
         others = [p for p, known in zip(parts, plain, strict=True) if not known]
-        found = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
-        tokenize = self.model.tokenize
-        letters = lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS)
-        return [[t.id for t in tokenize(letters(p))] if known else next(found).ids for p, known in zip(parts, plain, strict=True)]
+        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [next(found) if known else next(rest).ids for known in plain]
+
+    def _encode_plain(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        for begin in range(0, len(pieces), _JOINED):
+            some = pieces[begin : begin + _JOINED]
+            row = _WRITTEN.take(np.frombuffer(b" ".join(some).decode("latin-1").encode(), np.uint8)).tobytes().decode("utf-16-le")
+            ids = self.row.encode_batch_fast([row], add_special_tokens=False)[0].ids if self.last is not None else []
+            ends = np.flatnonzero(self.last.take(ids)) + 1 if ids else []
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                yield from (ids[a:b] for a, b in pairwise([0, *ends.tolist()]))
+            else:
+                yield from ([t.id for t in self.model.tokenize(piece)] for piece in row.split(" "))
+
+
+@lru_cache(maxsize=1)
+def _kept(content: str) -> tuple[Parts, PartStore, bool]:
+    """A tokenizer's parts and their ids, kept in the worker process from task to task, and whether texts may be cut."""
+    tokenizer = load_tokenizer(content, False)
+    parts = Parts(tokenizer)
+    return parts, PartStore(parts.encode, KEPT_PARTS), cuts_at_white_space(tokenizer)
 
 
 def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_ids: int = FRAME) -> None:
@@ -346,26 +532,29 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, frame_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = load_tokenizer(held.value, False)
-        parts = Parts(tokenizer)
-        store = PartStore(parts.encode, KEPT_PARTS)
+        parts, store, in_words = _kept(held.value)
         part, number, names, counts, flat, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def frame() -> pa.RecordBatch:
-            lengths, crcs, blocks = pack(np.concatenate(flat))
-            row = {"part": part, "number": number, "doc_ids": names, "counts": counts, "lengths": lengths, "crcs": crcs, "blocks": blocks}
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            ids = np.concatenate(flat)
+            flat.clear()
+            words = by_frequency(ids)
+            lengths, crcs, blocks = pack(ids, words)
+            row = {"part": part, "number": number, "doc_ids": names, "counts": counts, "words": words, "lengths": lengths, "crcs": crcs, "blocks": blocks}
+            kinds = [
+                pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()),
+                pa.list_(pa.int64()), pa.list_(pa.binary()),
+            ]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
-        in_words = cuts_at_white_space(tokenizer)
         for batch in slices(batches, "text", SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if in_words:
-                cuts = [parts.cut(t) for t in texts]
-                ids, sizes = store.ids(list(chain.from_iterable(cuts)))
-                edges = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, cuts)])]
+                distinct, order, counted = parts.cut_all(texts)
+                ids, sizes = store.ids(distinct, order)
+                edges = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *counted])]
             else:
-                found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                found = [np.array(e.ids, np.int32) for e in parts.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 ids, edges = np.concatenate(found), np.cumsum([0, *map(len, found)])
             for name, begin, end in zip(batch.column("doc_id").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 names.append(name)
@@ -398,7 +587,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
-                ids, counts, names = unpack(get("lengths"), get("crcs"), get("blocks")), np.array(get("counts"), np.int64), get("doc_ids")
+                ids = unpack(get("lengths"), get("crcs"), get("blocks"), np.array(get("words"), np.int64))
+                counts, names = np.array(get("counts"), np.int64), get("doc_ids")
                 edges, start = np.concatenate(([0], np.cumsum(counts))), get("start")
                 for begin in range(0, len(names), 500):
                     end = min(begin + 500, len(names))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 
 from evalspark.llm import chat, token_files
 from evalspark.llm import sentencepiece_codec as codec
+from evalspark.llm.common import PartStore
 from evalspark.plans.shared import new_folder
 
 PROTO = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
@@ -251,3 +253,97 @@ def test_other_tokenizers_cut_words_only():
     parts = token_files.Parts(library)
     assert not parts.known and parts.cut("Grün, don't\n") == ["Grün,", "don't"]
     assert parts.encode(["Grün,", "don't"]) == [library.encode(w, add_special_tokens=False).ids for w in ("Grün,", "don't")]
+
+
+def test_an_id_is_one_step_of_the_coder(monkeypatch):
+    """Weights of the orders, class and place in it narrow a range at once; larger ranks take a second step."""
+    calls = []
+    whole = token_files._Coder.step
+    monkeypatch.setattr(token_files._Coder, "step", lambda self, *given: (calls.append(1), whole(self, *given))[1])
+    ids = np.random.default_rng(7).integers(0, 1 << 16, 2 * 2048)
+    for some, most in ((ids, 2048), (ids + (1 << 20), 2 * 2048)):
+        calls.clear()
+        packed = token_files.pack(some)
+        assert len(calls) <= most
+        calls.clear()
+        assert token_files.unpack(*packed).tolist() == some.tolist()
+        assert len(calls) <= most
+
+
+def test_words_of_a_frame_rank_its_ids():
+    rng = np.random.default_rng(8)
+    names = rng.permutation(np.unique(rng.integers(0, 1 << 31, 3000)))  # rare and frequent ids lie everywhere
+    ids = names[np.minimum(rng.zipf(1.3, 40_000), len(names)) - 1]
+    words = token_files.by_frequency(ids)
+    assert sorted(words.tolist()) == np.unique(ids).tolist()
+    packed = token_files.pack(ids, words)
+    assert token_files.unpack(*packed, words).tolist() == ids.tolist()
+    chances = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * sum(map(len, packed[2])) < len(ids) * (1 - (chances * np.log2(chances)).sum())
+    with pytest.raises(ValueError, match="damaged"):  # checksums are of ids, not of ranks
+        token_files.unpack(*packed, words[::-1])
+
+
+def test_numbers_are_carried_and_damage_is_found_everywhere():
+    rng = np.random.default_rng(9)
+    for ids in (np.zeros(5000, int), np.full(5000, 65535), np.tile([0, 65535, 1, 32768], 1500), np.tile(rng.integers(0, 50, 700), 9), rng.integers(0, 3, 9000)):
+        lengths, crcs, blocks = token_files.pack(ids)
+        assert token_files.unpack(lengths, crcs, blocks).tolist() == ids.tolist()
+        for place in rng.integers(1, len(blocks[0]) - 2, 5):
+            spoilt = blocks[0][:place] + bytes([blocks[0][place] ^ 0xFF]) + blocks[0][place + 1 :]
+            with pytest.raises(ValueError, match="damaged"):
+                token_files.unpack(lengths[:1], crcs[:1], [spoilt])
+
+
+def _parts_of(texts, parts=PARTS):
+    found, order, counts = parts.cut_all(texts)
+    in_row, out, at = [found[k] for k in order], [], 0
+    for count in counts:
+        out.append(in_row[at : at + count])
+        at += count
+    assert at == len(in_row)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(ODD_WORDS | st.lists(st.sampled_from(["it's", "''s", "we'll''d'", "'re've", "12a", "...'t", "x'l", "É'S"]), max_size=9), max_size=3), max_size=4))
+def test_texts_cut_together_equal_the_library(groups):
+    texts = [gap.join(chain.from_iterable(g)) for g, gap in zip(groups, (" ", "", "\n ", "\t"), strict=False)]
+    for text, found in zip(texts, _parts_of(texts), strict=True):
+        assert [i for part in PARTS.encode(found) for i in part] == WORD_LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_texts_are_cut_into_pieces_as_bytes():
+    assert _parts_of(["Grün, don't 12", "", " \n", "aあ b", "'s"]) == [["grün".encode("latin-1"), b",", b"don", b"'t", b"1", b"2"], [], [], ["aあ", "b"], [b"'s"]]
+    assert _parts_of(["Grün\n"], token_files.Parts(Tokenizer.from_str(BYTES))) == [["Grün"]]
+
+
+def test_the_library_encodes_many_pieces_at_a_time():
+    parts, calls = token_files.Parts(WORD_LIBRARY), []
+
+    class Counted:
+        def encode_batch_fast(self, rows, add_special_tokens):
+            calls.append(1)
+            return parts.whole.encode_batch_fast(rows, add_special_tokens=add_special_tokens)
+
+    parts.whole, parts.row = parts.row, Counted()
+    pieces = [f"{'abcdé'[k % 5]}{'xyzß'[k % 4]}{chr(97 + k % 26)}".encode("latin-1") for k in range(12_000)]
+    found = parts.encode(pieces)
+    assert len(calls) <= 3
+    assert found[:400] == [WORD_LIBRARY.encode(p.decode("latin-1"), add_special_tokens=False).ids for p in pieces[:400]]
+
+
+def test_a_full_store_is_emptied_and_goes_on():
+    asked = []
+
+    def encode(parts):
+        asked.append(list(parts))
+        return [[len(p)] * len(p) for p in parts]
+
+    store = PartStore(encode, 3)
+    assert [x.tolist() for x in store.ids(["a", "bb", "a"])] == [[1, 2, 2, 1], [1, 2, 1]]
+    assert [x.tolist() for x in store.ids(["bb", "", "a"], np.array([2, 0, 0, 1]))] == [[1, 2, 2, 2, 2], [1, 2, 2, 0]]
+    assert [x.tolist() for x in store.ids(["ccc", "a"])] == [[3, 3, 3, 1], [3, 1]]
+    assert [x.tolist() for x in store.ids(["a", "a"])] == [[1, 1], [1, 1]]
+    assert [x.tolist() for x in store.ids([])] == [[], []]
+    assert asked == [["a", "bb"], [""], ["ccc", "a"]]
