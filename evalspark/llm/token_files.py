@@ -430,6 +430,8 @@ class Parts:
         self.known = steps == [_NORMALIZERS, _SPLITS] and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
         # Added tokens are found in texts before anything else.
         self.added = [t["content"].lower() for t in made["added_tokens"]]
+        # As they stand in plain texts, which have no others.
+        self.marks = [a.encode("latin-1").translate(_LOWER_CASE) for a in self.added if all(c <= "ÿ" for c in a)]
         self.row = Tokenizer(self.model)
         self.row.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # The last token of a piece has a mark of its own.
@@ -458,7 +460,7 @@ class Parts:
         return out
 
     def cut_all(self, texts: list[str]) -> tuple[list[bytes | str], np.ndarray, np.ndarray]:
-        """Parts of some texts, which of them follow each other in all texts in a row, and how many there are in each text."""
+        """The distinct parts of some texts, which of them follow each other in all texts in a row, and how many there are in each text."""
         plain = []
         for text in texts:
             try:
@@ -468,8 +470,8 @@ class Parts:
         found, counts = self._cut_plain(plain)
         if None not in plain:
             found = found.dictionary_encode()
-            return [p.rstrip() for p in found.dictionary.to_numpy(zero_copy_only=False)], found.indices.to_numpy(), counts
-        found, cuts, at = [p.rstrip() for p in found.to_numpy(zero_copy_only=False)], [], 0
+            return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), counts
+        found, cuts, at = found.to_numpy(zero_copy_only=False).tolist(), [], 0
         for text, own, count in zip(texts, plain, counts.tolist(), strict=True):
             cuts.append(self.cut(text) if own is None else found[at : at + count])
             at += count
@@ -478,18 +480,22 @@ class Parts:
         return list(places), order, np.array(list(map(len, cuts)), np.int64)
 
     def _cut_plain(self, texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
-        """Pieces of the plain texts, with the white space behind them, and their numbers; texts that turn out not to be plain become None."""
+        """Pieces of the plain texts, and their numbers; texts that turn out not to be plain become None."""
         low = b"\n".join(t or b"" for t in texts).translate(_LOWER_CASE)
         kinds = low.translate(_KINDS)
-        if _NONE in kinds or any(a.encode() in low for a in self.added):
+        if _NONE in kinds or any(a in low for a in self.marks):
             for k, text in enumerate(texts):
                 if text is not None and self._plain(text.decode("latin-1")) is None:
                     texts[k] = None
             low = b"\n".join(t or b"" for t in texts).translate(_LOWER_CASE)
             kinds = low.translate(_KINDS)
-        starts = _starts(np.frombuffer(low, np.uint8), np.frombuffer(kinds, np.uint8))
-        edges = np.append(starts, len(low)).astype(np.int32)
-        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(low)])
+        kinds = np.frombuffer(kinds, np.uint8)
+        starts = _starts(np.frombuffer(low, np.uint8), kinds)
+        # Without white space, pieces stand side by side.
+        dense = low.translate(None, b" ")
+        edges = starts - np.cumsum(kinds == _SPACE, dtype=np.int32).take(starts)
+        edges = np.append(edges, len(dense)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(dense)])
         ends = np.cumsum([len(t or b"") + 1 for t in texts])
         return pieces, np.diff(np.searchsorted(starts, ends), prepend=0)
 

@@ -318,6 +318,17 @@ def test_plain_texts_are_cut_into_pieces_as_bytes():
     assert _parts_of(["Grün\n"], token_files.Parts(Tokenizer.from_str(BYTES))) == [["Grün"]]
 
 
+def test_added_tokens_beyond_ascii_are_found():
+    library = Tokenizer.from_str(WORDS)
+    library.add_special_tokens(["É<x>", "<a b>", "あ."])
+    parts = token_files.Parts(library)
+    texts = ["Été É<x>é", "é<x> grün", "x <a\nb> <a b>.", "あ. y", "plain"]
+    for text, found in zip(texts, _parts_of(texts, parts), strict=True):
+        if "a b" not in text:  # spans white space, which cuts_at_white_space refuses
+            assert [i for part in parts.encode(found) for i in part] == library.encode(text, add_special_tokens=False).ids
+    assert not token_files.cuts_at_white_space(library)
+
+
 def test_the_library_encodes_many_pieces_at_a_time():
     parts, calls = token_files.Parts(WORD_LIBRARY), []
 
